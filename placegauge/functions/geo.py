@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
+from placegauge.functions.staging import with_computed
 
 _F = 1.0 / fv.GRS80_INV_F
 _N = _F / (2.0 - _F)
@@ -47,13 +48,6 @@ SERIES_E = 2 * math.sqrt(_N) / (1 + _N)
 SERIES_SCALE = fv.ZONE_K0 * fv.GRS80_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
 
 
-def _staged(df: DataFrame, *stages: dict[str, Column]) -> DataFrame:
-    """One projection per stage, so that a shared term is computed once and not copied."""
-    for stage in stages:
-        df = df.withColumns(stage)
-    return df
-
-
 def project(df: DataFrame, lat: str, lng: str, x: str, y: str) -> DataFrame:
     """Adds easting ``x`` and northing ``y`` in metres: Transverse Mercator, mainland zone."""
     c = F.col
@@ -61,7 +55,7 @@ def project(df: DataFrame, lat: str, lng: str, x: str, y: str) -> DataFrame:
     for j, a in enumerate(SERIES_ALPHAS, start=1):
         north = north + F.lit(a) * F.sin(c("__xi") * (2.0 * j)) * F.cosh(c("__eta") * (2.0 * j))
         east = east + F.lit(a) * F.cos(c("__xi") * (2.0 * j)) * F.sinh(c("__eta") * (2.0 * j))
-    out = _staged(
+    return with_computed(
         df,
         {
             "__sin": F.sin(F.radians(c(lat))),
@@ -81,7 +75,6 @@ def project(df: DataFrame, lat: str, lng: str, x: str, y: str) -> DataFrame:
             y: (north - F.lit(SERIES_XI0)) * F.lit(SERIES_SCALE),
         },
     )
-    return out.drop("__sin", "__dl", "__t", "__xi", "__eta")
 
 
 def planar_m(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -105,7 +98,7 @@ def geodesic_direct(
         swing = cos_2m + c("__B") / 4 * F.cos(c(sigma)) * (cos_2m * cos_2m * 2 - lit(1.0))
         return {"__sigma": c("__start") + c("__B") * F.sin(c(sigma)) * swing}
 
-    out = _staged(
+    return with_computed(
         df,
         {
             "__sin1": F.sin(F.radians(c(azimuth))),
@@ -162,7 +155,6 @@ def geodesic_direct(
             ),
         },
     )
-    return out.drop(*[name for name in out.columns if name.startswith("__")])
 
 
 def disc_offsets(radius_m: float) -> list[tuple[float, float]]:

@@ -11,16 +11,28 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from placegauge import fixed_values as fv
 
 BLANKS = "(?U)\\s+"
 
 
-@F.pandas_udf("string")
-def nfkc(texts: pd.Series) -> pd.Series:
+def _nfkc_udf():
+    """Made by a function so that executors get it by value and need no copy of this package."""
+
+    def normalise(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFKC")
+
+    return F.pandas_udf(normalise, StringType())
+
+
+_NFKC = _nfkc_udf()
+
+
+def nfkc(text: Column) -> Column:
     """Compatibility normal form; null stays null."""
-    return texts.str.normalize("NFKC")
+    return _NFKC(text)
 
 
 def strip(text: Column) -> Column:

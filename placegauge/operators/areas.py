@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placegauge import fixed_values as fv
 from placegauge.functions.geo import cell_index, disc_offsets, geodesic_direct
 from placegauge.functions.rounding import round_half_even
+from placegauge.functions.staging import with_computed
 
 POLYGON_CELL_DEG = 0.02
 
@@ -25,17 +26,19 @@ def disc_points(sites: DataFrame, radius_m: float) -> DataFrame:
     )
     moved = geodesic_direct(around, "lat", "lng", "az", "d", "to_lat", "to_lng")
     centre = F.col("d") == 0.0
-    return moved.select(
+    exact = moved.select(
         "site_id",
         "pos",
-        F.when(centre, F.col("lat")).otherwise(F.col("to_lat")).alias("lat"),
-        F.when(centre, F.col("lng")).otherwise(F.col("to_lng")).alias("lng"),
-    ).select(
-        "site_id",
-        "pos",
-        round_half_even(F.col("lat"), 6).alias("lat"),
-        round_half_even(F.col("lng"), 6).alias("lng"),
+        F.when(centre, F.col("lat")).otherwise(F.col("to_lat")).alias("to_lat"),
+        F.when(centre, F.col("lng")).otherwise(F.col("to_lng")).alias("to_lng"),
     )
+    return with_computed(
+        exact,
+        {
+            "lat": round_half_even(F.col("to_lat"), 6),
+            "lng": round_half_even(F.col("to_lng"), 6),
+        },
+    ).drop("to_lat", "to_lng")
 
 
 def area_name(code: Column) -> Column:
@@ -89,7 +92,7 @@ def areas_by_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     )
 
     def crosses(edge: Column) -> Column:
-        a, b = edge["0"], edge["1"]
+        a, b = edge["a"], edge["b"]
         spans = (a["lat"] > F.col("lat")) != (b["lat"] > F.col("lat"))
         at = (b["lng"] - a["lng"]) * F.try_divide(
             F.col("lat") - a["lat"], b["lat"] - a["lat"]

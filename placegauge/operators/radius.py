@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from placegauge.functions.geo import cell_index, neighbour_cells, planar_m, project
 from placegauge.functions.rounding import round_half_even
+from placegauge.functions.staging import with_computed
 
 
 def _near(sites: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
@@ -34,7 +35,9 @@ def _near(sites: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
     )
     return (
         site_cells.join(point_cells, ["cx", "cy"])
-        .withColumn("metres", planar_m(*[F.col(c) for c in ("sx", "sy", "fx", "fy")]))
+        .transform(
+            with_computed, {"metres": planar_m(*[F.col(c) for c in ("sx", "sy", "fx", "fy")])}
+        )
         .where(F.col("metres") <= radius_m)
         .drop("cx", "cy", "sx", "sy", "fx", "fy")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
 from placegauge.functions.rounding import compensated_sum, round_half_even
+from placegauge.functions.staging import with_computed
 
 # Buckets per factor e of the value; log1p never decreases, so bucket order is value order.
 _BUCKETS_PER_E = 256.0
@@ -98,27 +99,26 @@ def _with_score(lows: DataFrame, weight: dict[str, Column]) -> DataFrame:
     low = {f: F.col(f"low_{f}") for f in weight}
     available = [F.when(low[f].isNotNull(), weight[f]).otherwise(F.lit(0.0)) for f in weight]
     points = [F.coalesce(low[f] * weight[f], F.lit(0.0)) for f in weight]
-    return (
-        lows.withColumns(
-            {
-                "covered": compensated_sum(available),
-                "__total": compensated_sum(list(weight.values())),
-                "__points": compensated_sum(points),
-            }
-        )
-        .withColumns(
-            {
-                "__share": F.col("covered") / F.col("__total"),
-                "__mean": F.try_divide(F.col("__points"), F.col("covered")),
-            }
-        )
-        .withColumn("coverage", round_half_even(F.col("__share"), 3))
-        .withColumn(
-            "score",
-            F.when(F.col("coverage") >= fv.MIN_COVERAGE, round_half_even(F.col("__mean"), 1)),
-        )
-        .drop("__total", "__points", "__share", "__mean")
-    )
+    with_coverage = with_computed(
+        lows,
+        {
+            "covered": compensated_sum(available),
+            "__total": compensated_sum(list(weight.values())),
+            "__points": compensated_sum(points),
+        },
+        {
+            "__share": F.col("covered") / F.col("__total"),
+            "__mean": F.try_divide(F.col("__points"), F.col("covered")),
+        },
+        {
+            "covered": F.col("covered"),
+            "__mean": F.col("__mean"),
+            "coverage": round_half_even(F.col("__share"), 3),
+        },
+    )
+    enough = F.col("coverage") >= fv.MIN_COVERAGE
+    score = F.when(enough, round_half_even(F.col("__mean"), 1))
+    return with_computed(with_coverage, {"score": score}).drop("__mean")
 
 
 def scores(lows: DataFrame, weights: dict[str, float] = fv.WEIGHTS) -> DataFrame:
