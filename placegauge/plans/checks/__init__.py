@@ -5,7 +5,7 @@ from placegauge.plans.checks.base import ORACLES, QUERIES
 
 def _load() -> None:
     """Importing a module registers its checks."""
-    from placegauge.plans.checks import places  # noqa: F401
+    from placegauge.plans.checks import ingest, places  # noqa: F401
 
 
 _load()

@@ -25,6 +25,7 @@ from placegauge.plans.checks.base import (
     sql_round,
     sql_sum,
 )
+from placegauge.session import cut
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 PLACE_FEATURES = list(fv.FEATURES[:5])
@@ -414,11 +415,11 @@ CTES.add(
 
 
 def ranked(t: Tables) -> DataFrame:
-    return sc.percentiles(publish.raw_matrix(sites(t), aggregates(t)))
+    return sc.percentiles(cut(publish.raw_matrix(sites(t), aggregates(t))))
 
 
 def lows(t: Tables) -> DataFrame:
-    return sc.lows_by_site(ranked(t))
+    return cut(sc.lows_by_site(ranked(t)))
 
 
 def published(t: Tables) -> DataFrame:

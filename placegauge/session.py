@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,3 +52,13 @@ def require_checkpoint_folder(spark: SparkSession) -> None:
     import tempfile
 
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="placegauge-checkpoint-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, computed now and kept in the checkpoint folder.
+
+    For tables that several branches of a plan read: the work above is done once, and a lost
+    executor costs a re-read instead of a recomputation.
+    """
+    require_checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
