@@ -164,7 +164,7 @@ def _block_numbers_to_digits(text: Column) -> Column:
 
     def convert(part: Column) -> Column:
         run = F.regexp_extract(part, numerals, 1)
-        number = kanji_number(run).cast("string")
+        number = F.when(run != "", kanji_number(run)).cast("string")
         return F.concat(F.regexp_replace(part, numerals, ""), F.coalesce(number, run))
 
     converted = F.concat(F.transform(counted, convert), F.slice(parts, -1, 1))

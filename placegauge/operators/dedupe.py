@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from placegauge import fixed_values as fv
 from placegauge.functions.geo import SphereGrid, haversine_m
 from placegauge.functions.text import name_key
-from placegauge.session import require_checkpoint_folder
+from placegauge.session import cut, require_checkpoint_folder
+
+TAIL_POINTS = 2000
 
 
 def coordinate_priority(source: Column, precision: Column) -> Column:
@@ -38,16 +40,21 @@ def coordinate_priority(source: Column, precision: Column) -> Column:
 class _Rule:
     """One absorption rule: which points can conflict, and on which grid they are looked up."""
 
-    def __init__(self, name: str, metres: float, same_name: bool) -> None:
+    def __init__(self, name: str, metres: float, keys: list[str], features=None) -> None:
         self.name = name
         self.metres = metres
         self.grid = SphereGrid(metres)
-        self.keys = ["feature", "key"] if same_name else ["feature"]
+        self.keys = keys
         self.cell = [f"{name}_x", f"{name}_y"]
+        self.features = features
 
     def add_cell(self, points: DataFrame) -> DataFrame:
-        x, y = self.grid.cell(F.col("lat"), F.col("lng"))
-        return points.withColumns(dict(zip(self.cell, (x, y))))
+        """Cell columns; null for features the rule does not apply to."""
+        cell = self.grid.cell(F.col("lat"), F.col("lng"))
+        if self.features is not None:
+            applies = F.col("feature").isin(*self.features)
+            cell = tuple(F.when(applies, c) for c in cell)
+        return points.withColumns(dict(zip(self.cell, cell)))
 
     @property
     def group(self) -> list[str]:
@@ -57,7 +64,8 @@ class _Rule:
         """Copies each row to the cells in reach of its own."""
         near = F.explode(self.grid.neighbours(*[F.col(c) for c in self.cell]))
         return (
-            df.withColumn("__n", near)
+            df.where(F.col(self.cell[0]).isNotNull())
+            .withColumn("__n", near)
             .drop(*self.cell)
             .withColumns({self.cell[0]: F.col("__n.cx"), self.cell[1]: F.col("__n.cy")})
             .drop("__n")
@@ -76,7 +84,11 @@ def _keepable(open_points: DataFrame, rules: list[_Rule]) -> DataFrame:
     for rule in rules:
         fronts = open_points.groupBy(*rule.group).agg(F.min("prio").alias("front"))
         best = rule.around(fronts).groupBy(*rule.group).agg(F.min("front").alias("front"))
-        points = points.join(best, rule.group).where(F.col("front") == F.col("prio")).drop("front")
+        points = (
+            points.join(best, rule.group, "left")
+            .where(F.col("front").isNull() | (F.col("front") == F.col("prio")))
+            .drop("front")
+        )
     return points.select(*open_points.columns)
 
 
@@ -96,36 +108,74 @@ def _first_within(rule: _Rule, name: str) -> Column:
     return F.array_min(F.transform(near, lambda k: k["prio"]))
 
 
-def _decide(points: DataFrame, rules: list[_Rule]) -> DataFrame:
-    """Kept points (prio). Runs rounds until no point is undecided; each round is checkpointed."""
-    open_points = points.checkpoint()
+def _finish(open_points: DataFrame, rules: list[_Rule]) -> DataFrame:
+    """Kept points among the last few, in plain priority order. Only for a bounded number."""
+    schema = "rank int, id string, feature string, key string, lat double, lng double"
+    limits = [(rule.metres, "key" in rule.keys, rule.features) for rule in rules]
+    radius = fv.EARTH_RADIUS_M
+
+    def greedy(batches):
+        import numpy as np
+        import pandas as pd
+
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["rank", "id"])
+        lat, lng = np.radians(rows["lat"].to_numpy()), np.radians(rows["lng"].to_numpy())
+        feature, key = rows["feature"].to_numpy(), rows["key"].to_numpy()
+        kept = np.zeros(len(rows), dtype=bool)
+        for i in range(len(rows)):
+            h = np.sin((lat - lat[i]) / 2) ** 2
+            h = h + np.cos(lat) * np.cos(lat[i]) * np.sin((lng - lng[i]) / 2) ** 2
+            metres = 2 * radius * np.arcsin(np.sqrt(h))
+            near = np.zeros(len(rows), dtype=bool)
+            for limit, same_name, features in limits:
+                if features is None or feature[i] in features:
+                    near |= (metres <= limit) & ((key == key[i]) | (not same_name))
+            kept[i] = not (near & kept & (feature == feature[i])).any()
+        yield rows[kept]
+
+    flat = open_points.select("prio.rank", "prio.id", "feature", "key", "lat", "lng")
+    kept = flat.repartition(1).mapInPandas(greedy, schema)
+    points = kept.select("feature", "key", "lat", "lng", F.struct("rank", "id").alias("prio"))
+    for rule in rules:
+        points = rule.add_cell(points)
+    return points.select(*open_points.columns)
+
+
+def _decide(points: DataFrame, rules: list[_Rule], tail_points: int) -> DataFrame:
+    """Kept points. Runs rounds, each checkpointed, until only a bounded tail is undecided."""
+    open_points = cut(points)
     kept: list[DataFrame] = []
-    while not open_points.isEmpty():
-        keep = _keepable(open_points, rules).checkpoint()
+    while (left := open_points.count()) > tail_points:
+        keep = cut(_keepable(open_points, rules))
         kept.append(keep)
         rest = open_points.join(keep.select("feature", "prio"), ["feature", "prio"], "left_anti")
         for rule in rules:
             looked = rest.join(_neighbours(keep, rule), rule.group, "left")
             rest = looked.where(_first_within(rule, "kept").isNull()).drop("kept")
-        open_points = rest.checkpoint()
-    if not kept:
-        return points.limit(0)
-    return reduce(DataFrame.unionByName, kept)
+        open_points = cut(rest.select(*points.columns))
+    if left:
+        kept.append(cut(_finish(open_points, rules)))
+    return reduce(DataFrame.unionByName, kept) if kept else open_points
 
 
 def absorb(
     facilities: DataFrame,
     max_distance_m: float = fv.DEDUPE_DISTANCE_M,
-    same_place_m: float | None = None,
+    same_place_m: dict[str, float] | None = None,
+    tail_points: int = TAIL_POINTS,
 ) -> DataFrame:
     """Located facilities with ``absorbed_by`` (null: kept).
 
-    Needs facility_id, feature, name, lat, lng, coord_source, precision.
+    Needs facility_id, feature, name, lat, lng, coord_source, precision.  ``same_place_m`` gives,
+    for some features, the distance within which the name does not matter.  Once at most
+    ``tail_points`` are undecided, one task goes through them instead of further rounds.
     """
     require_checkpoint_folder(facilities.sparkSession)
-    rules = [_Rule("near", max_distance_m, same_name=True)]
-    if same_place_m is not None:
-        rules.append(_Rule("place", same_place_m, same_name=False))
+    rules = [_Rule("near", max_distance_m, ["feature", "key"])]
+    places = same_place_m or {}
+    for i, metres in enumerate(sorted(set(places.values()))):
+        features = [f for f, m in places.items() if m == metres]
+        rules.append(_Rule(f"place{i}", metres, ["feature"], features))
     located = facilities.where("coord_source IS NOT NULL").select(
         "feature",
         name_key(F.col("name")).alias("key"),
@@ -139,7 +189,7 @@ def absorb(
     points = located.groupBy("feature", "key", "lat", "lng").agg(F.min("prio").alias("prio"))
     for rule in rules:
         points = rule.add_cell(points)
-    kept = _decide(points, rules).select(*points.columns)
+    kept = _decide(points, rules, tail_points).select(*points.columns)
 
     # The absorber of a row is decided per point: every kept point in reach is known by now.
     looked = points
@@ -160,20 +210,19 @@ def absorb(
     )
 
 
-def merge_places(facilities: DataFrame, definitions=fv.FEATURE_DEFINITIONS,
-                 max_distance_m: float = fv.DEDUPE_DISTANCE_M) -> tuple[DataFrame, DataFrame]:
+def merge_places(
+    facilities: DataFrame,
+    definitions=fv.FEATURE_DEFINITIONS,
+    max_distance_m: float = fv.DEDUPE_DISTANCE_M,
+) -> tuple[DataFrame, DataFrame]:
     """(kept facilities, absorbed (feature, facility_id, absorbed_by)) with each feature's own rule.
 
     Unlocated facilities cannot be compared and all stay.
     """
-    by_place: dict[float | None, list[str]] = {}
-    for feature, definition in definitions.items():
-        by_place.setdefault(definition.get("same_place_m"), []).append(feature)
-    parts = [
-        absorb(facilities.where(F.col("feature").isin(*features)), max_distance_m, metres)
-        for metres, features in by_place.items()
-    ]
-    absorbed = reduce(DataFrame.unionByName, parts).where("absorbed_by IS NOT NULL")
+    places = {f: d["same_place_m"] for f, d in definitions.items() if d.get("same_place_m")}
+    absorbed = cut(
+        absorb(facilities, max_distance_m, places).where("absorbed_by IS NOT NULL")
+    )
     kept = facilities.join(
         absorbed.select("feature", "facility_id"), ["feature", "facility_id"], "left_anti"
     )

@@ -13,6 +13,7 @@ from placegauge import fixed_values as fv
 from placegauge.functions import text as tx
 from placegauge.operators import dedupe, facilities, roles
 from placegauge.plans import testbed as tb
+from placegauge.session import cut
 from placegauge.plans.checks.base import (
     CTES,
     Tables,
@@ -262,7 +263,7 @@ CTES.add(
 
 
 def normalised(t: Tables) -> DataFrame:
-    table = roles.role_table(datasets(t))
+    table = cut(roles.role_table(datasets(t)))
     failed = facilities.unreadable(entries(t), table).select("feature", "dataset_id")
     usable = entries(t).join(failed, ["feature", "dataset_id"], "left_anti")
     return facilities.normalise(records(t), table, usable)
@@ -533,7 +534,7 @@ CTES.add(
 
 def located(t: Tables) -> DataFrame:
     failed = candidates(t).where(F.col("query").rlike("丁目7番")).select("query")
-    return facilities.locate(selected(t), candidates(t), SCOPE, failed)
+    return facilities.locate(cut(selected(t)), candidates(t), SCOPE, failed)
 
 
 @check(
@@ -588,7 +589,7 @@ CTES.add(
 
 
 def report(t: Tables) -> DataFrame:
-    table = roles.role_table(datasets(t))
+    table = cut(roles.role_table(datasets(t)))
     errors = facilities.unreadable(entries(t), table).select("feature", "dataset_id", "error")
     noted = entries(t).join(errors, ["feature", "dataset_id"], "left")
     return facilities.ingest_report(noted, normalised(t), located(t))
