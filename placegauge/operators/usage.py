@@ -18,10 +18,10 @@ def yearbook_packages(packages: DataFrame) -> DataFrame:
     ).withColumn("year", era_year(title)).where("year IS NOT NULL")
 
 
-def latest_package(candidates: DataFrame, year: str = "year", modified: str = "modified"):
-    """The package of the highest (year, modified)."""
-    columns = [F.col(c) for c in candidates.columns]
-    best = F.max_by(F.struct(*columns), F.struct(F.col(year), F.col(modified)))
+def latest_package(candidates: DataFrame) -> DataFrame:
+    """The package of the highest (year, modified); of equals the first in ``pos``."""
+    row = F.struct(*candidates.columns)
+    best = F.max_by(row, F.struct("year", "modified", -F.col("pos")))
     return candidates.agg(best.alias("best")).where("best IS NOT NULL").select("best.*")
 
 

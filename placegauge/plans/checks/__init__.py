@@ -5,7 +5,12 @@ from placegauge.plans.checks.base import ORACLES, QUERIES
 
 def _load() -> None:
     """Importing a module registers its checks."""
-    from placegauge.plans.checks import catalog, ingest, places  # noqa: F401
+    from placegauge.plans.checks import (  # noqa: F401
+        catalog,
+        ingest,
+        places,
+        publishing,
+    )
 
 
 _load()
