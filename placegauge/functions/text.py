@@ -232,18 +232,24 @@ def below_municipality(matched: Column) -> Column:
     return below_of_normal(normal_address(matched))
 
 
-def match_precision_of_normal(query: Column, matched: Column) -> Column:
-    """exact, partial or null, both sides given without blanks in one width."""
-    q, t = canonical_of_normal(query), canonical_of_normal(matched)
-    following = F.substring(q, F.length(t) + 1, F.lit(1))
-    boundary = (following == "-") | (~t.rlike("(?U)\\d$") & following.rlike("(?U)^\\d"))
-    return F.when(below_of_normal(matched) == "", F.lit(None).cast("string")).otherwise(
-        F.when(q == t, F.lit("exact")).when(F.startswith(q, t) & boundary, F.lit("partial"))
+def precision_of(query: Column, matched: Column, below: Column) -> Column:
+    """exact, partial or null from canonical texts and what the match says below the municipality.
+
+    A prefix counts only where a component of the query ends.
+    """
+    following = F.substring(query, F.length(matched) + 1, F.lit(1))
+    boundary = (following == "-") | (~matched.rlike("(?U)\\d$") & following.rlike("(?U)^\\d"))
+    return F.when(below == "", F.lit(None).cast("string")).otherwise(
+        F.when(query == matched, F.lit("exact")).when(
+            F.startswith(query, matched) & boundary, F.lit("partial")
+        )
     )
 
 
 def match_precision(query: Column, matched: Column) -> Column:
-    return match_precision_of_normal(normal_address(query), normal_address(matched))
+    return precision_of(
+        canonical_address(query), canonical_address(matched), below_municipality(matched)
+    )
 
 
 def outside_region(address: Column) -> Column:

@@ -7,8 +7,9 @@ is kept exactly, without listing pairs:
 * Same name at the same spot: only the first can be kept, so such rows are one *point* here.
 * Grid cells are so small that two points of one cell always conflict.  Per cell only the first
   undecided point can be kept next (found by a min), and at most one point of a cell is ever kept.
-* A round keeps every such point that precedes the first undecided point of all cells in reach, and
-  removes what the kept ones absorb.  The first undecided point of all is decided in each round.
+* A round compares undecided points with the first points of the cells in reach, keeps every first
+  point that precedes all it conflicts with, and removes what the kept ones absorb.  The first
+  undecided point of all is decided in each round.
 
 So every join looks up at most a fixed number of cells per point, however crowded a place is.
 """
@@ -72,24 +73,45 @@ class _Rule:
         )
 
 
-def _keepable(open_points: DataFrame, rules: list[_Rule]) -> DataFrame:
-    """Undecided points that precede every undecided point in reach, under every rule.
+def _tops(open_points: DataFrame, rule: _Rule) -> DataFrame:
+    """First undecided point of each cell: a min, so a crowded cell is summed up per task."""
+    rest = [c for c in open_points.columns if c not in ("prio", *rule.group)]
+    first = F.min(F.struct("prio", *rest)).alias("p")
+    tops = open_points.groupBy(*rule.group).agg(first).select(*rule.group, "p.*")
+    return tops.select(*open_points.columns)
+
 
-    Only the first undecided point of a cell can do so, which is a min with partial sums per task;
-    the minima of the cells in reach then bound all the points around it.
+def _conflicts(open_points: DataFrame, tops: DataFrame, rules: list[_Rule]) -> DataFrame:
+    """(feature, prio, top) for undecided points near enough to a cell's first point.
+
+    A point meets the first points of the cells in reach only, a fixed number of them.
     """
-    rest = [c for c in open_points.columns if c not in ("prio", *rules[0].group)]
-    first = F.min(F.struct("prio", *rest)).alias("p")
-    points = open_points.groupBy(*rules[0].group).agg(first).select(*rules[0].group, "p.*")
+    found = []
     for rule in rules:
-        fronts = open_points.groupBy(*rule.group).agg(F.min("prio").alias("front"))
-        best = rule.around(fronts).groupBy(*rule.group).agg(F.min("front").alias("front"))
-        points = (
-            points.join(best, rule.group, "left")
-            .where(F.col("front").isNull() | (F.col("front") == F.col("prio")))
-            .drop("front")
+        spread = rule.around(
+            tops.select(
+                *rule.group, F.col("prio").alias("top"), F.col("lat").alias("top_lat"),
+                F.col("lng").alias("top_lng"),
+            )
         )
-    return points.select(*open_points.columns)
+        metres = haversine_m(F.col("top_lat"), F.col("top_lng"), F.col("lat"), F.col("lng"))
+        near = open_points.join(spread, rule.group).where(
+            (F.col("prio") != F.col("top")) & (metres <= rule.metres)
+        )
+        found.append(near.select("feature", "prio", "top"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _round(open_points: DataFrame, rules: list[_Rule]) -> tuple[DataFrame, DataFrame]:
+    """(kept, still undecided): a first point that precedes all its conflicts is kept."""
+    tops = cut(_tops(open_points, rules[0]))
+    conflicts = cut(_conflicts(open_points, tops, rules))
+    blocked = conflicts.where("prio < top").select("feature", F.col("top").alias("prio"))
+    keep = cut(tops.join(blocked, ["feature", "prio"], "left_anti"))
+    chosen = keep.select("feature", F.col("prio").alias("top"))
+    gone = conflicts.where("prio > top").join(chosen, ["feature", "top"], "left_semi")
+    decided = keep.select("feature", "prio").unionByName(gone.select("feature", "prio"))
+    return keep, cut(open_points.join(decided, ["feature", "prio"], "left_anti"))
 
 
 def _neighbours(kept: DataFrame, rule: _Rule) -> DataFrame:
@@ -146,13 +168,8 @@ def _decide(points: DataFrame, rules: list[_Rule], tail_points: int) -> DataFram
     open_points = cut(points)
     kept: list[DataFrame] = []
     while (left := open_points.count()) > tail_points:
-        keep = cut(_keepable(open_points, rules))
+        keep, open_points = _round(open_points, rules)
         kept.append(keep)
-        rest = open_points.join(keep.select("feature", "prio"), ["feature", "prio"], "left_anti")
-        for rule in rules:
-            looked = rest.join(_neighbours(keep, rule), rule.group, "left")
-            rest = looked.where(_first_within(rule, "kept").isNull()).drop("kept")
-        open_points = cut(rest.select(*points.columns))
     if left:
         kept.append(cut(_finish(open_points, rules)))
     return reduce(DataFrame.unionByName, kept) if kept else open_points

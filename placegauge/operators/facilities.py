@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
-from placegauge.functions.rounding import round_half_even  # noqa: F401  (re-exported for jobs)
+from placegauge.functions.staging import with_computed
 from placegauge.functions.text import (
     any_contains_any,
+    below_of_normal,
+    canonical_of_normal,
     complete_address,
     contains_any,
-    match_precision_of_normal,
     names_place_kind,
     normal_address,
     outside_region,
+    precision_of,
     strip,
 )
 from placegauge.operators.roles import number, valid_coordinates
@@ -137,26 +139,46 @@ def select_rows(
     return ruled.unionByName(decided).drop("hard", "ruled")
 
 
-def address_matches(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(query, lat, lng, matched, precision): first acceptable candidate of each distinct query.
+def _judge_answers(rows: DataFrame) -> DataFrame:
+    """Adds ``answer`` and ``rank`` to rows of query and candidate; rank is null if unacceptable.
 
-    ``candidates``: query, pos, title, lat, lng, in the order the lookup gave them.
     Municipality-level and unrelated answers are refused, also ones outside the region.
     """
-    texts = (
-        queries.select("query")
-        .distinct()
-        .join(candidates, "query")
-        .withColumns({"q": normal_address(F.col("query")), "t": normal_address(F.col("title"))})
-        .withColumn("precision", match_precision_of_normal(F.col("q"), F.col("t")))
+    normal = rows.withColumns(
+        {"__q": normal_address(F.col("query")), "__t": normal_address(F.col("title"))}
     )
-    usable = texts.where(
-        F.col("precision").isNotNull() & valid_coordinates(F.col("lat"), F.col("lng"))
+    judged = with_computed(
+        normal,
+        {
+            "__qc": canonical_of_normal(F.col("__q")),
+            "__tc": canonical_of_normal(F.col("__t")),
+            "__below": below_of_normal(F.col("__t")),
+        },
+    ).withColumn(
+        "__precision", precision_of(F.col("__qc"), F.col("__tc"), F.col("__below"))
     )
-    first = F.min_by(
-        F.struct("lat", "lng", F.col("title").alias("matched"), "precision"), F.col("pos")
+    usable = F.col("__precision").isNotNull() & valid_coordinates(F.col("lat"), F.col("lng"))
+    return judged.withColumns(
+        {
+            "answer": F.struct(
+                "lat", "lng", F.col("title").alias("matched"),
+                F.col("__precision").alias("precision"),
+            ),
+            "rank": F.when(usable, F.col("pos")),
+        }
     )
-    return usable.groupBy("query").agg(first.alias("m")).select("query", "m.*")
+
+
+def address_matches(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query, lat, lng, matched, precision): first acceptable candidate of each distinct query.
+
+    ``candidates``: query, pos, title, lat, lng, in the order the lookup gave them.
+    """
+    rows = _judge_answers(queries.select("query").distinct().join(candidates, "query"))
+    first = rows.where("rank IS NOT NULL").groupBy("query").agg(
+        F.min_by("answer", "rank").alias("m")
+    )
+    return first.select("query", "m.*")
 
 
 def locate(
@@ -198,8 +220,13 @@ def locate(
             complete_address(F.col("address"), F.col("organization")),
         ),
     )
-    answers = address_matches(asked.where("query IS NOT NULL"), candidates)
-    looked_up = asked.join(answers, "query", "left")
+    keys = ["address", "organization", "outside", "in_scope", "query"]
+    looked_up = (
+        _judge_answers(asked.join(candidates, "query", "left"))
+        .groupBy(*keys)
+        .agg(F.min_by("answer", "rank").alias("m"))
+        .select(*keys, "m.*")
+    )
     if failed_queries is not None:
         broken = failed_queries.select("query", F.lit(True).alias("broken")).distinct()
         looked_up = looked_up.join(broken, "query", "left")

@@ -162,8 +162,8 @@ def ranks(scored: DataFrame) -> DataFrame:
     return scored.join(F.broadcast(table), "score", "left")  # at most 1001 rows
 
 
-def rank_ranges(lows: DataFrame, weights: dict[str, float] = fv.WEIGHTS) -> DataFrame:
-    """(site_id, rank_min, rank_max) over the weight variants; null where never ranked."""
+def _variant_ranks(lows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(site_id, variant, score, coverage, rank, of), thirteen rows per site; variant 0 is base."""
     variants = F.array(
         *[
             F.struct(F.lit(i).alias("variant"), *[F.lit(w).alias(f"w_{f}") for f, w in v.items()])
@@ -174,26 +174,36 @@ def rank_ranges(lows: DataFrame, weights: dict[str, float] = fv.WEIGHTS) -> Data
         "site_id", *[f"low_{f}" for f in weights], "v.*"
     )
     scored = _with_score(each, {f: F.col(f"w_{f}") for f in weights}).select(
-        "site_id", "variant", "score"
+        "site_id", "variant", "score", "coverage"
     )
     table = competition_ranks(scored, ["variant"])
-    return (
-        scored.join(F.broadcast(table), ["variant", "score"], "left")  # at most 13 x 1001 rows
-        .groupBy("site_id")
-        .agg(F.min("rank").alias("rank_min"), F.max("rank").alias("rank_max"))
+    return scored.join(F.broadcast(table), ["variant", "score"], "left")  # at most 13 x 1001 rows
+
+
+def rank_ranges(lows: DataFrame, weights: dict[str, float] = fv.WEIGHTS) -> DataFrame:
+    """(site_id, rank_min, rank_max) over the weight variants; null where never ranked."""
+    return _variant_ranks(lows, weights).groupBy("site_id").agg(
+        F.min("rank").alias("rank_min"), F.max("rank").alias("rank_max")
     )
 
 
 def score_table(lows: DataFrame, weights: dict[str, float] = fv.WEIGHTS) -> DataFrame:
-    """(site_id, score, coverage, rank, of, rank_min, rank_max); no range without a base rank."""
-    base = ranks(scores(lows, weights)).select("site_id", "score", "coverage", "rank", "of")
-    joined = base.join(rank_ranges(lows, weights), "site_id", "left")
+    """(site_id, score, coverage, rank, of, rank_min, rank_max); no range without a base rank.
+
+    Base values are those of variant 0, so everything comes from one grouping per site.
+    """
+
+    def base(column: str) -> Column:
+        return F.max(F.when(F.col("variant") == 0, F.col(column))).alias(column)
+
+    grouped = _variant_ranks(lows, weights).groupBy("site_id").agg(
+        *[base(c) for c in ("score", "coverage", "rank", "of")],
+        F.min("rank").alias("rank_min"),
+        F.max("rank").alias("rank_max"),
+    )
     ranked = F.col("rank").isNotNull()
-    return joined.select(
-        "site_id", "score", "coverage", "rank",
-        F.when(ranked, F.col("of")).alias("of"),
-        F.when(ranked, F.col("rank_min")).alias("rank_min"),
-        F.when(ranked, F.col("rank_max")).alias("rank_max"),
+    return grouped.withColumns(
+        {c: F.when(ranked, F.col(c)) for c in ("of", "rank_min", "rank_max")}
     )
 
 
