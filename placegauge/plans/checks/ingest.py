@@ -370,8 +370,9 @@ CTES.add(
 )
 
 
-def selected(t: Tables) -> DataFrame:
-    return facilities.select_rows(facilities.mark_excluded(normalised(t)), judgements(t))
+def selected(t: Tables, rows: DataFrame | None = None) -> DataFrame:
+    marked = cut(facilities.mark_excluded(rows if rows is not None else normalised(t)))
+    return facilities.select_rows(marked, judgements(t))
 
 
 @check(
@@ -532,9 +533,10 @@ CTES.add(
 )
 
 
-def located(t: Tables) -> DataFrame:
-    failed = candidates(t).where(F.col("query").rlike("丁目7番")).select("query")
-    return facilities.locate(cut(selected(t)), candidates(t), SCOPE, failed)
+def located(t: Tables, rows: DataFrame | None = None) -> DataFrame:
+    answers = cut(candidates(t))
+    failed = answers.where(F.col("query").rlike("丁目7番")).select("query")
+    return facilities.locate(cut(selected(t, rows)), answers, SCOPE, failed)
 
 
 @check(
@@ -592,7 +594,8 @@ def report(t: Tables) -> DataFrame:
     table = cut(roles.role_table(datasets(t)))
     errors = facilities.unreadable(entries(t), table).select("feature", "dataset_id", "error")
     noted = entries(t).join(errors, ["feature", "dataset_id"], "left")
-    return facilities.ingest_report(noted, normalised(t), located(t))
+    rows = cut(normalised(t))
+    return facilities.ingest_report(noted, rows, located(t, rows))
 
 
 @check("ingest_report", select("SELECT * FROM ingest_report", "ingest_report"))

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     # Split a hot join key even where that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Capturing the Python line of every column call costs more than building these plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # CP932 files: the readers accept only a short charset list otherwise.
     "spark.sql.legacy.javaCharsets": "true",
 }
