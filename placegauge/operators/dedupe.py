@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from placegauge import fixed_values as fv
 from placegauge.functions.geo import SphereGrid, haversine_m
 from placegauge.functions.text import name_key
+from placegauge.operators.skew import split_join
 from placegauge.session import cut, require_checkpoint_folder
 
 TAIL_POINTS = 2000
@@ -50,22 +51,27 @@ class _Rule:
         self.features = features
 
     def add_cell(self, points: DataFrame) -> DataFrame:
-        """Cell columns; null for features the rule does not apply to."""
+        """Cell columns, and whether the rule applies to the feature at all."""
         cell = self.grid.cell(F.col("lat"), F.col("lng"))
+        applies = F.lit(True)
         if self.features is not None:
             applies = F.col("feature").isin(*self.features)
-            cell = tuple(F.when(applies, c) for c in cell)
-        return points.withColumns(dict(zip(self.cell, cell)))
+        return points.withColumns({**dict(zip(self.cell, cell)), f"{self.name}_on": applies})
+
+    @property
+    def applies(self) -> Column:
+        return F.col(f"{self.name}_on")
 
     @property
     def group(self) -> list[str]:
-        return self.keys + self.cell
+        """Join key: where the rule does not apply, nothing matches, but rows stay spread."""
+        return [*self.keys, *self.cell, f"{self.name}_on"]
 
     def around(self, df: DataFrame) -> DataFrame:
         """Copies each row to the cells in reach of its own."""
         near = F.explode(self.grid.neighbours(*[F.col(c) for c in self.cell]))
         return (
-            df.where(F.col(self.cell[0]).isNotNull())
+            df.where(self.applies)
             .withColumn("__n", near)
             .drop(*self.cell)
             .withColumns({self.cell[0]: F.col("__n.cx"), self.cell[1]: F.col("__n.cy")})
@@ -81,7 +87,9 @@ def _tops(open_points: DataFrame, rule: _Rule) -> DataFrame:
     return tops.select(*open_points.columns)
 
 
-def _conflicts(open_points: DataFrame, tops: DataFrame, rules: list[_Rule]) -> DataFrame:
+def _conflicts(
+    open_points: DataFrame, tops: DataFrame, rules: list[_Rule], hot_rows: int | None
+) -> DataFrame:
     """(feature, prio, top) for undecided points near enough to a cell's first point.
 
     A point meets the first points of the cells in reach only, a fixed number of them.
@@ -95,17 +103,20 @@ def _conflicts(open_points: DataFrame, tops: DataFrame, rules: list[_Rule]) -> D
             )
         )
         metres = haversine_m(F.col("top_lat"), F.col("top_lng"), F.col("lat"), F.col("lng"))
-        near = open_points.join(spread, rule.group).where(
-            (F.col("prio") != F.col("top")) & (metres <= rule.metres)
+        pairs = split_join(
+            open_points.where(rule.applies), spread, rule.group, F.col("prio"), "inner", hot_rows
         )
+        near = pairs.where((F.col("prio") != F.col("top")) & (metres <= rule.metres))
         found.append(near.select("feature", "prio", "top"))
     return reduce(DataFrame.unionByName, found)
 
 
-def _round(open_points: DataFrame, rules: list[_Rule]) -> tuple[DataFrame, DataFrame]:
+def _round(
+    open_points: DataFrame, rules: list[_Rule], hot_rows: int | None
+) -> tuple[DataFrame, DataFrame]:
     """(kept, still undecided): a first point that precedes all its conflicts is kept."""
     tops = cut(_tops(open_points, rules[0]))
-    conflicts = cut(_conflicts(open_points, tops, rules))
+    conflicts = cut(_conflicts(open_points, tops, rules, hot_rows))
     blocked = conflicts.where("prio < top").select("feature", F.col("top").alias("prio"))
     keep = cut(tops.join(blocked, ["feature", "prio"], "left_anti"))
     chosen = keep.select("feature", F.col("prio").alias("top"))
@@ -163,12 +174,14 @@ def _finish(open_points: DataFrame, rules: list[_Rule]) -> DataFrame:
     return points.select(*open_points.columns)
 
 
-def _decide(points: DataFrame, rules: list[_Rule], tail_points: int) -> DataFrame:
+def _decide(
+    points: DataFrame, rules: list[_Rule], tail_points: int, hot_rows: int | None
+) -> DataFrame:
     """Kept points. Runs rounds, each checkpointed, until only a bounded tail is undecided."""
     open_points = cut(points)
     kept: list[DataFrame] = []
     while (left := open_points.count()) > tail_points:
-        keep, open_points = _round(open_points, rules)
+        keep, open_points = _round(open_points, rules, hot_rows)
         kept.append(keep)
     if left:
         kept.append(cut(_finish(open_points, rules)))
@@ -180,6 +193,7 @@ def absorb(
     max_distance_m: float = fv.DEDUPE_DISTANCE_M,
     same_place_m: dict[str, float] | None = None,
     tail_points: int = TAIL_POINTS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Located facilities with ``absorbed_by`` (null: kept).
 
@@ -206,17 +220,19 @@ def absorb(
     points = located.groupBy("feature", "key", "lat", "lng").agg(F.min("prio").alias("prio"))
     for rule in rules:
         points = rule.add_cell(points)
-    kept = _decide(points, rules, tail_points).select(*points.columns)
+    kept = _decide(points, rules, tail_points, hot_rows).select(*points.columns)
 
     # The absorber of a row is decided per point: every kept point in reach is known by now.
     looked = points
     for rule in rules:
         near = _neighbours(kept, rule).withColumnRenamed("kept", f"{rule.name}_kept")
-        looked = looked.join(near, rule.group, "left").withColumn(
+        looked = split_join(looked, near, rule.group, F.col("prio"), "left", hot_rows).withColumn(
             f"{rule.name}_first", _first_within(rule, f"{rule.name}_kept")
         )
     firsts = looked.select("feature", "key", "lat", "lng", *[f"{r.name}_first" for r in rules])
-    rows = located.join(firsts, ["feature", "key", "lat", "lng"])
+    rows = split_join(
+        located, firsts, ["feature", "key", "lat", "lng"], F.col("prio"), "inner", hot_rows
+    )
     # Only a kept facility that came earlier can absorb; by name first, then by place.
     earlier = [
         F.when(F.col(f"{r.name}_first") < F.col("prio"), F.col(f"{r.name}_first")["id"])

@@ -20,9 +20,13 @@ from placegauge.functions.text import (
     strip,
 )
 from placegauge.operators.roles import number, valid_coordinates
+from placegauge.operators.skew import split_join
+from placegauge.session import cut
 
 
-def normalise(records: DataFrame, roles: DataFrame, entries: DataFrame) -> DataFrame:
+def normalise(
+    records: DataFrame, roles: DataFrame, entries: DataFrame, hot_rows: int | None = None
+) -> DataFrame:
     """Facilities of all datasets that have a name column.
 
     ``entries``: feature, dataset_id, organization, source_url, resource_url, row_filter.
@@ -33,7 +37,8 @@ def normalise(records: DataFrame, roles: DataFrame, entries: DataFrame) -> DataF
         lambda v: F.coalesce(v != "", F.lit(False)),
     )
     described = entries.join(roles.where("name_field IS NOT NULL"), "dataset_id")
-    read = records.join(described, "dataset_id").select(
+    rows = split_join(records, described, ["dataset_id"], F.col("row_no"), "inner", hot_rows)
+    read = rows.select(
         F.concat_ws(":", "dataset_id", F.col("row_no").cast("string")).alias("facility_id"),
         "feature",
         "dataset_id",
@@ -186,6 +191,7 @@ def locate(
     candidates: DataFrame,
     scope: list[str] | DataFrame | None = None,
     failed_queries: DataFrame | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Fills coordinates from addresses; whatever stays unlocated gets ``unlocated_reason``.
 
@@ -221,23 +227,28 @@ def locate(
         ),
     )
     keys = ["address", "organization", "outside", "in_scope", "query"]
-    looked_up = (
-        _judge_answers(asked.join(candidates, "query", "left"))
+    asked = cut(asked)
+    answered = (
+        _judge_answers(asked.where("query IS NOT NULL").join(candidates, "query", "left"))
         .groupBy(*keys)
         .agg(F.min_by("answer", "rank").alias("m"))
         .select(*keys, "m.*")
     )
+    looked_up = answered.unionByName(
+        asked.where("query IS NULL"), allowMissingColumns=True
+    )
     if failed_queries is not None:
         broken = failed_queries.select("query", F.lit(True).alias("broken")).distinct()
         looked_up = looked_up.join(broken, "query", "left")
     else:
         looked_up = looked_up.withColumn("broken", F.lit(None).cast("boolean"))
-    same = (missing["address"] == looked_up["address"]) & missing["organization"].eqNullSafe(
-        looked_up["organization"]
-    )
-    joined = missing.join(
-        looked_up, same, "left"
-    ).drop(looked_up["address"]).drop(looked_up["organization"])
+    # A missing organization is a key of its own; rows without an address find nothing.
+    org = F.coalesce(F.concat(F.lit("="), "organization"), F.lit("")).alias("__org")
+    answers = looked_up.select(*[c for c in looked_up.columns if c != "organization"], org)
+    joined = split_join(
+        missing.select("*", org), answers, ["address", "__org"], F.col("facility_id"), "left",
+        hot_rows,
+    ).drop("__org")
     broken = F.coalesce("broken", F.lit(False))
     reason = (
         F.when(F.col("address").isNull(), F.lit(fv.NO_ADDRESS))

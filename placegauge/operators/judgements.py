@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placegauge.functions.rounding import round_half_even
 from placegauge.functions.signals import classifier_verdict
+from placegauge.session import cut
 
 GATES = (0.5, 0.6, 0.7, 0.8, 0.9)
 
@@ -156,12 +157,12 @@ def call_costs(calls: DataFrame, price_per_million: float) -> DataFrame:
 
     The median is read off the histogram of latencies in milliseconds.
     """
-    from placegauge.operators.scoring import value_ranks
+    from placegauge.operators.scoring import value_histogram, value_ranks
 
     totals = calls.agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"))
     values = calls.select(F.lit("latency").alias("feature"), F.col("latency").alias("raw"))
     middle = F.floor(F.col("n") / 2)
-    median = value_ranks(values).where(
+    median = value_ranks(cut(value_histogram(values))).where(
         (F.col("below") <= middle) & (middle < F.col("below") + F.col("equal"))
     )
     one_row = (

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
 from placegauge.functions.text import title_key
+from placegauge.operators.skew import split_join
 
 
-def mark_duplicates(entries: DataFrame) -> DataFrame:
+def mark_duplicates(entries: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Adds ``duplicate_of``; an accepted duplicate goes back to review, with a note.
 
     Going by confidence, then id, the first entry of an (organization, title) or of a resource URL
@@ -21,7 +22,8 @@ def mark_duplicates(entries: DataFrame) -> DataFrame:
     keyed = entries.withColumns(
         {
             "__org": F.coalesce("organization", F.lit("")),
-            "__title": title_key(F.col("name")),
+            # A digest, because titles have no length limit and are only compared.
+            "__title": F.sha2(title_key(F.col("name")), 256),
             "__url": F.nullif("resource_url", F.lit("")),
         }
     )
@@ -31,10 +33,9 @@ def mark_duplicates(entries: DataFrame) -> DataFrame:
         .groupBy("feature", "__url")
         .agg(F.min(order)["id"].alias("__u"))
     )
-    joined = keyed.join(by_title, ["feature", "__org", "__title"]).join(
-        by_url, ["feature", "__url"], "left"
-    )
     own = F.col("dataset_id")
+    joined = split_join(keyed, by_title, ["feature", "__org", "__title"], own, "inner", hot_rows)
+    joined = split_join(joined, by_url, ["feature", "__url"], own, "left", hot_rows)
     original = F.coalesce(
         F.when(F.col("__t") != own, F.col("__t")), F.when(F.col("__u") != own, F.col("__u"))
     )

@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 from placegauge.functions.geo import cell_index, neighbour_cells, planar_m, project
 from placegauge.functions.rounding import round_half_even
 from placegauge.functions.staging import with_computed
+from placegauge.operators.skew import split_join
 
 
-def _near(sites: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
-    """Each site with each point at most ``radius_m`` away (rim included), plus ``metres``."""
+def _near(
+    sites: DataFrame, points: DataFrame, radius_m: float, spread: list[str], hot: int | None
+) -> DataFrame:
+    """Each site with each point at most ``radius_m`` away (rim included), plus ``metres``.
+
+    Cells that hold very many points are split by the points' ``spread`` columns.
+    """
     site_cells = (
         project(sites.select("site_id", "lat", "lng"), "lat", "lng", "sx", "sy")
         .withColumn(
@@ -34,7 +40,7 @@ def _near(sites: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
         .withColumn("cy", cell_index(F.col("fy"), radius_m))
     )
     return (
-        site_cells.join(point_cells, ["cx", "cy"])
+        split_join(point_cells, site_cells, ["cx", "cy"], F.struct("fx", "fy", *spread), min_rows=hot)
         .transform(
             with_computed, {"metres": planar_m(*[F.col(c) for c in ("sx", "sy", "fx", "fy")])}
         )
@@ -43,19 +49,25 @@ def _near(sites: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
     )
 
 
-def radius_pairs(sites: DataFrame, facilities: DataFrame, radius_m: float) -> DataFrame:
+def radius_pairs(
+    sites: DataFrame, facilities: DataFrame, radius_m: float, hot_rows: int | None = None
+) -> DataFrame:
     """One row per (site, facility) within the radius, with ``distance_m`` to one decimal.
 
     The nearest-first list of a site is this table in the order (distance_m, facility_id); it
     stays in rows because one site may have any number of neighbours.
     """
-    return _near(sites, facilities, radius_m).withColumn(
+    return _near(sites, facilities, radius_m, ["facility_id"], hot_rows).withColumn(
         "distance_m", round_half_even(F.col("metres"), 1)
     ).drop("metres")
 
 
 def radius_counts(
-    sites: DataFrame, facilities: DataFrame, radius_m: float, features: list[str]
+    sites: DataFrame,
+    facilities: DataFrame,
+    radius_m: float,
+    features: list[str],
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """(site_id, feature, n) for every site and feature, 0 where nothing is near.
 
@@ -69,7 +81,7 @@ def radius_counts(
     zeros = sites.select(
         "site_id", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature")
     ).withColumn("n", F.lit(0).cast("long"))
-    counted = _near(sites, spots, radius_m).select("site_id", "feature", "n")
+    counted = _near(sites, spots, radius_m, ["feature"], hot_rows).select("site_id", "feature", "n")
     return (
         zeros.unionByName(counted.where(F.col("feature").isin(*features)))
         .groupBy("site_id", "feature")

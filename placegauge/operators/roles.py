@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placegauge import fixed_values as fv
 from placegauge.functions.rounding import round_half_even
 from placegauge.functions.text import header_key, strip
+from placegauge.operators.skew import split_join
 
 
 def _candidates(roles: dict[str, tuple[str, ...]]) -> Column:
@@ -86,7 +87,9 @@ def valid_coordinates(lat: Column, lng: Column) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
-def fill_rates(records: DataFrame, roles: DataFrame, datasets: DataFrame) -> DataFrame:
+def fill_rates(
+    records: DataFrame, roles: DataFrame, datasets: DataFrame, hot_rows: int | None = None
+) -> DataFrame:
     """(dataset_id, sample_size, total, coord_fill, address_fill) over the first rows of each.
 
     Row numbers come from the scan, so the head of a dataset is a plain filter inside one
@@ -97,7 +100,7 @@ def fill_rates(records: DataFrame, roles: DataFrame, datasets: DataFrame) -> Dat
     has_coords = valid_coordinates(number(cell["lat"]), number(cell["lng"]))
     has_address = F.coalesce(strip(cell["address"]) != "", F.lit(False))
     counted = (
-        records.join(roles, "dataset_id")
+        split_join(records, roles, ["dataset_id"], F.col("row_no"), "inner", hot_rows)
         .groupBy("dataset_id")
         .agg(
             F.count(F.lit(1)).alias("total"),

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from placegauge import fixed_values as fv
 from placegauge.functions.rounding import compensated_sum, round_half_even
 from placegauge.functions.staging import with_computed
+from placegauge.operators.skew import split_join
+from placegauge.session import cut
 
 # Buckets per factor e of the value; log1p never decreases, so bucket order is value order.
 _BUCKETS_PER_E = 256.0
@@ -23,18 +25,22 @@ def _value_bucket(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(_BUCKETS_PER_E))
 
 
-def value_ranks(values: DataFrame) -> DataFrame:
-    """(feature, raw, below, equal, n) for each distinct non-null value of each feature.
-
-    ``below`` counts smaller values.  The cumulative sums run over buckets (at most some hundred
-    thousand, whatever the data) and over the distinct values inside one bucket.
-    """
-    histogram = (
+def value_histogram(values: DataFrame) -> DataFrame:
+    """(feature, raw, equal, bucket) for each distinct non-null value of each feature."""
+    return (
         values.where(F.col("raw").isNotNull())
         .groupBy("feature", "raw")
         .agg(F.count(F.lit(1)).alias("equal"))
         .withColumn("bucket", _value_bucket(F.col("raw")))
     )
+
+
+def value_ranks(histogram: DataFrame) -> DataFrame:
+    """(feature, raw, below, equal, n) from a value histogram; ``below`` counts smaller values.
+
+    The cumulative sums run over buckets (at most some hundred thousand, whatever the data) and
+    over the distinct values inside one bucket.
+    """
     before = Window.partitionBy("feature").orderBy("bucket")
     buckets = (
         histogram.groupBy("feature", "bucket")
@@ -62,7 +68,11 @@ def value_ranks(values: DataFrame) -> DataFrame:
     )
 
 
-def percentiles(matrix: DataFrame, min_values: int = fv.MIN_COMPARABLE_VALUES) -> DataFrame:
+def percentiles(
+    matrix: DataFrame,
+    min_values: int = fv.MIN_COMPARABLE_VALUES,
+    hot_rows: int | None = None,
+) -> DataFrame:
     """Adds ``percentile`` (average rank of ties, 0-100, 1 decimal) and ``low`` = 100 - percentile.
 
     Null stays null and is not counted; a feature with fewer than ``min_values`` values is not
@@ -71,7 +81,8 @@ def percentiles(matrix: DataFrame, min_values: int = fv.MIN_COMPARABLE_VALUES) -
     matrix = matrix.withColumn("raw", F.col("raw").cast("double") + F.lit(0.0))
     n1 = (F.col("n") - 1).cast("double")
     average = F.col("below") + (F.col("equal") - 1) / F.lit(2.0)
-    ranked = value_ranks(matrix).withColumn(
+    histogram = cut(value_histogram(matrix))  # read by three branches
+    ranked = value_ranks(histogram).withColumn(
         "share", F.try_divide(average, n1) * F.lit(100.0)
     )
     shares = ranked.select(
@@ -82,7 +93,11 @@ def percentiles(matrix: DataFrame, min_values: int = fv.MIN_COMPARABLE_VALUES) -
         .otherwise(round_half_even(F.col("share"), 1))
         .alias("percentile"),
     )
-    return matrix.join(shares, ["feature", "raw"], "left").withColumn(
+    counts = histogram.select("feature", "raw", F.col("equal").alias("__n"))
+    joined = split_join(
+        matrix, shares, ["feature", "raw"], F.col("site_id"), "left", hot_rows, counts
+    )
+    return joined.withColumn(
         "low", round_half_even(F.lit(100.0) - F.col("percentile"), 1)
     )
 

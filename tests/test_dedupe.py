@@ -44,9 +44,9 @@ def fac(fid, name, lat, lng, feature="park", source="source", precision=None):
     return (fid, feature, name, lat, lng, source, precision, None)
 
 
-def run(spark, data, tail):
+def run(spark, data, tail, hot=None):
     df = spark.createDataFrame(data, SCHEMA)
-    out = dedupe.absorb(df, 150.0, PLACES, tail_points=tail).where("absorbed_by IS NOT NULL")
+    out = dedupe.absorb(df, 150.0, PLACES, tail_points=tail, hot_rows=hot).where("absorbed_by IS NOT NULL")
     return {(r["feature"], r["facility_id"]): r["absorbed_by"] for r in out.collect()}
 
 
@@ -73,9 +73,9 @@ def test_equals_scan(spark, tail):
     assert run(spark, data, tail) == scan(data)
 
 
-def test_rounds_then_tail(spark):
+def test_rounds_then_tail_with_split_cells(spark):
     data = crowd(2, 400)
-    assert run(spark, data, 60) == scan(data)
+    assert run(spark, data, 60, hot=5) == scan(data)
 
 
 def test_cases(spark):
