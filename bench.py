@@ -10,7 +10,7 @@ import os
 import re
 import time
 
-from placegauge.plans.checks import QUERIES
+from placegauge.plans.registry import QUERIES
 from placegauge.session import build_session
 
 HEADLINE = [

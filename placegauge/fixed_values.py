@@ -129,6 +129,8 @@ DATASET_MIN_LIST = 0.45
 DATASET_REJECT_LIST = 0.3
 FACILITY_MIN_CONFIDENCE = 0.5
 MIXED = "mixed"
+DESCRIBED_FILES = 12
+DESCRIBED_FIELDS = 15
 
 # --- fixed values: ridership and rail sites ----------------------------------------------------
 ERA_START = {"令和": 2018, "平成": 1988}
@@ -137,6 +139,8 @@ YEARBOOK_ORG = "東京都総務局"
 YEARBOOK_WORD = "運輸"
 TABLE_MARKERS = ("駅別乗車人員", "駅別乗降車人員")
 DEFAULT_OPERATOR = "JR東日本"
+YEARBOOK_REASON = "東京都統計年鑑（運輸）の最新年パッケージ。駅別表: "
+YEARBOOK_NAME_SEPARATOR = "・"
 OPERATOR_SHORT = {
     "東日本旅客鉄道": "JR",
     "東海旅客鉄道": "JR東海",

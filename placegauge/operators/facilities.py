@@ -359,3 +359,27 @@ def unlocated_by_reason(facilities: DataFrame) -> DataFrame:
         .groupBy("feature", F.col("unlocated_reason").alias("reason"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def rule_prediction(
+    name: Column, categories: Column, definitions=fv.FEATURE_DEFINITIONS
+) -> Column:
+    """What the rules alone say: the first defined feature that would count it, else none."""
+    mixed = F.lit(True)
+    answer = F.lit("none")
+    for feature in reversed(definitions):
+        definition = definitions[feature]
+        counts = ~hard_excluded(name, categories, definition) & rule_match(
+            name, categories, mixed, definition
+        )
+        answer = F.when(counts, F.lit(feature)).otherwise(answer)
+    return answer
+
+
+def output_order(facilities: DataFrame) -> DataFrame:
+    """Located facilities by id, then the unlocated ones."""
+    return facilities.orderBy(
+        F.col("coord_source").isNull(),
+        F.when(F.col("coord_source").isNotNull(), F.col("facility_id")),
+        "facility_id",
+    )

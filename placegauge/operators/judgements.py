@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placegauge import fixed_values as fv
 from placegauge.functions.rounding import round_half_even
 from placegauge.functions.signals import classifier_verdict
 from placegauge.session import cut
@@ -176,3 +177,18 @@ def call_costs(calls: DataFrame, price_per_million: float) -> DataFrame:
         round_half_even(F.col("cost"), 4).alias("cost"),
         round_half_even(F.col("p50"), 3).alias("p50"),
     )
+
+
+def dataset_descriptors(entries: DataFrame) -> DataFrame:
+    """What a dataset is described by when it is judged: the first files and columns only.
+
+    ``entries``: feature, dataset_id, name, organization, files array<string>, fields array<string>.
+    """
+    return entries.select(
+        "feature",
+        "dataset_id",
+        "name",
+        "organization",
+        F.slice("files", 1, fv.DESCRIBED_FILES).alias("files"),
+        F.slice("fields", 1, fv.DESCRIBED_FIELDS).alias("fields"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
@@ -119,3 +119,36 @@ def register(manifest: DataFrame, report: DataFrame) -> DataFrame:
 
 def register_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy("feature", F.coalesce("organization", F.lit("")), "name")
+
+
+def site_documents(
+    sites: DataFrame, ranked: DataFrame, table: DataFrame, weights: DataFrame
+) -> DataFrame:
+    """One nested row per site: values of the fixed features as maps, score and ranking.
+
+    Sources and facilities stay in their own tables: a site may have any number of them.
+    """
+
+    def by_feature(column: str) -> Column:
+        entries = F.collect_list(F.struct("feature", column))  # one per feature
+        return F.map_from_entries(F.array_sort(entries))
+
+    values = ranked.groupBy("site_id").agg(
+        by_feature("raw").alias("raw"),
+        by_feature("percentile").alias("normalized"),
+        by_feature("low").alias("lows"),
+    )
+    shares = weights.groupBy("site_id").agg(by_feature("effective_weight").alias("weights"))
+    ranking = F.when(
+        F.col("rank").isNotNull(),
+        F.struct("rank", "of", F.array("rank_min", "rank_max").alias("range")),
+    )
+    return (
+        sites.join(values, "site_id")
+        .join(shares, "site_id")
+        .join(table, "site_id")
+        .select(
+            *sites.columns, "raw", "normalized", "lows", "weights", "score", "coverage",
+            ranking.alias("ranking"),
+        )
+    )

@@ -81,6 +81,7 @@ def aggregate_violations(aggregates: DataFrame) -> DataFrame:
     """Null gate of counts: incomplete has none, complete counts everything that was found."""
     done = F.col("status") == "complete"
     rules = {
+        "unknown feature": ~F.coalesce(F.col("feature").isin(*fv.FEATURES), F.lit(False)),
         "unknown status": ~F.coalesce(
             F.col("status").isin("complete", "incomplete"), F.lit(False)
         ),
@@ -164,6 +165,25 @@ def evidence_violations(evidence: DataFrame) -> DataFrame:
     return _hits(evidence, F.concat_ws("/", "site_id", "facility_id"), rules)
 
 
+def area_violations(covered_areas: DataFrame) -> DataFrame:
+    """Municipalities behind counts: code, name and state."""
+    rules = {
+        "area without code or name": _blank("code") | _blank("name"),
+        "unknown coverage": ~F.coalesce(
+            F.col("coverage").isin("covered", "partial", "uncovered"), F.lit(False)
+        ),
+        "negative unlocated": ~F.coalesce(F.col("unlocated") >= 0, F.lit(False)),
+    }
+    return _hits(covered_areas, F.concat_ws("/", "site_id", "feature", "code"), rules)
+
+
+def require_columns(df: DataFrame, columns: list[str], what: str) -> None:
+    """Fails the job when a table lacks a column of the contract."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise QualityError(f"{what}: missing columns {missing}")
+
+
 def require_clean(violations: DataFrame, what: str, show: int = 20) -> None:
     """Fails the job when there is a violation; the message lists the first few."""
     rows = violations.limit(show).collect()

@@ -128,3 +128,9 @@ def fill_rates(
             F.when(F.col("address_field").isNotNull(), rate("addressed")).alias("address_fill"),
         )
     )
+
+
+def public_fields(datasets: DataFrame) -> DataFrame:
+    """Without the store's own columns, whose names start with an underscore."""
+    kept = F.filter("fields", lambda f: ~F.startswith(f, F.lit("_")))
+    return datasets.withColumn("fields", kept)

@@ -133,3 +133,32 @@ def latest_rows_per_table(rows: DataFrame) -> DataFrame:
     return rows.join(latest, ["table_name", "fiscal_year"]).where(
         "station IS NOT NULL AND thousands IS NOT NULL"
     )
+
+
+def yearbook_entry(package: DataFrame, tables: DataFrame) -> DataFrame:
+    """Manifest entry of the chosen yearbook. ``tables``: pos, id, name, url of its few tables."""
+    listed = tables.agg(
+        F.array_sort(F.collect_list(F.struct("pos", "id", "name", "url"))).alias("t")
+    ).withColumn("one", F.lit(1))
+    first = F.get("t", 0)
+    reason = F.concat(
+        F.lit(fv.YEARBOOK_REASON),
+        F.array_join(F.transform("t", lambda x: x["name"]), fv.YEARBOOK_NAME_SEPARATOR),
+    )
+    accepted = F.lit("accepted")
+    return package.withColumn("one", F.lit(1)).join(F.broadcast(listed), "one").select(
+        F.lit("stationUsage").alias("feature"),
+        F.col("name").alias("dataset_id"),
+        F.col("title").alias("name"),
+        "organization",
+        "source_url",
+        first["url"].alias("resource_url"),
+        first["id"].alias("resource_id"),
+        F.lit("csv").alias("format"),
+        accepted.alias("status"),
+        accepted.alias("auto_status"),
+        F.lit(1.0).alias("confidence"),
+        reason.alias("reason"),
+        F.col("license_id").alias("license"),
+        F.col("metadata_modified").alias("last_modified"),
+    )

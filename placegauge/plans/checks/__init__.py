@@ -1,18 +1 @@
 """Queries over the given tables, each with SQL that must return the same rows."""
-
-from placegauge.plans.checks.base import ORACLES, QUERIES
-
-
-def _load() -> None:
-    """Importing a module registers its checks."""
-    from placegauge.plans.checks import (  # noqa: F401
-        catalog,
-        ingest,
-        places,
-        publishing,
-    )
-
-
-_load()
-
-__all__ = ["ORACLES", "QUERIES"]

@@ -708,3 +708,25 @@ def ingest_totals(t: Tables) -> DataFrame:
     rows = crowd(t)
     one = rows.select("feature").distinct().withColumn("status", F.lit("degraded"))
     return facilities.ingest_totals(one, rows, dedupe.merge_places(rows)[0])
+
+
+@check(
+    "rule_predictions",
+    select(
+        f"""SELECT k, coalesce((SELECT arg_min(d.feature, list_position({list(fv.FEATURE_DEFINITIONS)}, d.feature))
+          FROM definition d WHERE len(list_filter(d.endings, lambda e: suffix(base, e))) = 0
+            AND len(list_filter(d.markers, lambda m: contains(name, m))) = 0
+            AND NOT (contains(category, '無形') AND len(d.bad_categories) > 0)
+            AND (len(d.include_names) = 0
+              OR len(list_filter(d.include_names, lambda w: contains(name, w))) > 0)
+            AND len(list_filter(list_concat(d.keywords, d.include_names),
+              lambda w: contains(name || ' ' || category, w))) > 0), 'none') AS prediction
+        FROM (SELECT k, name, category, regexp_replace(name, '[（(].*?[）)]$', '') AS base FROM listing
+          WHERE name IS NOT NULL)""",
+        "listing", "definition",
+    ),
+)
+def rule_predictions(t: Tables) -> DataFrame:
+    """What the rules alone would count a row as."""
+    answer = facilities.rule_prediction(F.col("name"), F.array("category"))
+    return listing(t).where("trim(name) <> ''").select("k", answer.alias("prediction"))

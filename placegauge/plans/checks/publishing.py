@@ -531,3 +531,83 @@ def text_digests(t: Tables) -> DataFrame:
         F.col("text").cast("binary").alias("content"),
     )
     return landing_log(raw).select(F.col("dataset_id").alias("doc_id"), "sha256", "bytes")
+
+
+@check(
+    "site_documents",
+    select(
+        """SELECT s.site_id, max(r.raw) FILTER (r.feature = 'park') AS park,
+          max(r.percentile) FILTER (r.feature = 'stationUsage') AS usage_percentile,
+          max(r.low) FILTER (r.feature = 'tourism') AS tourism_low,
+          max(e.effective_weight) FILTER (r.feature = 'library') AS library_weight,
+          any_value(t.score) AS score, any_value(t.rank) AS rank, any_value(t.rank_max) AS worst
+        FROM site s JOIN ranked r USING (site_id) JOIN score_table t USING (site_id)
+        JOIN effective e ON e.site_id = s.site_id AND e.feature = r.feature GROUP BY s.site_id""",
+        "site", "ranked", "score_table", "effective",
+    ),
+)
+def site_documents(t: Tables) -> DataFrame:
+    from placegauge.operators import scoring as sc
+    from placegauge.session import cut
+
+    ranked = cut(tb.ranked(t))
+    low = cut(sc.lows_by_site(ranked))
+    made = publish.site_documents(tb.sites(t), ranked, sc.score_table(low), sc.effective_weights(low))
+    return made.select(
+        "site_id", F.col("raw")["park"].alias("park"),
+        F.col("normalized")["stationUsage"].alias("usage_percentile"),
+        F.col("lows")["tourism"].alias("tourism_low"),
+        F.col("weights")["library"].alias("library_weight"),
+        "score", "ranking.rank", F.get("ranking.range", 1).alias("worst"),
+    )
+
+
+@check(
+    "area_violations",
+    """SELECT 'area without code or name' AS rule, s_suppkey || '/park/' || (s_suppkey % 7) AS key
+      FROM supplier WHERE s_suppkey % 9 = 0 UNION ALL
+    SELECT 'unknown coverage', s_suppkey || '/park/' || (s_suppkey % 7) FROM supplier
+      WHERE s_suppkey % 4 = 3 UNION ALL
+    SELECT 'negative unlocated', s_suppkey || '/park/' || (s_suppkey % 7) FROM supplier
+      WHERE s_acctbal < 0""",
+)
+def area_violations(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey")
+    made = t("supplier").select(
+        k.alias("site_id"), F.lit("park").alias("feature"), (k % 7).cast("string").alias("code"),
+        F.when(k % 9 != 0, F.col("s_name")).alias("name"),
+        pick(["covered", "partial", "uncovered", "maybe"], k % 4).alias("coverage"),
+        F.floor("s_acctbal").alias("unlocated"),
+    )
+    return quality.area_violations(made)
+
+
+@check(
+    "yearbook_entry",
+    select(
+        f"""SELECT 'y-' || pos AS dataset_id, '{fv.YEARBOOK_REASON}'
+          || (SELECT string_agg(n, '・' ORDER BY p) FROM (SELECT p_partkey AS p, p_name || '駅別乗車人員'
+            AS n FROM part WHERE p_partkey % 50 = 0 AND p_size > 25)) AS reason,
+          (SELECT 'u' || min(p_partkey) FROM part WHERE p_partkey % 50 = 0 AND p_size > 25)
+            AS resource_url
+        FROM yearbook_package ORDER BY year DESC, modified DESC, pos LIMIT 1""",
+        "yearbook_package",
+    ),
+)
+def yearbook_entry(t: Tables) -> DataFrame:
+    found = usage.latest_package(usage.yearbook_packages(yearbook_listing(t)))
+    package = found.select(
+        F.concat(F.lit("y-"), F.col("pos").cast("string")).alias("name"), "title", "organization",
+        F.lit("https://example.org/y").alias("source_url"), F.lit("cc-by").alias("license_id"),
+        F.col("modified").alias("metadata_modified"),
+    )
+    k = F.col("p_partkey")
+    files = t("part").where(k % 50 == 0).select(
+        k.alias("pos"), k.cast("string").alias("id"),
+        F.concat("p_name", F.when(F.col("p_size") > 25, F.lit("駅別乗車人員")).otherwise(F.lit("")))
+        .alias("name"),
+        F.concat(F.lit("u"), k.cast("string")).alias("url"), F.lit("csv").alias("format"),
+    )
+    return usage.yearbook_entry(package, usage.station_tables(files)).select(
+        "dataset_id", "reason", "resource_url"
+    )

@@ -161,6 +161,9 @@ def aggregate(
         ),
         settings.radius_m,
     ))
+    quality.require_clean(
+        quality.area_violations(states).unionByName(quality.evidence_violations(pairs)), "evidence"
+    )
     return Aggregated(
         cut(coverage.site_aggregates(counts, states)),
         states,
@@ -191,6 +194,7 @@ def build(
     table = cut(scoring.score_table(lows))
     weights = scoring.effective_weights(lows)
     sources = cut(publish.site_sources(evidence, manifest_table))
+    quality.require_columns(site_table, ["site_id", "name", "lat", "lng"], "sites")
     violations = (
         quality.site_violations(site_table)
         .unionByName(quality.score_violations(table, ranked))
@@ -201,13 +205,21 @@ def build(
     return Built(ranked, table, weights, sources)
 
 
-def export(built: Built, manifest_table: DataFrame, report: DataFrame, folder: str) -> None:
+def export(
+    site_table: DataFrame,
+    built: Built,
+    manifest_table: DataFrame,
+    report: DataFrame,
+    folder: str,
+) -> None:
     """Writes the published tables and the provenance register."""
     register = publish.register(manifest_table, report)
     quality.require_clean(quality.register_violations(register), "register")
     tables.write_feature_table(built.ranked, f"{folder}/values")
     tables.write_feature_table(built.weights, f"{folder}/weights")
     built.table.write.mode("overwrite").parquet(f"{folder}/scores")
+    documents = publish.site_documents(site_table, built.ranked, built.table, built.weights)
+    documents.write.mode("overwrite").json(f"{folder}/sites")
     tables.write_feature_table(built.sources, f"{folder}/sources")
     publish.register_order(register).write.mode("overwrite").parquet(f"{folder}/register")
 

@@ -8,7 +8,7 @@ import os
 import pytest
 from compare import compare, connect
 
-from placegauge.plans.checks import ORACLES, QUERIES
+from placegauge.plans.registry import ORACLES, QUERIES
 
 FOLDER = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 CHOSEN = [

@@ -102,7 +102,9 @@ def test_all_jobs(spark, landed, manifest_table, tmp_path):
     top = explore.top_sites(built.table.join(sites.select("site_id", "pos"), "site_id"), 1).first()
     assert table[top["site_id"]]["rank"] == 1
 
-    jobs.export(built, accepted, got.report, str(tmp_path))
+    jobs.export(sites, built, accepted, got.report, str(tmp_path))
+    (doc,) = spark.read.json(f"{tmp_path}/sites").where("site_id = 'a'").collect()
+    assert doc["raw"]["park"] == 4 and doc["ranking"]["of"] == 4
     assert spark.read.parquet(f"{tmp_path}/scores").count() == 4
     values = tables.read_feature_table(spark, f"{tmp_path}/values", ["park"])
     assert rows(values, "site_id", "raw") == [("a", 4.0), ("b", 0.0), ("c", 0.0), ("d", None)]
