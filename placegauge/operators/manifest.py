@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placegauge import fixed_values as fv
 from placegauge.functions.text import title_key
 from placegauge.operators.skew import split_join
+from placegauge.session import cut
 
 
 def mark_duplicates(entries: DataFrame, hot_rows: int | None = None) -> DataFrame:
@@ -18,32 +19,46 @@ def mark_duplicates(entries: DataFrame, hot_rows: int | None = None) -> DataFram
     originals but never duplicates.  The first of a key is a min, so a key with very many entries
     is one small aggregate per task.
     """
-    order = F.struct((-F.col("confidence")).alias("c"), F.col("dataset_id").alias("id"))
-    keyed = entries.withColumns(
-        {
-            "__org": F.coalesce("organization", F.lit("")),
-            # A digest, because titles have no length limit and are only compared.
-            "__title": F.sha2(title_key(F.col("name")), 256),
-            "__url": F.nullif("resource_url", F.lit("")),
-        }
-    )
-    by_title = keyed.groupBy("feature", "__org", "__title").agg(F.min(order)["id"].alias("__t"))
-    by_url = (
-        keyed.where("__url IS NOT NULL")
-        .groupBy("feature", "__url")
-        .agg(F.min(order)["id"].alias("__u"))
-    )
     own = F.col("dataset_id")
-    joined = split_join(keyed, by_title, ["feature", "__org", "__title"], own, "inner", hot_rows)
-    joined = split_join(joined, by_url, ["feature", "__url"], own, "left", hot_rows)
+    # Narrow keys, read by several branches.  Titles are only compared, so a digest will do.
+    keyed = cut(
+        entries.select(
+            "feature",
+            "dataset_id",
+            (-F.col("confidence")).alias("__rank"),
+            F.coalesce("organization", F.lit("")).alias("__org"),
+            F.sha2(title_key(F.col("name")), 256).alias("__title"),
+            F.sha2(F.nullif("resource_url", F.lit("")), 256).alias("__url"),
+        )
+    )
+
+    def firsts(keys: list[str], name: str) -> DataFrame:
+        first = F.min(F.struct("__rank", "dataset_id"))["dataset_id"]
+        return keyed.dropna(subset=keys).groupBy(*keys).agg(
+            first.alias(name), F.count(F.lit(1)).alias("__n")
+        )
+
+    joined = keyed
+    for keys, name in ((["feature", "__org", "__title"], "__t"), (["feature", "__url"], "__u")):
+        table = firsts(keys, name)
+        joined = split_join(
+            joined, table.drop("__n"), keys, own, "left", hot_rows, table.drop(name)
+        )
     original = F.coalesce(
         F.when(F.col("__t") != own, F.col("__t")), F.when(F.col("__u") != own, F.col("__u"))
     )
+    originals = (
+        joined.withColumn("__original", original)
+        .where("__original IS NOT NULL")
+        .groupBy("feature", "dataset_id")
+        .agg(F.min("__original").alias("__original"))
+    )
     before, after = fv.REASON_DUPLICATE.split("{original}")
     demoted = F.col("duplicate_of").isNotNull() & (F.col("status") == "accepted")
     note = F.concat(F.col("reason"), F.lit(before), F.col("duplicate_of"), F.lit(after))
     return (
-        joined.withColumn("duplicate_of", F.when(F.col("status") != "rejected", original))
+        entries.join(originals, ["feature", "dataset_id"], "left")
+        .withColumn("duplicate_of", F.when(F.col("status") != "rejected", F.col("__original")))
         .withColumns(
             {
                 "reason": F.when(demoted, note).otherwise(F.col("reason")),

@@ -222,10 +222,10 @@ _VALID = (
     "fill_rates",
     select(
         f"""SELECT dataset_id, count(*) FILTER (head) AS sample_size, count(*) AS total,
-          coalesce({sql_round('count(*) FILTER (head AND valid) / (count(*) FILTER (head))', 3)}, 0)
+          coalesce({sql_round('count(*) FILTER (head AND valid) / nullif(count(*) FILTER (head), 0)', 3)}, 0)
             AS coord_fill,
           CASE WHEN any_value(style) <> 4 THEN coalesce({sql_round(
-            'count(*) FILTER (head AND has_address) / (count(*) FILTER (head))', 3)}, 0) END
+            'count(*) FILTER (head AND has_address) / nullif(count(*) FILTER (head), 0)', 3)}, 0) END
             AS address_fill
         FROM (SELECT *, k % 100 + 1 <= 50 AS head, {_VALID} AS valid FROM listing) GROUP BY 1""",
         "listing",
