@@ -228,8 +228,5 @@ REASON_NO_RESOURCE = "機械可読なリソースがない（PDF・画像等の
 REASON_EXCLUDED = "除外語「{words}」を含む"
 REASON_UPDATED = "更新 {date}"
 REASON_DUPLICATE = "。{original} と重複の可能性"
-BAND_LABELS = {
-    "large": "余白 大", "medium": "余白 中", "small": "余白 小", "unknown": "判定不能",
-}
 NO_SCORE_TEXT = "—"
 NO_RAW_TEXT = "欠損"

@@ -17,9 +17,10 @@ def score_band(score: Column) -> Column:
     )
 
 
-def band_label(band: Column) -> Column:
-    labels = F.create_map(*[F.lit(v) for kv in fv.BAND_LABELS.items() for v in kv])
-    return F.element_at(labels, band)
+def band_label(band: Column, labels: dict[str, str]) -> Column:
+    """The caller's word for a band."""
+    words = F.create_map(*[F.lit(v) for kv in labels.items() for v in kv])
+    return F.element_at(words, band)
 
 
 def score_text(score: Column) -> Column:

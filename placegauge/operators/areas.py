@@ -9,6 +9,7 @@ from placegauge import fixed_values as fv
 from placegauge.functions.geo import cell_index, disc_offsets, geodesic_direct
 from placegauge.functions.rounding import round_half_even
 from placegauge.functions.staging import with_computed
+from placegauge.operators.skew import split_join
 
 POLYGON_CELL_DEG = 0.02
 
@@ -102,9 +103,8 @@ def areas_by_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     celled = points.withColumn("cx", cell_index(F.col("lng"), size)).withColumn(
         "cy", cell_index(F.col("lat"), size)
     )
-    inside = celled.join(boxes, ["cx", "cy"]).where(
-        F.size(F.filter("edges", crosses)) % 2 == 1
-    )
+    boxed = split_join(celled, boxes, ["cx", "cy"], F.struct("site_id", "pos"))
+    inside = boxed.where(F.size(F.filter("edges", crosses)) % 2 == 1)
     return _distinct_areas(inside)
 
 

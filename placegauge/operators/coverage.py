@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
+from placegauge.operators.skew import split_join
 
 
 def municipality_coverage(report: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -46,7 +47,8 @@ def area_coverage(site_areas: DataFrame, coverage: DataFrame, features: list[str
         F.col("coverage").alias("known"),
         F.col("unlocated").alias("missing"),
     )
-    return wanted.join(known, ["feature", "name"], "left").select(
+    joined = split_join(wanted, known, ["feature", "name"], F.col("site_id"), "left")
+    return joined.select(
         "site_id",
         "feature",
         "code",
@@ -94,5 +96,6 @@ def evidence_datasets(pairs: DataFrame, site_areas: DataFrame, report: DataFrame
     fetched = report.where(F.col("status").isin("ok", "degraded")).select(
         "feature", F.col("organization").alias("name"), "dataset_id"
     )
-    backing = site_areas.join(fetched, "name").select("site_id", "feature", "dataset_id")
+    backing = split_join(site_areas, fetched, ["name"], F.col("site_id"))
+    backing = backing.select("site_id", "feature", "dataset_id")
     return found.unionByName(backing).distinct()

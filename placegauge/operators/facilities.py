@@ -132,7 +132,7 @@ def select_rows(
         (F.col("judged") == F.col("feature")) & (F.col("sure") >= min_confidence), F.lit(False)
     )
     decided = (
-        judged.join(complete, ["feature", "dataset_id"])
+        split_join(judged, complete, ["feature", "dataset_id"], F.col("facility_id"))
         .where(F.when(F.col("all_judged"), fits).otherwise(F.col("ruled")))
         .withColumn(
             "classified_by",
@@ -229,7 +229,12 @@ def locate(
     keys = ["address", "organization", "outside", "in_scope", "query"]
     asked = cut(asked)
     answered = (
-        _judge_answers(asked.where("query IS NOT NULL").join(candidates, "query", "left"))
+        _judge_answers(
+            split_join(
+                asked.where("query IS NOT NULL"), candidates, ["query"],
+                F.struct("address", "organization"), "left", hot_rows,
+            )
+        )
         .groupBy(*keys)
         .agg(F.min_by("answer", "rank").alias("m"))
         .select(*keys, "m.*")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
+from placegauge.operators.skew import split_join
 
 
 def _feature_rows(df: DataFrame, features) -> DataFrame:
@@ -76,9 +77,8 @@ def site_sources(evidence: DataFrame, manifest: DataFrame) -> DataFrame:
         "license",
         F.lit("opendata").alias("kind"),
     )
-    return evidence.join(described, ["feature", "dataset_id"]).withColumnRenamed(
-        "dataset_id", "source_id"
-    )
+    joined = split_join(evidence, described, ["feature", "dataset_id"], F.col("site_id"))
+    return joined.withColumnRenamed("dataset_id", "source_id")
 
 
 def register(manifest: DataFrame, report: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ Spark's adaptive skew handling works on finished shuffle partitions and not in e
 joins do not depend on it.  The rows per key are counted first (summed per task before anything is
 shuffled).  The at most ``HOT_KEYS`` largest keys are cut into parts by a hash of the row, and the
 other side is copied to those parts, for those keys only.  Any other key holds less than one
-``HOT_KEYS``-th of the rows.
+``HOT_KEYS``-th of the rows.  The counting is a second pass over ``rows``: hand in a written or
+checkpointed table, not a long computation.
 """
 
 from __future__ import annotations

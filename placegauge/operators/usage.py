@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placegauge import fixed_values as fv
 from placegauge.functions.rounding import round_half_even
 from placegauge.functions.text import era_year, fiscal_days, number_text
+from placegauge.operators.skew import split_join
 
 
 def yearbook_packages(packages: DataFrame) -> DataFrame:
@@ -111,10 +112,10 @@ def daily_usage(sites: DataFrame, rows: DataFrame) -> DataFrame:
 
 def usage_lines(sites: DataFrame, rows: DataFrame) -> DataFrame:
     """(site_id, operator, line, thousands): what a site's usage consists of."""
-    lines = latest_rows(rows).select("station", "operator", "line", "thousands")
-    return sites.select("site_id", F.col("name").alias("station")).join(lines, "station").drop(
-        "station"
-    )
+    lines = latest_rows(rows).select("station", "row_no", "operator", "line", "thousands")
+    named = sites.select("site_id", F.col("name").alias("station"))
+    joined = split_join(lines, named, ["station"], F.col("row_no"))
+    return joined.select("site_id", "operator", "line", "thousands")
 
 
 def english_names(rows: DataFrame, table_order: str = "table_name") -> DataFrame:

@@ -22,6 +22,7 @@ from placegauge.plans.checks.base import (
     sql_project,
     sql_round,
 )
+from placegauge.session import cut
 
 select = CTES.select
 
@@ -120,7 +121,7 @@ CTES.add(
     ),
 )
 def areas_by_lookup(t: Tables) -> DataFrame:
-    points = areas.disc_points(tb.sites(t), tb.RADIUS_M)
+    points = cut(areas.disc_points(tb.sites(t), tb.RADIUS_M))
 
     def digits(c, scale):
         return F.rint(F.col(c) * scale).cast("long")
@@ -162,7 +163,7 @@ CTES.add(
 
 
 def evidence(t: Tables) -> DataFrame:
-    return coverage.evidence_datasets(tb.pairs(t), tb.site_areas(t), tb.report(t))
+    return cut(coverage.evidence_datasets(tb.pairs(t), tb.site_areas(t), tb.report(t)))
 
 
 @check("evidence_datasets", select("SELECT * FROM evidence", "evidence"))
@@ -379,8 +380,8 @@ def sorted_names(t: Tables) -> DataFrame:
     select(
         """SELECT site_id, CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 67 THEN 'large'
           WHEN score >= 34 THEN 'medium' ELSE 'small' END AS band,
-          CASE WHEN score IS NULL THEN '判定不能' WHEN score >= 67 THEN '余白 大'
-          WHEN score >= 34 THEN '余白 中' ELSE '余白 小' END AS label,
+          CASE WHEN score IS NULL THEN '?' WHEN score >= 67 THEN 'L'
+          WHEN score >= 34 THEN 'M' ELSE 'S' END AS label,
           coalesce(printf('%.1f', score), '—') AS score_text,
           coalesce(format('{:,d}', u.count), '欠損') AS usage_text,
           'No. ' || CASE WHEN pos + 1 < 1000 THEN lpad((pos + 1)::VARCHAR, 3, '0')
@@ -403,7 +404,9 @@ def display_texts(t: Tables) -> DataFrame:
     return rows.select(
         "site_id",
         band.alias("band"),
-        display.band_label(band).alias("label"),
+        display.band_label(
+            band, {"large": "L", "medium": "M", "small": "S", "unknown": "?"}
+        ).alias("label"),
         display.score_text(F.col("score")).alias("score_text"),
         display.raw_text(F.col("used")).alias("usage_text"),
         display.observation_text(F.col("observation")).alias("observation"),

@@ -113,6 +113,7 @@ def ingest(
     accepted = manifest_table.where(F.col("status") == "accepted").select(
         "feature", "dataset_id", "organization", "row_filter", "format", "source_url", "resource_url"
     )
+    records = cut(records)  # files are parsed once
     table = cut(roles.role_table(datasets))
     errors = cut(facilities.unreadable(accepted, table).select("feature", "dataset_id", "error"))
     usable = accepted.join(errors, ["feature", "dataset_id"], "left_anti")
@@ -168,7 +169,7 @@ def aggregate(
         cut(coverage.site_aggregates(counts, states)),
         states,
         pairs,
-        coverage.evidence_datasets(pairs, site_areas, report),
+        cut(coverage.evidence_datasets(pairs, site_areas, report)),
     )
 
 
@@ -250,4 +251,6 @@ def ridership(site_table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def touched_areas(site_table: DataFrame, polygons: DataFrame, radius_m: float) -> DataFrame:
-    return areas.areas_by_polygons(areas.disc_points(site_table, radius_m), polygons)
+    """Municipalities each site's disc touches."""
+    points = cut(areas.disc_points(site_table, radius_m))
+    return cut(areas.areas_by_polygons(points, polygons))

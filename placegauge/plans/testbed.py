@@ -207,8 +207,8 @@ CTES.add(
 
 
 def site_areas(t: Tables) -> DataFrame:
-    points = areas.disc_points(sites(t), RADIUS_M)
-    return areas.areas_by_polygons(points, area_polygons(t))
+    points = cut(areas.disc_points(sites(t), RADIUS_M))
+    return cut(areas.areas_by_polygons(points, area_polygons(t)))
 
 
 # --- radius, coverage, aggregates ----------------------------------------------------------------
