@@ -6,7 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegauge.llm import decontaminate, packing, token_counts
+from placegauge.llm import (
+    decontaminate,
+    language,
+    near_text,
+    packing,
+    secret_scan,
+    substrings,
+    token_counts,
+)
 from placegauge.llm.common import joined_digest, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,6 +34,20 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, folder, "documents"))
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.identified(table(spark, folder, "documents"))
+    return found.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        language.held_out().alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(
         table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY)
@@ -36,10 +58,25 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scanned(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
+def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_text.near_duplicates(table(spark, folder, "documents"), size=4)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_minhash": op8_minhash,
 }
 
 # The same rules in DuckDB's SQL.
@@ -69,4 +106,40 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ORACLES = {"op1_decontamination": OP1_SQL}
+OP2_SQL = """
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, s, hash(array_to_string(w[s : s + 49], ' ')) AS h
+  FROM (SELECT *, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50)),
+m AS (SELECT h, min(doc_id) AS low FROM s GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS k FROM s JOIN m USING (h) WHERE low < doc_id),
+r AS (SELECT doc_id, count(*) AS n, list(k) AS ks FROM g GROUP BY doc_id),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+t AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.k) AS kept
+      FROM u ANTI JOIN g ON u.doc_id = g.doc_id AND u.k = g.k GROUP BY u.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+OP8_SQL = """
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[s : s + 3], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS s FROM d WHERE len(w) > 0)),
+c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+      FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN c ca ON a = ca.doc_id JOIN c cb ON b = cb.doc_id
+      WHERE 100 * shared >= 80 * (ca.n + cb.n - shared)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.root FROM r JOIN e ON r.doc_id = e.a),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN m USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op8_minhash": OP8_SQL}
