@@ -26,7 +26,7 @@ from placegauge.llm.common import arrow_rows, keep
 from placegauge.llm.tokens import END_ID, encoder, read_vocabulary
 
 # Rows that one task ranks.
-RANKED_ROWS = 50_000
+RANKED_ROWS = 5_000
 
 PIECE = (
     "doc_id bigint, row_key bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
