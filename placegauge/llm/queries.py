@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from placegauge.llm import (
     decontaminate,
     language,
+    line_templates,
     near_text,
+    near_vectors,
     packing,
     secret_scan,
     substrings,
@@ -38,6 +40,10 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.deduplicated(table(spark, folder, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     found = language.identified(table(spark, folder, "documents"))
     return found.select(
@@ -69,14 +75,26 @@ def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_text.near_duplicates(table(spark, folder, "documents"), size=4)
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: lines dropped, and the digest of what is left of its text."""
+    found = line_templates.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        "lines_dropped",
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_minhash": op8_minhash,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 # The same rules in DuckDB's SQL.
@@ -142,4 +160,22 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 FROM d JOIN m USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
-ORACLES = {"op1_decontamination": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op8_minhash": OP8_SQL}
+OP3_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0
+    AND len(list_filter(embedding, lambda z: z <> 0)) > 0),
+l AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r(vec_id, root) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON r.vec_id = l.a),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op8_minhash": OP8_SQL}
