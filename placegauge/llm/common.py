@@ -29,14 +29,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share."""
+    require_checkpoint_folder(spark)
+    return checkpoint_folder(spark)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as Parquet into the shared checkpoint folder and read from there.
 
     Cuts the lineage like a checkpoint, but columnar and compressed; a lost executor costs a
     re-read.  The table stays until the folder of the application is cleared.
     """
-    require_checkpoint_folder(df.sparkSession)
-    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placegauge.llm import (
     decontaminate,
+    id_files,
     language,
     line_templates,
     near_text,
@@ -17,7 +20,7 @@ from placegauge.llm import (
     substrings,
     token_counts,
 )
-from placegauge.llm.common import joined_digest, table
+from placegauge.llm.common import joined_digest, shared_folder, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -75,6 +78,14 @@ def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_text.near_duplicates(table(spark, folder, "documents"), size=4)
 
 
+def op9_id_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    id_files.write_ids(
+        table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), path
+    )
+    return id_files.document_digests(spark, path)
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: lines dropped, and the digest of what is left of its text."""
     found = line_templates.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
@@ -94,6 +105,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_minhash": op8_minhash,
+    "op9_id_files": op9_id_files,
     "op10_line_dedup": op10_line_dedup,
 }
 
