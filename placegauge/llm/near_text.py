@@ -143,6 +143,8 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``a, b, similar, distance`` on the full sets; texts travel, as they compress well."""
+    # Never by broadcast: the larger side grows with the corpus whatever the smaller one does.
+    texts = texts.hint("merge")
     rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"
     )
@@ -241,8 +243,9 @@ def classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     rows = keep(rows.join(buckets, "band"), "near-rows")
     stars = rows.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     near = keep(likely(stars, reps, percent), "near-likely")
-    involved = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(involved, "doc_id", "left_semi")
+    # All texts move once; afterwards only those of documents that share a band with another.
+    texts = docs.join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    texts = keep(texts, "near-texts")
     tested = keep(confirmed(near, texts, size, percent), "near-tested")
     links = tested.where("similar").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     linked = components(links, "near-first")
@@ -281,8 +284,7 @@ def classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     attached = short_keys(attached)
     dealt = attached.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj", "own")
     more = keep(across(dealt, percent).distinct(), "near-across")
-    involved = more.select(F.col("a").alias("doc_id")).union(more.select(F.col("b").alias("doc_id"))).distinct()
-    tested = confirmed(more, docs.join(involved, "doc_id", "left_semi"), size, percent)
+    tested = confirmed(more, texts, size, percent)
     late = tested.where("similar").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     every = components(links.union(late), "near-last")
     return seen, every
