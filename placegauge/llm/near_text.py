@@ -44,7 +44,7 @@ PERCENT = 80
 BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
 # Documents of one band that are compared at once.
-BLOCK = 256
+BLOCK = 1024
 
 _random = np.random.default_rng(20)
 FACTORS = _random.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
