@@ -165,7 +165,8 @@ def templates(docs: DataFrame, min_docs: int, similarity: float) -> tuple[DataFr
     # Each line is read in one of its documents.
     where = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = where.groupBy("doc_id").agg(F.collect_list("key").alias("wanted"))
-    lines = lines_of(docs.join(wanted, "doc_id").select("text", "wanted")).dropDuplicates(["key"])
+    # Never by broadcast: the texts grow with the corpus whatever the marks do.
+    lines = lines_of(docs.join(wanted.hint("merge"), "doc_id").select("text", "wanted")).dropDuplicates(["key"])
     named = keep(lines, "line-tokens").select("key", "leaf", "tokens")
     made = keep(one_round(named, similarity), "templates")
     final = made.select("key", "leaf", F.xxhash64("template").alias("first"), "template")
@@ -211,7 +212,7 @@ def deduplicated(
 ) -> DataFrame:
     """``docs`` with the lines dropped from ``text``, and their number in ``lines_dropped``."""
     marks = recurring(docs, min_docs, similarity).select(F.col("doc_id").alias("__id"), "dropped")
-    rows = docs.join(marks, F.col("doc_id").cast("bigint") == F.col("__id"), "left").drop("__id")
+    rows = docs.join(marks.hint("merge"), F.col("doc_id").cast("bigint") == F.col("__id"), "left").drop("__id")
     columns = [c for c in docs.columns if c != "lines_dropped"]
     at = columns.index("text")
 
