@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from placegauge.session import checkpoint_folder, require_checkpoint_folder
 
 WORD_CACHE = 400_000
+# Rows of an Arrow batch that are worked on at once.
+SLICE_ROWS = 1_000
 
 # Bytes that end a word become spaces, A-Z become a-z; bytes over 0x7F belong to words.
 _WORD_BYTES = bytes(
@@ -151,8 +153,8 @@ def arrow_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+            for low in range(0, batch.num_rows, SLICE_ROWS):
+                yield from fn(batch.slice(low, SLICE_ROWS))
 
     return df.mapInArrow(run, schema)
 

@@ -294,7 +294,7 @@ def short_keys(rows: DataFrame) -> DataFrame:
     """32 bits of every band, packed, instead of the array."""
 
     def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        flat = batch["bands"].values.to_numpy()
+        flat = batch["bands"].flatten().to_numpy()
         # A chance equality of 32 bits in an earlier band hides a pair with odds of 31 to 2**32.
         raw = np.ascontiguousarray((flat.view(np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes()
         step = 4 * BANDS
