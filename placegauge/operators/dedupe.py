@@ -5,19 +5,24 @@ same name within ``max_distance_m``, else by the first kept one within ``same_pl
 is kept exactly, without listing pairs:
 
 * Same name at the same spot: only the first can be kept, so such rows are one *point* here.
-* Grid cells are so small that two points of one cell always conflict.  Per cell only the first
-  undecided point can be kept next (found by a min), and at most one point of a cell is ever kept.
-* A round compares undecided points with the first points of the cells in reach, keeps every first
-  point that precedes all it conflicts with, and removes what the kept ones absorb.  The first
-  undecided point of all is decided in each round.
-
-So every join looks up at most a fixed number of cells per point, however crowded a place is.
+* Grid cells are so small that two points of one cell always conflict, whatever their names where
+  the place rule holds.  Per cell only the first undecided point (a min) is a candidate, and at most
+  one point of a cell is ever kept.
+* A round goes through the candidates of each tile (many cells, so a bounded number of candidates)
+  in priority order and keeps those whose earlier neighbours are all decided; candidates of the tiles
+  around are seen as undecided.  What the kept ones absorb is removed for good, however crowded.
+  A chain of dependencies is followed through a whole tile in one round.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +32,7 @@ from placegauge.functions.text import name_key
 from placegauge.operators.skew import split_join
 from placegauge.session import cut, require_checkpoint_folder
 
-TAIL_POINTS = 2000
+TILE_M = 4000.0
 
 
 def coordinate_priority(source: Column, precision: Column) -> Column:
@@ -79,50 +84,117 @@ class _Rule:
         )
 
 
-def _tops(open_points: DataFrame, rule: _Rule) -> DataFrame:
-    """First undecided point of each cell: a min, so a crowded cell is summed up per task."""
-    rest = [c for c in open_points.columns if c not in ("prio", *rule.group)]
-    first = F.min(F.struct("prio", *rest)).alias("p")
-    tops = open_points.groupBy(*rule.group).agg(first).select(*rule.group, "p.*")
-    return tops.select(*open_points.columns)
+@dataclass(frozen=True)
+class _Tiles:
+    """Candidates of every cell, and the local scan that keeps some of them."""
 
+    rules: list[_Rule]
 
-def _conflicts(
-    open_points: DataFrame, tops: DataFrame, rules: list[_Rule], hot_rows: int | None
-) -> DataFrame:
-    """(feature, prio, top) for undecided points near enough to a cell's first point.
+    def cell(self) -> tuple[Column, list[Column]]:
+        """Name that a cell is bound to (none where the place rule holds) and the cell itself."""
+        near, *places = self.rules
+        key, cell = F.col("key"), [F.col(c) for c in near.cell]
+        for rule in places:
+            key = F.when(rule.applies, F.lit("")).otherwise(key)
+            cell = [F.when(rule.applies, F.col(c)).otherwise(was) for c, was in zip(rule.cell, cell)]
+        return key, cell
 
-    A point meets the first points of the cells in reach only, a fixed number of them.
-    """
-    found = []
-    for rule in rules:
-        spread = rule.around(
-            tops.select(
-                *rule.group, F.col("prio").alias("top"), F.col("lat").alias("top_lat"),
-                F.col("lng").alias("top_lng"),
-            )
+    def candidates(self, open_points: DataFrame) -> DataFrame:
+        """First undecided point of each cell and how many the cell has, summed up per task."""
+        key, (x, y) = self.cell()
+        cells = open_points.select(
+            "feature", key.alias("cell_key"), x.alias("cell_x"), y.alias("cell_y"),
+            F.struct("prio", "key", "lat", "lng").alias("p"),
         )
-        metres = haversine_m(F.col("top_lat"), F.col("top_lng"), F.col("lat"), F.col("lng"))
-        pairs = split_join(
-            open_points.where(rule.applies), spread, rule.group, F.col("prio"), "inner", hot_rows
+        first = cells.groupBy("feature", "cell_key", "cell_x", "cell_y").agg(
+            F.min("p").alias("p"), F.count(F.lit(1)).alias("many")
+        )
+        return first.select("feature", "cell_key", "many", "p.*")
+
+    def dealt(self, candidates: DataFrame) -> DataFrame:
+        """Each candidate in its own tile and, not as its home, in the tiles within reach."""
+        grid = SphereGrid(TILE_M)
+        reach = (self.rules[0].metres + max(r.metres for r in self.rules)) * 1.001
+        narrow = math.cos(math.radians(max(map(abs, fv.LAT_RANGE))))
+        north = reach / (math.radians(1.0) * fv.EARTH_RADIUS_M)
+        lat, lng = F.col("lat"), F.col("lng")
+        tiles = [
+            F.struct(*[c.alias(n) for c, n in zip(grid.cell(lat + i * north, lng + j * north / narrow), "xy")])
+            for i in (0, -1, 1) for j in (0, -1, 1)
+        ]
+        rows = candidates.withColumn("home", tiles[0]).withColumn(
+            "tile", F.explode(F.array_distinct(F.array(*tiles)))
+        )
+        return rows.select(
+            "feature", "cell_key", "tile.x", "tile.y", "prio.rank", "prio.id", "key", "lat", "lng", "many",
+            (F.col("tile") == F.col("home")).alias("at_home"),
         )
-        near = pairs.where((F.col("prio") != F.col("top")) & (metres <= rule.metres))
-        found.append(near.select("feature", "prio", "top"))
-    return reduce(DataFrame.unionByName, found)
 
+    def kept(self, open_points: DataFrame) -> DataFrame:
+        """Candidates that no undecided point can absorb any more."""
+        near = self.rules[0].metres
+        places = {f: r.metres for r in self.rules[1:] for f in r.features}
+        group = ["feature", "cell_key", "x", "y"]
+        rows = self.dealt(self.candidates(open_points))
+        rows = rows.repartition(*group).sortWithinPartitions(*group, "rank", "id")
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                part = pa.Table.from_batches([batch])
+                held = pa.concat_tables([held, part]) if held is not None else part
+                names = list(zip(*(held[c].to_pylist() for c in group), strict=True))
+                starts = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
+                for low, high in zip(starts, starts[1:], strict=False):
+                    yield chosen(held.slice(low, high - low))
+                held = held.slice(starts[-1])
+            if held is not None:
+                yield chosen(held)
+
+        def chosen(tile: pa.Table) -> pa.RecordBatch:
+            metres = places.get(tile["feature"][0].as_py())
+            rows = tile.filter(pa.array(_kept_in_tile(tile, near, metres)))
+            names = ["feature", "rank", "id", "key", "lat", "lng"]
+            return pa.RecordBatch.from_arrays([rows[c].combine_chunks() for c in names], names)
+
+        flat = rows.mapInArrow(
+            scan, "feature string, rank int, id string, key string, lat double, lng double"
+        )
+        points = flat.select("feature", "key", "lat", "lng", F.struct("rank", "id").alias("prio"))
+        for rule in self.rules:
+            points = rule.add_cell(points)
+        return points.select(*open_points.columns)
 
-def _round(
-    open_points: DataFrame, rules: list[_Rule], hot_rows: int | None
-) -> tuple[DataFrame, DataFrame]:
-    """(kept, still undecided): a first point that precedes all its conflicts is kept."""
-    tops = cut(_tops(open_points, rules[0]))
-    conflicts = cut(_conflicts(open_points, tops, rules, hot_rows))
-    blocked = conflicts.where("prio < top").select("feature", F.col("top").alias("prio"))
-    keep = cut(tops.join(blocked, ["feature", "prio"], "left_anti"))
-    chosen = keep.select("feature", F.col("prio").alias("top"))
-    gone = conflicts.where("prio > top").join(chosen, ["feature", "top"], "left_semi")
-    decided = keep.select("feature", "prio").unionByName(gone.select("feature", "prio"))
-    return keep, cut(open_points.join(decided, ["feature", "prio"], "left_anti"))
+
+def _kept_in_tile(tile: pa.Table, near: float, place: float | None) -> np.ndarray:
+    """Which candidates are kept for certain; rows come in priority order.
+
+    An earlier candidate that is kept closes its cell.  One that is not leaves the other points of
+    its cell undecided, if there are any.
+    """
+    lat, lng = np.radians(tile["lat"].to_numpy()), np.radians(tile["lng"].to_numpy())
+    key = np.array(tile["key"].to_pylist(), dtype=object)
+    crowded = tile["many"].to_numpy() > 1
+    at_home = tile["at_home"].to_numpy(zero_copy_only=False)
+    reach = near + (place or near)
+    kept = np.zeros(len(lat), dtype=bool)
+    gone = np.zeros(len(lat), dtype=bool)
+    for i in np.flatnonzero(at_home):
+        h = np.sin((lat[:i] - lat[i]) / 2) ** 2
+        h = h + np.cos(lat[:i]) * np.cos(lat[i]) * np.sin((lng[:i] - lng[i]) / 2) ** 2
+        metres = 2 * fv.EARTH_RADIUS_M * np.arcsin(np.sqrt(h))
+        conflict = (metres <= near) & (key[:i] == key[i])
+        if place is not None:
+            conflict |= metres <= place
+        if (conflict & kept[:i]).any():
+            gone[i] = True
+            continue
+        undecided = conflict & ~gone[:i]
+        others = (metres <= reach) & crowded[:i] & ~kept[:i]
+        kept[i] = not (undecided | others).any()
+    return kept
 
 
 def _neighbours(kept: DataFrame, rule: _Rule) -> DataFrame:
@@ -141,50 +213,20 @@ def _first_within(rule: _Rule, name: str) -> Column:
     return F.array_min(F.transform(near, lambda k: k["prio"]))
 
 
-def _finish(open_points: DataFrame, rules: list[_Rule]) -> DataFrame:
-    """Kept points among the last few, in plain priority order. Only for a bounded number."""
-    schema = "rank int, id string, feature string, key string, lat double, lng double"
-    limits = [(rule.metres, "key" in rule.keys, rule.features) for rule in rules]
-    radius = fv.EARTH_RADIUS_M
-
-    def greedy(batches):
-        import numpy as np
-        import pandas as pd
-
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["rank", "id"])
-        lat, lng = np.radians(rows["lat"].to_numpy()), np.radians(rows["lng"].to_numpy())
-        feature, key = rows["feature"].to_numpy(), rows["key"].to_numpy()
-        kept = np.zeros(len(rows), dtype=bool)
-        for i in range(len(rows)):
-            h = np.sin((lat - lat[i]) / 2) ** 2
-            h = h + np.cos(lat) * np.cos(lat[i]) * np.sin((lng - lng[i]) / 2) ** 2
-            metres = 2 * radius * np.arcsin(np.sqrt(h))
-            near = np.zeros(len(rows), dtype=bool)
-            for limit, same_name, features in limits:
-                if features is None or feature[i] in features:
-                    near |= (metres <= limit) & ((key == key[i]) | (not same_name))
-            kept[i] = not (near & kept & (feature == feature[i])).any()
-        yield rows[kept]
-
-    flat = open_points.select("prio.rank", "prio.id", "feature", "key", "lat", "lng")
-    kept = flat.repartition(1).mapInPandas(greedy, schema)
-    points = kept.select("feature", "key", "lat", "lng", F.struct("rank", "id").alias("prio"))
-    for rule in rules:
-        points = rule.add_cell(points)
-    return points.select(*open_points.columns)
-
-
-def _decide(
-    points: DataFrame, rules: list[_Rule], tail_points: int, hot_rows: int | None
-) -> DataFrame:
-    """Kept points. Runs rounds, each checkpointed, until only a bounded tail is undecided."""
-    open_points = cut(points)
-    kept: list[DataFrame] = []
-    while (left := open_points.count()) > tail_points:
-        keep, open_points = _round(open_points, rules, hot_rows)
+def _decide(points: DataFrame, rules: list[_Rule]) -> DataFrame:
+    """Kept points.  Each round keeps at least the first undecided point of all."""
+    tiles = _Tiles(rules)
+    open_points, kept = cut(points), []
+    while not open_points.isEmpty():
+        keep = cut(tiles.kept(open_points))
         kept.append(keep)
-    if left:
-        kept.append(cut(_finish(open_points, rules)))
+        left = open_points
+        for rule in rules:
+            near = _neighbours(keep, rule)
+            # One row per cell on the right; Spark splits what is crowded on the left.
+            left = left.join(near, rule.group, "left")
+            left = left.where(_first_within(rule, "kept").isNull()).drop("kept")
+        open_points = cut(left.select(*points.columns))
     return reduce(DataFrame.unionByName, kept) if kept else open_points
 
 
@@ -192,14 +234,12 @@ def absorb(
     facilities: DataFrame,
     max_distance_m: float = fv.DEDUPE_DISTANCE_M,
     same_place_m: dict[str, float] | None = None,
-    tail_points: int = TAIL_POINTS,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Located facilities with ``absorbed_by`` (null: kept).
 
     Needs facility_id, feature, name, lat, lng, coord_source, precision.  ``same_place_m`` gives,
-    for some features, the distance within which the name does not matter.  Once at most
-    ``tail_points`` are undecided, one task goes through them instead of further rounds.
+    for some features, the distance within which the name does not matter.
     """
     require_checkpoint_folder(facilities.sparkSession)
     rules = [_Rule("near", max_distance_m, ["feature", "key"])]
@@ -220,7 +260,7 @@ def absorb(
     points = located.groupBy("feature", "key", "lat", "lng").agg(F.min("prio").alias("prio"))
     for rule in rules:
         points = rule.add_cell(points)
-    kept = _decide(points, rules, tail_points, hot_rows).select(*points.columns)
+    kept = _decide(points, rules).select(*points.columns)
 
     # The absorber of a row is decided per point: every kept point in reach is known by now.
     looked = points

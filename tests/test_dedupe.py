@@ -1,8 +1,6 @@
-"""Greedy absorption against a plain scan in priority order, also on crowded spots."""
-
-import math
-import random
+"""Absorption by priority: what must hold of the result, on crowded spots and long chains."""
 
+import numpy as np
 import pytest
 from conftest import rows
 
@@ -13,94 +11,111 @@ SCHEMA = (
     "coord_source string, precision string, unlocated_reason string"
 )
 PLACES = {"culture": 30.0}
+SOURCES = [("source", None), ("geocode", "exact"), ("geocode", "partial"), ("geocode", None)]
+NEAR = 150.0
+
+
+def facilities(count, seed, width=0.02, names=4, spots=None):
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(count):
+        lat, lng = (35.7, 139.7) + rng.random(2) * width
+        if spots and k % 3 == 0:
+            lat, lng = 35.701 + 0.0002 * (k % spots), 139.702
+        kind = SOURCES[rng.integers(4)]
+        feature = "culture" if rng.random() < 0.5 else "park"
+        out.append((f"set:{k}", feature, f"name {rng.integers(names)}", float(lat), float(lng), *kind, None))
+    return out
+
+
+def unit_vectors(data):
+    lat, lng = np.radians([r[3] for r in data]), np.radians([r[4] for r in data])
+    return np.stack([np.cos(lat) * np.cos(lng), np.cos(lat) * np.sin(lng), np.sin(lat)], axis=1)
+
+
+def check(data, absorbed):
+    """Three conditions that only the outcome of a scan by priority meets."""
+    ids = np.array([r[0] for r in data])
+    at = unit_vectors(data)
+    chord = np.linalg.norm(at[:, None] - at[None], axis=2)
+    metres = 2 * 6371008.8 * np.arcsin(chord / 2)
+    feature, name = (np.array([r[c] for r in data]) for c in (1, 2))
+    same = feature[:, None] == feature[None]
+    by_name = same & (name[:, None] == name[None]) & (metres <= NEAR)
+    by_place = same & (feature == "culture")[:, None] & (metres <= PLACES["culture"])
+    order = np.lexsort([ids, [SOURCES.index(r[5:7]) for r in data]])
+    place = np.argsort(order)
+    kept = np.array([i not in absorbed for i in ids])
+    # 1. no two kept ones conflict
+    clash = (by_name | by_place) & kept[:, None] & kept[None]
+    np.fill_diagonal(clash, False)
+    assert not clash.any()
+    for k in np.flatnonzero(~kept):
+        # 2. and 3. an absorbed one names its first earlier kept neighbour, by name before by place
+        for rule in (by_name, by_place):
+            ahead = np.flatnonzero(rule[k] & kept & (place < place[k]))
+            if len(ahead):
+                assert absorbed[ids[k]] == ids[ahead[place[ahead].argmin()]]
+                break
+        else:
+            raise AssertionError(f"{ids[k]} has no kept earlier neighbour")
 
 
-def metres(a, b):
-    p1, p2 = math.radians(a[3]), math.radians(b[3])
-    dp, dl = p2 - p1, math.radians(b[4] - a[4])
-    h = math.sin(dp / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(dl / 2) ** 2
-    return 2 * 6371008.8 * math.asin(math.sqrt(h))
-
-
-def scan(data):
-    """Brute force: every facility against every kept one."""
-    order = {("source", None): 0, ("geocode", "exact"): 1, ("geocode", "partial"): 2}
-    located = sorted(
-        (f for f in data if f[5]), key=lambda f: (order.get((f[5], f[6]), 9), f[0]))
-    kept, absorbed = [], {}
-    for f in located:
-        near = [g for g in kept if g[1] == f[1]]
-        twin = next((g for g in near if g[2] == f[2] and metres(g, f) <= 150), None)
-        if twin is None and f[1] in PLACES:
-            twin = next((g for g in near if metres(g, f) <= PLACES[f[1]]), None)
-        if twin is None:
-            kept.append(f)
-        else:
-            absorbed[(f[1], f[0])] = twin[0]
-    return absorbed
+def absorbed_of(spark, data, hot=None):
+    df = spark.createDataFrame(data, SCHEMA)
+    out = dedupe.absorb(df, NEAR, PLACES, hot_rows=hot).where("absorbed_by IS NOT NULL")
+    return {r.facility_id: r.absorbed_by for r in out.collect()}
 
 
-def fac(fid, name, lat, lng, feature="park", source="source", precision=None):
-    return (fid, feature, name, lat, lng, source, precision, None)
+@pytest.fixture
+def rounds(monkeypatch):
+    made = []
+    whole = dedupe._Tiles.kept
 
+    def kept(tiles, points):
+        made.append(1)
+        return whole(tiles, points)
 
-def run(spark, data, tail, hot=None):
-    df = spark.createDataFrame(data, SCHEMA)
-    out = dedupe.absorb(df, 150.0, PLACES, tail_points=tail, hot_rows=hot).where("absorbed_by IS NOT NULL")
-    return {(r["feature"], r["facility_id"]): r["absorbed_by"] for r in out.collect()}
+    monkeypatch.setattr(dedupe._Tiles, "kept", kept)
+    return made
+
+
+@pytest.mark.parametrize("hot", [None, 5])
+def test_crowds(spark, hot):
+    data = facilities(350, 1, spots=7)
+    check(data, absorbed_of(spark, data, hot))
 
 
-def crowd(seed, n=250):
-    rng = random.Random(seed)
-    data = []
-    for i in range(n):
-        # a third of all rows share one name and one block; some share the very spot
-        hot = i % 3 == 0
-        width = 0.004 if hot else 0.02
-        lat, lng = 35.7 + rng.random() * width, 139.7 + rng.random() * width
-        if i % 12 == 0:
-            lat, lng = 35.7011, 139.7012
-        source, precision = rng.choice(
-            [("source", None), ("geocode", "exact"), ("geocode", "partial")])
-        name = "中央" if hot else f"n{rng.randrange(4)}"
-        data.append(fac(f"d:{i}", name, lat, lng, rng.choice(["park", "culture"]), source, precision))
-    return data
+def test_small_tiles_agree(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "TILE_M", 500.0)
+    data = facilities(300, 2, width=0.015, names=2)
+    check(data, absorbed_of(spark, data))
 
 
-@pytest.mark.parametrize("tail", [0, 2000])
-def test_equals_scan(spark, tail):
-    data = crowd(1)
-    assert run(spark, data, tail) == scan(data)
+def test_many_names_at_one_spot(spark, rounds):
+    data = [(f"s:{k}", "culture", f"item {k}", 35.66, 139.75, "source", None, None) for k in range(1000)]
+    found = absorbed_of(spark, data)
+    assert len(found) == 999 and set(found.values()) == {"s:0"} and len(rounds) == 1
 
 
-def test_rounds_then_tail_with_split_cells(spark):
-    data = crowd(2, 400)
-    assert run(spark, data, 60, hot=5) == scan(data)
+def test_long_chain_takes_few_rounds(spark, rounds):
+    data = [(f"{k:04d}", "park", "path", 35.4 + k * 0.001, 139.6, "source", None, None) for k in range(200)]
+    found = absorbed_of(spark, data)
+    assert found == {f"{k:04d}": f"{k - 1:04d}" for k in range(1, 200, 2)}
+    assert len(rounds) < 20
 
 
-def test_cases(spark):
+def test_ids_are_text_and_unlocated_ones_stay(spark):
     data = [
-        fac("a", "中央公園", 35.70, 139.70),
-        fac("b", "中央公園", 35.60, 139.70),
-        fac("p", "X公園", 35.7500, 139.7, source="geocode", precision="partial"),
-        fac("e", "X公園", 35.7501, 139.7, source="geocode", precision="exact"),
-        # ids are compared as text: d:10 goes before d:2
-        fac("d:2", "Y", 35.8, 139.7),
-        fac("d:10", "Y", 35.8, 139.7),
-        # same place, other name: only where the feature says so
-        fac("c1", "本堂", 35.65, 139.7, "culture"),
-        fac("c2", "仏像", 35.65001, 139.7, "culture"),
-        fac("k1", "本堂", 35.65, 139.7),
-        fac("k2", "仏像", 35.65001, 139.7),
-        # brackets and width do not matter
-        fac("r1", "元町公園（もとまち）", 35.5, 139.7),
-        fac("r2", "元町 公園", 35.5, 139.7),
-        ("u", "park", "X公園", None, None, None, None, "no-address"),
+        ("q:2", "park", "Lake", 35.61, 139.71, "source", None, None),
+        ("q:10", "park", "Lake", 35.61, 139.71, "source", None, None),
+        ("v", "park", "Hill", 35.63, 139.73, "geocode", "partial", None),
+        ("w", "park", "Hill", 35.6302, 139.73, "geocode", "exact", None),
+        ("n1", "park", "Gate", 35.65, 139.75, "source", None, None),
+        ("n2", "park", "Wall", 35.65, 139.75, "source", None, None),
+        ("lost", "park", "Lake", None, None, None, None, "no-address"),
     ]
-    assert run(spark, data, 0) == {
-        ("park", "p"): "e", ("park", "d:2"): "d:10", ("culture", "c2"): "c1", ("park", "r2"): "r1",
-    }
+    assert absorbed_of(spark, data) == {"q:2": "q:10", "v": "w"}
     kept, absorbed = dedupe.merge_places(spark.createDataFrame(data, SCHEMA))
-    assert absorbed.count() == 4
-    ids = {r[0] for r in rows(kept, "facility_id")}
-    assert "u" in ids and len(ids) == len(data) - 4
+    assert absorbed.count() == 2
+    assert [r[0] for r in rows(kept, "facility_id")] == ["lost", "n1", "n2", "q:10", "w"]
