@@ -17,7 +17,7 @@ import numpy as np
 
 MAGIC = b"IDS1"
 BLOCKS = 1024  # in a full group
-BLOCK_IDS = (512, 2048)  # least and most ids of a block
+BLOCK_IDS = (512, 1024)  # least and most ids of a block
 SLOTS1, SLOTS2 = 2048, 4096
 HALVE = 64  # steps between halvings of the tables
 U = np.uint64
@@ -41,10 +41,10 @@ class Model:
     def __init__(self, blocks: int, id_bits: int) -> None:
         self.symbols = 2 + id_bits + 1
         self.rows = np.arange(blocks)
-        self.next1 = np.full(blocks * SLOTS1, -1, dtype=np.int64)
-        self.next2 = np.full(blocks * SLOTS2, -1, dtype=np.int64)
-        self.sure1 = np.zeros(blocks * SLOTS1, dtype=np.int64)
-        self.sure2 = np.zeros(blocks * SLOTS2, dtype=np.int64)
+        self.next1 = np.full(blocks * SLOTS1, -1, dtype=np.int32)
+        self.next2 = np.full(blocks * SLOTS2, -1, dtype=np.int32)
+        self.sure1 = np.zeros(blocks * SLOTS1, dtype=np.int8)
+        self.sure2 = np.zeros(blocks * SLOTS2, dtype=np.int8)
         self.base = np.full((blocks, self.symbols), 4, dtype=np.int32)
         self.mixed = np.zeros((blocks * 16, self.symbols), dtype=np.int32)
         self.last = np.zeros(blocks, dtype=np.int64)
@@ -58,7 +58,7 @@ class Model:
         self.at1 = self.rows * SLOTS1 + one
         self.at2 = self.rows * SLOTS2 + two
         self.guess1, self.guess2 = self.next1.take(self.at1), self.next2.take(self.at2)
-        self.context = self.rows * 16 + self.sure2.take(self.at2) * 4 + self.sure1.take(self.at1)
+        self.context = self.rows * 16 + self.sure2.take(self.at2) * np.int8(4) + self.sure1.take(self.at1)
         sums = self.mixed.take(self.context, axis=0)
         sums += self.base
         return np.cumsum(sums, axis=1, out=sums)

@@ -18,7 +18,7 @@ import regex
 from placegauge.llm.common import made_once
 
 PART_CACHE = 400_000
-PIECE_CACHE = 1_000_000
+PIECE_CACHE = 600_000
 END_ID = 2
 
 # Fixed value: how a byte-level BPE cuts a text before merging.
