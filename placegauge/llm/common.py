@@ -172,6 +172,25 @@ def joined_digest(values: Column) -> Column:
     return F.sha2(F.concat_ws(",", F.array_sort(values)), 256)
 
 
+def spanning(i: np.ndarray, j: np.ndarray, size: int) -> list[int]:
+    """Numbers of links that connect what all links connect."""
+    root = list(range(size))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    tree = []
+    for number, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            tree.append(number)
+    return tree
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``(node, component)`` of every node in ``edges(src, dst)``: the smallest id reachable.
 

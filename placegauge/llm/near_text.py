@@ -10,8 +10,9 @@ full sets.  Equal bands miss a pair of similarity 0.8 with probability (1 - 0.8*
 Candidates are not all pairs of a band.  First every document is compared with the smallest id of
 each of its bands, and what that links becomes one component.  Only bands that still hold several
 components are searched for pairs between components, in blocks of bounded size; such a pair is
-taken in the first band that it shares, and not at all if the distances of both to a document that
-both were compared with rule it out (Jaccard distance is a metric).
+taken in the first band that it shares.  Documents that were compared with the same one before carry
+their difference to it, and two such differences give the exact similarity without the texts; only
+other pairs are passed on to be confirmed.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; fewer
 words than a shingle are one shingle; rows with one doc_id are one document with several texts;
@@ -38,6 +39,7 @@ from placegauge.llm.common import (
     lower_words,
     mixed,
     signed,
+    spanning,
 )
 
 PERCENT = 80
@@ -141,8 +143,17 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return arrow_rows(rows.select("a", "b", "sa", "sb"), test, "a bigint, b bigint")
 
 
+COMPARED = (
+    "a bigint, b bigint, similar boolean, size_a bigint, size_b bigint, missing binary, added binary"
+)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """``a, b, similar, distance`` on the full sets; texts travel, as they compress well."""
+    """Comparison of the full sets; texts travel, as they compress well.
+
+    ``missing`` has a bit for each shingle of ``b``, in the order of their hashes, that ``a`` has
+    not; ``added`` has the hashes of ``a`` that ``b`` has not.
+    """
     # Never by broadcast: the larger side grows with the corpus whatever the smaller one does.
     texts = texts.hint("merge")
     rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(
@@ -151,64 +162,115 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     def test(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         known, windows = WordHashes(), Windows(0xE7037ED1A0B428DB)
-        similar, distance, last = [], [], (None, None)
+        columns, last = [[] for _ in range(5)], (None, None)
         for ta, tb in zip(batch["ta"], batch["tb"], strict=True):
             text = tb.as_py()
             if last[0] != text:
                 last = (text, shingles(text, size, known, windows))
             one, two = shingles(ta.as_py(), size, known, windows), last[1]
-            both = len(np.intersect1d(one, two, assume_unique=True))
+            missing = ~np.isin(two, one, assume_unique=True)
+            added = one[~np.isin(one, two, assume_unique=True)]
+            both = len(one) - len(added)
             union = len(one) + len(two) - both
-            similar.append(bool(union) and 100 * both >= percent * union)
-            distance.append(1 - both / union if union else 1.0)
+            made = (bool(union) and 100 * both >= percent * union, len(one), len(two),
+                    np.packbits(missing).tobytes(), added.tobytes())
+            for column, value in zip(columns, made, strict=True):
+                column.append(value)
+        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays(
-            [batch["a"], batch["b"], pa.array(similar, pa.bool_()), pa.array(distance, pa.float64())],
-            ["a", "b", "similar", "distance"],
+            [batch["a"], batch["b"], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
+            ["a", "b", "similar", "size_a", "size_b", "missing", "added"],
         )
 
-    return arrow_rows(
-        rows.select("a", "b", "ta", "tb"), test, "a bigint, b bigint, similar boolean, distance double"
-    )
+    return arrow_rows(rows.select("a", "b", "ta", "tb"), test, COMPARED)
+
+
+class Family:
+    """Rows of a block that were all compared with the same document."""
+
+    def __init__(self, whole: int, missing: list[bytes], added: list[bytes]) -> None:
+        width = -(-whole // 8)
+        self.whole = whole
+        self.missing = np.zeros((len(missing), width), dtype=np.uint8)
+        owners: dict[int, list[int]] = {}
+        self.added = []
+        for row, (bits, hashes) in enumerate(zip(missing, added, strict=True)):
+            if bits:
+                self.missing[row] = np.frombuffer(bits, dtype=np.uint8)
+            self.added.append(np.frombuffer(hashes, dtype=np.uint64).tolist())
+            for value in self.added[-1]:
+                owners.setdefault(value, []).append(row)
+        self.shared = {value: rows for value, rows in owners.items() if len(rows) > 1}
+
+    def intersections(self, row: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of one row with others."""
+        gone = np.bitwise_count(self.missing[others] | self.missing[row]).sum(axis=1, dtype=np.int64)
+        common = np.zeros(len(self.missing), dtype=np.int64)
+        for value in self.added[row]:
+            if value in self.shared:
+                common[self.shared[value]] += 1
+        return self.whole - gone + common[others]
 
 
 def across(blocks: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components out of sorted rows of block pairs.
+    """``a, b, linked``: pairs of different components out of sorted rows of block pairs.
 
-    Rows ``band, bi, bj, own (which block), doc_id, component, pivot, distance, keys, sketch``,
-    sorted by the first four; a block pair may go on in the next batch.
+    Pairs with known differences are decided here, and enough of the links to connect what all of
+    them connect are passed on; the others are likely pairs, still to be confirmed.  Rows come
+    sorted by ``band, bi, bj``; a block pair may go on in the next batch.
     """
-    least, reach = least_agreements(percent), 1 - percent / 100 + 1e-9
+    least = least_agreements(percent)
 
-    def pairs_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, part, pivot, far, own = (
-            group[c].to_numpy() for c in ("doc_id", "component", "pivot", "distance", "own")
+    def pairs_of(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        ids, part, pivot, own, sizes, wholes = (
+            group[c].to_numpy() for c in ("doc_id", "component", "pivot", "own", "size", "pivot_size")
         )
         sketches = words_of(group["sketch"].combine_chunks())
         keys = np.frombuffer(b"".join(group["keys"].to_pylist()), dtype=np.uint32).reshape(len(ids), -1)
+        missing, added = group["missing"].to_pylist(), group["added"].to_pylist()
+        families, place = {}, np.zeros(len(ids), dtype=np.int64)
+        for name in np.unique(pivot).tolist():
+            rows = np.flatnonzero(pivot == name)
+            place[rows] = np.arange(len(rows))
+            families[name] = Family(
+                int(wholes[rows[0]]), [missing[r] for r in rows], [added[r] for r in rows]
+            )
         band = int(group["place"][0].as_py())
         alone = group["bi"][0] == group["bj"][0]
         left = np.arange(len(ids)) if alone else np.flatnonzero(own == 0)
         right = left if alone else np.flatnonzero(own == 1)
-        out = []
+        links, open_pairs = [], []
         for i in left:
             j = right[ids[right] > ids[i]] if alone else right
             j = j[part[j] != part[i]]
-            j = j[(pivot[j] != pivot[i]) | (np.abs(far[j] - far[i]) <= reach)]
-            j = j[agreements(sketches[j], sketches[i]) >= least]
             j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]  # met in an earlier band
-            out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
-        found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
-        return found[0], found[1]
+            near = j[pivot[j] == pivot[i]]
+            if len(near):
+                both = families[int(pivot[i])].intersections(int(place[i]), place[near])
+                near = near[100 * both >= percent * (sizes[i] + sizes[near] - both)]
+                links.append(np.stack([np.full(len(near), i), near]))
+            far = j[pivot[j] != pivot[i]]
+            far = far[agreements(sketches[far], sketches[i]) >= least]
+            open_pairs.append(np.stack([np.full(len(far), i), far]))
+        if links:
+            found = np.concatenate(links, axis=1)
+            found = found[:, spanning(found[0], found[1], len(ids))]
+            yield ids[found[0]], ids[found[1]], True
+        if open_pairs:
+            found = np.concatenate(open_pairs, axis=1)
+            yield ids[found[0]], ids[found[1]], False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
             rest = pa.concat_tables([rest, table]) if rest is not None else table
             marks = group_starts(rest)
-            yield from emit(rest, [*marks])
-            rest = rest.slice(marks[-1]) if marks else None
-        if rest is not None and rest.num_rows:
+            yield from emit(rest, marks)
+            rest = rest.slice(marks[-1])
+        if rest is not None:
             yield from emit(rest, [0, rest.num_rows])
 
     def group_starts(table: pa.Table) -> list[int]:
@@ -219,11 +281,14 @@ def across(blocks: DataFrame, percent: int) -> DataFrame:
 
     def emit(table: pa.Table, marks: list[int]) -> Iterator[pa.RecordBatch]:
         for low, high in zip(marks, marks[1:], strict=False):
-            a, b = pairs_of(table.slice(low, high - low))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for a, b, linked in pairs_of(table.slice(low, high - low)):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([linked] * len(a))],
+                        ["a", "b", "linked"],
+                    )
 
-    return blocks.mapInArrow(run, "a bigint, b bigint")
+    return blocks.mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
 def classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -234,7 +299,7 @@ def classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     firsts = known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     # Both columns: the rows of one large class are dealt to all tasks.
     reps = known.join(firsts, ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
-    reps = keep(reps.select("doc_id", "bands", "sketch"), "near-classes")
+    reps = keep(reps.select("doc_id", "n_shingles", "bands", "sketch"), "near-classes")
 
     # Hashes of bands include the band, so one number names a bucket.
     rows = reps.select("doc_id", F.posexplode("bands").alias("place", "band"))
@@ -250,17 +315,19 @@ def classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     links = tested.where("similar").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     linked = components(links, "near-first")
 
-    # The smallest document that each was compared with, and the distance to it (0 to itself).
-    seats = tested.groupBy("a").agg(F.min(F.struct("b", "distance")).alias("s")).select(
-        F.col("a").alias("doc_id"), F.col("s.b").alias("seat"), F.col("s.distance").alias("distance")
-    )
+    # The smallest document that each was compared with, and the difference to it.
+    seats = tested.groupBy("a").agg(
+        F.min(F.struct("b", "size_b", "size_a", "missing", "added")).alias("s")
+    ).select(F.col("a").alias("doc_id"), "s.*")
+    empty = F.lit(b"")
     state = (
-        reps.select("doc_id", "sketch", "bands")
-        .join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        reps.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .join(seats, "doc_id", "left")
         .select(
             "doc_id", "sketch", "bands", F.coalesce("component", "doc_id").alias("component"),
-            F.coalesce("seat", "doc_id").alias("pivot"), F.coalesce("distance", F.lit(0.0)).alias("distance"),
+            F.coalesce("b", "doc_id").alias("pivot"), F.coalesce("size_b", "n_shingles").alias("pivot_size"),
+            F.coalesce("size_a", "n_shingles").alias("size"), F.coalesce("missing", empty).alias("missing"),
+            F.coalesce("added", empty).alias("added"),
         )
     )
     state = keep(state, "near-state")
@@ -279,13 +346,15 @@ def classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
         (F.col("mine") > F.col("other")).cast("int").alias("own"),
     )
     attached = blocks.join(state, "doc_id").select(
-        "band", "bi", "bj", "own", "place", "doc_id", "component", "pivot", "distance", "sketch", "bands"
+        "band", "bi", "bj", "own", "place", "doc_id", "component", "pivot", "pivot_size", "size",
+        "missing", "added", "sketch", "bands",
     )
     attached = short_keys(attached)
     dealt = attached.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj", "own")
     more = keep(across(dealt, percent).distinct(), "near-across")
-    tested = confirmed(more, texts, size, percent)
-    late = tested.where("similar").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    tested = confirmed(more.where("not linked").select("a", "b"), texts, size, percent)
+    late = more.where("linked").select("a", "b").union(tested.where("similar").select("a", "b"))
+    late = late.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     every = components(links.union(late), "near-last")
     return seen, every
 

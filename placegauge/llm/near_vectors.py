@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placegauge.llm.common import arrow_rows, components, keep, lists, mixed, signed
+from placegauge.llm.common import arrow_rows, components, keep, lists, mixed, signed, spanning
 
 COSINE = 0.93
 TABLES, PROBES = 10, 3
@@ -175,25 +175,6 @@ def first_shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return found
 
 
-def spanning(i: np.ndarray, j: np.ndarray, size: int) -> list[int]:
-    """Numbers of links that connect what all links connect."""
-    root = list(range(size))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    tree = []
-    for number, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        x, y = top(x), top(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            tree.append(number)
-    return tree
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row."""
     seen = keep(summaries(vectors), "vector-summaries")
