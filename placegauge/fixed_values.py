@@ -51,7 +51,6 @@ ROLE_CANDIDATES = {
 }
 GEOJSON_LAT = "緯度"
 GEOJSON_LNG = "経度"
-SAMPLE_ROWS = 50
 READABLE_FORMATS = ("csv", "geojson", "json")
 
 # --- fixed values: facility filters ----------------------------------------------------------
@@ -129,8 +128,6 @@ DATASET_MIN_LIST = 0.45
 DATASET_REJECT_LIST = 0.3
 FACILITY_MIN_CONFIDENCE = 0.5
 MIXED = "mixed"
-DESCRIBED_FILES = 12
-DESCRIBED_FIELDS = 15
 
 # --- fixed values: ridership and rail sites ----------------------------------------------------
 ERA_START = {"令和": 2018, "平成": 1988}

@@ -38,7 +38,8 @@ def searched_text(packages: DataFrame) -> Column:
 def candidates(packages: DataFrame, definitions=fv.FEATURE_DEFINITIONS) -> DataFrame:
     """One row per (feature, package id) with a keyword anywhere in the package.
 
-    All keywords of all features are tried in one pass over the packages.
+    All keywords of all features are tried in one pass over the packages.  Of several packages with
+    one id the first by content stays, the same one whatever the order of the rows.
     """
     text = searched_text(packages)
     found = F.array_compact(
@@ -46,13 +47,13 @@ def candidates(packages: DataFrame, definitions=fv.FEATURE_DEFINITIONS) -> DataF
             *[F.when(contains_any(text, d["keywords"]), F.lit(f)) for f, d in definitions.items()]
         )
     )
-    return (
-        packages.withColumn("__features", found)
-        .where(F.size("__features") > 0)
-        .withColumn("feature", F.explode("__features"))
-        .drop("__features")
-        .dropDuplicates(["feature", "id"])
+    rows = packages.withColumn("__features", found).where(F.size("__features") > 0)
+    whole = F.struct(*packages.columns)
+    # Packages move once, before they are copied to their features.
+    one = rows.groupBy("id").agg(
+        F.min_by(F.struct("__features", *packages.columns), F.to_json(whole)).alias("p"),
     )
+    return one.select("p.*").withColumn("feature", F.explode("__features")).drop("__features")
 
 
 def resource_order(resource: Column, keywords, pos: Column) -> Column:

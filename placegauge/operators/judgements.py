@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placegauge import fixed_values as fv
 from placegauge.functions.rounding import round_half_even
 from placegauge.functions.signals import classifier_verdict
+from placegauge.operators.skew import split_join
 from placegauge.session import cut
 
 GATES = (0.5, 0.6, 0.7, 0.8, 0.9)
@@ -27,8 +28,14 @@ def judgement_key(state: Column, questions: Column) -> Column:
 
 
 def split_by_store(asked: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(answered, distinct open questions): hits carry the stored answer, misses are to be asked."""
-    return asked.join(store, "key"), asked.join(store, "key", "left_anti").dropDuplicates(["key"])
+    """(answered, distinct open questions): hits carry the stored answer, misses are to be asked.
+
+    A popular question is split; of equal keys the first row by content is asked.
+    """
+    whole = F.struct(*asked.columns)
+    answered = split_join(asked, store, ["key"], whole)
+    first = asked.groupBy("key").agg(F.min_by(whole, F.to_json(whole)).alias("q"))
+    return answered, first.join(store, "key", "left_anti").select("q.*")
 
 
 def add_to_store(store: DataFrame, answers: DataFrame) -> DataFrame:
@@ -179,8 +186,10 @@ def call_costs(calls: DataFrame, price_per_million: float) -> DataFrame:
     )
 
 
-def dataset_descriptors(entries: DataFrame) -> DataFrame:
-    """What a dataset is described by when it is judged: the first files and columns only.
+def dataset_descriptors(
+    entries: DataFrame, files: int | None = None, fields: int | None = None
+) -> DataFrame:
+    """What a dataset is described by when it is judged; ``files`` and ``fields`` may limit both.
 
     ``entries``: feature, dataset_id, name, organization, files array<string>, fields array<string>.
     """
@@ -189,6 +198,8 @@ def dataset_descriptors(entries: DataFrame) -> DataFrame:
         "dataset_id",
         "name",
         "organization",
-        F.slice("files", 1, fv.DESCRIBED_FILES).alias("files"),
-        F.slice("fields", 1, fv.DESCRIBED_FIELDS).alias("fields"),
+        *[
+            (F.slice(name, 1, most) if most is not None else F.col(name)).alias(name)
+            for name, most in (("files", files), ("fields", fields))
+        ],
     )

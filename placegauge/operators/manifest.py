@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,8 +110,10 @@ def status_counts(entries: DataFrame) -> DataFrame:
     )
 
 
-def replace_features(existing: DataFrame, entries: DataFrame) -> DataFrame:
-    """All entries of the new features replaced, every other feature untouched."""
-    renewed = entries.select("feature").distinct()
-    others = existing.join(renewed, "feature", "left_anti")
-    return others.unionByName(entries, allowMissingColumns=True)
+def replace_features(
+    existing: DataFrame, entries: DataFrame, searched: Iterable[str]
+) -> DataFrame:
+    """All entries of the searched features replaced, also of those now without a hit; every other
+    feature untouched."""
+    renewed = F.coalesce(F.col("feature").isin(*searched), F.lit(False))
+    return existing.where(~renewed).unionByName(entries, allowMissingColumns=True)

@@ -20,7 +20,7 @@ def _near(
 ) -> DataFrame:
     """Each site with each point at most ``radius_m`` away (rim included), plus ``metres``.
 
-    Cells that hold very many points are split by the points' ``spread`` columns.
+    Cells that hold very many points or sites are split on the side that has them.
     """
     site_cells = (
         project(sites.select("site_id", "lat", "lng"), "lat", "lng", "sx", "sy")
@@ -40,7 +40,10 @@ def _near(
         .withColumn("cy", cell_index(F.col("fy"), radius_m))
     )
     return (
-        split_join(point_cells, site_cells, ["cx", "cy"], F.struct("fx", "fy", *spread), min_rows=hot)
+        split_join(
+            point_cells, site_cells, ["cx", "cy"], F.struct("fx", "fy", *spread), part_rows=hot,
+            other_spread=F.col("site_id"),
+        )
         .transform(
             with_computed, {"metres": planar_m(*[F.col(c) for c in ("sx", "sy", "fx", "fy")])}
         )

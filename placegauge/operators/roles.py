@@ -88,15 +88,19 @@ def valid_coordinates(lat: Column, lng: Column) -> Column:
 
 
 def fill_rates(
-    records: DataFrame, roles: DataFrame, datasets: DataFrame, hot_rows: int | None = None
+    records: DataFrame,
+    roles: DataFrame,
+    datasets: DataFrame,
+    hot_rows: int | None = None,
+    head_rows: int | None = None,
 ) -> DataFrame:
-    """(dataset_id, sample_size, total, coord_fill, address_fill) over the first rows of each.
+    """(dataset_id, sample_size, total, coord_fill, address_fill) over all rows of each.
 
-    Row numbers come from the scan, so the head of a dataset is a plain filter inside one
-    grouping.  A rate is null when its column is missing and 0.0 when there are no rows.
+    ``head_rows`` asks for the first rows alone; their numbers come from the scan, so that is a
+    plain filter inside one grouping.  A rate is null when its column is missing and 0.0 when there are no rows.
     """
     cell = {r: F.element_at("rec", F.col(f"{r}_field")) for r in ("lat", "lng", "address")}
-    head = F.col("row_no") <= fv.SAMPLE_ROWS
+    head = F.lit(True) if head_rows is None else F.col("row_no") <= head_rows
     has_coords = valid_coordinates(number(cell["lat"]), number(cell["lng"]))
     has_address = F.coalesce(strip(cell["address"]) != "", F.lit(False))
     counted = (

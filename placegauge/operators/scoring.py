@@ -1,7 +1,7 @@
 """Relative scoring on the long matrix (site_id, feature, raw).
 
-No step sorts all sites in one task: ranks are taken over the histogram of values, which is cut
-into order-preserving buckets, and looked up by value.
+No step sorts all sites in one task: ranks are taken over the histogram of values, which is dealt
+by ranges, and looked up by value.
 """
 
 from __future__ import annotations
@@ -17,53 +17,38 @@ from placegauge.functions.staging import with_computed
 from placegauge.operators.skew import split_join
 from placegauge.session import cut
 
-# Buckets per factor e of the value; log1p never decreases, so bucket order is value order.
-_BUCKETS_PER_E = 256.0
-
-
-def _value_bucket(value: Column) -> Column:
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(_BUCKETS_PER_E))
-
 
 def value_histogram(values: DataFrame) -> DataFrame:
-    """(feature, raw, equal, bucket) for each distinct non-null value of each feature."""
+    """(feature, raw, equal) for each distinct non-null value of each feature."""
     return (
         values.where(F.col("raw").isNotNull())
         .groupBy("feature", "raw")
         .agg(F.count(F.lit(1)).alias("equal"))
-        .withColumn("bucket", _value_bucket(F.col("raw")))
     )
 
 
 def value_ranks(histogram: DataFrame) -> DataFrame:
     """(feature, raw, below, equal, n) from a value histogram; ``below`` counts smaller values.
 
-    The cumulative sums run over buckets (at most some hundred thousand, whatever the data) and
-    over the distinct values inside one bucket.
+    Spark deals the distinct values by ranges that it samples from them, so ranges hold about as
+    many values each however narrow or skewed the values are.  Sums over ranges, one row for each
+    partition and feature, give where a range starts; inside a range values are summed in order.
     """
-    before = Window.partitionBy("feature").orderBy("bucket")
-    buckets = (
-        histogram.groupBy("feature", "bucket")
-        .agg(F.sum("equal").alias("in_bucket"))
-        .withColumn(
-            "offset",
-            F.coalesce(
-                F.sum("in_bucket").over(before.rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ),
-        )
-        .withColumn("n", F.sum("in_bucket").over(Window.partitionBy("feature")))
-        .drop("in_bucket")
+    ranged = cut(
+        histogram.repartitionByRange("feature", "raw").withColumn("range", F.spark_partition_id())
+    )
+    before = Window.partitionBy("feature").orderBy("range")
+    ranges = (
+        ranged.groupBy("feature", "range")
+        .agg(F.sum("equal").alias("in_range"))
+        .withColumn("offset", F.sum("in_range").over(before) - F.col("in_range"))
+        .withColumn("n", F.sum("in_range").over(Window.partitionBy("feature")))
+        .drop("in_range")
     )
-    inside = Window.partitionBy("feature", "bucket").orderBy("raw")
+    inside = Window.partitionBy("feature", "range").orderBy("raw")
     return (
-        histogram.withColumn(
-            "inside",
-            F.coalesce(
-                F.sum("equal").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
-        .join(buckets, ["feature", "bucket"])
+        ranged.withColumn("inside", F.sum("equal").over(inside) - F.col("equal"))
+        .join(ranges, ["feature", "range"])
         .select("feature", "raw", (F.col("offset") + F.col("inside")).alias("below"), "equal", "n")
     )
 

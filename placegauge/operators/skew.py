@@ -2,10 +2,14 @@
 
 Spark's adaptive skew handling works on finished shuffle partitions and not in every plan; these
 joins do not depend on it.  The rows per key are counted first (summed per task before anything is
-shuffled).  The at most ``HOT_KEYS`` largest keys are cut into parts by a hash of the row, and the
-other side is copied to those parts, for those keys only.  Any other key holds less than one
-``HOT_KEYS``-th of the rows.  The counting is a second pass over ``rows``: hand in a written or
-checkpointed table, not a long computation.
+shuffled).  A key with more rows than a part should have is cut into as many parts as its rows
+need, and the other side is copied to those parts, for such keys only; ``both`` counts and cuts the
+other side too, so that a key that is large on both sides becomes a grid of parts.
+
+A part has ``PART_ROWS`` rows, or one ``HOT_KEYS``-th of all rows if that is more; so at most
+``HOT_KEYS`` keys are cut on each side, which bounds what is broadcast, and no task gets more than
+that share.  The counting is a second pass: hand in a written or checkpointed table, not a long
+computation.
 """
 
 from __future__ import annotations
@@ -13,20 +17,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000
-HOT_PARTS = 64
-HOT_ROWS = 100_000
+HOT_KEYS = 10_000
+PART_ROWS = 100_000
 
 
 def hot_keys(
-    rows: DataFrame, keys: list[str], min_rows: int | None = None, counts: DataFrame | None = None
+    rows: DataFrame, keys: list[str], part_rows: int | None = None, counts: DataFrame | None = None
 ) -> DataFrame:
-    """The largest keys with at least ``min_rows`` rows; at most HOT_KEYS, keys non-null."""
+    """``keys`` and ``__parts`` of every key that needs several parts; non-null keys only."""
     if counts is None:
         counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    large = counts.where(F.col("__n") >= (HOT_ROWS if min_rows is None else min_rows))
-    top = large.orderBy(F.desc("__n"), *keys).limit(HOT_KEYS)
-    return top.select(*keys, F.lit(True).alias("__hot"))
+    whole = F.broadcast(counts.agg(F.sum("__n").alias("__all")))  # one row
+    size = F.greatest(F.lit(part_rows or PART_ROWS), F.ceil(F.col("__all") / HOT_KEYS))
+    parts = F.ceil(F.col("__n") / size).cast("int")
+    return counts.crossJoin(whole).select(*keys, parts.alias("__parts")).where("__parts > 1")
 
 
 def split_join(
@@ -35,25 +39,45 @@ def split_join(
     keys: list[str],
     spread: Column,
     how: str = "inner",
-    min_rows: int | None = None,
+    part_rows: int | None = None,
     counts: DataFrame | None = None,
+    other_spread: Column | None = None,
 ) -> DataFrame:
     """``rows`` joined with ``other`` on ``keys``; inner or left.
 
     ``spread`` is anything that differs between rows of one key.  With ``how="left"``, rows with a
     null key keep their place by their own hash instead of meeting in one task.  ``counts`` (keys
-    and ``__n``) saves the counting where the rows per key are known.
+    and ``__n``) saves the counting where the rows per key are known.  ``other_spread`` has the
+    other side counted and cut as well (inner joins).
     """
-    hot = F.broadcast(hot_keys(rows, keys, min_rows, counts))  # at most HOT_KEYS rows
-    is_hot = F.coalesce("__hot", F.lit(False))
-    part = F.pmod(F.xxhash64(spread), F.lit(HOT_PARTS)).cast("int")
+    hot = hot_keys(rows, keys, part_rows, counts).withColumnRenamed("__parts", "__across")
+    if other_spread is not None:
+        if how != "inner":
+            raise ValueError("only inner joins cut both sides")
+        down = hot_keys(other, keys, part_rows).withColumnRenamed("__parts", "__down")
+        hot = hot.join(down, keys, "full")
+    else:
+        hot = hot.withColumn("__down", F.lit(1))
+    hot = F.broadcast(hot)  # at most HOT_KEYS rows for each side
+    across, down = F.coalesce("__across", F.lit(1)), F.coalesce("__down", F.lit(1))
+
+    def number(of: Column, parts: Column) -> Column:
+        return F.pmod(F.xxhash64(of), parts).cast("int")
+
+    def every(parts: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), parts.cast("int") - 1))
+
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
     left = rows.join(hot, keys, "left").withColumn(
-        "__part", F.when(is_hot | no_key, part + 1).otherwise(0)
+        "__a", F.when(no_key, number(spread, F.lit(1 << 16))).otherwise(number(spread, across))
     )
-    copies = F.when(is_hot, F.sequence(F.lit(1), F.lit(HOT_PARTS))).otherwise(F.array(F.lit(0)))
-    right = other.join(hot, keys, "left").withColumn("__part", F.explode(copies))
-    joined = left.drop("__hot").join(right.drop("__hot"), [*keys, "__part"], how)
-    return joined.drop("__part")
+    right = other.join(hot, keys, "left").withColumn("__a", every(across))
+    on = [*keys, "__a"]
+    if other_spread is not None:
+        left = left.withColumn("__d", every(down))
+        right = right.withColumn("__d", number(other_spread, down))
+        on.append("__d")
+    joined = left.drop("__across", "__down").join(right.drop("__across", "__down"), on, how)
+    return joined.drop("__a", "__d")

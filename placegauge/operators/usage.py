@@ -53,12 +53,22 @@ def table_columns(datasets: DataFrame) -> DataFrame:
     )
 
 
+def table_problems(datasets: DataFrame) -> DataFrame:
+    """(rule, key): yearbook tables without a column that every table must have.
+
+    Their rows would be missing from sums that call themselves complete.
+    """
+    needed = {"year_field": "no year", "station_field": "no station", "boarding_field": "no passengers"}
+    absent = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(r)) for c, r in needed.items()]))
+    return table_columns(datasets).select(F.explode(absent).alias("rule"), F.col("dataset_id").alias("key"))
+
+
 def yearbook_rows(records: DataFrame, datasets: DataFrame) -> DataFrame:
     """Typed rows of station tables: every row with a year, value null where it is no number."""
     columns = table_columns(datasets).where(
         "year_field IS NOT NULL AND station_field IS NOT NULL AND boarding_field IS NOT NULL"
     )
-    joined = records.join(columns, "dataset_id")
+    joined = split_join(records, columns, ["dataset_id"], F.col("row_no"))
     value = {
         name: F.nullif(F.element_at("rec", F.col(f"{name}_field")), F.lit(""))
         for name in ("year", "station", "english", "boarding", "line", "company")
@@ -131,7 +141,7 @@ def english_names(rows: DataFrame, table_order: str = "table_name") -> DataFrame
 def latest_rows_per_table(rows: DataFrame) -> DataFrame:
     """Rows of each table's own latest fiscal year."""
     latest = rows.groupBy("table_name").agg(F.max("fiscal_year").alias("fiscal_year"))
-    return rows.join(latest, ["table_name", "fiscal_year"]).where(
+    return split_join(rows, latest, ["table_name", "fiscal_year"], F.col("row_no")).where(
         "station IS NOT NULL AND thousands IS NOT NULL"
     )
 

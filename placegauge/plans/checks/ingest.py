@@ -221,18 +221,15 @@ _VALID = (
 @check(
     "fill_rates",
     select(
-        f"""SELECT dataset_id, count(*) FILTER (head) AS sample_size, count(*) AS total,
-          coalesce({sql_round('count(*) FILTER (head AND valid) / nullif(count(*) FILTER (head), 0)', 3)}, 0)
-            AS coord_fill,
-          CASE WHEN any_value(style) <> 4 THEN coalesce({sql_round(
-            'count(*) FILTER (head AND has_address) / nullif(count(*) FILTER (head), 0)', 3)}, 0) END
-            AS address_fill
-        FROM (SELECT *, k % 100 + 1 <= 50 AS head, {_VALID} AS valid FROM listing) GROUP BY 1""",
+        f"""SELECT dataset_id, count(*) AS sample_size, count(*) AS total,
+          {sql_round('count(*) FILTER (valid) / count(*)', 3)} AS coord_fill,
+          CASE WHEN any_value(style) <> 4 THEN {sql_round(
+            'count(*) FILTER (has_address) / count(*)', 3)} END AS address_fill
+        FROM (SELECT *, {_VALID} AS valid FROM listing) GROUP BY 1""",
         "listing",
     ),
 )
 def fill_rates(t: Tables) -> DataFrame:
-    """Half of the rows are numbered beyond the head sample."""
     return roles.fill_rates(
         records(t, F.col("k") % 100 + 1), roles.role_table(datasets(t)), datasets(t)
     )

@@ -86,7 +86,7 @@ def discover(
         entries = manifest.apply_overrides(entries, overrides)
     else:
         entries = entries.withColumn("review", F.lit(None).cast("struct<status string, note string>"))
-    merged = cut(entries if existing is None else manifest.replace_features(existing, entries))
+    merged = cut(entries if existing is None else manifest.replace_features(existing, entries, settings.definitions))
     quality.require_clean(quality.manifest_violations(merged), "manifest")
     return merged
 
@@ -243,8 +243,13 @@ def station_sites(
     return master
 
 
-def ridership(site_table: DataFrame, rows: DataFrame) -> DataFrame:
-    """Usage as an aggregate like those of the facility features."""
+def ridership(site_table: DataFrame, rows: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Usage as an aggregate like those of the facility features.
+
+    ``tables``: the yearbook's datasets; one with unexpected columns ends the job.
+    """
+    if tables is not None:
+        quality.require_clean(usage.table_problems(tables), "yearbook tables")
     return usage.daily_usage(site_table, rows).select(
         "site_id", F.lit("stationUsage").alias("feature"), "status", "count", "lower_bound"
     )

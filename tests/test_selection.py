@@ -2,12 +2,13 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from placegauge.operators import catalog, facilities, judgements, manifest, quality
+from placegauge.operators import catalog, facilities, judgements, manifest, quality, roles, usage
 from placegauge.plans.checks.catalog import RESOURCE
 
 PACKAGE = (
@@ -150,7 +151,9 @@ def test_overrides_and_merge(spark):
                                 "feature string, dataset_id string, status string, note string")
     assert manifest.invalid_overrides(bad).count() == 1
     new = spark.createDataFrame([entry("c", 1.0, "rejected")], ENTRY)
-    merged = manifest.replace_features(data, new)
+    merged = manifest.replace_features(data, new, ["park"])
+    emptied = manifest.replace_features(data, new, ["park", "culture"])
+    assert rows(emptied, "feature", "dataset_id") == [("park", "c")]
     assert rows(merged, "feature", "dataset_id") == [("culture", "a"), ("park", "c")]
     assert rows(manifest.status_counts(merged)) == [("culture", 1, 0, 1, 0), ("park", 1, 0, 0, 1)]
     twice = quality.manifest_violations(data.unionByName(data.where("feature = 'culture'")))
@@ -247,3 +250,35 @@ def test_report_states(spark):
             ok["unlocated"]) == (3, 1, 1, 1, 1, 1)
     assert got["scope"]["unlocated"] == 1 and got["outside"]["unlocated"] == 0
     assert got["failed"]["rows"] is None and got["failed"]["error"] == "x"
+
+
+def test_descriptors_and_public_fields(spark):
+    data = spark.createDataFrame(
+        [("park", "d", "n", "o", [f"f{k}" for k in range(30)], ["_id", "name", "_rank", "x_y"])],
+        "feature string, dataset_id string, name string, organization string, files array<string>, "
+        "fields array<string>")
+    whole = judgements.dataset_descriptors(data).first()
+    assert len(whole.files) == 30 and whole.fields == ["_id", "name", "_rank", "x_y"]
+    some = judgements.dataset_descriptors(data, files=2, fields=1).first()
+    assert some.files == ["f0", "f1"] and some.fields == ["_id"]
+    assert roles.public_fields(data).first().fields == ["name", "x_y"]
+
+
+def test_same_survivor_whatever_the_order(spark):
+    asked = [("k", "park", str(n)) for n in range(20)] + [("known", "park", "1")]
+    store = spark.createDataFrame([("known", "yes")], "key string, answer string")
+    found = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(asked)
+        answered, left = judgements.split_by_store(
+            spark.createDataFrame(asked, "key string, feature string, dataset_id string"), store)
+        assert rows(answered, "key", "answer") == [("known", "yes")]
+        found |= set(rows(left))
+    assert found == {("k", "park", "0")}
+
+
+def test_yearbook_table_with_other_columns_is_named(spark):
+    data = spark.createDataFrame(
+        [("good", ["Fiscal year", "駅", "乗車人員 総数"]), ("bad", ["Fiscal year", "Stop", "乗車人員 総数"])],
+        "dataset_id string, fields array<string>")
+    assert rows(usage.table_problems(data)) == [("no station", "bad")]

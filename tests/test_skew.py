@@ -26,10 +26,24 @@ def test_same_as_join(spark, how, least):
     assert rows(got, "id", "k", "v") == rows(left.join(right, "k", how), "id", "k", "v")
 
 
-def test_hot_key_is_spread(spark):
+@pytest.mark.parametrize("least", [1, 2, 50, 10**9])
+def test_both_sides_cut(spark, least):
     left, right = tables(spark)
-    hot = rows(skew.hot_keys(left, ["k"], 80))
-    assert hot == [("hot", True)]
+    right = right.unionByName(spark.range(40).selectExpr("'hot' as k", "cast(id + 10 as int) as v"))
+    got = skew.split_join(left, right, ["k"], F.col("id"), "inner", least, other_spread=F.col("v"))
+    assert rows(got, "id", "k", "v") == rows(left.join(right, "k"), "id", "k", "v")
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    left, _ = tables(spark)
+    assert rows(skew.hot_keys(left, ["k"], 30)) == rows(
+        left.where("k is not null").groupBy("k").count().selectExpr("k", "cast(ceil(count / 30) as int) p").where("p > 1"))
+    many = spark.range(6000).selectExpr("cast(id % 2000 as string) as k")
+    assert skew.hot_keys(many, ["k"], 1).count() == 2000
+    # No more keys than can be broadcast: parts grow instead.
+    monkeypatch.setattr(skew, "HOT_KEYS", 4)
+    uneven = many.unionByName(spark.range(6000).selectExpr("'big' as k"))
+    assert rows(skew.hot_keys(uneven, ["k"], 1)) == [("big", 2)]
 
 
 def test_operators_with_split_keys(spark):
