@@ -62,14 +62,24 @@ def normalise(
     )
 
 
-def unreadable(entries: DataFrame, roles: DataFrame) -> DataFrame:
-    """Accepted entries that fail: format not readable, or no name column."""
+def unreadable(
+    entries: DataFrame, roles: DataFrame, file_errors: DataFrame | None = None
+) -> DataFrame:
+    """Accepted entries that fail: format not readable, file not readable, or no name column."""
     bad_format = ~F.lower(F.coalesce("format", F.lit(""))).isin(*fv.READABLE_FORMATS)
     checked = entries.join(roles.select("dataset_id", "name_field"), "dataset_id", "left")
     error = F.when(
         bad_format, F.concat(F.lit("unsupported format: "), F.coalesce("format", F.lit("None")))
-    ).when(F.col("name_field").isNull(), F.lit("name column not found"))
-    return checked.withColumn("error", error).where("error IS NOT NULL").drop("name_field")
+    )
+    if file_errors is not None:
+        own = file_errors.select("dataset_id", F.col("error").alias("__file"))
+        checked = checked.join(own, "dataset_id", "left")
+        error = F.coalesce(error, F.col("__file"))
+    error = F.coalesce(
+        error, F.when(F.col("name_field").isNull(), F.lit("name column not found"))
+    )
+    failed = checked.withColumn("error", error).where("error IS NOT NULL")
+    return failed.drop("name_field", "__file")
 
 
 def hard_excluded(name: Column, categories: Column, definition: dict) -> Column:

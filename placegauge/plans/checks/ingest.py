@@ -27,6 +27,7 @@ from placegauge.plans.checks.base import (
     sql_pick,
     sql_round,
 )
+from placegauge.sources import files
 
 select = CTES.select
 
@@ -727,3 +728,24 @@ def rule_predictions(t: Tables) -> DataFrame:
     """What the rules alone would count a row as."""
     answer = facilities.rule_prediction(F.col("name"), F.array("category"))
     return listing(t).where("trim(name) <> ''").select("k", answer.alias("prediction"))
+
+
+@check(
+    "decoded_texts",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16' WHEN 2 THEN 'cp932' END
+        AS encoding,
+      CASE doc_id % 4 WHEN 2 THEN '公園' || regexp_replace(text, '[^\x0A\x20-\x7E]', '', 'g')
+        WHEN 3 THEN NULL ELSE text END AS text FROM documents""",
+)
+def decoded_texts(t: Tables) -> DataFrame:
+    """Texts in three encodings, and bytes that are in none of them."""
+    plain = F.regexp_replace("text", "[^\\x0A\\x20-\\x7E]", "")
+    park = F.unhex(F.lit("8CF68980"))  # the same word in CP932
+    kind = F.col("doc_id") % 4
+    content = (
+        F.when(kind == 0, F.encode("text", "UTF-8"))
+        .when(kind == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+        .when(kind == 2, F.concat(park, F.encode(plain, "US-ASCII")))
+        .otherwise(F.concat(F.encode(plain, "US-ASCII"), F.unhex(F.lit("8120"))))
+    )
+    return files.decoded(t("documents").select("doc_id", content.alias("content")))

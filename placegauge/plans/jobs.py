@@ -108,14 +108,20 @@ def ingest(
     scope: DataFrame | list[str] | None = None,
     judged: DataFrame | None = None,
     settings: Settings = Settings(),
+    file_errors: DataFrame | None = None,
 ) -> Ingested:
-    """Accepted datasets -> located, merged facilities and a report per dataset."""
+    """Accepted datasets -> located, merged facilities and a report per dataset.
+
+    ``file_errors``: (dataset_id, error) of files that could not be read.
+    """
     accepted = manifest_table.where(F.col("status") == "accepted").select(
         "feature", "dataset_id", "organization", "row_filter", "format", "source_url", "resource_url"
     )
     records = cut(records)  # files are parsed once
     table = cut(roles.role_table(datasets))
-    errors = cut(facilities.unreadable(accepted, table).select("feature", "dataset_id", "error"))
+    errors = cut(
+        facilities.unreadable(accepted, table, file_errors).select("feature", "dataset_id", "error")
+    )
     usable = accepted.join(errors, ["feature", "dataset_id"], "left_anti")
     read = cut(facilities.mark_excluded(
         facilities.normalise(records, table, usable), settings.definitions))

@@ -9,10 +9,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     # Split a hot join key even where that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Capturing the Python line of every column call costs more than building these plans.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    # CP932 files: the readers accept only a short charset list otherwise.
-    "spark.sql.legacy.javaCharsets": "true",
 }
 
 
@@ -42,18 +42,13 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
 
 
 def require_checkpoint_folder(spark: SparkSession) -> None:
-    """Make reliable checkpoints possible, or say what to set.
+    """Make reliable checkpoints possible: where no folder is named, beside the tables.
 
-    A local master (tests, laptops) gets a fresh folder of its own; on a cluster the folder has
-    to be shared, so it must be named by ``spark.checkpoint.dir``.
+    The warehouse is shared by driver and executors like ``spark.checkpoint.dir``.
     """
-    if checkpoint_folder(spark):
-        return
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
-
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="placegauge-checkpoint-"))
+    if not checkpoint_folder(spark):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        spark.sparkContext.setCheckpointDir(f"{warehouse}/_checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,25 +1,31 @@
 """Landed open-data files: what arrived, in which encoding, and their rows.
 
-Files lie at ``<folder>/<feature>/<dataset_id>.<format>``.  CSV bytes are parsed by Spark's own
-reader, which streams a file; files are grouped by encoding and header width, so that one read
-has one charset and one schema.  Headers differ per dataset, hence records are string maps.
+Files lie at ``<folder>/<feature>/<dataset_id>.<format>``.  One scan decodes and splits a file and
+numbers its rows, with the header as row 0, so numbers and headers cannot disagree.  Headers differ
+per dataset, hence records are string maps.  A file that cannot be read becomes one row with its
+error; the others are not affected.  Spark hands over the bytes of a file whole, which limits one
+file to 2 GB (quoted line breaks and JSON cannot be cut at arbitrary bytes).
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import codecs
+import csv
+import io
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
 from placegauge.functions.text import strip
+from placegauge.operators.skew import split_join
 
-RECORD_SCHEMA = "dataset_id string, row_no bigint, rec map<string,string>"
-FIELD_SCHEMA = "dataset_id string, fields array<string>"
-CHARSETS = {"utf-16": "UTF-16", "utf-8": "UTF-8", "cp932": "MS932"}
-# The header record: up to the first line break outside quotes.
-_HEADER = '^(?:[^"\r\n]++|"[^"]*+")*+'
+UNDECODABLE = "undecodable bytes"
+NO_HEADER = "no header"
+NO_FEATURES = "no feature collection"
+ROW_BATCH = 5_000
 
 
 def _dataset_of(path: str) -> Column:
@@ -59,14 +65,35 @@ def landing_log(files: DataFrame) -> DataFrame:
     )
 
 
-def encoding_of(content: Column) -> Column:
-    """UTF-16 by its mark, else UTF-8 if the whole file is valid, else CP932."""
-    mark = F.hex(F.substring(content, 1, 2))
-    return (
-        F.when(mark.isin("FFFE", "FEFF"), F.lit("utf-16"))
-        .when(F.is_valid_utf8(content.cast("string")), F.lit("utf-8"))
-        .otherwise(F.lit("cp932"))
-    )
+def decode(content: bytes) -> tuple[str | None, str | None]:
+    """(encoding, text): UTF-16 by its mark, else UTF-8 or CP932, whichever the whole file is."""
+    marked = content[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)
+    for encoding in ("utf-16",) if marked else ("utf-8", "cp932"):
+        try:
+            return encoding, content.decode(encoding).replace("\ufeff", "")
+        except UnicodeDecodeError:
+            continue
+    return None, None
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """``encoding, text`` instead of ``content``; both null where the bytes are in no encoding."""
+    others = [f for f in files.schema if f.name != "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # one file at a time
+                content = batch["content"][k].as_py()
+                encoding, text = decode(content) if content is not None else (None, None)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch[f.name].slice(k, 1) for f in others],
+                     pa.array([encoding], pa.string()), pa.array([text], pa.string())],
+                    [*[f.name for f in others], "encoding", "text"],
+                )
+
+    rows = files.select(*[f.name for f in others], "content")
+    schema = rows.drop("content").schema.add("encoding", "string").add("text", "string")
+    return rows.mapInArrow(run, schema)
 
 
 def readable(files: DataFrame) -> DataFrame:
@@ -74,18 +101,58 @@ def readable(files: DataFrame) -> DataFrame:
     return files.where(F.col("format").isin(*fv.READABLE_FORMATS))
 
 
-def _csv_shapes(files: DataFrame) -> DataFrame:
-    """(path, encoding, width): structure only, so single-byte decoding suffices for CP932."""
-    shaped = files.where(F.col("format") == "csv").select(
-        "path", encoding_of(F.col("content")).alias("encoding"), "content"
-    )
-    text = F.when(
-        F.col("encoding") == "utf-16", F.decode("content", "UTF-16")
-    ).otherwise(F.decode("content", "ISO-8859-1"))
-    header = F.regexp_replace(F.regexp_extract(text, _HEADER, 0), '"[^"]*"', "")
-    return shaped.select(
-        "path", "encoding", (F.length(F.regexp_replace(header, "[^,]", "")) + 1).alias("width")
-    )
+LINES = (
+    "dataset_id string, row_no bigint, fields array<string>, cells array<string>, error string"
+)
+
+
+def _csv_lines(files: DataFrame) -> DataFrame:
+    """Rows of CSV files, blank ones left out; the first is the header and has the fields.
+
+    A row has as many cells as the header, and no row of a file without a header is kept.
+    """
+
+    def lines(dataset: str, content: bytes) -> Iterator[tuple]:
+        encoding, text = decode(content)
+        if encoding is None:
+            yield dataset, None, None, None, UNDECODABLE
+            return
+        csv.field_size_limit(2**31 - 1)
+        width, number = None, 0
+        for row in csv.reader(io.StringIO(text, newline="")):
+            cells = [cell.strip() for cell in row]
+            if not any(cells[:width]):
+                continue
+            if width is None:
+                width = len(cells)
+                yield dataset, 0, cells, None, None
+            else:
+                yield dataset, number, None, (cells + [""] * width)[:width], None
+            number += 1
+        if width is None:
+            yield dataset, None, None, None, NO_HEADER
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+            ["dataset_id", "row_no", "fields", "cells", "error"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dataset, content in zip(batch["dataset_id"], batch["content"], strict=True):
+                held = []
+                for row in lines(dataset.as_py(), content.as_py()):
+                    held.append(row)
+                    if len(held) == ROW_BATCH:
+                        yield batch_of(held)
+                        held = []
+                if held:
+                    yield batch_of(held)
+
+    csv_files = files.where((F.col("format") == "csv") & F.col("content").isNotNull())
+    return csv_files.select("dataset_id", "content").mapInArrow(run, LINES)
 
 
 def _last_of_each(fields: Column) -> Column:
@@ -97,61 +164,27 @@ def _last_of_each(fields: Column) -> Column:
     )
 
 
-def _csv_group(spark: SparkSession, paths: list[str], encoding: str, width: int) -> DataFrame:
-    """(dataset_id, fields, row_no, rec) of files with one encoding and header width."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    cells = F.transform(
-        F.array(*[F.col(f"c{i}") for i in range(width)]),
-        lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\ufeff"), F.lit(""))),
-    )
-    # A file is read whole by one task, so ids are consecutive within it once blank rows are gone.
-    lines = (
-        spark.read.schema(schema)
-        .option("header", "false")
-        .option("multiLine", "true")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", CHARSETS[encoding])
-        .option("maxCharsPerColumn", "-1")
-        .csv(paths)
-        .select(F.col("_metadata.file_path").alias("path"), cells.alias("cells"))
-        .where(F.exists("cells", lambda c: c != ""))
-        .withColumn("id", F.monotonically_increasing_id())
-    )
-    heads = lines.groupBy("path").agg(
-        F.min("id").alias("first"), F.min_by("cells", "id").alias("fields")
-    )
+def _records(lines: DataFrame) -> DataFrame:
+    """Cells of each row by the header of its file."""
     kept = _last_of_each(F.col("fields"))
-    heads = heads.withColumns(
-        {"kept": kept, "keys": F.transform(kept, lambda i: F.get("fields", i))}
+    heads = lines.where("row_no = 0").select("dataset_id", kept.alias("kept"), "fields").select(
+        "dataset_id", "kept", F.transform("kept", lambda i: F.get("fields", i)).alias("names")
     )
-    rec = F.map_from_arrays("keys", F.transform("kept", lambda i: F.get("cells", i)))
-    return (
-        lines.join(heads, "path")
-        .select(
-            _dataset_of("path").alias("dataset_id"),
-            "fields",
-            (F.col("id") - F.col("first")).alias("row_no"),
-            rec.alias("rec"),
-        )
+    rec = F.map_from_arrays("names", F.transform("kept", lambda i: F.get("cells", i)))
+    rows = lines.where("row_no > 0").select("dataset_id", "row_no", "cells")
+    return split_join(rows, heads, ["dataset_id"], F.col("row_no")).select(
+        "dataset_id", "row_no", rec.alias("rec")
     )
 
 
 def _geojson_rows(files: DataFrame) -> DataFrame:
-    """(dataset_id, fields, rows) per feature collection; others and broken files are left out."""
+    """(dataset_id, fields, rows, error) per JSON file; rows only of feature collections."""
     schema = (
         "features array<struct<properties map<string,string>, "
         "geometry struct<type string, coordinates string>>>"
     )
-    encoding = encoding_of(F.col("content"))
-    text = (
-        F.when(encoding == "utf-16", F.decode("content", "UTF-16"))
-        .when(encoding == "utf-8", F.decode("content", "UTF-8"))
-        .otherwise(F.decode("content", CHARSETS["cp932"]))
-    )
-    docs = files.where(F.col("format").isin("geojson", "json")).select(
-        "dataset_id",
-        F.from_json(F.replace(text, F.lit("\ufeff"), F.lit("")), schema)["features"].alias("f"),
+    docs = decoded(files.where(F.col("format").isin("geojson", "json"))).select(
+        "dataset_id", "encoding", F.from_json("text", schema)["features"].alias("f")
     )
 
     def row(feature: Column) -> Column:
@@ -185,8 +218,10 @@ def _geojson_rows(files: DataFrame) -> DataFrame:
             )
         )
 
-    return docs.where("f IS NOT NULL").withColumn("rows", rows).select(
+    error = F.when(F.col("encoding").isNull(), F.lit(UNDECODABLE)).when(F.col("f").isNull(), F.lit(NO_FEATURES))
+    return docs.withColumn("rows", rows).select(
         "dataset_id",
+        error.alias("error"),
         F.array_distinct(
             F.flatten(F.transform("rows", lambda r: F.transform(r, lambda e: e["key"])))
         ).alias("fields"),
@@ -200,26 +235,22 @@ def read_tables(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataF
     """(datasets, records) of all readable files.
 
     datasets: dataset_id, fields.  records: dataset_id, row_no (1-based, blank rows not counted),
-    rec.  Only file names with their encoding and width pass through the driver, which lists the
-    files for the readers anyway.
+    rec.  Files that cannot be read are in neither, but in ``file_errors``.
     """
-    parts: list[DataFrame] = []
-    shapes = _csv_shapes(files).groupBy("encoding", "width").agg(F.collect_list("path").alias("p"))
-    for shape in shapes.toLocalIterator():
-        parts.append(_csv_group(spark, list(shape["p"]), shape["encoding"], shape["width"]))
-    collections = _geojson_rows(files)
-    geo = collections.select(
-        "dataset_id", "fields", F.posexplode("rows").alias("at", "rec")
-    ).select("dataset_id", "fields", (F.col("at") + 1).cast("long").alias("row_no"), "rec")
-    everything = [*parts, geo]
-    lines = reduce(DataFrame.unionByName, everything)
-    return _datasets(parts, collections), lines.where("row_no > 0").select("dataset_id", "row_no", "rec")
-
-
-def _datasets(parts: list[DataFrame], collections: DataFrame) -> DataFrame:
-    """Fields per dataset: CSV headers are the lines numbered 0."""
-    heads = [p.where("row_no = 0").select("dataset_id", "fields") for p in parts]
-    return reduce(DataFrame.unionByName, [*heads, collections.select("dataset_id", "fields")])
+    lines, collections = _csv_lines(files), _geojson_rows(files)
+    heads = lines.where("row_no = 0").select("dataset_id", "fields")
+    geo = collections.where("error IS NULL")
+    rows = geo.select("dataset_id", F.posexplode("rows").alias("at", "rec")).select(
+        "dataset_id", (F.col("at") + 1).cast("long").alias("row_no"), "rec"
+    )
+    return heads.unionByName(geo.select("dataset_id", "fields")), _records(lines).unionByName(rows)
+
+
+def file_errors(files: DataFrame) -> DataFrame:
+    """(dataset_id, error) of the files of a readable format that cannot be read."""
+    parts = _csv_lines(files), _geojson_rows(files)
+    one, two = (p.where("error IS NOT NULL").select("dataset_id", "error") for p in parts)
+    return one.unionByName(two)
 
 
 def rail_stations(spark: SparkSession, path: str) -> DataFrame:

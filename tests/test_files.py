@@ -5,7 +5,7 @@ import json
 
 from conftest import rows
 
-from placegauge.operators import roles
+from placegauge.operators import facilities, roles
 from placegauge.sources import files, tables
 
 
@@ -86,6 +86,37 @@ def test_geojson(spark, tmp_path):
     }
 
 
+def test_one_bad_file_among_good_ones(spark, tmp_path):
+    land(tmp_path, "good.csv", "name,y\n公園,1\n".encode())
+    land(tmp_path, "sjis.csv", "name,y\n公園,1\n".encode("cp932"))
+    land(tmp_path, "bad.csv", b"name,y\n\x81\x20,1\n")
+    land(tmp_path, "empty.csv", b"\r\n , \r\n")
+    land(tmp_path, "cut.geojson", b'{"features": [')
+    land(tmp_path, "bad.json", b'{"features": "\x81\x20"}')
+    land(tmp_path, "none.json", b"[]")
+    landed = files.readable(files.landed(spark, str(tmp_path)))
+    assert rows(files.file_errors(landed)) == [
+        ("bad", files.UNDECODABLE), ("bad", files.UNDECODABLE), ("cut", files.NO_FEATURES),
+        ("empty", files.NO_HEADER), ("none", files.NO_FEATURES)]
+    datasets, records = files.read_tables(spark, landed)
+    assert rows(datasets, "dataset_id") == [("good",), ("sjis",)]
+    assert rows(records.selectExpr("dataset_id", "row_no", "rec['name']")) == [
+        ("good", 1, "公園"), ("sjis", 1, "公園")]
+    entries = spark.createDataFrame(
+        [(d, "csv") for d in ("good", "sjis", "empty", "lost")], "dataset_id string, format string")
+    failed = facilities.unreadable(entries, roles.role_table(datasets), files.file_errors(landed))
+    assert rows(failed, "dataset_id", "error") == [
+        ("empty", files.NO_HEADER), ("lost", "name column not found")]
+
+
+def test_many_rows_of_one_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "ROW_BATCH", 7)
+    land(tmp_path, "long.csv", ("name,v\n" + "".join(f"n{k},{k}\n" for k in range(100))).encode())
+    _, records = files.read_tables(spark, files.landed(spark, str(tmp_path)))
+    got = {r.row_no: r.rec for r in records.collect()}
+    assert got == {k + 1: {"name": f"n{k}", "v": str(k)} for k in range(100)}
+
+
 def test_landing_log(spark, tmp_path):
     body = b"a,b\n1,2\n"
     land(tmp_path, "d.csv", body)
@@ -140,5 +171,5 @@ def test_fill_rates_of_files(spark, tmp_path):
     datasets, records = files.read_tables(spark, files.landed(spark, str(tmp_path)))
     table = roles.role_table(datasets)
     (row,) = roles.fill_rates(records, table, datasets).collect()
-    assert (row["sample_size"], row["total"]) == (50, 60)
-    assert (row["coord_fill"], row["address_fill"]) == (0.8, 0.2)
+    assert (row["sample_size"], row["total"]) == (60, 60)
+    assert (row["coord_fill"], row["address_fill"]) == (0.667, 0.333)
