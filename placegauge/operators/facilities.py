@@ -333,6 +333,13 @@ def ingest_report(entries: DataFrame, marked: DataFrame, rows: DataFrame) -> Dat
     )
 
 
+def with_provenance(report: DataFrame, manifest: DataFrame, log: DataFrame) -> DataFrame:
+    """The report with each dataset's name and URL and what the landing log says of its file."""
+    named = manifest.select("feature", "dataset_id", "name", "resource_url")
+    landed = log.select("dataset_id", "retrieved_at", "sha256", "encoding")
+    return report.join(named, ["feature", "dataset_id"], "left").join(landed, "dataset_id", "left")
+
+
 def dataset_status() -> Column:
     """State of a read dataset from row_filter, kept, located and in_scope."""
     kept, located, scoped = F.col("kept"), F.col("located"), F.col("in_scope")

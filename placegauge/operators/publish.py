@@ -81,11 +81,21 @@ def site_sources(evidence: DataFrame, manifest: DataFrame) -> DataFrame:
     return joined.withColumnRenamed("dataset_id", "source_id")
 
 
+def all_sources(dataset_sources: DataFrame, others: DataFrame, real: list[str]) -> DataFrame:
+    """Sources of datasets and others of the same columns (base data, yearbook); what only stood in
+    for a feature that has real values now is left out."""
+    stale = (F.col("kind") == "fixture") & F.col("feature").isin(*real)
+    return dataset_sources.unionByName(others.where(~F.coalesce(stale, F.lit(False))))
+
+
 def register(manifest: DataFrame, report: DataFrame) -> DataFrame:
-    """Accepted datasets with what ingest made of them (null when not ingested)."""
+    """Accepted datasets with what ingest made of them (null when not ingested), and with the time
+    and digest of their file where the report has them."""
+    landed = [c for c in ("retrieved_at", "sha256", "encoding") if c in report.columns]
     ingest = report.select(
         "feature",
         "dataset_id",
+        *landed,
         F.struct(
             F.col("status"),
             F.col("rows"),
@@ -113,6 +123,7 @@ def register(manifest: DataFrame, report: DataFrame) -> DataFrame:
             F.col("review.note").alias("review_note"),
             "reason",
             "ingest",
+            *landed,
         )
     )
 

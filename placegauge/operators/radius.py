@@ -92,6 +92,15 @@ def radius_counts(
     )
 
 
+def counted_pairs(sites: DataFrame, pairs: DataFrame, features: list[str]) -> DataFrame:
+    """(site_id, feature, n) of listed pairs, 0 where a site has none: no second spatial join."""
+    zeros = sites.select(
+        "site_id", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"), F.lit(0).alias("n")
+    )
+    ones = pairs.where(F.col("feature").isin(*features)).select("site_id", "feature", F.lit(1).alias("n"))
+    return zeros.unionByName(ones).groupBy("site_id", "feature").agg(F.sum("n").alias("n"))
+
+
 def nearest_first(pairs: DataFrame) -> DataFrame:
     """Pairs in list order; a range sort, so one crowded site is spread over several tasks."""
     return pairs.orderBy("site_id", "feature", "distance_m", "facility_id")

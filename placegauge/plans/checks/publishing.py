@@ -540,7 +540,8 @@ def evidence_violations(t: Tables) -> DataFrame:
 
 @check(
     "text_digests",
-    "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes FROM documents",
+    """SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes, 'utf-8' AS encoding,
+      make_timestamp(1700000000000000 + doc_id * 1000000) AS retrieved_at FROM documents""",
 )
 def text_digests(t: Tables) -> DataFrame:
     """The landing log's digest and length, on whole document texts."""
@@ -548,10 +549,13 @@ def text_digests(t: Tables) -> DataFrame:
 
     raw = t("documents").select(
         F.col("doc_id").alias("dataset_id"), F.lit("").alias("path"),
-        F.octet_length("text").alias("bytes"), F.lit(None).alias("retrieved_at"),
+        F.octet_length("text").alias("bytes"),
+        F.timestamp_seconds(F.col("doc_id") + 1_700_000_000).alias("retrieved_at"),
         F.col("text").cast("binary").alias("content"),
     )
-    return landing_log(raw).select(F.col("dataset_id").alias("doc_id"), "sha256", "bytes")
+    return landing_log(raw).select(
+        F.col("dataset_id").alias("doc_id"), "sha256", "bytes", "encoding", "retrieved_at"
+    )
 
 
 @check(

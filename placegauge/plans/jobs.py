@@ -109,10 +109,12 @@ def ingest(
     judged: DataFrame | None = None,
     settings: Settings = Settings(),
     file_errors: DataFrame | None = None,
+    log: DataFrame | None = None,
 ) -> Ingested:
     """Accepted datasets -> located, merged facilities and a report per dataset.
 
-    ``file_errors``: (dataset_id, error) of files that could not be read.
+    ``file_errors``: (dataset_id, error) of files that could not be read.  ``log``: landing log,
+    for the provenance of the report.
     """
     accepted = manifest_table.where(F.col("status") == "accepted").select(
         "feature", "dataset_id", "organization", "row_filter", "format", "source_url", "resource_url"
@@ -128,7 +130,10 @@ def ingest(
     kept = cut(facilities.select_rows(read, judged, settings.facility_min_confidence))
     located = cut(facilities.locate(kept, candidates, scope))
     noted = accepted.join(errors, ["feature", "dataset_id"], "left")
-    report = cut(facilities.ingest_report(noted, read, located))
+    report = facilities.ingest_report(noted, read, located)
+    if log is not None:
+        report = facilities.with_provenance(report, manifest_table, log)
+    report = cut(report)
     merged, absorbed = dedupe.merge_places(located, settings.definitions, settings.dedupe_m)
     merged = cut(merged)
     return Ingested(
@@ -159,7 +164,6 @@ def aggregate(
     features = list(settings.features)
     covered = coverage.municipality_coverage(report, settings.tolerance)
     states = cut(coverage.area_coverage(site_areas, covered, features))
-    counts = radius.radius_counts(site_table, merged, settings.radius_m, features)
     pairs = cut(radius.radius_pairs(
         site_table,
         merged.select(
@@ -168,6 +172,7 @@ def aggregate(
         ),
         settings.radius_m,
     ))
+    counts = radius.counted_pairs(site_table, pairs, features)
     quality.require_clean(
         quality.area_violations(states).unionByName(quality.evidence_violations(pairs)), "evidence"
     )
@@ -193,14 +198,23 @@ def build(
     evidence: DataFrame,
     manifest_table: DataFrame,
     base: DataFrame | None = None,
+    other_sources: DataFrame | None = None,
 ) -> Built:
-    """Percentiles, scores, ranks and sources; fails when a published value would break a rule."""
+    """Percentiles, scores, ranks and sources; fails when a published value would break a rule.
+
+    ``other_sources``: rows like those of ``publish.site_sources`` for base data and the yearbook.
+    With them, every site and every value has to have a source.
+    """
     matrix = cut(publish.raw_matrix(site_table, aggregates, base))
     ranked = cut(scoring.percentiles(matrix))
     lows = cut(scoring.lows_by_site(ranked))
     table = cut(scoring.score_table(lows))
     weights = scoring.effective_weights(lows)
-    sources = cut(publish.site_sources(evidence, manifest_table))
+    sources = publish.site_sources(evidence, manifest_table)
+    if other_sources is not None:
+        real = [r.feature for r in aggregates.select("feature").distinct().collect()]  # at most six
+        sources = publish.all_sources(sources, other_sources, real)
+    sources = cut(sources)
     quality.require_columns(site_table, ["site_id", "name", "lat", "lng"], "sites")
     violations = (
         quality.site_violations(site_table)
@@ -208,6 +222,10 @@ def build(
         .unionByName(quality.aggregate_violations(aggregates))
         .unionByName(quality.weight_violations(weights, table))
     )
+    if other_sources is not None:
+        violations = violations.unionByName(quality.source_violations(site_table, sources)).unionByName(
+            quality.unsourced_values(ranked.where("raw > 0"), sources, list(fv.FEATURES))
+        )
     quality.require_clean(violations, "published table")
     return Built(ranked, table, weights, sources)
 
@@ -218,8 +236,14 @@ def export(
     manifest_table: DataFrame,
     report: DataFrame,
     folder: str,
+    **more: DataFrame,
 ) -> None:
-    """Writes the published tables and the provenance register."""
+    """Writes the published tables and the provenance register.
+
+    ``more``: further long tables by name, such as evidence pairs, area states, facilities, lines.
+    """
+    for name, rows in more.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
     register = publish.register(manifest_table, report)
     quality.require_clean(quality.register_violations(register), "register")
     tables.write_feature_table(built.ranked, f"{folder}/values")

@@ -58,13 +58,6 @@ def landed(spark: SparkSession, folder: str, glob: str = "*.*") -> DataFrame:
     )
 
 
-def landing_log(files: DataFrame) -> DataFrame:
-    """Provenance of each file, with the sha256 of its bytes."""
-    return files.select(
-        "dataset_id", "path", "bytes", "retrieved_at", F.sha2("content", 256).alias("sha256")
-    )
-
-
 def decode(content: bytes) -> tuple[str | None, str | None]:
     """(encoding, text): UTF-16 by its mark, else UTF-8 or CP932, whichever the whole file is."""
     marked = content[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)
@@ -96,6 +89,12 @@ def decoded(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def landing_log(files: DataFrame) -> DataFrame:
+    """Provenance of each file: sha256 of its bytes, and the encoding that it is read in."""
+    kept = decoded(files.withColumn("sha256", F.sha2("content", 256)))
+    return kept.select("dataset_id", "path", "bytes", "retrieved_at", "sha256", "encoding")
+
+
 def readable(files: DataFrame) -> DataFrame:
     """Files of a readable format; others fail their dataset, never the run."""
     return files.where(F.col("format").isin(*fv.READABLE_FORMATS))

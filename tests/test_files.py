@@ -121,7 +121,7 @@ def test_landing_log(spark, tmp_path):
     body = b"a,b\n1,2\n"
     land(tmp_path, "d.csv", body)
     (row,) = files.landing_log(files.landed(spark, str(tmp_path))).collect()
-    assert (row["dataset_id"], row["bytes"]) == ("d", len(body))
+    assert (row["dataset_id"], row["bytes"], row["encoding"]) == ("d", len(body), "utf-8")
     assert row["sha256"] == hashlib.sha256(body).hexdigest()
 
 

@@ -59,10 +59,14 @@ def test_all_jobs(spark, landed, manifest_table, tmp_path):
         [("東京都港区赤坂一丁目1-1", 0, "東京都港区", 35.6, 139.7),
          ("東京都港区赤坂一丁目1-1", 1, "東京都港区赤坂一丁目", 35.7005, 139.7005)],
         "query string, pos int, title string, lat double, lng double")
-    got = jobs.ingest(datasets, records, accepted, answers, ["港区"])
+    landed_files = files.landed(spark, landed)
+    got = jobs.ingest(
+        datasets, records, accepted, answers, ["港区"], file_errors=files.file_errors(landed_files),
+        log=files.landing_log(landed_files))
     report = {r["dataset_id"]: r for r in got.report.collect()}
     assert report["odd"]["status"] == "failed" and report["odd"]["error"] == "name column not found"
     good = report["good"]
+    assert good["encoding"] == "cp932" and len(good["sha256"]) == 64 and good["retrieved_at"] and good["resource_url"]
     assert (good["status"], good["rows"], good["with_source"], good["geocoded"], good["outside"],
             good["unlocated"]) == ("ok", 6, 4, 1, 1, 0)
     assert rows(got.absorbed) == [("park", "good:2", "good:1")]
@@ -95,14 +99,28 @@ def test_all_jobs(spark, landed, manifest_table, tmp_path):
         "table_name string, row_no int, fiscal_year int, station string, station_en string, "
         "operator string, line string, thousands long")
     every = counted.aggregates.unionByName(jobs.ridership(sites, yearbook))
-    built = jobs.build(sites, every, counted.evidence, accepted, base)
+    others = every.select("site_id", "feature").unionByName(base.select("site_id", "feature")).select(
+        "site_id", "feature", F.concat(F.lit("base-"), "feature").alias("source_id"), F.lit("base").alias("source_name"),
+        F.lit(None).cast("string").alias("organization"), F.lit("https://example.org/base").alias("url"),
+        F.lit("cc-by").alias("license"),
+        F.when(F.col("feature") == "stationUsage", "statistics").otherwise("fixture").alias("kind"))
+    with pytest.raises(quality.QualityError, match="value without source"):
+        jobs.build(sites, every, counted.evidence, accepted, base, others.where("feature <> 'library'"))
+    built = jobs.build(sites, every, counted.evidence, accepted, base, others)
+    assert rows(built.sources.where("site_id = 'a'"), "feature", "kind") == [
+        ("culture", "fixture"), ("library", "fixture"), ("park", "opendata"), ("publicFacility", "fixture"),
+        ("stationUsage", "statistics"), ("tourism", "fixture")]
     table = {r["site_id"]: r for r in built.table.collect()}
     assert table["a"]["coverage"] == 1.0 and table["d"]["coverage"] == 0.7
     assert {r["rank"] for r in table.values()} == {1, 2, 3, 4}
     top = explore.top_sites(built.table.join(sites.select("site_id", "pos"), "site_id"), 1).first()
     assert table[top["site_id"]]["rank"] == 1
 
-    jobs.export(sites, built, accepted, got.report, str(tmp_path))
+    jobs.export(sites, built, accepted, got.report, str(tmp_path), evidence=counted.pairs,
+                areas=counted.areas, facilities=got.facilities)
+    assert spark.read.parquet(f"{tmp_path}/evidence").count() == counted.pairs.count() > 0
+    assert spark.read.parquet(f"{tmp_path}/areas").count() > 0
+    assert {"sha256", "retrieved_at"} <= set(spark.read.parquet(f"{tmp_path}/register").columns)
     (doc,) = spark.read.json(f"{tmp_path}/sites").where("site_id = 'a'").collect()
     assert doc["raw"]["park"] == 4 and doc["ranking"]["of"] == 4
     assert spark.read.parquet(f"{tmp_path}/scores").count() == 4
