@@ -33,8 +33,11 @@ from placegauge.llm.common import (
     signed,
     space_words,
 )
+from placegauge.operators.skew import split_join
 
 WINDOW = 50
+# Rows of one window that a task joins.
+PART_ROWS = 20_000
 MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -199,9 +202,14 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     ).select("doc_id", "words_key", "w.*")
     windows = keep(windows, "substring-windows")
     earliest = windows.groupBy("one", "two").agg(
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
-    ).where("low < high").select("one", "two", "low")
-    later = windows.join(earliest, ["one", "two"]).where("low < doc_id")
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("__n")
+    ).where("low < high").select("one", "two", "low", "__n")
+    earliest = keep(earliest, "substring-earliest")
+    # A passage that very many documents share is dealt to several tasks.
+    later = split_join(
+        windows, earliest.drop("__n"), ["one", "two"], F.col("doc_id"), "inner", PART_ROWS,
+        earliest.drop("low"),
+    ).where("low < doc_id")
     places = later.groupBy("doc_id", "words_key").agg(F.collect_list("start").alias("starts"))
     return seen, firsts, places
 
