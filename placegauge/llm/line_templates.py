@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placegauge.llm.common import arrow_rows, keep, lists, signed
+from placegauge.operators.skew import split_join
 
 DEPTH = 3
 SIMILARITY = 0.75
 MIN_DOCS = 10
 # Lines of one leaf that one step compares.
 CHUNK = 500
+# Rows of one leaf, line or template that a task joins.
+PART_ROWS = 2_000
 FIELD = "<*>"
 
 
@@ -161,7 +164,7 @@ def templates(docs: DataFrame, min_docs: int, similarity: float) -> tuple[DataFr
     rows = keep(rows.select("doc_id", F.col("x.leaves").alias("leaf"), F.col("x.keys").alias("key")), "lines")
     # Rows of a leaf bound its documents from above, so no recurring template is lost here.
     busy = rows.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    rows = keep(rows.join(busy, "leaf"), "busy-lines")
+    rows = keep(split_join(rows, busy, ["leaf"], F.col("doc_id"), "inner", PART_ROWS), "busy-lines")
     # Each line is read in one of its documents.
     where = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = where.groupBy("doc_id").agg(F.collect_list("key").alias("wanted"))
@@ -187,11 +190,13 @@ def templates(docs: DataFrame, min_docs: int, similarity: float) -> tuple[DataFr
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, dropped (keys)``: lines of recurring templates, outside their first document."""
     rows, mapping = templates(docs, min_docs, similarity)
-    held = keep(rows.join(mapping, "key").select("doc_id", "key", "template_key"), "template-lines")
+    named = split_join(rows, keep(mapping, "line-templates"), ["key"], F.col("doc_id"), "inner", PART_ROWS)
+    held = keep(named.select("doc_id", "key", "template_key"), "template-lines")
     counts = held.select("doc_id", "template_key").distinct().groupBy("template_key").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("first")
     ).where(F.col("n") >= min_docs)
-    return held.join(counts, "template_key").where("doc_id <> first").groupBy("doc_id").agg(
+    marked = split_join(held, counts, ["template_key"], F.col("doc_id"), "inner", PART_ROWS)
+    return marked.where("doc_id <> first").groupBy("doc_id").agg(
         F.collect_set("key").alias("dropped")
     )
 
