@@ -15,8 +15,8 @@ from placegauge.llm import decontaminate, language, line_templates, near_text, p
 from placegauge.llm.common import keep, table
 from placegauge.llm.queries import VOCABULARY
 
-# A text of a learnt language scores above one half; texts of no language stay below this.
-LEAST_SCORE = 0.4
+# Texts of a learnt language score near 1, very short ones about 0.4; strange texts stay below this.
+LEAST_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ SAMPLE_PER_LANGUAGE = 150
 LANDMARKS_PER_LANGUAGE = 24
 LANDMARKS = 384
 RIDGE = 1e-3
+# Share of a text's n-grams that landmarks have, below which its score shrinks.
+KNOWN_SHARE = 0.3
 BATCH = 64
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -58,12 +60,17 @@ class Model:
     sizes: np.ndarray  # square roots of the landmarks' numbers of n-grams
     weights: np.ndarray  # landmarks x languages
 
-    def kernel(self, found: list[np.ndarray]) -> np.ndarray:
+    def present(self, found: list[np.ndarray]) -> np.ndarray:
+        """Which n-grams of the vocabulary each text has."""
         rows = np.zeros((len(found), len(self.vocabulary)), dtype=np.float32)
         for row, codes in zip(rows, found, strict=True):
             at = np.searchsorted(self.vocabulary, codes)
             at[at == len(self.vocabulary)] = 0
             row[at[self.vocabulary[at] == codes]] = 1
+        return rows
+
+    def kernel(self, found: list[np.ndarray], rows: np.ndarray | None = None) -> np.ndarray:
+        rows = self.present(found) if rows is None else rows
         own = np.sqrt(np.maximum(1, [len(codes) for codes in found]))
         return (rows @ self.presence).astype(np.float64) / own[:, None] / self.sizes
 
@@ -71,11 +78,15 @@ class Model:
         found = [grams(text) for text in texts]
         if not self.languages:
             return [("und", 0.0)] * len(texts)
-        worth = self.kernel(found) @ self.weights
+        rows = self.present(found)
+        worth = self.kernel(found, rows) @ self.weights
         best = worth.argmax(axis=1)
+        # A text of strange n-grams is like no language, whichever it is least unlike.
+        known = rows.sum(axis=1) / np.maximum(1, [len(codes) for codes in found])
+        scores = np.clip((1 + worth.max(axis=1)) / 2, 0, 1) * np.minimum(1, known / KNOWN_SHARE)
         return [
-            (self.languages[k], float(min(1, max(0, (1 + row[k]) / 2)))) if len(codes) else ("und", 0.0)
-            for k, row, codes in zip(best, worth, found, strict=True)
+            (self.languages[k], float(score)) if len(codes) else ("und", 0.0)
+            for k, score, codes in zip(best, scores, found, strict=True)
         ]
 
 

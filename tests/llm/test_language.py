@@ -37,6 +37,12 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
 
 
+def model_score(texts):
+    taught = ["foo bar quux", "über mäh öd"] * 6
+    model = language.fit(["aa", "bb"] * 6, [language.grams(t) for t in taught])
+    return [score for _, score in model.predict(texts)]
+
+
 def test_awkward_rows(spark):
     pick = random.Random(1)
     parts = {"aa": ["foo", "bar", "quux"], "bb": ["über", "mäh", "öd"]}
@@ -51,6 +57,9 @@ def test_awkward_rows(spark):
         assert got[k].lang_pred == ("aa" if k % 2 else "bb")
     for k in (900, 901, 902, 990, 991):
         assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+    # A script that nothing was learnt from is like no language.
+    strange = model_score(["漢字仮名交文章 " * 20, "foo bar quux foo"])
+    assert strange[0] < 0.1 < strange[1]
     learnt = [k for k in range(60) if zlib.crc32(str(k).encode()) % 4 != 2]
     flags = {r.doc_id: r.h for r in df.select("doc_id", language.held_out().alias("h")).collect()}
     assert all(flags[k] == (k not in learnt) for k in range(60)) and flags[None] is False
