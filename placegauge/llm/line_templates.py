@@ -5,8 +5,9 @@ tokens, then the leading tokens.  In a leaf, lines that agree in most places sha
 places where they differ become fields as well.  A template that occurs in many documents is
 dropped everywhere but in the document with the smallest id that has it.
 
-Leaves are read in chunks of bounded size, each giving its templates; those are read again as lines
-until a leaf has one chunk or two rounds find nothing more to join.
+Leaves are read in chunks of bounded size, each giving its templates.  Those of a leaf with several
+chunks are read again as lines, in chunks of lines that agree at some position, another one each
+round, until the leaf has one chunk or no position finds anything more to join.
 
 Defined results: null texts stay null and empty texts empty; blank lines are no lines and stay;
 one document counts once for a template however often it has it; rows with one doc_id are one
@@ -16,6 +17,8 @@ document; rows with a null doc_id count for nothing and lose nothing; repeated r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -123,13 +126,51 @@ def joined(lines: list[tuple[int, list[str]]], similarity: float) -> dict[int, l
     return {key: arrays[number].tolist() for key, number in made.items()}
 
 
-def one_round(lines: DataFrame, similarity: float) -> DataFrame:
-    """``key, leaf, template`` after joining the lines of each chunk of a leaf."""
+def by_hash(lines: DataFrame) -> DataFrame:
+    """``leaf, chunk, key, tokens``: chunks of any lines of a leaf."""
     sizes = lines.groupBy("leaf").agg(F.count("*").alias("n"))
-    chunks = lines.join(sizes, "leaf").withColumn(
-        "chunk", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / CHUNK)).cast("int")
+    return lines.join(sizes, "leaf").select(
+        "leaf", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / CHUNK)).alias("chunk"), "key", "tokens"
     )
 
+
+def by_content(lines: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """``leaf, chunk, key, tokens``: a leaf as a whole, or chunks of lines with equal tokens.
+
+    A leaf that is too large is cut by its tokens at the position whose turn it is.  What stays too
+    large is cut by the position with the fewest tokens, as those of fields are many; lines that are
+    alike whatever their other tokens are cut by hash, since every such chunk is one template.
+    """
+    columns, place = ["leaf", "chunk", "key", "tokens"], ["leaf", "chunk"]
+    left, done = lines.withColumn("chunk", F.lit(0).cast("bigint")).select(*columns), []
+    for step in count():
+        groups = left.groupBy(*place).agg(F.count("*").alias("n"))
+        sized = split_join(left, groups, place, F.col("key"), "inner", PART_ROWS)
+        done.append(sized.where(F.col("n") <= CHUNK).select(*columns))
+        wide = keep(sized.where(F.col("n") > CHUNK), "wide-lines")
+        if wide.isEmpty():
+            return reduce(DataFrame.union, done)
+        length, values = F.col("length"), F.col("values")
+        turns = F.lit(step > 0) | (F.col("pos") != DEPTH + F.lit(turn) % (length - DEPTH))
+        places = wide.select(*place, "n", F.size("tokens").alias("length"), F.posexplode("tokens")).groupBy(
+            *place, "n", "length", "pos"
+        ).agg(F.count_distinct("col").alias("values"), F.min("col").alias("token"))
+        fixed = F.count(F.when((values == 1) & (F.col("token") != FIELD), 1))
+        fields = F.count(F.when((values == 1) & (F.col("token") == FIELD), 1))
+        order = F.struct(turns.alias("late"), "values", F.pmod(F.col("pos") - turn, length).alias("after"), "pos")
+        cuts = places.groupBy(*place, "length").agg(
+            F.min(F.when(values > 1, order))["pos"].alias("at"), (fixed >= similarity * (length - fields)).alias("alike")
+        )
+        cut = keep(split_join(wide, cuts, place, F.col("key"), "inner", PART_ROWS), "cut-lines")
+        part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / CHUNK))
+        done.append(cut.where("alike").withColumn("chunk", F.xxhash64("chunk", part)).select(*columns))
+        token = F.element_at("tokens", F.col("at") + 1)
+        left = cut.where("not alike").withColumn("chunk", F.xxhash64("chunk", "at", token)).select(*columns)
+
+
+def one_round(chunks: DataFrame, similarity: float, fields_first: bool = False) -> DataFrame:
+    """``key, leaf, template`` after joining the lines of each chunk of a leaf."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held = None, []
         for batch in batches:
@@ -143,6 +184,8 @@ def one_round(lines: DataFrame, similarity: float) -> DataFrame:
 
     def out(place, held) -> Iterator[pa.RecordBatch]:
         if held:
+            if fields_first:
+                held.sort(key=lambda row: -row[1].count(FIELD))
             found = joined(held, similarity)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.int64()), pa.array([place[0]] * len(found), pa.int64()),
@@ -155,6 +198,32 @@ def one_round(lines: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, leaf bigint, template array<string>")
 
 
+def joined_again(lines: DataFrame, similarity: float) -> DataFrame:
+    """``leaf, first (key), later``: the templates of leaves of several chunks, joined to the end."""
+    live = keep(lines.withColumn("quiet", F.lit(0)), "live-templates")
+    moved = live.select("leaf", F.col("key").alias("first"), F.col("key").alias("later"))
+    for turn in count():
+        if live.isEmpty():
+            return moved
+        chunks = by_content(live.select("leaf", "key", "tokens"), turn, similarity)
+        made = keep(one_round(chunks, similarity, fields_first=True), "templates")
+        made = made.select("leaf", "key", F.xxhash64("template").alias("next"), "template")
+        steps = made.select("leaf", F.col("key").alias("later"), "next")
+        moved = split_join(moved, steps, ["leaf", "later"], F.col("first"), "left", PART_ROWS)
+        moved = keep(moved.select("leaf", "first", F.coalesce("next", "later").alias("later")), "moved-templates")
+        # A leaf goes on while it has several chunks, until each position had its turn for nothing.
+        leaves = live.groupBy("leaf").agg(F.count("*").alias("n"), F.max("quiet").alias("quiet")).join(
+            made.groupBy("leaf").agg(
+                F.max(F.col("key") != F.col("next")).alias("changed"),
+                F.max(F.size("template") - DEPTH).alias("places"),
+            ), "leaf",
+        ).withColumn("quiet", F.when(F.col("changed"), 0).otherwise(F.col("quiet") + 1))
+        leaves = leaves.where((F.col("n") > CHUNK) & (F.col("quiet") < F.col("places"))).select("leaf", "quiet")
+        found = made.select("leaf", F.col("next").alias("key"), F.col("template").alias("tokens"))
+        found = found.dropDuplicates(["leaf", "key"])
+        live = keep(split_join(found, leaves, ["leaf"], F.col("key"), "inner", PART_ROWS), "live-templates")
+
+
 def templates(docs: DataFrame, min_docs: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """``doc_id, key, leaf`` rows of leaves that many documents reach, and ``key, template_key``."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(
@@ -171,16 +240,14 @@ def templates(docs: DataFrame, min_docs: int, similarity: float) -> tuple[DataFr
     # Never by broadcast: the texts grow with the corpus whatever the marks do.
     lines = lines_of(docs.join(wanted.hint("merge"), "doc_id").select("text", "wanted")).dropDuplicates(["key"])
     named = keep(lines, "line-tokens").select("key", "leaf", "tokens")
-    made = keep(one_round(named, similarity), "templates")
+    made = keep(one_round(by_hash(named), similarity), "templates")
     final = made.select("key", "leaf", F.xxhash64("template").alias("first"), "template")
     # Templates of a leaf with several chunks are read again as lines.
     many = named.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("leaf")
     again = final.join(many, "leaf", "left_semi").select(
         "leaf", F.col("first").alias("key"), F.col("template").alias("tokens")
     ).dropDuplicates(["leaf", "key"])
-    second = one_round(again, similarity).select(
-        "leaf", F.col("key").alias("first"), F.xxhash64("template").alias("later")
-    )
+    second = joined_again(again, similarity)
     mapping = final.select("key", "leaf", "first").join(second, ["leaf", "first"], "left").select(
         "key", F.xxhash64("leaf", F.coalesce("later", "first")).alias("template_key")
     )

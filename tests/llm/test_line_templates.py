@@ -57,6 +57,19 @@ def test_leaves_of_several_chunks_join_again(spark, monkeypatch):
     assert "Posted" in got[0] and not any("Posted" in got[k] for k in range(1, 60))
 
 
+def test_many_templates_in_one_leaf(spark, monkeypatch):
+    rows = []
+    for k in range(20):
+        lines = [f"We are here {prose(700 + t, 4)} {prose(9000 + 50 * t + k, 1)}{'y' * k} end" for t in range(12)]
+        alone = [f"We are here {prose(20_000 + 7 * k + n, 6)}" for n in range(7)]
+        rows.append((k, "\n".join(lines + alone)))
+    want = brute(rows, 10, lt.SIMILARITY)
+    assert len(next(iter(want[19])).split("\n")) == 7
+    monkeypatch.setattr(lt, "CHUNK", 12)
+    got = {r.doc_id: {r.text} for r in lt.deduplicated(documents(spark, rows), 10).collect()}
+    assert got == want
+
+
 def test_few_documents_and_none(spark):
     rows = [(k, "rare line of text\nmore") for k in range(4)] + [(9, None), (10, "")]
     got = {r.doc_id: (r.text, r.lines_dropped) for r in lt.deduplicated(documents(spark, rows), 5).collect()}
