@@ -3,7 +3,8 @@
 The vocabulary file is read by the driver and broadcast (one file, a few MB).  A text is cut where
 white space follows other characters; no token of a byte-level BPE with this pre-tokenizer crosses
 such a place, so the ids of the parts, joined, are the ids of the text.  Parts that occur again
-are looked up instead of encoded again; the memory for them is bounded.
+are looked up instead of encoded again; the memory for them is bounded.  Texts that hold an added
+token of the vocabulary, which is no subject of the BPE, are encoded by the library.
 
 Defined results: a null text is an empty one.
 """
@@ -81,7 +82,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = tuple(token.content for token in added if token.content)
         pieces = Pieces(self.tokenizer.model)
         self.heads, self.words = Parts(pieces, ""), Parts(pieces, " ")
 
@@ -93,6 +95,8 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(token in text for token in self.added):
+            return self.encode(text)
         head, *words = text.split(" ")
         found = [self.heads[head], *map(self.words.__getitem__, words)]
         try:

@@ -25,6 +25,16 @@ def test_parts_give_the_ids_of_the_whole(encoder):
     assert [encoder.ids(t) for t in texts] == [encoder.encode(t) for t in texts]
 
 
+def test_added_tokens_are_those_of_the_library(encoder):
+    from tokenizers import Tokenizer
+
+    plain_one = Tokenizer.from_file(PATH)
+    for text in ("a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|>  <|endoftext|>y z", "a <|endoftext| >", "a b"):
+        want = plain_one.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want
+    assert np.frombuffer(encoder.ids("a<|endoftext|>b"), "<u4").tolist() == [64, 50256, 65]
+
+
 def greedy(entries, word):
     starts = {e[1:] for e in entries if e[:1] == b" " and len(e) > 1}
     rest = {e for e in entries if e and b" " not in e}
