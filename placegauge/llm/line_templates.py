@@ -1,6 +1,7 @@
 """Removal of recurring lines by a log-template tree.
 
-A line is a list of tokens; tokens with digits are fields.  The tree has a fixed depth: number of
+A line is a list of tokens; tokens with digits are fields.  Fields prove nothing, so a line without
+a word that is fixed recurs by its own text only, and no template is left without one.  The tree has a fixed depth: number of
 tokens, then the leading tokens.  In a leaf, lines that agree in most places share a template, and
 places where they differ become fields as well.  A template that occurs in many documents is
 dropped everywhere but in the document with the smallest id that has it.
@@ -39,8 +40,15 @@ PART_ROWS = 2_000
 FIELD = "<*>"
 
 
+def word(token: str) -> bool:
+    return token != FIELD and any(map(str.isalpha, token))
+
+
 def tokens_of(line: str) -> list[str]:
-    return [FIELD if any(map(str.isdigit, t)) else t for t in line.split()]
+    own = line.split()
+    tokens = [FIELD if any(map(str.isdigit, t)) else t for t in own]
+    # As one token the text is alone in its leaf; no other token has a space.
+    return tokens if any(map(word, tokens)) else [" ".join(own)] if own else []
 
 
 def leaf_of(tokens: list[str]) -> int:
@@ -100,18 +108,21 @@ def _signed(value: int) -> int:
 
 def joined(lines: list[tuple[int, list[str]]], similarity: float) -> dict[int, list[str]]:
     """Template of each line: the first similar one in the given order, fields where they differ."""
+    if len(lines) == 1:
+        return dict(lines)
     templates: list[list[str]] = []
     arrays: list[np.ndarray] = []
     made: dict[int, int] = {}
     for key, tokens in lines:
         own = np.array(tokens, dtype=object)
+        words = np.fromiter(map(word, tokens), dtype=bool, count=len(tokens))
         best, most = None, 0.0
         for number, template in enumerate(arrays):
             # A field agrees with anything but proves nothing.
             fields = template == FIELD
-            same = ((template == own) & ~fields).sum()
+            equal = (template == own) & ~fields
             fixed = len(own) - fields.sum()
-            share = same / fixed if fixed else 0.0
+            share = equal.sum() / fixed if (equal & words).any() else 0.0
             if share >= similarity and share > most:
                 best, most = number, share
                 if share == 1:

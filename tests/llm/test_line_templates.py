@@ -70,6 +70,14 @@ def test_many_templates_in_one_leaf(spark, monkeypatch):
     assert got == want
 
 
+def test_numbers_alone_recur_by_their_text(spark):
+    rows = [(k, f"{k} {k + 1} {7 * k}\n2019-01-{k:02}\n| {k} | 4 |\n| {k} | kg{'a' * k} |\n12 34 56\nPage {k} of 20")
+            for k in range(20)]
+    got = {r.doc_id: r.text for r in lt.deduplicated(documents(spark, rows), 10).collect()}
+    assert got[0] == rows[0][1]
+    assert all(got[k].split("\n") == rows[k][1].split("\n")[:4] for k in range(1, 20))
+
+
 def test_few_documents_and_none(spark):
     rows = [(k, "rare line of text\nmore") for k in range(4)] + [(9, None), (10, "")]
     got = {r.doc_id: (r.text, r.lines_dropped) for r in lt.deduplicated(documents(spark, rows), 5).collect()}
