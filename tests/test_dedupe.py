@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import rows
+from plain_rows import rows
 
 from placegauge.operators import dedupe
 

@@ -3,7 +3,7 @@
 import hashlib
 import json
 
-from conftest import rows
+from plain_rows import rows
 
 from placegauge.operators import facilities, roles
 from placegauge.sources import files, tables

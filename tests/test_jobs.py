@@ -1,7 +1,7 @@
 """The jobs one after the other on a small catalog with landed files."""
 
 import pytest
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 from test_selection import PACKAGE, package, res
 

@@ -3,7 +3,7 @@
 import math
 import random
 
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from placegauge.functions import geo

@@ -5,7 +5,7 @@ import json
 import random
 
 import pytest
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from placegauge.operators import catalog, facilities, judgements, manifest, quality, roles, usage

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from placegauge.operators import manifest, radius, skew
