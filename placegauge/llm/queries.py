@@ -17,6 +17,7 @@ from placegauge.llm import (
     near_vectors,
     packing,
     secret_scan,
+    spelling,
     substrings,
     token_counts,
 )
@@ -96,6 +97,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
@@ -107,6 +112,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_id_files": op9_id_files,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling": op11_spelling,
 }
 
 # The same rules in DuckDB's SQL.
@@ -190,4 +196,58 @@ SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = com
 FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
-ORACLES = {"op1_decontamination": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op8_minhash": OP8_SQL}
+# crc32 of the UTF-8 bytes of ``<doc_id>:<run>`` by a table of its 256 byte steps.
+OP11_SQL = """
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+r AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{C0}-\\x{FF}]+')) AS run FROM documents)
+  GROUP BY ALL),
+b AS (
+  SELECT run, n, list_transform(string_split(coalesce(doc_id::VARCHAR, 'null') || ':' || run, ''),
+    lambda z: unicode(z)::BIGINT) AS cs FROM r),
+h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      flatten(list_transform(cs, lambda z: CASE WHEN z < 128 THEN [z] ELSE [195, z - 64] END))),
+    lambda c, z: xor(c >> 8, crc[(xor(c, z) & 255) + 1])), 4294967295) AS h FROM b, t),
+w AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT)
+      || substr(run, (h % length(run) + 2)::INT) ELSE run END AS word FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+k AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+d AS MATERIALIZED (
+  SELECT DISTINCT word, n, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS cut FROM k),
+s AS MATERIALIZED (
+  SELECT word, n, substr(word, 1, i::INT - 1) || '*' || substr(word, i::INT + 1) AS gap FROM k),
+p AS MATERIALIZED (
+  SELECT DISTINCT * FROM (
+    SELECT d.word, w.word AS near, w.n AS near_n FROM d JOIN w ON d.cut = w.word
+    UNION ALL SELECT w.word, d.word, d.n FROM d JOIN w ON d.cut = w.word
+    UNION ALL SELECT x.word, y.word, y.n FROM s x JOIN s y ON x.gap = y.gap AND x.word <> y.word)),
+f AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN form_n >= 2 * w.n THEN form END AS form,
+    CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n
+  FROM w LEFT JOIN (
+    SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS form, max(near_n) AS form_n
+    FROM p GROUP BY word) USING (word)),
+c(word, root, step) AS (
+  SELECT word, word, 0 FROM f
+  UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n
+FROM f JOIN (SELECT word, arg_max(root, step) AS root FROM c GROUP BY word) USING (word)
+"""
+
+ORACLES = {
+    "op1_decontamination": OP1_SQL,
+    "op2_substring_dedup": OP2_SQL,
+    "op3_embedding_dedup": OP3_SQL,
+    "op8_minhash": OP8_SQL,
+    "op11_spelling": OP11_SQL,
+}
