@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import public_tokenizers
@@ -20,6 +21,7 @@ from placegauge.llm import (
     spelling,
     substrings,
     token_counts,
+    vector_codes,
 )
 from placegauge.llm.common import joined_digest, shared_folder, table
 
@@ -101,6 +103,21 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector")
+    )
+    codes, codebooks = vector_codes.compressed(rows)
+    numbers = ",".join(str(x) for book in codebooks for entry in book.tolist() for x in entry)
+    return vector_codes.with_label_errors(codes).select(
+        F.col("id").alias("vec_id"),
+        "code",
+        "error",
+        "label_error",
+        F.lit(hashlib.sha256(numbers.encode()).hexdigest()).alias("codebooks_sha256"),
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
@@ -113,6 +130,7 @@ QUERIES = {
     "op9_id_files": op9_id_files,
     "op10_line_dedup": op10_line_dedup,
     "op11_spelling": op11_spelling,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 # The same rules in DuckDB's SQL.
@@ -244,10 +262,53 @@ SELECT f.word, form, root, n, n_near, form_n
 FROM f JOIN (SELECT word, arg_max(root, step) AS root FROM c GROUP BY word) USING (word)
 """
 
+
+def _lloyd_sql(rounds: int = 4) -> str:
+    """Plain Lloyd: distances of all parts to all entries, round by round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT vec_id, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT vec_id, p.part, p.x, entry,
+      list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x) + list_inner_product(c.x, c.x) AS d
+    FROM p JOIN c{k} c USING (part))
+  GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""
+c{k + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(n.x, c.x) AS x FROM c{k} c LEFT JOIN (
+    SELECT part, entry, list(m ORDER BY i) AS x FROM (
+      SELECT part, entry, i, floor(sum(z) / count(*)) AS m FROM (
+        SELECT part, entry, unnest(x) AS z, generate_subscripts(x, 1) AS i FROM a{k})
+      GROUP BY part, entry, i) GROUP BY part, entry) n USING (part, entry))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda z: floor(1024 * z::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, part, x[part * len(x) // 4 + 1 : (part + 1) * len(x) // 4] AS x
+  FROM v, (SELECT unnest(range(4)) AS part)),
+c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p
+  WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256)),{",".join(steps)},
+e AS (
+  SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM a{rounds} JOIN v USING (vec_id) GROUP BY ALL),
+s AS (SELECT label, sum(error)::BIGINT AS label_error FROM e GROUP BY label),
+b AS (
+  SELECT sha256(string_agg(z::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (
+    SELECT part, entry, unnest(x) AS z, generate_subscripts(x, 1) AS i FROM c{rounds}))
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM e JOIN s ON e.label IS NOT DISTINCT FROM s.label, b
+"""
+
+
 ORACLES = {
     "op1_decontamination": OP1_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op3_embedding_dedup": OP3_SQL,
     "op8_minhash": OP8_SQL,
     "op11_spelling": OP11_SQL,
+    "op12_vector_codes": _lloyd_sql(),
 }
