@@ -14,6 +14,7 @@ from placegauge.llm import (
     id_files,
     language,
     line_templates,
+    main_text,
     near_text,
     near_vectors,
     packing,
@@ -118,6 +119,13 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return main_text.extracted(pages).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
@@ -131,6 +139,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_spelling": op11_spelling,
     "op12_vector_codes": op12_vector_codes,
+    "op13_main_text": op13_main_text,
 }
 
 # The same rules in DuckDB's SQL.
