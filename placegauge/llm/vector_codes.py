@@ -75,9 +75,9 @@ class Tree:
 
 
 def tree(points: np.ndarray, leaf: int) -> Tree:
-    """Halve the points at the median of their widest component until ``leaf`` or fewer stay."""
+    """Halve the points at the median of their widest component while ``leaf`` or more stay each."""
     n, dims = points.shape
-    depth = max(0, math.ceil(math.log2(n / leaf))) if n else 0
+    depth = (max(1, n // leaf)).bit_length() - 1
     nodes = 2 ** (depth + 1) - 1
     begin, end = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
     low, high, sums = (np.zeros((nodes, dims), np.int64) for _ in range(3))
@@ -89,8 +89,8 @@ def tree(points: np.ndarray, leaf: int) -> Tree:
         low[k], high[k], sums[k] = here.min(0), here.max(0), here.sum(0)
         if k < nodes // 2:
             middle = len(part) // 2
-            widest = int(np.argmax(high[k] - low[k])) if dims else 0
             if dims:
+                widest = int(np.argmax(high[k] - low[k]))
                 part = part[np.argpartition(here[:, widest], middle)]
             order[begin[k] : end[k]] = part
             begin[2 * k + 1], end[2 * k + 1] = begin[k], begin[k] + middle
@@ -101,6 +101,7 @@ def tree(points: np.ndarray, leaf: int) -> Tree:
 def nearest(parts: Tree, entries: Tree) -> tuple[list[tuple[int, int]], list[tuple[int, np.ndarray]]]:
     """Nodes of parts with their one nearest entry, and leaves with the entries left to them."""
     p, e = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    single = entries.end - entries.begin == 1
     whole, uncertain = [], []
     while True:
         gap = np.maximum(parts.low[p] - entries.high[e], entries.low[e] - parts.high[p])
@@ -114,7 +115,7 @@ def nearest(parts: Tree, entries: Tree) -> tuple[list[tuple[int, int]], list[tup
         starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
         sizes = np.diff(np.r_[starts, len(p)])
         final = e >= entries.leaves
-        decided = (sizes == 1) & final[starts]
+        decided = (sizes == 1) & single[e[starts]]
         whole += zip(p[starts[decided]].tolist(), e[starts[decided]].tolist(), strict=True)
         ended = ~decided & (p[starts] >= parts.leaves) & np.logical_and.reduceat(final, starts)
         for at in np.flatnonzero(ended):
@@ -130,10 +131,13 @@ def nearest(parts: Tree, entries: Tree) -> tuple[list[tuple[int, int]], list[tup
         p, e = np.repeat(p_next, 2, axis=1).ravel(), np.tile(e_next, 2).ravel()
         _, once = np.unique(p * len(entries.begin) + e, return_index=True)  # sorted by node of parts
         p, e = p[once], e[once]
-    numbers = entries.order  # entries are leaves of one point each
+    numbers = entries.order
     return (
         [(node, int(numbers[entries.begin[k]])) for node, k in whole],
-        [(node, np.sort(numbers[entries.begin[ks]])) for node, ks in uncertain],
+        [
+            (node, np.sort(np.concatenate([numbers[entries.begin[k] : entries.end[k]] for k in ks])))
+            for node, ks in uncertain
+        ],
     )
 
 
