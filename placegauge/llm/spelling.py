@@ -2,15 +2,16 @@
 
 Words are runs of letters, counted over all documents; a few letters are lost on the way, chosen by
 a checksum of document and word.  A word as the asking side contributes two disjoint chunks, its
-first and its last ``q`` code points; as the answering side it contributes its positional grams.
+first and its last code points; as the answering side it contributes its positional grams.
 One edit leaves one of the two chunks whole and moves it by at most one place, so joining chunks and
 grams on text and place, within a shift of one, finds every near word; the edit distance confirms.
-Of the grams only those are sent that lie within one of a chunk's place in a word whose length
-differs by at most one: no other can meet a chunk.
+A gram names the length and the chunk that it can answer from its place, so lengths and shifts are
+part of the key; grams that could answer none, of no word whose length differs by at most one, are
+not sent.
 
-``q`` is half of the word, at most ``LONGEST_CHUNK``, so keys are as selective as the word allows and
-the work for a very long word stays linear.  Every word asks and answers, so the near words of a word
-come from its own two chunks.  A chunk shared by very many words is split by ``skew.split_join``.
+Chunks are halves of the word, of at most ``LONGEST_CHUNK`` code points, so keys are as selective as
+the word allows and the work for a very long word stays linear.  Of two words the shorter asks, of
+two as long the smaller.  A chunk shared by very many words is split by ``skew.split_join``.
 
 Defined results: a null or empty text has no words; a null ``doc_id`` counts as the text ``null``;
 repeated rows count as often as they stand there; an empty table has no words; other columns are not
@@ -92,67 +93,78 @@ def word_counts(
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
-def _chunk_size(length: Column) -> Column:
-    return F.least(F.lit(LONGEST_CHUNK), F.floor(length / 2).cast("int"))
+def _chunk_sizes(size: Column) -> tuple[Column, Column]:
+    """Code points of the first and of the last chunk of a word."""
+    first = F.floor(size / 2).cast("int")
+    return tuple(F.least(F.lit(LONGEST_CHUNK), q.cast("int")) for q in (first, size - first))
+
+
+def _letters(word: str) -> Column:
+    """A bit for each letter of a word, 64 of them shared by all letters."""
+    return F.expr(
+        f"aggregate(transform(split({word}, ''), c -> shiftleft(1L, ascii(c) % 64)), 0L, (x, y) -> x | y)"
+    )
 
 
 def chunks(words: DataFrame) -> DataFrame:
-    """``(gram, at, shift, word, size)``: two chunks of a word, each at the places it may move to."""
+    """``(gram, size, second, word, n, letters)``: the two chunks of a word of ``size`` code points."""
     size = F.char_length("word")
-    q = _chunk_size(size)
-
-    def chunk(place: Column, shifts: list[int]) -> list[Column]:
-        return [
-            F.struct(
-                F.col("word").substr(place + 1, q).alias("gram"),
-                (place + shift).alias("at"),
-                F.lit(shift).alias("shift"),
-            )
-            for shift in shifts
-        ]
-
-    # Nothing stands before the first place.
-    both = F.array(*chunk(F.lit(0), [0, 1]), *chunk(size - q, [-1, 0, 1]))
-    return words.select("word", size.alias("size"), F.inline(both))
+    first, last = _chunk_sizes(size)
+    both = F.array(
+        F.struct(F.substring("word", 1, first).alias("gram"), F.lit(False).alias("second")),
+        F.struct(F.substring("word", size - last + 1, last).alias("gram"), F.lit(True).alias("second")),
+    )
+    return words.select("word", "n", size.alias("size"), _letters("word").alias("letters"), F.inline(both))
 
 
 def grams(words: DataFrame) -> DataFrame:
-    """``(gram, at, near, near_n, near_size)``: positional grams within one of a chunk's place."""
-    size = F.char_length("word")
-    places = []
-    for other in (size - 1, size, size + 1):
-        q = _chunk_size(other)
-        for at in (F.lit(0), F.lit(1), other - q - 1, other - q, other - q + 1):
-            places.append(F.struct(at.alias("at"), q.alias("q")))
-    fitting = F.filter(
-        F.array_distinct(F.array(*places)),
-        lambda p: (p["q"] > 0) & (p["at"] >= 0) & (p["at"] + p["q"] <= F.col("size")),
-    )
+    """``(gram, size, second, near, near_n, near_letters)``: positional grams and what they answer.
+
+    A gram answers the first or last chunk of a word of ``size`` code points from that chunk's place
+    or from where one edit moves it, which is by the difference of the lengths.  Only words as long
+    or shorter by one ask, so that no pair is found from both of its words.
+    """
+    own = F.char_length("word")
+    answers = []
+    for grown in (0, 1):
+        size = own - grown
+        first, last = _chunk_sizes(size)
+        for second, place, q in ((False, F.lit(0), first), (True, size - last, last)):
+            for shift in sorted({0, grown}):
+                answers.append(
+                    F.struct(
+                        size.alias("size"), F.lit(second).alias("second"),
+                        (place + shift).alias("at"), q.alias("q"),
+                    )
+                )
+    fitting = F.filter(F.array(*answers), lambda a: (a["q"] > 0) & (a["at"] + a["q"] <= F.col("own")))
     return (
-        words.select("word", "n", size.alias("size"))
+        words.select("word", "n", own.alias("own"), _letters("word").alias("letters"))
         .select("*", F.inline(fitting))
         .select(
-            F.col("word").substr(F.col("at") + 1, F.col("q")).alias("gram"),
-            "at",
+            F.substring("word", F.col("at") + 1, F.col("q")).alias("gram"),
+            "size",
+            "second",
             F.col("word").alias("near"),
             F.col("n").alias("near_n"),
-            F.col("size").alias("near_size"),
+            F.col("letters").alias("near_letters"),
         )
     )
 
 
 def near_pairs(words: DataFrame, part_rows: int | None = None) -> DataFrame:
-    """``(word, near, near_n)``: all ordered pairs of different words one edit apart, once each."""
+    """``(word, n, near, near_n)``: all pairs of words one edit apart, each in one order only."""
+    # Both are counted before they are joined: written first.
+    asked, answers = keep(chunks(words), "spelling-chunks"), keep(grams(words), "spelling-grams")
     met = split_join(
-        grams(words), chunks(words), ["gram", "at"], F.col("near"), "inner", part_rows,
+        answers, asked, ["gram", "size", "second"], F.col("near"), "inner", part_rows,
         other_spread=F.col("word"),
     )
-    grown = F.col("near_size") - F.col("size")
-    confirmed = met.where(
-        # What one edit moves, it moves by the difference of the lengths.
-        (F.col("shift") == grown) | ((F.col("shift") == 0) & (F.abs(grown) == 1))
-    ).where(F.levenshtein("word", "near", 1) == 1)
-    return confirmed.select("word", "near", "near_n").distinct()
+    # One edit takes away one letter at most and brings one; cheaper to see than the distance.
+    changed = F.bit_count(F.col("letters").bitwiseXOR(F.col("near_letters")))
+    once = (F.col("size") < F.char_length("near")) | (F.col("word") < F.col("near"))
+    confirmed = met.where((changed <= 2) & once & (F.levenshtein("word", "near", 1) == 1))
+    return confirmed.select("word", "n", "near", "near_n").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -188,7 +200,16 @@ def variants(
     words = keep(word_counts(docs, least_length, least_count, every), "spelling-words")
     # Smallest struct: largest count first, then code-point order, as Spark compares UTF-8 bytes.
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near")))
-    around = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
+    pairs = near_pairs(words)
+    both = F.array(
+        F.struct("word", "near", "near_n"),
+        F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")),
+    )
+    around = (
+        pairs.select(F.inline(both))
+        .groupBy("word")
+        .agg(F.count("*").alias("n_near"), best.alias("best"))
+    )
     joined = words.join(around, "word", "left")
     enough = -F.col("best.less") >= factor * F.col("n")
     table = keep(
