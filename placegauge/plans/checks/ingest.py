@@ -6,6 +6,8 @@ segment.  Their texts are put together from the key, so the SQL side knows the c
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from placegauge import fixed_values as fv
 from placegauge.functions import text as tx
 from placegauge.operators import dedupe, facilities, roles
 from placegauge.plans import testbed as tb
-from placegauge.session import cut
+from placegauge.session import checkpoint_folder, cut, require_checkpoint_folder
 from placegauge.plans.checks.base import (
     CTES,
     Tables,
@@ -27,7 +29,7 @@ from placegauge.plans.checks.base import (
     sql_pick,
     sql_round,
 )
-from placegauge.sources import files
+from placegauge.sources import files, ranges
 
 select = CTES.select
 
@@ -751,3 +753,62 @@ def decoded_texts(t: Tables) -> DataFrame:
         .otherwise(F.concat(F.encode(plain, "US-ASCII"), F.unhex(F.lit("8120"))))
     )
     return files.decoded(t("documents").select("doc_id", content.alias("content")))
+
+
+def written(df: DataFrame, name: str) -> str:
+    """A new folder beside the checkpoints."""
+    require_checkpoint_folder(df.sparkSession)
+    return f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+@check(
+    "decoded_rows",
+    """SELECT doc_id, coalesce(trim(text, E' \\t\\n\\r'), '') AS text, coalesce(lang, '') AS lang FROM documents""",
+)
+def decoded_rows(t: Tables) -> DataFrame:
+    """Every document through CSV files with quoted line breaks, each file read by its blocks."""
+    documents = t("documents").select("doc_id", "text", "lang")
+    folder = written(documents, "csv")
+    documents.write.options(header=True, quoteAll=True, quote='"', escape='"').csv(folder)
+    found = ranges.scan(t.spark, folder).records
+    return found.select(
+        F.col("rec")["doc_id"].cast("bigint").alias("doc_id"),
+        F.col("rec")["text"].alias("text"),
+        F.col("rec")["lang"].alias("lang"),
+    )
+
+
+@check(
+    "feature_rows",
+    """SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) AS row_no,
+      p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN (p_size / 2.0::DOUBLE)::VARCHAR END AS lat
+    FROM part""",
+)
+def feature_rows(t: Tables) -> DataFrame:
+    """Every part as a GeoJSON feature, 500 a file; points have a place."""
+    place = F.when(
+        F.col("p_partkey") % 3 == 0,
+        F.struct(
+            F.lit("Point").alias("type"),
+            F.array(F.lit(139.5), F.col("p_size") / F.lit(2.0)).alias("coordinates"),
+        ),
+    )
+    feature = F.struct(
+        F.struct(F.col("p_partkey").alias("key"), F.col("p_name").alias("name")).alias("properties"),
+        place.alias("geometry"),
+    )
+    parts = t("part").select((F.floor(F.col("p_partkey") / 500)).alias("file"), "p_partkey", feature.alias("feature"))
+    collections = parts.groupBy("file").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("p_partkey", "feature"))), lambda e: e["feature"]
+        ).alias("features")
+    )
+    folder = written(parts, "geojson")
+    collections.write.partitionBy("file").option("ignoreNullFields", False).json(folder)
+    found = ranges.scan(t.spark, folder).records
+    return found.select(
+        F.col("rec")["key"].cast("bigint").alias("p_partkey"),
+        "row_no",
+        F.col("rec")["name"].alias("name"),
+        F.col("rec")[fv.GEOJSON_LAT].alias("lat"),
+    )

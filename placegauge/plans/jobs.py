@@ -29,7 +29,7 @@ from placegauge.operators import (
     usage,
 )
 from placegauge.session import cut
-from placegauge.sources import files, tables
+from placegauge.sources import ranges, tables
 
 
 @dataclass(frozen=True)
@@ -47,9 +47,9 @@ class Settings:
 
 def inspect_landed(spark: SparkSession, folder: str) -> DataFrame:
     """(dataset_id, coord_fill, address_fill, has_address) of landed files."""
-    datasets, records = files.read_tables(spark, files.readable(files.landed(spark, folder)))
-    table = cut(roles.role_table(datasets))
-    rates = roles.fill_rates(records, table, datasets)
+    found = ranges.scan(spark, folder)
+    table = cut(roles.role_table(found.datasets))
+    rates = roles.fill_rates(found.records, table, found.datasets)
     return rates.join(
         table.select("dataset_id", F.col("address_field").isNotNull().alias("has_address")),
         "dataset_id",

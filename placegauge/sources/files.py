@@ -3,8 +3,8 @@
 Files lie at ``<folder>/<feature>/<dataset_id>.<format>``.  One scan decodes and splits a file and
 numbers its rows, with the header as row 0, so numbers and headers cannot disagree.  Headers differ
 per dataset, hence records are string maps.  A file that cannot be read becomes one row with its
-error; the others are not affected.  Spark hands over the bytes of a file whole, which limits one
-file to 2 GB (quoted line breaks and JSON cannot be cut at arbitrary bytes).
+error; the others are not affected.  ``read_tables`` takes the bytes of a file whole, at most 2 GB;
+``ranges.scan`` reads files of any size by their blocks, with the same rows.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ NO_FEATURES = "no feature collection"
 ROW_BATCH = 5_000
 
 
-def _dataset_of(path: str) -> Column:
+def dataset_of(path: str) -> Column:
     name = F.element_at(F.split(path, "/"), -1)
     return F.url_decode(F.regexp_replace(name, "\\.[^.]*$", ""))
 
 
-def _format_of(path: str) -> Column:
+def format_of(path: str) -> Column:
     return F.lower(F.regexp_extract(path, "\\.([^./]*)$", 1))
 
 
@@ -49,8 +49,8 @@ def landed(spark: SparkSession, folder: str, glob: str = "*.*") -> DataFrame:
         .load(folder)
     )
     return files.select(
-        _dataset_of("path").alias("dataset_id"),
-        _format_of("path").alias("format"),
+        dataset_of("path").alias("dataset_id"),
+        format_of("path").alias("format"),
         "path",
         F.col("length").alias("bytes"),
         F.col("modificationTime").alias("retrieved_at"),
@@ -163,7 +163,7 @@ def _last_of_each(fields: Column) -> Column:
     )
 
 
-def _records(lines: DataFrame) -> DataFrame:
+def records(lines: DataFrame) -> DataFrame:
     """Cells of each row by the header of its file."""
     kept = _last_of_each(F.col("fields"))
     heads = lines.where("row_no = 0").select("dataset_id", kept.alias("kept"), "fields").select(
@@ -176,47 +176,50 @@ def _records(lines: DataFrame) -> DataFrame:
     )
 
 
-def _geojson_rows(files: DataFrame) -> DataFrame:
-    """(dataset_id, fields, rows, error) per JSON file; rows only of feature collections."""
-    schema = (
-        "features array<struct<properties map<string,string>, "
-        "geometry struct<type string, coordinates string>>>"
+FEATURE = "properties map<string,string>, geometry struct<type string, coordinates string>"
+
+
+def feature_entries(feature: Column) -> Column:
+    """Keys and values of a GeoJSON feature: its properties, then the place of a point."""
+    point = F.from_json(feature["geometry"]["coordinates"], "array<string>")
+    is_point = F.coalesce(
+        (feature["geometry"]["type"] == "Point") & (F.size(point) >= 2), F.lit(False)
     )
-    docs = decoded(files.where(F.col("format").isin("geojson", "json"))).select(
-        "dataset_id", "encoding", F.from_json("text", schema)["features"].alias("f")
+    entry = "array<struct<key string, value string>>"
+    props = F.transform(
+        F.coalesce(F.map_entries(feature["properties"]), F.array().cast(entry)),
+        lambda e: F.struct(
+            strip(e["key"]).alias("key"),
+            F.coalesce(strip(e["value"]), F.lit("")).alias("value"),
+        ),
+    )
+    placed = F.array(
+        F.struct(F.lit(fv.GEOJSON_LAT).alias("key"), F.get(point, 1).alias("value")),
+        F.struct(F.lit(fv.GEOJSON_LNG).alias("key"), F.get(point, 0).alias("value")),
     )
+    return F.concat(props, F.when(is_point, placed).otherwise(F.array().cast(entry)))
 
-    def row(feature: Column) -> Column:
-        point = F.from_json(feature["geometry"]["coordinates"], "array<string>")
-        is_point = F.coalesce(
-            (feature["geometry"]["type"] == "Point") & (F.size(point) >= 2), F.lit(False)
-        )
-        entry = "array<struct<key string, value string>>"
-        props = F.transform(
-            F.coalesce(F.map_entries(feature["properties"]), F.array().cast(entry)),
-            lambda e: F.struct(
-                strip(e["key"]).alias("key"),
-                F.coalesce(strip(e["value"]), F.lit("")).alias("value"),
+
+def last_wins(entries: Column) -> Column:
+    """Of entries with one key the last counts, so a geometry overrides its properties."""
+    return F.map_from_entries(
+        F.filter(
+            entries,
+            lambda e, i: ~F.exists(
+                F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]
             ),
         )
-        placed = F.array(
-            F.struct(F.lit(fv.GEOJSON_LAT).alias("key"), F.get(point, 1).alias("value")),
-            F.struct(F.lit(fv.GEOJSON_LNG).alias("key"), F.get(point, 0).alias("value")),
-        )
-        return F.concat(props, F.when(is_point, placed).otherwise(F.array().cast(entry)))
-
-    rows = F.transform("f", row)
-    # Of entries with one key the last counts, which lets a geometry override its properties.
-    def last_wins(entries: Column) -> Column:
-        return F.map_from_entries(
-            F.filter(
-                entries,
-                lambda e, i: ~F.exists(
-                    F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]
-                ),
-            )
-        )
+    )
+
+
+def _geojson_rows(files: DataFrame) -> DataFrame:
+    """(dataset_id, fields, rows, error) per JSON file; rows only of feature collections."""
+    schema = f"features array<struct<{FEATURE}>>"
+    docs = decoded(files.where(F.col("format").isin("geojson", "json"))).select(
+        "dataset_id", "encoding", F.from_json("text", schema)["features"].alias("f")
+    )
 
+    rows = F.transform("f", feature_entries)
     error = F.when(F.col("encoding").isNull(), F.lit(UNDECODABLE)).when(F.col("f").isNull(), F.lit(NO_FEATURES))
     return docs.withColumn("rows", rows).select(
         "dataset_id",
@@ -242,7 +245,7 @@ def read_tables(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataF
     rows = geo.select("dataset_id", F.posexplode("rows").alias("at", "rec")).select(
         "dataset_id", (F.col("at") + 1).cast("long").alias("row_no"), "rec"
     )
-    return heads.unionByName(geo.select("dataset_id", "fields")), _records(lines).unionByName(rows)
+    return heads.unionByName(geo.select("dataset_id", "fields")), records(lines).unionByName(rows)
 
 
 def file_errors(files: DataFrame) -> DataFrame:
