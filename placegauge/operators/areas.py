@@ -10,8 +10,12 @@ from placegauge.functions.geo import cell_index, disc_offsets, geodesic_direct
 from placegauge.functions.rounding import round_half_even
 from placegauge.functions.staging import with_computed
 from placegauge.operators.skew import split_join
+from placegauge.session import cut
 
-POLYGON_CELL_DEG = 0.02
+# A power of two: cell borders and cell numbers are exact.
+POLYGON_CELL_DEG = 1 / 64
+# How far beyond its computed place an edge is still listed, against rounding; listing more is harmless.
+EDGE_MARGIN_DEG = 1e-9
 
 
 def disc_points(sites: DataFrame, radius_m: float) -> DataFrame:
@@ -66,46 +70,110 @@ def areas_by_lookup(points: DataFrame, lookup: DataFrame) -> DataFrame:
     return _distinct_areas(found.withColumn("name", area_name(F.col("code"))))
 
 
-def areas_by_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(site_id, code, name) from closed rings.
+def ring_edges(polygons: DataFrame) -> DataFrame:
+    """(ring_id, code, name, a, b): one row per edge of every ring."""
+    numbered = polygons.select(F.monotonically_increasing_id().alias("ring_id"), "code", "name", "ring")
+    n = F.size("ring")
+    edges = F.arrays_zip(
+        F.slice("ring", F.lit(1), n - 1).alias("a"), F.slice("ring", F.lit(2), n - 1).alias("b")
+    )
+    listed = numbered.where(n > 1).select("ring_id", "code", "name", F.explode(edges).alias("e"))
+    return listed.select("ring_id", "code", "name", "e.a", "e.b")
 
-    ``polygons``: code, name, ring array<struct<lng, lat>>.  Each ring is listed in the grid cells
-    of its bounding box, points are joined on their cell, and a crossing count decides.
-    """
-    size = POLYGON_CELL_DEG
 
-    def cells(axis: str) -> Column:
-        values = F.transform("ring", lambda p: p[axis])
-        return F.sequence(
-            cell_index(F.array_min(values), size), cell_index(F.array_max(values), size)
-        )
+def _lat_at(lng: Column) -> Column:
+    """Where the edge from a to b meets a meridian; within the edge also after rounding."""
+    a, b = F.col("a"), F.col("b")
+    at = a["lat"] + (b["lat"] - a["lat"]) * F.try_divide(lng - a["lng"], b["lng"] - a["lng"])
+    return F.greatest(F.least(a["lat"], b["lat"]), F.least(F.greatest(a["lat"], b["lat"]), at))
 
-    edges = F.arrays_zip(
-        F.slice("ring", F.lit(1), F.size("ring") - 1).alias("a"),
-        F.slice("ring", F.lit(2), F.size("ring") - 1).alias("b"),
+
+def edge_index(edges: DataFrame) -> DataFrame:
+    """(cx, cy, code, name, odd, edges): cells that a ring meets or holds.
+
+    A cell lists the edges that pass through it and no others: an edge is copied once for each cell
+    it crosses, however large its ring.  ``odd`` says whether a point that sits in the cell's south-east
+    corner has an odd number of edges to its east, which accounts for all the edges not listed.  It
+    changes along a column of cells only where the ring crosses the column's eastern border, so each
+    crossing is one row and cells without any edge need none.
+    """
+    size = POLYGON_CELL_DEG
+    west, east = F.least("a.lng", "b.lng"), F.greatest("a.lng", "b.lng")
+    columns = edges.withColumn("cx", F.explode(F.sequence(cell_index(west, size), cell_index(east, size))))
+    left, right = F.col("cx") * size, (F.col("cx") + 1) * size
+    first = F.when(F.col("a.lng") <= F.col("b.lng"), F.col("a.lat")).otherwise(F.col("b.lat"))
+    last = F.when(F.col("a.lng") <= F.col("b.lng"), F.col("b.lat")).otherwise(F.col("a.lat"))
+    upright = F.col("a.lng") == F.col("b.lng")
+    from_lat = F.when(~upright & (west < left), _lat_at(left)).otherwise(first)
+    to_lat = F.when(~upright & (east > right), _lat_at(right)).otherwise(last)
+    crosses = (F.col("a.lng") >= right) != (F.col("b.lng") >= right)
+    placed = cut(
+        columns.withColumn("border_lat", F.when(crosses, _lat_at(right)))
+        .withColumn("south", F.least(from_lat, to_lat) - EDGE_MARGIN_DEG)
+        .withColumn("north", F.greatest(from_lat, to_lat) + EDGE_MARGIN_DEG)
+    )
+    ring = ["ring_id", "code", "name", "cx"]
+    rows = F.sequence(cell_index(F.col("south"), size), cell_index(F.col("north"), size))
+    listed = (
+        placed.withColumn("cy", F.explode(rows))
+        .groupBy(*ring, "cy")
+        .agg(F.collect_list(F.struct("a", "b", "border_lat")).alias("edges"))
+    )
+    # Of the crossings of a column's eastern border those above a corner count for it: sorted from
+    # the north, corners between the first and the second, the third and the fourth, ... are odd.
+    below = F.ceil(F.col("border_lat") / F.lit(size)) - 1
+    columns_met = (
+        placed.where("border_lat IS NOT NULL")
+        .groupBy(*ring)
+        .agg(F.sort_array(F.collect_list(below), asc=False).alias("at"))
+    )
+    pairs = F.sequence(F.lit(0), F.floor(F.size("at") / 2).cast("int") - 1)
+    runs = columns_met.where(F.size("at") > 1).select(*ring, "at", F.explode(pairs).alias("k"))
+    top, bottom = F.get("at", 2 * F.col("k")), F.get("at", 2 * F.col("k") + 1) + 1
+    odd = (
+        runs.where(bottom <= top)
+        .select(*ring, F.explode(F.sequence(bottom, top)).alias("cy"))
+        .withColumn("odd", F.lit(True))
     )
-    boxes = (
-        polygons.select("code", "name", edges.alias("edges"), cells("lng").alias("xs"),
-                        cells("lat").alias("ys"))
-        .withColumn("cx", F.explode("xs"))
-        .withColumn("cy", F.explode("ys"))
-        .drop("xs", "ys")
+    none = F.array().cast(listed.schema["edges"].dataType)
+    return listed.join(odd, [*ring, "cy"], "full").select(
+        "cx", "cy", "code", "name",
+        F.coalesce("odd", F.lit(False)).alias("odd"),
+        F.coalesce("edges", none).alias("edges"),
     )
 
-    def crosses(edge: Column) -> Column:
-        a, b = edge["a"], edge["b"]
-        spans = (a["lat"] > F.col("lat")) != (b["lat"] > F.col("lat"))
-        at = (b["lng"] - a["lng"]) * F.try_divide(
-            F.col("lat") - a["lat"], b["lat"] - a["lat"]
-        ) + a["lng"]
-        return F.when(spans, F.col("lng") < at).otherwise(F.lit(False))
 
+def areas_by_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """(site_id, code, name) from closed rings.
+
+    ``polygons``: code, name, ring array<struct<lng, lat>>.  A point lies inside where an odd number
+    of edges passes to its east.  Points are joined on their cell of ``edge_index``: listed edges
+    are counted up to the cell's eastern border, and beyond it by the corner's ``odd``, turned once
+    for each edge that crosses the border between the corner's latitude and the point's.
+    """
+    size = POLYGON_CELL_DEG
+    boxes = edge_index(cut(ring_edges(polygons)))
     celled = points.withColumn("cx", cell_index(F.col("lng"), size)).withColumn(
         "cy", cell_index(F.col("lat"), size)
     )
     boxed = split_join(celled, boxes, ["cx", "cy"], F.struct("site_id", "pos"))
-    inside = boxed.where(F.size(F.filter("edges", crosses)) % 2 == 1)
-    return _distinct_areas(inside)
+    corner, border, lat = F.col("cy") * size, (F.col("cx") + 1) * size, F.col("lat")
+
+    def turns(edge: Column) -> Column:
+        crossing = edge["border_lat"]
+        return F.coalesce((crossing > corner) != (crossing > lat), F.lit(False))
+
+    def near(edge: Column) -> Column:
+        a, b, crossing = edge["a"], edge["b"], edge["border_lat"]
+        spans = (a["lat"] > lat) != (b["lat"] > lat)
+        at = (b["lng"] - a["lng"]) * F.try_divide(lat - a["lat"], b["lat"] - a["lat"]) + a["lng"]
+        # The part of an edge beyond the border is the corner's matter.
+        beyond = F.when(a["lng"] >= border, a["lat"]).otherwise(b["lat"])
+        far = F.when(crossing.isNull(), a["lng"] >= border).otherwise((beyond > lat) != (crossing > lat))
+        return F.when(spans & ~far, F.col("lng") < at).otherwise(F.lit(False))
+
+    passed = F.size(F.filter("edges", turns)) + F.size(F.filter("edges", near)) + F.col("odd").cast("int")
+    return _distinct_areas(boxed.where(passed % 2 == 1))
 
 
 def scope_of(site_areas: DataFrame, extra: list[str]) -> DataFrame:

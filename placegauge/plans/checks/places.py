@@ -138,6 +138,39 @@ def areas_by_lookup(t: Tables) -> DataFrame:
     return areas.areas_by_lookup(points, answers)
 
 
+@check(
+    "ring_areas",
+    f"""WITH v AS (
+        SELECT s_suppkey // 100 AS b, s_suppkey % 100 AS i, 139.6::DOUBLE + (s_suppkey % 100) * 0.0025::DOUBLE AS x,
+          {sql_lat('s_suppkey')} AS y FROM supplier
+        UNION ALL SELECT DISTINCT s_suppkey // 100, 1000 + c.i, c.x, 35.5::DOUBLE FROM supplier,
+          (VALUES (0, 139.85::DOUBLE), (1, 139.6::DOUBLE)) c(i, x)),
+      e AS (SELECT b, x AS ax, y AS ay,
+          coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS "by"
+        FROM v WINDOW w AS (PARTITION BY b ORDER BY i)),
+      p AS (SELECT c_custkey AS k, {sql_lat('c_custkey')} AS lat, {sql_lng('c_custkey')} AS lng FROM customer)
+    SELECT 'c' || k AS site_id, lpad(b::VARCHAR, 5, '0') AS code FROM p, e
+    WHERE (ay > lat) <> ("by" > lat) AND lng < (bx - ax) * ((lat - ay) / ("by" - ay)) + ax
+    GROUP BY k, b HAVING count(*) % 2 = 1""",
+)
+def ring_areas(t: Tables) -> DataFrame:
+    """Every customer's place in rings of a hundred suppliers each, jagged in the north."""
+    k = F.col("s_suppkey")
+    corner = F.struct((k % 100).alias("i"), (F.lit(139.6) + (k % 100) * F.lit(0.0025)).alias("lng"), hashed_lat(k).alias("lat"))
+    blocks = t("supplier").groupBy(F.floor(k / 100).alias("b")).agg(F.array_sort(F.collect_list(corner)).alias("north"))
+    north = F.transform("north", lambda c: F.struct(c["lng"].alias("lng"), c["lat"].alias("lat")))
+    south = F.array(*[F.struct(F.lit(x).alias("lng"), F.lit(35.5).alias("lat")) for x in (139.85, 139.6)])
+    ring = F.concat(north, south, F.slice(north, 1, 1))
+    code = F.lpad(F.col("b").cast("string"), 5, "0")
+    c = F.col("c_custkey")
+    points = t("customer").select(
+        F.concat(F.lit("c"), c.cast("string")).alias("site_id"), F.lit(0).alias("pos"),
+        hashed_lat(c).alias("lat"), hashed_lng(c).alias("lng"),
+    )
+    shapes = blocks.select(code.alias("code"), code.alias("name"), ring.alias("ring"))
+    return areas.areas_by_polygons(points, shapes).select("site_id", "code")
+
+
 @check("municipality_coverage", select("SELECT * FROM coverage", "coverage"))
 def municipality_coverage(t: Tables) -> DataFrame:
     return coverage.municipality_coverage(tb.report(t), fv.UNLOCATED_TOLERANCE)
