@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
@@ -64,10 +64,17 @@ def table_problems(datasets: DataFrame) -> DataFrame:
 
 
 def yearbook_rows(records: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Typed rows of station tables: every row with a year, value null where it is no number."""
+    """Typed rows of station tables: every row with a year, value null where it is no number.
+
+    ``datasets`` may have a ``pos``, the place at which the yearbook lists a table; rows carry it as
+    ``table_pos``.  Tables without a needed column have no rows; ``table_states`` names them.
+    """
     columns = table_columns(datasets).where(
         "year_field IS NOT NULL AND station_field IS NOT NULL AND boarding_field IS NOT NULL"
     )
+    pos = F.col("pos") if "pos" in datasets.columns else F.lit(None)
+    places = datasets.select("dataset_id", pos.cast("bigint").alias("table_pos"))
+    columns = columns.join(places, "dataset_id")
     joined = split_join(records, columns, ["dataset_id"], F.col("row_no"))
     value = {
         name: F.nullif(F.element_at("rec", F.col(f"{name}_field")), F.lit(""))
@@ -75,6 +82,7 @@ def yearbook_rows(records: DataFrame, datasets: DataFrame) -> DataFrame:
     }
     return joined.select(
         F.col("dataset_id").alias("table_name"),
+        "table_pos",
         "row_no",
         F.when(value["year"].rlike("^[0-9]+$"), value["year"].try_cast("int")).alias("fiscal_year"),
         value["station"].alias("station"),
@@ -128,14 +136,79 @@ def usage_lines(sites: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.select("site_id", "operator", "line", "thousands")
 
 
-def english_names(rows: DataFrame, table_order: str = "table_name") -> DataFrame:
-    """(station, station_en): first spelling of the default operator's tables."""
+def table_states(datasets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(table_name, state, latest): ``read``, ``unreadable`` (a column is missing) or ``no year``."""
+    bad = table_problems(datasets).select(F.col("key").alias("table_name")).distinct()
+    latest = rows.groupBy("table_name").agg(F.max("fiscal_year").alias("latest"))
+    named = datasets.select(F.col("dataset_id").alias("table_name")).distinct()
+    state = (
+        F.when(F.col("bad"), F.lit("unreadable")).when(F.col("latest").isNull(), F.lit("no year")).otherwise(F.lit("read"))
+    )
+    joined = named.join(bad.withColumn("bad", F.lit(True)), "table_name", "left").join(latest, "table_name", "left")
+    return joined.select("table_name", state.alias("state"), "latest")
+
+
+def table_members(rows: DataFrame) -> DataFrame:
+    """(station, table_name): which tables list a station, in any year and with any value."""
+    return rows.where("station IS NOT NULL").select("station", "table_name").distinct()
+
+
+def usage_lineage(expected: DataFrame, states: DataFrame) -> DataFrame:
+    """(station, n_expected, n_read, missing): tables that a station's sum needs and what became of them.
+
+    ``expected``: (station, table_name), as ``table_members`` of this or an earlier edition gives it.
+    """
+    joined = split_join(
+        expected.select("station", "table_name").distinct(), states.select("table_name", "state"),
+        ["table_name"], F.col("station"), "left",
+    )
+    read = F.coalesce(F.col("state") == "read", F.lit(False))
+    return joined.groupBy("station").agg(
+        F.count(F.lit(1)).alias("n_expected"),
+        F.count(F.when(read, 1)).alias("n_read"),
+        # A yearbook's tables, of which a station is in a few.
+        F.array_sort(F.collect_set(F.when(~read, F.col("table_name")))).alias("missing"),
+    )
+
+
+def checked_usage(sites: DataFrame, rows: DataFrame, expected: DataFrame, states: DataFrame) -> DataFrame:
+    """``daily_usage`` with its lineage: complete only if every table that lists the station was read.
+
+    Of an incomplete site the sum of the tables that were read is the lower bound.  An unread table
+    that is expected of no station may list any, so with one every site is incomplete.
+    """
+    unread = states.where("state <> 'read'").join(expected, "table_name", "left_anti")
+    stray = unread.agg((F.count(F.lit(1)) > 0).alias("stray"))
+    lineage = usage_lineage(expected, states)
+    named = sites.select("site_id", F.col("name").alias("station")).join(lineage, "station", "left")
+    joined = daily_usage(sites, rows).join(named, "site_id").crossJoin(F.broadcast(stray))  # one row
+    whole = (F.coalesce("n_expected", F.lit(0)) == F.coalesce("n_read", F.lit(0))) & ~F.col("stray")
+    complete = whole & (F.col("status") == "complete")
+    none = F.array().cast("array<string>")
+    return joined.select(
+        "site_id",
+        F.when(complete, F.lit("complete")).otherwise(F.lit("incomplete")).alias("status"),
+        F.when(complete, F.col("count")).alias("count"),
+        "lower_bound",
+        "fiscal_year",
+        F.coalesce("n_expected", F.lit(0)).alias("n_expected"),
+        F.coalesce("n_read", F.lit(0)).alias("n_read"),
+        F.coalesce("missing", none).alias("missing"),
+    )
+
+
+def english_names(rows: DataFrame, table_order: str | None = None) -> DataFrame:
+    """(station, station_en): first spelling of the default operator's tables.
+
+    Tables come in the order in which the yearbook lists them, where rows know it, else by name.
+    """
+    order = [F.col(table_order or "table_name"), F.col("row_no")]
+    if table_order is None and "table_pos" in rows.columns:
+        order = [F.coalesce("table_pos", F.lit(2**62)), *order]
     named = latest_rows_per_table(rows).where(
         F.col("station_en").isNotNull() & (F.col("operator") == fv.DEFAULT_OPERATOR)
     )
-    return named.groupBy("station").agg(
-        F.min_by("station_en", F.struct(F.col(table_order), F.col("row_no"))).alias("station_en")
-    )
+    return named.groupBy("station").agg(F.min_by("station_en", F.struct(*order)).alias("station_en"))
 
 
 def latest_rows_per_table(rows: DataFrame) -> DataFrame:
@@ -146,30 +219,54 @@ def latest_rows_per_table(rows: DataFrame) -> DataFrame:
     )
 
 
-def yearbook_entry(package: DataFrame, tables: DataFrame) -> DataFrame:
-    """Manifest entry of the chosen yearbook. ``tables``: pos, id, name, url of its few tables."""
-    listed = tables.agg(
-        F.array_sort(F.collect_list(F.struct("pos", "id", "name", "url"))).alias("t")
-    ).withColumn("one", F.lit(1))
-    first = F.get("t", 0)
-    reason = F.concat(
-        F.lit(fv.YEARBOOK_REASON),
-        F.array_join(F.transform("t", lambda x: x["name"]), fv.YEARBOOK_NAME_SEPARATOR),
+def yearbook_listing(tables: DataFrame) -> DataFrame:
+    """(package, place, id, name, url): the tables of every package as it lists them, from 1."""
+    order = Window.partitionBy("package").orderBy("pos", "id")
+    return tables.select("package", F.row_number().over(order).alias("place"), "id", "name", "url")
+
+
+def yearbook_entries(packages: DataFrame, tables: DataFrame) -> DataFrame:
+    """Manifest entries of yearbooks, with their first table; those without tables have none.
+
+    ``tables``: package, pos, id, name, url.  ``yearbook_listing`` has all tables, a row each.
+    """
+    place = F.struct("pos", "id")
+    first = tables.groupBy("package").agg(
+        F.min_by("url", place).alias("resource_url"),
+        F.min_by("id", place).alias("resource_id"),
+        F.count(F.lit(1)).alias("n_tables"),
     )
     accepted = F.lit("accepted")
-    return package.withColumn("one", F.lit(1)).join(F.broadcast(listed), "one").select(
+    joined = packages.join(first.withColumnRenamed("package", "name"), "name", "left")
+    return joined.select(
         F.lit("stationUsage").alias("feature"),
         F.col("name").alias("dataset_id"),
         F.col("title").alias("name"),
         "organization",
         "source_url",
-        first["url"].alias("resource_url"),
-        first["id"].alias("resource_id"),
+        "resource_url",
+        "resource_id",
         F.lit("csv").alias("format"),
         accepted.alias("status"),
         accepted.alias("auto_status"),
         F.lit(1.0).alias("confidence"),
-        reason.alias("reason"),
+        F.lit(fv.YEARBOOK_REASON).alias("reason"),
         F.col("license_id").alias("license"),
         F.col("metadata_modified").alias("last_modified"),
+        F.coalesce("n_tables", F.lit(0)).alias("n_tables"),
+    )
+
+
+def yearbook_entry(package: DataFrame, tables: DataFrame) -> DataFrame:
+    """The entry of the chosen yearbook, its reason naming its tables among those of all packages."""
+    own = tables.join(package.select(F.col("name").alias("package")), "package", "left_semi")
+    # As long as the reason that is published.
+    names = own.groupBy(F.col("package").alias("dataset_id")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "id", "name"))).alias("t")
+    )
+    text = F.array_join(F.transform("t", lambda x: x["name"]), fv.YEARBOOK_NAME_SEPARATOR)
+    entries = yearbook_entries(package, own).join(names, "dataset_id", "left")
+    return entries.withColumn("reason", F.concat("reason", F.coalesce(text, F.lit("")))).select(
+        "feature", "dataset_id", "name", "organization", "source_url", "resource_url", "resource_id", "format",
+        "status", "auto_status", "confidence", "reason", "license", "last_modified",
     )

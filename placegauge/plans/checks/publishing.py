@@ -24,6 +24,7 @@ from placegauge.plans.checks.base import (
     sql_pick,
     sql_round,
 )
+from placegauge.session import cut
 
 select = CTES.select
 
@@ -610,7 +611,7 @@ def area_violations(t: Tables) -> DataFrame:
 @check(
     "yearbook_entry",
     select(
-        f"""SELECT 'y-' || pos AS dataset_id, '{fv.YEARBOOK_REASON}'
+        f"""SELECT 'y-' || (pos % 50) AS dataset_id, '{fv.YEARBOOK_REASON}'
           || coalesce((SELECT string_agg(p_name || '駅別乗車人員', '・' ORDER BY p_partkey)
             FROM part WHERE p_partkey % 50 = pos % 50 AND p_size > 25), '') AS reason,
           (SELECT 'u' || min(p_partkey) FROM part WHERE p_partkey % 50 = pos % 50 AND p_size > 25)
@@ -620,21 +621,126 @@ def area_violations(t: Tables) -> DataFrame:
     ),
 )
 def yearbook_entry(t: Tables) -> DataFrame:
-    """Every part is a file of one of fifty packages."""
+    """The chosen package among fifty, whose files are all parts."""
     found = usage.latest_package(usage.yearbook_packages(yearbook_listing(t)))
     package = found.select(
-        F.concat(F.lit("y-"), F.col("pos").cast("string")).alias("name"), "title", "organization",
+        F.concat(F.lit("y-"), (F.col("pos") % 50).cast("string")).alias("name"), "title", "organization",
         F.lit("https://example.org/y").alias("source_url"), F.lit("cc-by").alias("license_id"),
         F.col("modified").alias("metadata_modified"),
     )
+    return usage.yearbook_entry(package, part_tables(t)).select("dataset_id", "reason", "resource_url")
+
+
+def part_tables(t: Tables) -> DataFrame:
+    """Every part as a file of one of fifty packages; some are station tables."""
     k = F.col("p_partkey")
-    chosen = found.select((F.col("pos") % 50).alias("package"))
-    files = t("part").withColumn("package", k % 50).join(F.broadcast(chosen), "package").select(  # one row
+    files = t("part").select(
+        F.concat(F.lit("y-"), (k % 50).cast("string")).alias("package"),
         k.alias("pos"), k.cast("string").alias("id"),
         F.concat("p_name", F.when(F.col("p_size") > 25, F.lit("駅別乗車人員")).otherwise(F.lit("")))
         .alias("name"),
         F.concat(F.lit("u"), k.cast("string")).alias("url"), F.lit("csv").alias("format"),
     )
-    return usage.yearbook_entry(package, usage.station_tables(files)).select(
-        "dataset_id", "reason", "resource_url"
+    return usage.station_tables(files)
+
+
+@check(
+    "yearbook_entries",
+    f"""SELECT 'y-' || n AS dataset_id, 'u' || min(p_partkey) AS resource_url, count(p_partkey) AS n_tables,
+      '{fv.YEARBOOK_REASON}' AS reason
+    FROM (SELECT unnest(range(60)) AS n) LEFT JOIN part ON p_partkey % 50 = n AND p_size > 25 GROUP BY n""",
+)
+def yearbook_entries(t: Tables) -> DataFrame:
+    """All fifty packages, and ten without any table."""
+    name = F.concat(F.lit("y-"), F.col("id").cast("string"))
+    packages = t.spark.range(60).select(
+        name.alias("name"), name.alias("title"), F.lit("x").alias("organization"), F.lit("x").alias("source_url"),
+        F.lit("x").alias("license_id"), F.lit("x").alias("metadata_modified"),
+    )
+    return usage.yearbook_entries(packages, part_tables(t)).select(
+        "dataset_id", "resource_url", "n_tables", "reason"
+    )
+
+
+@check(
+    "yearbook_tables",
+    """SELECT 'y-' || (p_partkey % 50) AS package, p_name || '駅別乗車人員' AS name, 'u' || p_partkey AS url,
+      row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS place
+    FROM part WHERE p_size > 25""",
+)
+def yearbook_tables(t: Tables) -> DataFrame:
+    return usage.yearbook_listing(part_tables(t)).select("package", "name", "url", "place")
+
+
+CTES.add(
+    "edition",
+    """SELECT y.*, 'T' || n AS t, n % 10 = 3 AS bad FROM yearbook y JOIN (
+      SELECT l_orderkey, l_linenumber, (l_suppkey * 7 + l_linenumber) % 50 AS n FROM lineitem) l
+    ON y.row_no = l.l_orderkey AND y.l_linenumber = l.l_linenumber""",
+    ("yearbook",),
+)
+CTES.add(
+    "edition_member",
+    """SELECT station, count(*) AS n_expected, count(*) FILTER (NOT bad) AS n_read,
+      string_agg(t, ',' ORDER BY t) FILTER (bad) AS missing
+    FROM (SELECT DISTINCT station, t, bad FROM edition) GROUP BY station""",
+    ("edition",),
+)
+CTES.add(
+    "edition_usage",
+    """SELECT station, fiscal_year, sum(thousands)::DOUBLE * 1000 / date_diff('day',
+      make_date(fiscal_year, 4, 1), make_date(fiscal_year + 1, 4, 1))::DOUBLE AS per_day
+    FROM edition WHERE NOT bad AND thousands IS NOT NULL
+      AND fiscal_year = (SELECT max(fiscal_year) FROM edition WHERE NOT bad) GROUP BY station, fiscal_year""",
+    ("edition",),
+)
+
+
+@check(
+    "usage_lineage",
+    select(
+        """SELECT site_id, CASE WHEN per_day IS NOT NULL AND missing IS NULL THEN 'complete' ELSE 'incomplete' END
+            AS status,
+          CASE WHEN missing IS NULL THEN round_even(per_day, 0)::BIGINT END AS count,
+          coalesce(round_even(per_day, 0)::BIGINT, 0) AS lower_bound, fiscal_year,
+          coalesce(n_expected, 0) AS n_expected, coalesce(n_read, 0) AS n_read, coalesce(missing, '') AS missing
+        FROM site s LEFT JOIN edition_member m ON m.station = s.name
+          LEFT JOIN edition_usage u ON u.station = s.name""",
+        "site", "edition_member", "edition_usage",
+    ),
+)
+def usage_lineage(t: Tables) -> DataFrame:
+    """Fifty tables of which five cannot be read: only the sites that they list are incomplete."""
+    number = (F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 50
+    edition = tb.yearbook(t, F.concat(F.lit("T"), number.cast("string")))
+    names = t.spark.range(50).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("dataset_id"), "id")
+    fields = F.array(F.lit("Fiscal year"), F.when(F.col("id") % 10 == 3, F.lit("Stop")).otherwise(F.lit("駅")),
+                     F.lit("乗車人員 総数"))
+    datasets = names.select("dataset_id", fields.alias("fields"))
+    unread = usage.table_problems(datasets).select(F.col("key").alias("table_name"))
+    rows = cut(edition.join(unread, "table_name", "left_anti"))
+    found = usage.checked_usage(
+        tb.sites(t), rows, cut(usage.table_members(edition)), usage.table_states(datasets, rows)
+    )
+    return found.withColumn("missing", F.array_join("missing", ","))
+
+
+@check(
+    "english_names_listed",
+    f"""WITH latest AS (SELECT *, rank() OVER (PARTITION BY table_name ORDER BY fiscal_year DESC) AS r
+      FROM (SELECT o_orderpriority AS table_name, -ascii(o_orderpriority) AS pos, o_orderkey AS row_no,
+        year(o_orderdate) AS fiscal_year, 'S' || (o_custkey % 300) AS station, 'Name ' || o_orderkey AS station_en
+        FROM orders))
+    SELECT station, arg_min(station_en, (pos, row_no)) AS station_en FROM latest WHERE r = 1 GROUP BY 1""",
+)
+def english_names_listed(t: Tables) -> DataFrame:
+    """Tables listed in another order than that of their names: the listed order counts."""
+    k = F.col("o_orderkey")
+    rows = t("orders").select(
+        F.col("o_orderpriority").alias("table_name"), (-F.ascii("o_orderpriority")).alias("table_pos"),
+        k.alias("row_no"), F.year("o_orderdate").alias("fiscal_year"),
+        F.concat(F.lit("S"), (F.col("o_custkey") % 300).cast("string")).alias("station"),
+        F.concat(F.lit("Name "), k.cast("string")).alias("station_en"),
+        F.lit(fv.DEFAULT_OPERATOR).alias("operator"), F.lit(1).alias("thousands"),
     )
+    return usage.english_names(rows)

@@ -273,15 +273,59 @@ def station_sites(
     return master
 
 
-def ridership(site_table: DataFrame, rows: DataFrame, tables: DataFrame | None = None) -> DataFrame:
-    """Usage as an aggregate like those of the facility features.
+@dataclass(frozen=True)
+class Ridership:
+    """``aggregates`` like those of the facility features, and what they consist of.
 
-    ``tables``: the yearbook's datasets; one with unexpected columns ends the job.
+    usage: with fiscal year and the tables of each site.  lines: site_id, operator, line, thousands.
+    entry: the yearbook in the manifest.  sources: rows for ``build``'s ``other_sources``.
     """
-    if tables is not None:
-        quality.require_clean(usage.table_problems(tables), "yearbook tables")
-    return usage.daily_usage(site_table, rows).select(
-        "site_id", F.lit("stationUsage").alias("feature"), "status", "count", "lower_bound"
+
+    aggregates: DataFrame
+    usage: DataFrame
+    lines: DataFrame
+    entry: DataFrame
+    sources: DataFrame
+
+
+def ridership(
+    site_table: DataFrame,
+    records: DataFrame,
+    datasets: DataFrame,
+    package: DataFrame,
+    resources: DataFrame,
+    expected: DataFrame | None = None,
+) -> Ridership:
+    """Usage of every site from the station tables of the chosen yearbook.
+
+    ``records`` and ``datasets`` are those of its files, ``package`` its one row, ``resources`` the
+    listed files of packages: package, pos, id, name, url, format.  A table that cannot be read ends
+    the job; with ``expected`` (station, table_name: the tables that should list a station, say of
+    the edition before) only the sites it should list are incomplete.
+    """
+    rows = cut(usage.yearbook_rows(records, datasets))
+    states = cut(usage.table_states(datasets, rows))
+    members = usage.table_members(rows)
+    if expected is None:
+        problems = usage.table_problems(datasets).unionByName(
+            states.where("state = 'no year'").select(F.col("state").alias("rule"), F.col("table_name").alias("key"))
+        )
+        quality.require_clean(problems, "yearbook tables")
+    else:
+        members = members.unionByName(expected.select("station", "table_name")).distinct()
+    used = cut(usage.checked_usage(site_table, rows, cut(members), states))
+    entry = cut(usage.yearbook_entry(package, usage.station_tables(resources)))
+    counted = used.where("fiscal_year IS NOT NULL").select("site_id", F.lit("stationUsage").alias("feature"))
+    evidence = counted.join(
+        F.broadcast(entry.select("feature", "dataset_id")), "feature"  # the one yearbook
+    )
+    sources = publish.site_sources(evidence, entry).withColumn("kind", F.lit("statistics"))
+    return Ridership(
+        used.select("site_id", F.lit("stationUsage").alias("feature"), "status", "count", "lower_bound"),
+        used,
+        usage.usage_lines(site_table, rows),
+        entry,
+        sources,
     )
 
 

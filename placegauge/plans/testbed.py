@@ -284,12 +284,12 @@ def place_aggregates(t: Tables) -> DataFrame:
 
 # --- ridership -----------------------------------------------------------------------------------
 
-def yearbook(t: Tables) -> DataFrame:
+def yearbook(t: Tables, table: Column | None = None) -> DataFrame:
     """Line items as yearbook rows: one table per return flag, April to March years."""
     ship = F.col("l_shipdate")
     k = F.col("l_suppkey")
     return t("lineitem").select(
-        F.col("l_returnflag").alias("table_name"),
+        (F.col("l_returnflag") if table is None else table).alias("table_name"),
         F.col("l_orderkey").alias("row_no"),
         (F.year(ship) - F.when(F.month(ship) < 4, 1).otherwise(0)).alias("fiscal_year"),
         F.concat(F.lit("Supplier#"), F.lpad(k.cast("string"), 9, "0")).alias("station"),

@@ -94,11 +94,29 @@ def test_all_jobs(spark, landed, manifest_table, tmp_path):
         "site_id",
         F.explode(F.array(*[F.lit(f) for f in ("tourism", "culture", "publicFacility", "library")]))
         .alias("feature"), (F.col("pos") * 2).alias("raw"))
-    yearbook = spark.createDataFrame(
-        [("t", i, 2023, n, None, "JR東日本", "", 1000 * (i + 1)) for i, n in enumerate("ABC")],
-        "table_name string, row_no int, fiscal_year int, station string, station_en string, "
-        "operator string, line string, thousands long")
-    every = counted.aggregates.unionByName(jobs.ridership(sites, yearbook))
+    fields = ["Fiscal year", "駅", "乗車人員 総数", "系統"]
+    book = spark.createDataFrame([("t1", fields, 1)], "dataset_id string, fields array<string>, pos int")
+    records = spark.createDataFrame(
+        [("t1", i, dict(zip(fields, ["2023", n, str(1000 * (i + 1)), "本線"]))) for i, n in enumerate("ABC")],
+        "dataset_id string, row_no long, rec map<string,string>")
+    package = spark.createDataFrame(
+        [("book", "年鑑", "統計局", "https://example.org/book", "cc-by", "2024")],
+        "name string, title string, organization string, source_url string, license_id string, metadata_modified string")
+    resources = spark.createDataFrame(
+        [("book", 2, "r2", "駅別乗車人員 二", "u2", "CSV"), ("book", 1, "r1", "駅別乗車人員 一", "u1", "csv"),
+         ("book", 0, "r0", "目次", "u0", "csv"), ("old", 0, "x", "駅別乗車人員", "ux", "csv")],
+        "package string, pos int, id string, name string, url string, format string")
+    with pytest.raises(quality.QualityError, match="no station"):
+        jobs.ridership(sites, records, book.unionByName(spark.createDataFrame(
+            [("t2", ["Fiscal year", "乗車人員 総数"], 2)], book.schema)), package, resources)
+    usage = jobs.ridership(sites, records, book, package, resources)
+    assert rows(usage.lines, "site_id", "line", "thousands") == [("a", "本線", 1000), ("b", "本線", 2000), ("c", "本線", 3000)]
+    assert rows(usage.entry, "dataset_id", "resource_id", "resource_url") == [("book", "r1", "u1")]
+    assert usage.entry.first()["reason"].endswith("駅別乗車人員 一・駅別乗車人員 二")
+    assert rows(usage.sources, "site_id", "source_id", "kind") == [
+        (s, "book", "statistics") for s in "abc"]
+    assert rows(usage.usage, "site_id", "fiscal_year", "n_read") == [("a", 2023, 1), ("b", 2023, 1), ("c", 2023, 1), ("d", None, 0)]
+    every = counted.aggregates.unionByName(usage.aggregates)
     others = every.select("site_id", "feature").unionByName(base.select("site_id", "feature")).select(
         "site_id", "feature", F.concat(F.lit("base-"), "feature").alias("source_id"), F.lit("base").alias("source_name"),
         F.lit(None).cast("string").alias("organization"), F.lit("https://example.org/base").alias("url"),

@@ -150,6 +150,35 @@ def test_usage(spark):
     assert rows(usage.english_names(table)) == [("東京", "Tokyo")]
 
 
+def test_usage_needs_every_table_that_lists_a_station(spark):
+    fields = ["Fiscal year", "駅", "乗車人員・総数"]
+    datasets = spark.createDataFrame(
+        [("one", fields), ("two", fields), ("bad", ["Fiscal year", "Stop"]), ("late", fields)],
+        "dataset_id string, fields array<string>")
+    records = spark.createDataFrame(
+        [("one", 1, dict(zip(fields, ["2023", "A", "10"]))), ("two", 1, dict(zip(fields, ["2023", "A", "5"]))),
+         ("one", 2, dict(zip(fields, ["2023", "B", "7"]))), ("two", 2, dict(zip(fields, ["2023", "C", "9"])))],
+        "dataset_id string, row_no long, rec map<string,string>")
+    table = usage.yearbook_rows(records, datasets)
+    states = usage.table_states(datasets, table)
+    assert rows(states) == [("bad", "unreadable", None), ("late", "no year", None), ("one", "read", 2023), ("two", "read", 2023)]
+    site = spark.createDataFrame([(s.lower(), s) for s in "ABCD"], "site_id string, name string")
+    members = usage.table_members(table)
+    before = members.unionByName(spark.createDataFrame(
+        [("B", "bad"), ("C", "late"), ("C", "gone"), ("D", "bad")], "station string, table_name string"))
+    got = rows(usage.checked_usage(site, table, before, states), "site_id", "status", "count", "lower_bound", "missing")
+    per_day = [round(n * 1000 / 366) for n in (15, 7, 9)]
+    assert got == [
+        ("a", "complete", per_day[0], per_day[0], []), ("b", "incomplete", None, per_day[1], ["bad"]),
+        ("c", "incomplete", None, per_day[2], ["gone", "late"]), ("d", "incomplete", None, 0, ["bad"])]
+    # A table that cannot be read and is expected of nobody may list anybody.
+    got = rows(usage.checked_usage(site, table, members, states), "site_id", "status", "count")
+    assert got == [(s, "incomplete", None) for s in "abcd"]
+    good = datasets.where("dataset_id IN ('one', 'two')")
+    got = rows(usage.checked_usage(site, table, members, usage.table_states(good, table)), "site_id", "count")
+    assert got == [("a", per_day[0]), ("b", per_day[1]), ("c", per_day[2]), ("d", None)]
+
+
 def test_site_master(spark):
     rail = spark.createDataFrame(
         [
