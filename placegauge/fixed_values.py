@@ -227,3 +227,11 @@ REASON_UPDATED = "更新 {date}"
 REASON_DUPLICATE = "。{original} と重複の可能性"
 NO_SCORE_TEXT = "—"
 NO_RAW_TEXT = "欠損"
+
+# How an item is described when the classifier is asked about it.
+ITEM_STATE = {
+    "facility": ["施設名", "種別", "出典の一覧"],
+    "dataset": ["データセット名", "提供組織", "列"],
+}
+NO_CATEGORIES = "（なし）"
+NO_COLUMNS = "（不明）"

@@ -5,11 +5,14 @@ Parts are read as catalog packages: titles, notes, tags and files are put togeth
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
-from placegauge.operators import catalog, judgements, manifest, quality
+from placegauge.operators import catalog, evaluation, judgements, manifest, quality
+from placegauge.plans import jobs
 from placegauge.plans.checks.base import (
     CTES,
     Tables,
@@ -20,7 +23,7 @@ from placegauge.plans.checks.base import (
     sql_round,
     sql_sum,
 )
-from placegauge.session import cut
+from placegauge.session import checkpoint_folder, cut, require_checkpoint_folder
 
 select = CTES.select
 
@@ -713,3 +716,122 @@ def answer_stability(t: Tables) -> DataFrame:
 def call_costs(t: Tables) -> DataFrame:
     calls = t("events").select(F.col("user_id").alias("tokens"), F.col("value").alias("latency"))
     return judgements.call_costs(calls, 0.042)
+
+
+# --- the evaluation as one run ---------------------------------------------------------------
+
+EVAL_NAMES = ["中央公園", "中央図書館", "物置", "郷土資料館"]
+EVAL_TRUTHS = ["park", "library", "none", "culture"]
+EVAL_QUESTIONS = {
+    kind: {language: f'{{"category": "{kind} {language}"}}' for language in ("ja", "en")}
+    for kind in ("facility", "dataset")
+}
+
+CTES.add(
+    "eval_item",
+    f"""SELECT doc_id AS k, CASE WHEN doc_id % 3 = 0 THEN 'dataset' ELSE 'facility' END AS kind,
+      {sql_pick(EVAL_TRUTHS, 'doc_id % 4')} AS truth,
+      CASE WHEN quality = 1 THEN {sql_pick(EVAL_TRUTHS, 'doc_id % 4')} ELSE 'none' END AS label,
+      doc_id % 10 = 0 AS ambiguous, CASE WHEN doc_id % 7 <> 0 THEN toxic = 1 END AS destination,
+      CASE WHEN doc_id % 3 = 0 THEN {sql_pick(EVAL_TRUTHS, '(doc_id // 3) % 4')}
+        ELSE {sql_pick(EVAL_TRUTHS, 'doc_id % 4')} END AS rule
+    FROM labels""",
+)
+CTES.add(
+    "eval_row",
+    """SELECT *, CASE WHEN k % 23 <> 0 THEN CASE WHEN k * 7 % 11 = 0 THEN 'none' ELSE truth END END AS model,
+      CASE WHEN k % 23 <> 0 THEN truth = 'none' OR NOT (k * 7 % 11 = 0 OR (k * 7 + 1) % 11 = 0
+        OR (k * 7 + 2) % 11 = 0) END AS stable,
+      CASE WHEN k % 23 <> 0 THEN CASE WHEN k % 4 = 1 THEN 'none' ELSE truth END END AS other,
+      (k % 101) / 100::DOUBLE AS sure, (k % 97) / 96::DOUBLE AS score,
+      NOT ambiguous AND k % 23 <> 0 AS scored FROM eval_item""",
+    ("eval_item",),
+)
+
+
+def evaluation_run(t: Tables) -> jobs.Evaluation:
+    """Labels as two sets of JSON lines, answered three times in one language and once in another."""
+    k = F.col("doc_id")
+    truth = pick(EVAL_TRUTHS, k % 4)
+    rows = t("labels").select(
+        k.alias("k"),
+        F.concat(pick(EVAL_NAMES, k % 4), k.cast("string")).alias("name"),
+        F.lit("").alias("categories"), F.lit("一覧").alias("source"), F.lit("区").alias("organization"),
+        F.array(F.lit("名称"), F.lit("住所")).alias("columns"),
+        F.when(k % 3 == 0, pick(EVAL_TRUTHS, F.floor(k / 3) % 4)).alias("rule"),
+        F.when(F.col("quality") == 1, truth).otherwise(F.lit("none")).alias("label"),
+        F.when(k % 10 == 0, F.lit(True)).alias("ambiguous"),
+        F.when(k % 7 != 0, F.col("toxic") == 1).alias("destination"),
+        truth.alias("truth"),
+    )
+    require_checkpoint_folder(t.spark)
+    folder = f"{checkpoint_folder(t.spark)}/labelled-{uuid.uuid4().hex}"
+    paths, stored = {}, []
+    for kind, own in (("facility", rows.where("k % 3 <> 0")), ("dataset", rows.where("k % 3 = 0"))):
+        paths[kind] = f"{folder}/{kind}"
+        own.drop("k", "truth").write.json(paths[kind])
+        state = evaluation.item_state(F.lit(kind))
+        asks = F.explode(F.array(*[
+            F.struct(F.lit(r).alias("repeat"), F.lit(language).alias("language"),
+                     F.lit(EVAL_QUESTIONS[kind][language]).alias("question"))
+            for r, language in ((0, "ja"), (1, "ja"), (2, "ja"), (0, "en"))
+        ]))
+        n = F.col("k")
+        ja = F.when((n * 7 + F.col("q.repeat")) % 11 == 0, F.lit("none")).otherwise(F.col("truth"))
+        en = F.when(n % 4 == 1, F.lit("none")).otherwise(F.col("truth"))
+        stored.append(own.where("k % 23 <> 0").withColumn("q", asks).select(
+            judgements.judgement_key(state, F.col("q.question")).alias("key"),
+            F.col("q.repeat").alias("repeat"),
+            F.when(F.col("q.language") == "ja", ja).otherwise(en).alias("category"),
+            (n % 101 / F.lit(100.0)).alias("confidence"), (n % 97 / F.lit(96.0)).alias("list_score"),
+            (n % 50 + 100).alias("tokens"), (n % 13 / F.lit(10.0)).alias("latency"),
+        ))
+    return jobs.evaluate_classifier(t.spark, paths, EVAL_QUESTIONS, stored[0].unionByName(stored[1]), 0.042)
+
+
+def _share_sql(part: str, whole: str) -> str:
+    return sql_round(f"count(*) FILTER ({part})::DOUBLE / greatest(count(*) FILTER ({whole}), 1)::DOUBLE", 3)
+
+
+EVAL_METRICS = [
+    ("items", "", "count(*)"), ("scored", "", "count(*) FILTER (scored)"), ("open", "", "count(*) FILTER (k % 23 = 0)"),
+    *[("accuracy", name, _share_sql(f"scored AND {c} = label", "scored"))
+      for name, c in (("rule", "rule"), ("model", "model"), ("model_other", "other"))],
+    ("stable_rate", "model", _share_sql("stable", "k % 23 <> 0")),
+    ("destination_accuracy", "model",
+     _share_sql("scored AND (score >= 0.5) = destination", "scored AND destination IS NOT NULL")),
+    ("fixed", "model", "count(*) FILTER (scored AND model = label AND rule <> label)"),
+    ("broken", "model", "count(*) FILTER (scored AND model <> label AND rule = label)"),
+    *[(metric, str(g), _share_sql(f"scored AND sure >= {g} {more}", whole.format(g=g)))
+      for g in judgements.GATES
+      for metric, more, whole in (("coverage", "", "scored"),
+                                  ("gate_accuracy", "AND model = label", "scored AND sure >= {g}"))],
+]
+
+
+@check(
+    "classifier_evaluation",
+    select(
+        " UNION ALL ".join(
+            f"SELECT kind, '{metric}' AS metric, '{name}' AS name, ({value})::DOUBLE AS value FROM eval_row GROUP BY kind"
+            for metric, name, value in EVAL_METRICS
+        ),
+        "eval_row",
+    ),
+)
+def classifier_evaluation(t: Tables) -> DataFrame:
+    """The whole run over every label: JSON lines, rules, stored answers with repeats, all metrics."""
+    return evaluation_run(t).metrics
+
+
+@check(
+    "evaluation_differences",
+    select(
+        f"""SELECT kind, {sql_pick(EVAL_NAMES, 'k % 4')} || k AS name, label, rule, model,
+          CASE WHEN rule = label THEN 'rule' ELSE 'model' END AS "right"
+        FROM eval_row WHERE scored AND (rule = label) <> (model = label)""",
+        "eval_row",
+    ),
+)
+def evaluation_differences(t: Tables) -> DataFrame:
+    return evaluation_run(t).differences

@@ -17,6 +17,7 @@ from placegauge.operators import (
     catalog,
     coverage,
     dedupe,
+    evaluation,
     facilities,
     judgements,
     manifest,
@@ -333,3 +334,41 @@ def touched_areas(site_table: DataFrame, polygons: DataFrame, radius_m: float) -
     """Municipalities each site's disc touches."""
     points = cut(areas.disc_points(site_table, radius_m))
     return cut(areas.areas_by_polygons(points, polygons))
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    """predictions: an item a row.  metrics: kind, metric, name, value.  costs: one row."""
+
+    predictions: DataFrame
+    metrics: DataFrame
+    confusions: DataFrame
+    differences: DataFrame
+    costs: DataFrame
+    unanswered: DataFrame
+
+
+def evaluate_classifier(
+    spark: SparkSession,
+    paths: dict[str, str],
+    questions: dict[str, dict[str, str]],
+    answers: DataFrame,
+    price_per_million: float,
+    languages: tuple[str, str] = ("ja", "en"),
+) -> Evaluation:
+    """Rules and classifier against the labelled JSON lines at ``paths``, by kind.
+
+    ``answers`` are stored: key, repeat, category, confidence, list_score, tokens, latency.
+    """
+    sets = [evaluation.labelled(tables.labelled_items(spark, path), kind) for kind, path in paths.items()]
+    items = evaluation.frozen(*sets)
+    predicted = cut(evaluation.predictions(items, questions, answers, languages))
+    used = answers.join(evaluation.asked(items, questions).select("key").distinct(), "key", "left_semi")
+    return Evaluation(
+        predicted,
+        evaluation.metrics(predicted),
+        evaluation.confusions(predicted),
+        evaluation.differences(predicted),
+        judgements.call_costs(used, price_per_million),
+        evaluation.unanswered(predicted, questions, answers),
+    )
