@@ -177,6 +177,14 @@ def area_violations(covered_areas: DataFrame) -> DataFrame:
     return _hits(covered_areas, F.concat_ws("/", "site_id", "feature", "code"), rules)
 
 
+def evidence_count_violations(aggregates: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Counts that differ from the facilities listed behind them; of incomplete ones the lower bound."""
+    listed = evidence.groupBy("site_id", "feature").agg(F.count(F.lit(1)).alias("listed"))
+    joined = aggregates.where(F.col("feature") != "stationUsage").join(listed, ["site_id", "feature"], "left")
+    off = F.coalesce("count", "lower_bound") != F.coalesce("listed", F.lit(0))
+    return _hits(joined, F.concat_ws("/", "site_id", "feature"), {"count differs from its evidence": off})
+
+
 def require_columns(df: DataFrame, columns: list[str], what: str) -> None:
     """Fails the job when a table lacks a column of the contract."""
     missing = [c for c in columns if c not in df.columns]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
 from placegauge.functions import text as tx
-from placegauge.operators import explore, publish, quality, usage
+from placegauge.operators import contract, explore, publish, quality, usage
 from placegauge.operators import sites as st
 from placegauge.plans import testbed as tb
 from placegauge.plans.checks import catalog as cc
@@ -743,3 +745,73 @@ def english_names_listed(t: Tables) -> DataFrame:
         F.lit(fv.DEFAULT_OPERATOR).alias("operator"), F.lit(1).alias("thousands"),
     )
     return usage.english_names(rows)
+
+
+# --- contracts -------------------------------------------------------------------------------
+
+CTES.add("k", "SELECT o_orderkey AS k, 's' || o_orderkey AS s FROM orders")
+
+
+@check(
+    "contract_violations",
+    select(
+        """SELECT 'values' AS name, 'feature: unknown value' AS rule, s || '/zoo' AS key FROM k WHERE k % 3 = 2 UNION ALL
+        SELECT 'values', 'raw: out of range', s || '/' || (['park', 'library', 'zoo'])[1 + k % 3] FROM k WHERE k % 9 = 0 UNION ALL
+        SELECT 'values', 'percentile: out of range', s || '/' || (['park', 'library', 'zoo'])[1 + k % 3] FROM k WHERE k % 103 > 100 UNION ALL
+        SELECT 'weights', 'effective_weight: out of range', 's' || k // 2 || '/park' FROM k WHERE k % 12 = 11 UNION ALL
+        SELECT 'weights', 'not unique', 's' || k // 2 || '/park' FROM k GROUP BY k // 2 HAVING count(*) > 1 UNION ALL
+        SELECT 'scores', 'score: out of range', s FROM k WHERE k % 102 = 101 UNION ALL
+        SELECT 'scores', 'coverage: missing', s FROM k WHERE k % 3 = 0 UNION ALL
+        SELECT 'scores', 'rank: out of range', s FROM k WHERE k % 5 = 0 UNION ALL
+        SELECT 'evidence', 'name: blank', s || '/park/f' FROM k WHERE k % 7 = 0 UNION ALL
+        SELECT 'evidence', 'distance_m: out of range', s || '/park/f' FROM k WHERE k % 11 = 0 UNION ALL
+        SELECT 'evidence', 'coord_source: unknown value', s || '/park/f' FROM k WHERE k % 3 = 2 UNION ALL
+        SELECT 'lines', 'operator: blank', s || '//' FROM k WHERE k % 6 = 0 UNION ALL
+        SELECT 'lines', 'thousands: out of range', s || CASE WHEN k % 6 = 0 THEN '//' ELSE '/op/' END FROM k WHERE k % 8 = 0 UNION ALL
+        SELECT 'usage', 'missing[]: blank', s FROM k WHERE k % 4 = 1 UNION ALL
+        SELECT 'register', 'source_url: no match', 'park/' || s FROM k WHERE k % 10 = 0 UNION ALL
+        SELECT 'register', 'status: unknown value', 'park/' || s FROM k WHERE k % 4 = 0 UNION ALL
+        SELECT 'register', 'ingest.status: unknown value', 'park/' || s FROM k WHERE k % 5 <> 0 AND k % 2 = 1 UNION ALL
+        SELECT 'sources', 'url: no column', ''""",
+        "k",
+    ),
+)
+def contract_violations(t: Tables) -> DataFrame:
+    """Every order as a row of each published table, much of it broken."""
+    k = F.col("o_orderkey")
+    site, park = F.concat(F.lit("s"), k.cast("string")).alias("site_id"), F.lit("park").alias("feature")
+    orders = t("orders")
+    number = F.lit(None).cast("double")
+    made = {
+        "values": orders.select(
+            site, pick(["park", "library", "zoo"], k % 3).alias("feature"), ((k % 9).cast("double") - 1).alias("raw"),
+            (k % 103).cast("double").alias("percentile"), number.alias("low")),
+        "weights": orders.select(
+            F.concat(F.lit("s"), F.floor(k / 2).cast("string")).alias("site_id"), park,
+            (k % 12 / F.lit(10.0)).alias("effective_weight")),
+        "scores": orders.select(
+            site, (k % 102).cast("double").alias("score"), F.when(k % 3 != 0, F.lit(0.5)).alias("coverage"),
+            (k % 5).alias("rank"), *[F.lit(1).alias(c) for c in ("of", "rank_min", "rank_max")]),
+        "evidence": orders.select(
+            site, park, F.lit("f").alias("facility_id"), F.when(k % 7 == 0, F.lit(" ")).otherwise(F.lit("n")).alias("name"),
+            F.when(k % 11 == 0, F.lit(-0.1)).otherwise(F.lit(3.0)).alias("distance_m"),
+            pick(["source", "geocode", "guess"], k % 3).alias("coord_source")),
+        "lines": orders.select(
+            site, F.when(k % 6 == 0, F.lit("")).otherwise(F.lit("op")).alias("operator"), F.lit("").alias("line"),
+            F.when(k % 8 == 0, F.lit(-1)).otherwise(F.lit(1)).alias("thousands")),
+        "usage": orders.select(
+            site, F.lit("complete").alias("status"), F.lit(1).alias("count"), F.lit(1).alias("lower_bound"),
+            F.lit(2023).alias("fiscal_year"), F.array(F.lit("t"), F.when(k % 4 == 1, F.lit("")).otherwise(F.lit("u"))).alias("missing")),
+        "register": orders.select(
+            park, site.alias("dataset_id"), F.lit("n").alias("name"),
+            F.when(k % 10 == 0, F.lit("ftp://x")).otherwise(F.lit("https://x")).alias("source_url"),
+            F.when(k % 4 == 0, F.lit("review")).otherwise(F.lit("accepted")).alias("status"),
+            F.lit("accepted").alias("auto_status"), F.lit("r").alias("reason"),
+            F.when(k % 5 != 0, F.struct(pick(["ok", "odd"], k % 2).alias("status"), F.lit(1).alias("located"))).alias("ingest")),
+        "sources": orders.select(
+            site, park, F.lit("d").alias("source_id"), F.lit("n").alias("source_name"), F.lit("opendata").alias("kind")),
+    }
+    found = [
+        contract.published(name, df).select(F.lit(name).alias("name"), "rule", "key") for name, df in made.items()
+    ]
+    return reduce(DataFrame.unionByName, found)

@@ -7,6 +7,7 @@ are partitioned by feature where features are renewed one by one.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from placegauge import fixed_values as fv
 from placegauge.operators import (
     areas,
     catalog,
+    contract,
     coverage,
     dedupe,
     evaluation,
@@ -204,7 +206,7 @@ def build(
     """Percentiles, scores, ranks and sources; fails when a published value would break a rule.
 
     ``other_sources``: rows like those of ``publish.site_sources`` for base data and the yearbook.
-    With them, every site and every value has to have a source.
+    Every site and every value has to have a source.
     """
     matrix = cut(publish.raw_matrix(site_table, aggregates, base))
     ranked = cut(scoring.percentiles(matrix))
@@ -222,11 +224,9 @@ def build(
         .unionByName(quality.score_violations(table, ranked))
         .unionByName(quality.aggregate_violations(aggregates))
         .unionByName(quality.weight_violations(weights, table))
+        .unionByName(quality.source_violations(site_table, sources))
+        .unionByName(quality.unsourced_values(ranked.where("raw > 0"), sources, list(fv.FEATURES)))
     )
-    if other_sources is not None:
-        violations = violations.unionByName(quality.source_violations(site_table, sources)).unionByName(
-            quality.unsourced_values(ranked.where("raw > 0"), sources, list(fv.FEATURES))
-        )
     quality.require_clean(violations, "published table")
     return Built(ranked, table, weights, sources)
 
@@ -234,26 +234,42 @@ def build(
 def export(
     site_table: DataFrame,
     built: Built,
+    counted: Aggregated,
+    ingested: Ingested,
     manifest_table: DataFrame,
-    report: DataFrame,
     folder: str,
-    **more: DataFrame,
+    ridden: Ridership | None = None,
 ) -> None:
-    """Writes the published tables and the provenance register.
+    """Publishes all result tables at once, with the evidence behind them, if all keep their contract.
 
-    ``more``: further long tables by name, such as evidence pairs, area states, facilities, lines.
+    ``tables.current`` reads them; a run that fails leaves what was published before.
     """
-    for name, rows in more.items():
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
-    register = publish.register(manifest_table, report)
-    quality.require_clean(quality.register_violations(register), "register")
-    tables.write_feature_table(built.ranked, f"{folder}/values")
-    tables.write_feature_table(built.weights, f"{folder}/weights")
-    built.table.write.mode("overwrite").parquet(f"{folder}/scores")
-    documents = publish.site_documents(site_table, built.ranked, built.table, built.weights)
-    documents.write.mode("overwrite").json(f"{folder}/sites")
-    tables.write_feature_table(built.sources, f"{folder}/sources")
-    publish.register_order(register).write.mode("overwrite").parquet(f"{folder}/register")
+    register = publish.register(manifest_table, ingested.report)
+    rows = {
+        "sites": site_table,
+        "values": built.ranked,
+        "weights": built.weights,
+        "scores": built.table,
+        "sources": built.sources,
+        "evidence": counted.pairs,
+        "areas": counted.areas,
+        "aggregates": counted.aggregates,
+        "facilities": ingested.facilities,
+        "register": publish.register_order(register),
+    }
+    if ridden is not None:
+        rows |= {"usage": ridden.usage, "lines": ridden.lines}
+    renewed = {
+        name: tables.Publication(df, partial(contract.published, name)) for name, df in rows.items()
+    }
+    renewed["documents"] = tables.Publication(
+        publish.site_documents(site_table, built.ranked, built.table, built.weights), format="json"
+    )
+    more = quality.evidence_count_violations(counted.aggregates, counted.pairs).unionByName(
+        quality.weight_violations(built.weights, built.table)
+    )
+    quality.require_clean(more, "published tables")
+    tables.publish(site_table.sparkSession, folder, renewed, "published tables")
 
 
 def station_sites(

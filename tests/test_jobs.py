@@ -1,5 +1,7 @@
 """The jobs one after the other on a small catalog with landed files."""
 
+from dataclasses import replace
+
 import pytest
 from plain_rows import rows
 from pyspark.sql import functions as F
@@ -134,18 +136,33 @@ def test_all_jobs(spark, landed, manifest_table, tmp_path):
     top = explore.top_sites(built.table.join(sites.select("site_id", "pos"), "site_id"), 1).first()
     assert table[top["site_id"]]["rank"] == 1
 
-    jobs.export(sites, built, accepted, got.report, str(tmp_path), evidence=counted.pairs,
-                areas=counted.areas, facilities=got.facilities)
-    assert spark.read.parquet(f"{tmp_path}/evidence").count() == counted.pairs.count() > 0
-    assert spark.read.parquet(f"{tmp_path}/areas").count() > 0
-    assert {"sha256", "retrieved_at"} <= set(spark.read.parquet(f"{tmp_path}/register").columns)
-    (doc,) = spark.read.json(f"{tmp_path}/sites").where("site_id = 'a'").collect()
+    folder = str(tmp_path)
+    jobs.export(sites, built, counted, got, accepted, folder, usage)
+
+    def published(name, features=None):
+        return tables.current(spark, folder, name, features)
+
+    assert published("evidence").count() == counted.pairs.count() > 0
+    assert published("areas").count() > 0 and published("facilities").count() == got.facilities.count()
+    assert published("lines").count() == 3 and published("usage").count() == 4
+    assert {"sha256", "retrieved_at"} <= set(published("register").columns)
+    (doc,) = published("documents").where("site_id = 'a'").collect()
     assert doc["raw"]["park"] == 4 and doc["ranking"]["of"] == 4
-    assert spark.read.parquet(f"{tmp_path}/scores").count() == 4
-    values = tables.read_feature_table(spark, f"{tmp_path}/values", ["park"])
-    assert rows(values, "site_id", "raw") == [("a", 4.0), ("b", 0.0), ("c", 0.0), ("d", None)]
-    assert rows(spark.read.parquet(f"{tmp_path}/register"), "dataset_id", "ingest.status") == [
-        ("good", "ok"), ("odd", "failed")]
+    assert published("scores").count() == 4
+    assert rows(published("values").where("feature = 'park'"), "site_id", "raw") == [
+        ("a", 4.0), ("b", 0.0), ("c", 0.0), ("d", None)]
+    assert rows(published("register"), "dataset_id", "ingest.status") == [("good", "ok"), ("odd", "failed")]
+
+    # A run whose tables break a rule publishes none of them.
+    scores = rows(published("scores"))
+    worse = replace(built, table=built.table.withColumn("score", F.lit(50.0)),
+                    ranked=built.ranked.withColumn("percentile", F.lit(101.0)))
+    with pytest.raises(quality.QualityError, match="values: percentile: out of range"):
+        jobs.export(sites, worse, counted, got, accepted, folder, usage)
+    short = replace(counted, pairs=counted.pairs.limit(1))
+    with pytest.raises(quality.QualityError, match="count differs from its evidence"):
+        jobs.export(sites, built, short, got, accepted, folder, usage)
+    assert rows(published("scores")) == scores
 
 
 def test_gates_stop_a_job(spark):
