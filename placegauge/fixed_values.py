@@ -235,3 +235,14 @@ ITEM_STATE = {
 }
 NO_CATEGORIES = "（なし）"
 NO_COLUMNS = "（不明）"
+
+# How a reason tells what the classifier said.
+CLASSIFIER = "classifier"
+NOTE_CONFIDENCE = "（確信度 "
+NOTE_LIST = "、一覧 "
+NOTE_END = "）"
+NOTE_FAILED = " 失敗: "
+NOTE_ACCEPTED = " → 採用"
+NOTE_REJECTED = " → 不採用"
+NOTE_NO_PLACE = "。位置情報が不足のため要確認のまま"
+NOTE_UNSURE = "。判断が分かれるため要確認のまま"

@@ -19,6 +19,7 @@ from placegauge.functions.text import (
     precision_of,
     strip,
 )
+from placegauge.operators.judgements import SEMANTIC, semantic
 from placegauge.operators.roles import number, valid_coordinates
 from placegauge.operators.skew import split_join
 from placegauge.session import cut
@@ -116,7 +117,7 @@ def select_rows(
     judgements: DataFrame | None = None,
     min_confidence: float = fv.FACILITY_MIN_CONFIDENCE,
 ) -> DataFrame:
-    """Rows that count, with ``classified_by``.
+    """Rows that count, with ``classified_by`` and, where a judgement decided, it as ``semantic``.
 
     Hard rules come first.  In mixed datasets the judgement decides, provided every remaining row
     of the dataset was judged; otherwise, and in all other datasets, the rules do.
@@ -125,12 +126,17 @@ def select_rows(
     """
     left = marked.where(~F.col("hard"))
     if judgements is None:
-        return left.where("ruled").withColumn("classified_by", F.lit("rule")).drop("hard", "ruled")
+        return (
+            left.where("ruled")
+            .withColumns({"classified_by": F.lit("rule"), "semantic": F.lit(None).cast(SEMANTIC)})
+            .drop("hard", "ruled")
+        )
     plain = left.where(~F.coalesce("row_filter", F.lit(False)))
     mixed = left.where(F.coalesce("row_filter", F.lit(False)))
     judged = mixed.join(
         judgements.select(
-            "facility_id", F.col("category").alias("judged"), F.col("confidence").alias("sure")
+            "facility_id", F.col("category").alias("judged"), F.col("confidence").alias("sure"),
+            semantic(judgements).alias("semantic"),
         ),
         "facility_id",
         "left",
@@ -144,13 +150,15 @@ def select_rows(
     decided = (
         split_join(judged, complete, ["feature", "dataset_id"], F.col("facility_id"))
         .where(F.when(F.col("all_judged"), fits).otherwise(F.col("ruled")))
-        .withColumn(
-            "classified_by",
-            F.when(F.col("all_judged"), F.lit("judgement")).otherwise(F.lit("rule")),
-        )
+        .withColumns({
+            "classified_by": F.when(F.col("all_judged"), F.lit("judgement")).otherwise(F.lit("rule")),
+            "semantic": F.when(F.col("all_judged"), F.col("semantic")),
+        })
         .drop("judged", "sure", "all_judged")
     )
-    ruled = plain.where("ruled").withColumn("classified_by", F.lit("rule"))
+    ruled = plain.where("ruled").withColumns(
+        {"classified_by": F.lit("rule"), "semantic": F.lit(None).cast(SEMANTIC)}
+    )
     return ruled.unionByName(decided).drop("hard", "ruled")
 
 

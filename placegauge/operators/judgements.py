@@ -43,41 +43,73 @@ def add_to_store(store: DataFrame, answers: DataFrame) -> DataFrame:
     return store.join(answers.select("key"), "key", "left_anti").unionByName(answers)
 
 
+SEMANTIC = "struct<classifier string, category string, confidence double, list_score double, error string>"
+
+
+def semantic(judged: DataFrame) -> Column:
+    """What was judged and by whom, as it is kept; columns that ``judged`` lacks are null."""
+    kept = []
+    for name in ("classifier", "category", "confidence", "list_score", "error"):
+        given = F.col(name) if name in judged.columns else F.lit(None)
+        kept.append(given.alias(name))
+    return F.struct(*kept).cast(SEMANTIC)
+
+
+def judgement_note(decision: Column, outcome: Column) -> Column:
+    """What the classifier said and what became of it, or that it failed; null without either."""
+
+    def two(x: Column) -> Column:
+        return F.format_string("%.2f", round_half_even(F.coalesce(x, F.lit(0.0)), 2))
+
+    name = F.coalesce(decision["classifier"], F.lit(fv.CLASSIFIER))
+    said = F.concat(
+        name, F.lit(": "), decision["category"], F.lit(fv.NOTE_CONFIDENCE), two(decision["confidence"]),
+        F.lit(fv.NOTE_LIST), two(decision["list_score"]), F.lit(fv.NOTE_END), outcome,
+    )
+    failed = F.concat(name, F.lit(fv.NOTE_FAILED), decision["error"])
+    return F.when(decision["error"].isNotNull(), failed).otherwise(said)
+
+
 def apply_dataset_judgements(entries: DataFrame, judgements: DataFrame) -> DataFrame:
     """Rule-``review`` entries decided by their judgement where it is clear.
 
-    ``judgements``: feature, dataset_id, category, confidence, list_score.
+    ``judgements``: feature, dataset_id, category, confidence, list_score; also classifier and error,
+    where known.  Entries that were asked about keep the judgement as ``semantic``, and their
+    ``reason`` says what it was and what became of it.
     """
-    judged = judgements.select(
-        "feature",
-        "dataset_id",
-        F.col("category").alias("__category"),
-        F.col("confidence").alias("__sure"),
-        F.col("list_score").alias("__list"),
-    )
-    joined = entries.join(judged, ["feature", "dataset_id"], "left")
+    judged = judgements.select("feature", "dataset_id", semantic(judgements).alias("__judged"))
+    joined = entries.drop("semantic").join(judged, ["feature", "dataset_id"], "left")
+    decision = F.col("__judged")
+    asked = (F.col("status") == "review") & decision.isNotNull()
+    usable = F.when(decision["error"].isNull(), decision["category"])
     status, mixed = classifier_verdict(
-        F.col("feature"),
-        F.col("status"),
-        F.col("__category"),
-        F.col("__sure"),
-        F.col("__list"),
-        F.col("location"),
-    )
-    changed = status != F.col("status")
-    return (
-        joined.withColumns({"__status": status, "__mixed": mixed, "__changed": changed})
-        .withColumns(
-            {
-                "status": F.col("__status"),
-                "auto_status": F.when(F.col("__changed"), F.col("__status")).otherwise(
-                    F.col("auto_status")
-                ),
-                "row_filter": F.col("row_filter") | F.col("__mixed"),
-            }
-        )
-        .select(*entries.columns)
-    )
+        F.col("feature"), F.col("status"), usable, decision["confidence"], decision["list_score"], F.col("location")
+    )
+    sure = decision["confidence"] >= fv.DATASET_MIN_CONFIDENCE
+    fits = decision["category"].isin(fv.MIXED) | (decision["category"] == F.col("feature"))
+    listed = F.coalesce(decision["list_score"], F.lit(0.0)) >= fv.DATASET_MIN_LIST
+    outcome = (
+        F.when(status == "accepted", F.lit(fv.NOTE_ACCEPTED))
+        .when(status == "rejected", F.lit(fv.NOTE_REJECTED))
+        .when(sure & fits & listed, F.lit(fv.NOTE_NO_PLACE))
+        .otherwise(F.lit(fv.NOTE_UNSURE))
+    )
+    note = F.when(asked, F.concat(F.lit(fv.REASON_SEPARATOR), judgement_note(decision, outcome)))
+    columns = {
+        "__status": status,
+        "__mixed": mixed,
+        "__note": F.coalesce(note, F.lit("")),
+        "semantic": F.when(asked, decision),
+    }
+    changes = {
+        "auto_status": F.when(F.col("__status") != F.col("status"), F.col("__status")).otherwise(F.col("auto_status")),
+        "row_filter": F.col("row_filter") | F.col("__mixed"),
+        "status": F.col("__status"),
+    }
+    if "reason" in entries.columns:
+        changes["reason"] = F.concat("reason", "__note")
+    kept = [c for c in entries.columns if c != "semantic"]
+    return joined.withColumns(columns).withColumns(changes).select(*kept, "semantic")
 
 
 def _share(part: Column, whole: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placegauge.functions.rounding import round_half_even
@@ -74,6 +74,56 @@ def site_master(names: DataFrame, rail: DataFrame, operator: str, english: DataF
     )
 
 
+def site_children(
+    master: DataFrame, own: DataFrame, rail: DataFrame, here: DataFrame, touched: DataFrame
+) -> DataFrame:
+    """(site_id, kind, place, value): what a site has several of, in order from 1.
+
+    Lines by first appearance, station groups, and the municipalities that hold the site (``here``) or
+    are touched by its radius (``touched``), both (site_id, code, name), by code.
+    """
+    ids = master.select("site_id", "name")
+    lines = site_lines(own, rail).join(ids, "name").select(
+        "site_id", F.lit("line").alias("kind"), F.struct(F.col("first_pos"), F.col("label").alias("by")).alias("at"),
+        F.col("label").alias("value"),
+    )
+
+    def sorted_by(df: DataFrame, kind: str, by: str, value: str) -> DataFrame:
+        at = F.struct(F.lit(0).cast("bigint").alias("first_pos"), F.col(by).alias("by"))
+        return df.select("site_id", F.lit(kind).alias("kind"), at.alias("at"), F.col(value).alias("value"))
+
+    known = master.select("site_id")
+    rows = (
+        lines.unionByName(sorted_by(site_groups(own).join(ids, "name"), "group", "group_code", "group_code"))
+        .unionByName(sorted_by(here.join(known, "site_id"), "municipality", "code", "name"))
+        .unionByName(sorted_by(touched.join(known, "site_id"), "area", "code", "name"))
+    )
+    order = Window.partitionBy("site_id", "kind").orderBy("at")
+    return rows.select("site_id", "kind", F.row_number().over(order).alias("place"), "value")
+
+
+def with_attributes(master: DataFrame, children: DataFrame) -> DataFrame:
+    """The master with lines, groups, municipality and area_municipalities, all joined at once.
+
+    A site's lists are as long as its lines and the municipalities around it.
+    """
+
+    def listed(kind: str) -> Column:
+        own = F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "value")))
+        return F.transform(F.array_sort(own), lambda e: e["value"])
+
+    lists = children.groupBy("site_id").agg(
+        listed("line").alias("lines"),
+        listed("group").alias("groups"),
+        F.max(F.when((F.col("kind") == "municipality") & (F.col("place") == 1), F.col("value"))).alias("municipality"),
+        listed("area").alias("area_municipalities"),
+    )
+    none = F.array().cast("array<string>")
+    lists_of = ("lines", "groups", "area_municipalities")
+    joined = master.join(lists, "site_id", "left")
+    return joined.withColumns({c: F.coalesce(c, none) for c in lists_of})
+
+
 def unresolved(names: DataFrame, own: DataFrame, english: DataFrame) -> DataFrame:
     """(name, problem): no rail station of the operator, or no English name."""
     no_station = names.join(

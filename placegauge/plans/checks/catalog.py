@@ -367,6 +367,39 @@ def classifier_verdicts(t: Tables) -> DataFrame:
     return decided.select("feature", "dataset_id", "status", "row_filter")
 
 
+@check(
+    "classifier_notes",
+    select(
+        f"""SELECT feature, name AS dataset_id, asked AS kept,
+          CASE WHEN asked AND k % 6 <> 5 THEN CASE k % 4 WHEN 0 THEN 'mixed' WHEN 1 THEN 'none' ELSE feature END END
+            AS category,
+          CASE WHEN NOT asked THEN '' WHEN k % 6 = 5 THEN '。model 失敗: timeout' ELSE '。model: '
+            || CASE k % 4 WHEN 0 THEN 'mixed' WHEN 1 THEN 'none' ELSE feature END
+            || '（確信度 ' || printf('%.2f', sure) || '、一覧 ' || printf('%.2f', listed) || '）'
+            || CASE verdict WHEN 'accepted' THEN ' → 採用' WHEN 'rejected' THEN ' → 不採用' ELSE
+              CASE WHEN sure >= 0.7 AND k % 4 <> 1 AND listed >= 0.45 THEN '{fv.NOTE_NO_PLACE}'
+                ELSE '{fv.NOTE_UNSURE}' END END END AS note
+        FROM (SELECT *, status = 'review' AND k % 10 <> 0 AS asked FROM judged)""",
+        "judged",
+    ),
+)
+def classifier_notes(t: Tables) -> DataFrame:
+    """What reasons say of the classifier's answers, some of which failed."""
+    rows = cut(entries(t))
+    k = F.regexp_extract("dataset_id", "([0-9]+)$", 1).cast("long")
+    failed = k % 6 == 5
+    given = answers(rows).select(
+        "feature", "dataset_id", F.when(~failed, F.col("category")).alias("category"), "confidence", "list_score",
+        F.lit("model").alias("classifier"), F.when(failed, F.lit("timeout")).alias("error"),
+    )
+    told = judgements.apply_dataset_judgements(rows, given)
+    before = rows.select("feature", "dataset_id", F.length("reason").alias("n"))
+    return told.join(before, ["feature", "dataset_id"]).select(
+        "feature", "dataset_id", F.col("semantic").isNotNull().alias("kept"), "semantic.category",
+        F.col("reason").substr(F.col("n") + 1, F.length("reason")).alias("note"),
+    )
+
+
 CTES.add(
     "deduped",
     """SELECT *, CASE WHEN status = 'rejected' THEN NULL WHEN by_title <> name THEN by_title

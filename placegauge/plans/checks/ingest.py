@@ -383,6 +383,22 @@ def judged_rows(t: Tables) -> DataFrame:
     return selected(t).select("facility_id", "feature", "classified_by")
 
 
+@check(
+    "row_judgements",
+    select(
+        """SELECT facility_id, feature, classified_by,
+          CASE classified_by WHEN 'judgement' THEN CASE WHEN k % 3 = 0 THEN 'none' ELSE feature END END AS category,
+          CASE classified_by WHEN 'judgement' THEN (k % 10) / 10::DOUBLE END AS confidence FROM selected""",
+        "selected",
+    ),
+)
+def row_judgements(t: Tables) -> DataFrame:
+    """Rows keep the judgement that counted them."""
+    return selected(t).select(
+        "facility_id", "feature", "classified_by", "semantic.category", "semantic.confidence"
+    )
+
+
 @check(
     "name_keys",
     """SELECT k, replace(replace(regexp_replace(name, '[（(].*?[）)]', '', 'g'), 'ＡＢＣ', 'ABC'),

@@ -233,6 +233,41 @@ def site_lines(t: Tables) -> DataFrame:
     return st.site_lines(st.own_stations(place_names(t), rail(t), OPERATORS[0]), rail(t))
 
 
+@check(
+    "site_attributes",
+    select(
+        """SELECT n.k AS pos, lines, grps AS "groups",
+          CASE WHEN n.k % 4 = 0 THEN 'M' || n.k % 5 END AS municipality,
+          'M' || n.k % 5 || '|M9' AS area_municipalities
+        FROM place_name n
+        JOIN (SELECT name, string_agg(label, '|' ORDER BY first_pos) AS lines FROM (
+          SELECT n.name, r.label, min(r.pos) AS first_pos FROM place_name n
+          JOIN (SELECT DISTINCT station, grp FROM rail WHERE own) o ON o.station = n.name
+          JOIN rail r USING (grp) GROUP BY ALL) GROUP BY name) l ON l.name = n.name
+        JOIN (SELECT station, string_agg('g' || grp, '|' ORDER BY 'g' || grp) AS grps
+          FROM (SELECT DISTINCT station, grp FROM rail WHERE own) GROUP BY station) g ON g.station = n.name
+        WHERE n.k % 9 <> 0 AND n.k IN (SELECT p_partkey FROM part)""",
+        "place_name", "rail",
+    ),
+)
+def site_attributes(t: Tables) -> DataFrame:
+    """The master with its lines, groups and municipalities in order."""
+    names, tracks = place_names(t), rail(t)
+    master = cut(st.site_master(names, tracks, OPERATORS[0], spellings(t)))
+    own = st.own_stations(names, tracks, OPERATORS[0])
+    code = F.concat(F.lit("M"), (F.col("pos") % 5).cast("string"))
+    one = master.select("site_id", "pos", code.alias("code"), code.alias("name"))
+    other = master.select("site_id", F.lit("M9").alias("code"), F.lit("M9").alias("name"))
+    children = st.site_children(
+        master, own, tracks, one.where("pos % 4 = 0").drop("pos"), other.unionByName(one.drop("pos"))
+    )
+    whole = st.with_attributes(master, children)
+    return whole.select(
+        "pos", "municipality",
+        *[F.array_join(c, "|").alias(c) for c in ("lines", "groups", "area_municipalities")],
+    )
+
+
 @check(
     "unresolved_sites",
     select(

@@ -273,9 +273,17 @@ def export(
 
 
 def station_sites(
-    names: DataFrame, rail: DataFrame, operator: str, rows: DataFrame
+    names: DataFrame,
+    rail: DataFrame,
+    operator: str,
+    rows: DataFrame,
+    polygons: DataFrame,
+    settings: Settings = Settings(),
 ) -> DataFrame:
-    """The site master; fails on names that cannot be resolved and on duplicates."""
+    """The site master with lines, groups and municipalities.
+
+    Fails on names that cannot be resolved and on duplicates.
+    """
     english = cut(usage.english_names(rows))
     own = sites.own_stations(names, rail, operator)
     problems = sites.unresolved(names, own, english).select(
@@ -287,7 +295,12 @@ def station_sites(
     quality.require_clean(problems.unionByName(twice), "site names")
     master = cut(sites.site_master(names, rail, operator, english))
     quality.require_clean(quality.site_violations(master), "site master")
-    return master
+    centres = master.select("site_id", F.lit(0).alias("pos"), "lat", "lng")
+    children = sites.site_children(
+        master, own, rail, areas.areas_by_polygons(centres, polygons),
+        touched_areas(master, polygons, settings.radius_m),
+    )
+    return cut(sites.with_attributes(master, children))
 
 
 @dataclass(frozen=True)

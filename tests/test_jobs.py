@@ -166,6 +166,8 @@ def test_all_jobs(spark, landed, manifest_table, tmp_path):
 
 
 def test_gates_stop_a_job(spark):
+    polygons = spark.createDataFrame(
+        [("13103", "港区", square(139.6, 139.7))], "code string, name string, ring array<struct<lng double, lat double>>")
     names = spark.createDataFrame([(0, "幻")], "pos int, name string")
     rail = spark.createDataFrame(
         [], "pos long, station string, operator string, line string, group_code string, "
@@ -174,7 +176,15 @@ def test_gates_stop_a_job(spark):
         [], "table_name string, row_no int, fiscal_year int, station string, station_en string, "
             "operator string, line string, thousands long")
     with pytest.raises(quality.QualityError, match="no station"):
-        jobs.station_sites(names, rail, "x", yearbook)
+        jobs.station_sites(names, rail, "x", yearbook, polygons)
+    some = spark.createDataFrame([(0, "幻")], names.schema)
+    track = spark.createDataFrame(
+        [(5, "幻", "x", "幻線", "g", [[139.65, 35.5], [139.65, 35.5]]), (3, "幻", "都", "別線", "g", [[0.0, 0.0]])],
+        rail.schema)
+    spelt = spark.createDataFrame([("t", 1, 2023, "幻", "Maboroshi", "JR東日本", "", 5)], yearbook.schema)
+    (site,) = jobs.station_sites(some, track, "x", spelt, polygons).collect()
+    assert (site["site_id"], site["lines"], site["groups"], site["municipality"], site["area_municipalities"]) == (
+        "maboroshi", ["都別線", "x幻線"], ["g"], "港区", ["港区"])
 
 
 def test_search_and_sort(spark):

@@ -186,6 +186,30 @@ def test_classifier_verdicts(spark):
                    "unjudged": ("review", False)}
 
 
+def test_reasons_tell_what_the_classifier_said(spark):
+    data = spark.createDataFrame(
+        [("park", k, "review", "review", loc, False, "規則") for k, loc in
+         [("take", 0.9), ("nowhere", 0.5), ("other", 0.9), ("between", 0.9), ("failed", 0.9), ("unasked", 0.9)]]
+        + [("park", "done", "accepted", "accepted", 1.0, False, "規則")],
+        "feature string, dataset_id string, status string, auto_status string, location double, row_filter boolean, "
+        "reason string")
+    judged = spark.createDataFrame(
+        [("park", "take", "mixed", 0.905, 0.5, "m", None), ("park", "nowhere", "park", 0.9, 0.5, "m", None),
+         ("park", "other", "none", 0.9, None, "m", None), ("park", "between", "park", 0.9, 0.4, None, None),
+         ("park", "failed", None, None, None, "m", "timeout"), ("park", "done", "none", 1.0, 0.0, "m", None)],
+        "feature string, dataset_id string, category string, confidence double, list_score double, classifier string, "
+        "error string")
+    got = {r["dataset_id"]: r for r in judgements.apply_dataset_judgements(data, judged).collect()}
+    assert {k: r["reason"] for k, r in got.items()} == {
+        "take": "規則。m: mixed（確信度 0.91、一覧 0.50） → 採用",
+        "nowhere": "規則。m: park（確信度 0.90、一覧 0.50）。位置情報が不足のため要確認のまま",
+        "other": "規則。m: none（確信度 0.90、一覧 0.00） → 不採用",
+        "between": "規則。classifier: park（確信度 0.90、一覧 0.40）。判断が分かれるため要確認のまま",
+        "failed": "規則。m 失敗: timeout", "unasked": "規則", "done": "規則"}
+    assert {k for k, r in got.items() if r["semantic"]} == {"take", "nowhere", "other", "between", "failed"}
+    assert got["failed"]["status"] == "review" and got["take"]["semantic"]["category"] == "mixed"
+
+
 def test_judgement_key_is_canonical_json(spark):
     questions = {"category": {"criteria": {"a": "公園", "b": "x"}, "type": "choice"}}
     state = '施設名: "中央"\n種別: \\公園/\t緑'
