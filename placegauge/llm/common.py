@@ -48,6 +48,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_name(what: str) -> str:
+    """A column name that no table of a caller has."""
+    return f"{what}_{uuid.uuid4().hex}"
+
+
 def alnum_words(text: str | None) -> list[bytes]:
     """Words of ASCII letters, digits and all non-ASCII characters, A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []

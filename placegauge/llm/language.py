@@ -158,9 +158,15 @@ def learnt(docs: DataFrame) -> Model:
     return fit([lang for lang, _ in pairs], [codes for _, codes in pairs])
 
 
-def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1), from the text alone; no shuffle."""
+def identified(
+    docs: DataFrame, model: Model | None = None, lang_column: str = "lang_pred", score_column: str = "score"
+) -> DataFrame:
+    """``docs`` with the language and its score (0 to 1), from the text alone; no shuffle.
+
+    Other columns stay, whatever their names; those named like the two given give way.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model or learnt(docs))
+    rows = docs.drop(lang_column, score_column)
 
     def predict(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         made = []
@@ -169,8 +175,8 @@ def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array([m[0] for m in made], pa.string()),
              pa.array([m[1] for m in made], pa.float64())],
-            [*batch.schema.names, "lang_pred", "score"],
+            [*batch.schema.names, lang_column, score_column],
         )
 
-    schema = docs.drop("lang_pred", "score").schema.add("lang_pred", "string").add("score", "double")
-    return arrow_rows(docs.drop("lang_pred", "score"), predict, schema)
+    schema = docs.drop(lang_column, score_column).schema.add(lang_column, "string").add(score_column, "double")
+    return arrow_rows(rows, predict, schema)

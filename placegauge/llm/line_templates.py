@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placegauge.llm.common import arrow_rows, keep, lists, signed
+from placegauge.llm.common import arrow_rows, keep, lists, own_name, signed
 from placegauge.operators.skew import split_join
 
 DEPTH = 3
@@ -291,26 +291,32 @@ def without(text: str, keys: set[int]) -> tuple[str, int]:
 
 
 def deduplicated(
-    docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
+    docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, counts: str = "lines_dropped"
 ) -> DataFrame:
-    """``docs`` with the lines dropped from ``text``, and their number in ``lines_dropped``."""
-    marks = recurring(docs, min_docs, similarity).select(F.col("doc_id").alias("__id"), "dropped")
-    rows = docs.join(marks.hint("merge"), F.col("doc_id").cast("bigint") == F.col("__id"), "left").drop("__id")
-    columns = [c for c in docs.columns if c != "lines_dropped"]
+    """``docs`` with the lines dropped from ``text``, and their number as ``counts``.
+
+    Other columns stay, whatever their names; one named ``counts`` gives way.
+    """
+    gone_id, gone_keys = own_name("id"), own_name("dropped")
+    marks = recurring(docs.select("doc_id", "text"), min_docs, similarity).select(
+        F.col("doc_id").alias(gone_id), F.col("dropped").alias(gone_keys)
+    )
+    rows = docs.join(marks.hint("merge"), F.col("doc_id").cast("bigint") == F.col(gone_id), "left")
+    columns = [c for c in docs.columns if c != counts]
     at = columns.index("text")
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, counts = [], []
-        for value, keys in zip(batch["text"], batch["dropped"], strict=True):
+        texts, dropped = [], []
+        for value, keys in zip(batch["text"], batch[gone_keys], strict=True):
             text, gone = value.as_py(), 0
             if text and keys.is_valid:
                 text, gone = without(text, set(keys.as_py()))
             texts.append(text)
-            counts.append(gone)
+            dropped.append(gone)
         made = batch.select(columns).set_column(at, "text", pa.array(texts, pa.string()))
         yield pa.RecordBatch.from_arrays(
-            [*made.columns, pa.array(counts, pa.int64())], [*columns, "lines_dropped"]
+            [*made.columns, pa.array(dropped, pa.int64())], [*columns, counts]
         )
 
-    schema = docs.select(*columns).schema.add("lines_dropped", "long")
-    return arrow_rows(rows.select(*columns, "dropped"), cut, schema)
+    schema = docs.select(*columns).schema.add(counts, "long")
+    return arrow_rows(rows.select(*columns, gone_keys), cut, schema)

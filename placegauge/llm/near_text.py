@@ -38,6 +38,7 @@ from placegauge.llm.common import (
     lists,
     lower_words,
     mixed,
+    own_name,
     signed,
     spanning,
 )
@@ -393,7 +394,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> D
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """One document of each group (the smallest id), and every row that links with nothing."""
-    gone = near_duplicates(docs, size, percent).where("not kept").select(
-        F.col("doc_id").alias("__gone")
+    gone_id = own_name("gone")
+    gone = near_duplicates(docs.select("doc_id", "text"), size, percent).where("not kept").select(
+        F.col("doc_id").alias(gone_id)
     ).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col(gone_id), "left_anti")

@@ -3,6 +3,7 @@ import os
 import pytest
 from compare import compare, connect
 from llm_tables import awkward, edited, prose
+from pyspark.sql import functions as F
 from test_decontaminate import brute as hits
 from test_near_text import brute as near
 
@@ -52,6 +53,27 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert {r.doc_id for r in packed} == {d for d, _ in kept}
 
 
+CLASHES = ["dropped", "__id", "__gone", "score", "lang_pred", "lines_dropped", "key", "doc", "first", "n"]
+
+
+def test_columns_of_the_caller_stay_as_they_are(spark, tmp_path):
+    folder, item = str(tmp_path), prose(900, 40)
+    build(spark, folder, [(k, prose(k, 150) + "\nThe same footer") for k in range(14)] + [(0, prose(77, 90))], [(1, item)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name in CLASHES:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")))
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after, same = stage(spark, docs, folder), stage(spark, plain, folder)
+        assert after.columns == docs.columns
+        got = after.collect()
+        assert got and all(r[c] == f"{c} of {r.doc_id}" for r in got for c in CLASHES), name
+        assert sorted((r.doc_id, r.text) for r in got) == sorted((r.doc_id, r.text) for r in same.collect())
+        docs = spark.createDataFrame(got, after.schema)
+        plain = docs.drop(*CLASHES)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() >= len(got)
+
+
 def test_empty_tables(spark, tmp_path):
     build(spark, str(tmp_path), [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
@@ -64,8 +86,9 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_a_query_for_each_operator():
-    assert [n for k in range(1, 11) for n in QUERIES if n.startswith(f"op{k}_")] == [
+    assert [n for k in range(1, 14) for n in QUERIES if n.startswith(f"op{k}_")] == [
         "op1_decontamination", "op2_substring_dedup", "op3_embedding_dedup", "op4_language_id", "op5_token_counts",
         "op6_packing", "op7_secret_scan", "op8_minhash", "op9_id_files", "op10_line_dedup",
+        "op11_spelling", "op12_vector_codes", "op13_main_text",
     ]
     assert "pipeline" in QUERIES
