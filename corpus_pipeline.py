@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placegauge.llm import decontaminate, language, line_templates, near_text, packing
-from placegauge.llm.common import keep, table
+from placegauge.llm.common import keep, own_name, table
 from placegauge.llm.queries import VOCABULARY
 
 # Texts of a learnt language score near 1, very short ones about 0.4; strange texts stay below this.
@@ -21,21 +21,22 @@ LEAST_SCORE = 0.3
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled rows teach; without letters or likeness they go."""
-    found = language.identified(docs)
-    known = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)
+    lang, score = own_name("lang"), own_name("score")
+    found = language.identified(docs, lang_column=lang, score_column=score)
+    known = (F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)
     return found.where(known).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go from all documents but their first; documents left empty go."""
-    found = line_templates.deduplicated(docs)
-    emptied = (F.col("lines_dropped") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
-    size = F.when(F.col("lines_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")) if (
-        "n_chars" in docs.columns
-    ) else None
-    return found.where(~F.coalesce(emptied, F.lit(False))).select(
-        *[size.cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    )
+    gone = own_name("gone")
+    found = line_templates.deduplicated(docs, counts=gone)
+    emptied = (F.col(gone) > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    columns = [F.col(c) for c in docs.columns]
+    if "n_chars" in docs.columns:
+        size = F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars"))
+        columns[docs.columns.index("n_chars")] = size.cast("bigint").alias("n_chars")
+    return found.where(~F.coalesce(emptied, F.lit(False))).select(*columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
