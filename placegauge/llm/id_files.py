@@ -1,7 +1,7 @@
 """Token ids of all documents, in ascending order of their ids, in compressed binary files.
 
 Documents are dealt by ranges of doc_id, so the order of partitions and of rows inside them is the
-order of documents.  A group holds whole documents, about two million ids, as one binary value (see
+order of documents.  A group holds whole documents, about one million ids, as one binary value (see
 ``id_coder``), and can be read and checked on its own; Parquet is the container, so any store that
 Spark reaches will do.  A task holds one group at a time.
 
@@ -25,6 +25,8 @@ from placegauge.llm.common import arrow_rows, ship
 from placegauge.llm.tokens import END_ID, encoder, read_vocabulary
 
 GROUP_IDS = id_coder.BLOCKS * id_coder.BLOCK_IDS[1]
+# Parts and pieces that a task remembers; the coder needs memory beside them.
+CACHES = (400_000, 600_000)
 
 FILE = "part int, number int, n_ids bigint, data binary"
 
@@ -35,7 +37,7 @@ def write_ids(docs: DataFrame, vocabulary_path: str, path: str) -> None:
     end = END_ID.to_bytes(4, "little")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part = encoder(shared.value).ids, TaskContext.get().partitionId()
+        ids_of, part = encoder(shared.value, *CACHES).ids, TaskContext.get().partitionId()
         keys, held, size, number = [], [], 0, 0
 
         def group() -> pa.RecordBatch:
