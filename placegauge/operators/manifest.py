@@ -110,6 +110,15 @@ def status_counts(entries: DataFrame) -> DataFrame:
     )
 
 
+def feature_totals(entries: DataFrame, searched: Iterable[str]) -> DataFrame:
+    """``status_counts`` and the entries with an inspection, for every searched feature; 0 without a hit."""
+    spark = entries.sparkSession
+    features = spark.createDataFrame([(f,) for f in searched], "feature string")
+    looked_at = entries.groupBy("feature").agg(F.count("inspection").alias("inspected"))
+    counted = status_counts(entries).join(looked_at, "feature")
+    return features.join(counted, "feature", "left").fillna(0)
+
+
 def replace_features(
     existing: DataFrame, entries: DataFrame, searched: Iterable[str]
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
 from placegauge.operators import catalog, evaluation, judgements, manifest, quality
+from placegauge.operators import inspections as kept
 from placegauge.plans import jobs
 from placegauge.plans.checks.base import (
     CTES,
@@ -562,6 +563,31 @@ def status_counts(t: Tables) -> DataFrame:
     return manifest.status_counts(overridden(t))
 
 
+SEARCHED = [*fv.FEATURE_DEFINITIONS, "neverListed"]
+
+
+@check(
+    "feature_totals",
+    select(
+        f"""SELECT f.feature, coalesce(candidates, 0) AS candidates, coalesce(accepted, 0) AS accepted,
+          coalesce(review, 0) AS review, coalesce(rejected, 0) AS rejected,
+          coalesce(inspected, 0) AS inspected
+        FROM (SELECT unnest({sql_list(SEARCHED)}) AS feature) f LEFT JOIN (
+          SELECT feature, count(*) AS candidates, count(*) FILTER (status = 'accepted') AS accepted,
+            count(*) FILTER (status = 'review') AS review,
+            count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (seen) AS inspected
+          FROM decided GROUP BY 1) d USING (feature)""",
+        "decided",
+    ),
+)
+def feature_totals(t: Tables) -> DataFrame:
+    """Entries with their inspections, counted for each feature, also one that nothing was found for."""
+    rows = cut(wanted(t))
+    found = inspections(rows)
+    decided = catalog.evaluate(rows, found, F.lit(NOW).cast("timestamp"))
+    return manifest.feature_totals(kept.attach(decided, found), SEARCHED)
+
+
 @check(
     "manifest_update",
     select(

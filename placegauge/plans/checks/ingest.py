@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
 from placegauge.functions import text as tx
-from placegauge.operators import dedupe, facilities, roles
+from placegauge.operators import dedupe, facilities, inspections, roles
 from placegauge.plans import testbed as tb
 from placegauge.session import checkpoint_folder, cut, require_checkpoint_folder
 from placegauge.plans.checks.base import (
@@ -238,6 +238,39 @@ def fill_rates(t: Tables) -> DataFrame:
     )
 
 
+@check(
+    "kept_inspections",
+    select(
+        f"""SELECT dataset_id, sha256(dataset_id) AS sha256, same AS reused,
+          CASE WHEN same THEN 7 ELSE rows END AS total,
+          CASE WHEN same THEN cast(0.125 AS double) ELSE coord_fill END AS coord_fill,
+          CASE WHEN NOT same THEN address_fill END AS address_fill, same OR has_address AS has_address
+        FROM (SELECT dataset_id, any_value(nation) % 3 <> 0 AS same, count(*) AS rows,
+            any_value(style) <> 4 AS has_address,
+            {sql_round('count(*) FILTER (valid) / count(*)', 3)} AS coord_fill,
+            CASE WHEN any_value(style) <> 4 THEN {sql_round(
+              'count(*) FILTER (has_address) / count(*)', 3)} END AS address_fill
+          FROM (SELECT *, {_VALID} AS valid FROM listing) GROUP BY 1)""",
+        "listing",
+    ),
+)
+def kept_inspections(t: Tables) -> DataFrame:
+    """A second run: every third nation's files have other bytes than when they were inspected."""
+    found = cut(datasets(t))
+    now = F.sha2("dataset_id", 256)
+    before = F.when(F.col("nation") % 3 == 0, F.sha2(F.concat("dataset_id", F.lit("old")), 256)).otherwise(now)
+    kept = found.select(
+        "dataset_id", before.alias("sha256"), F.lit(7).cast("bigint").alias("sample_size"),
+        F.lit(7).cast("bigint").alias("total"), F.lit(0.125).alias("coord_fill"),
+        F.lit(None).cast("double").alias("address_fill"), F.lit(True).alias("has_address"), "fields",
+    )
+    current = inspections.digests(found.select("dataset_id", now.alias("sha256")))
+    rows = records(t, F.col("k") % 100 + 1)
+    return inspections.renewed(current, kept, found.select("dataset_id", "fields"), rows).select(
+        "dataset_id", "sha256", "reused", "total", "coord_fill", "address_fill", "has_address"
+    )
+
+
 def entries(t: Tables) -> DataFrame:
     """Accepted manifest entries of the lists; some are in a format nobody can read."""
     return datasets(t).select(

@@ -21,6 +21,7 @@ from placegauge.operators import (
     dedupe,
     evaluation,
     facilities,
+    inspections,
     judgements,
     manifest,
     publish,
@@ -48,20 +49,36 @@ class Settings:
     definitions: dict = field(default_factory=lambda: fv.FEATURE_DEFINITIONS)
 
 
-def inspect_landed(spark: SparkSession, folder: str) -> DataFrame:
-    """(dataset_id, coord_fill, address_fill, has_address) of landed files."""
-    found = ranges.scan(spark, folder)
-    table = cut(roles.role_table(found.datasets))
-    rates = roles.fill_rates(found.records, table, found.datasets)
-    return rates.join(
-        table.select("dataset_id", F.col("address_field").isNotNull().alias("has_address")),
-        "dataset_id",
-    )
+def inspect_landed(
+    spark: SparkSession, folder: str, log: DataFrame | None = None, kept: DataFrame | None = None
+) -> DataFrame:
+    """What inspecting the landed files says of each dataset (``inspections.SCHEMA``).
+
+    With a landing ``log`` (dataset_id, path, sha256) and the inspections ``kept`` by an earlier run,
+    only files of datasets with another digest are opened.  The names of these files pass through the
+    driver, as Spark's own listing of the folder does.
+    """
+    if log is None:
+        found = ranges.scan(spark, folder)
+        return inspections.inspected(found.datasets, found.records).withColumn(
+            "sha256", F.lit(None).cast("string")
+        )
+    log = cut(log.select("dataset_id", "path", "sha256"))
+    current = cut(inspections.digests(log))
+    kept = spark.createDataFrame([], inspections.SCHEMA) if kept is None else kept
+    todo = cut(inspections.changed(current, kept))
+    same = inspections.known(current, kept)
+    paths = [r.path for r in log.join(todo, "dataset_id", "left_semi").select("path").collect()]
+    if not paths:
+        return same
+    found = ranges.scan(spark, paths)
+    fresh = inspections.inspected(found.datasets, found.records)
+    return same.unionByName(fresh.join(todo, "dataset_id"))
 
 
 def discover(
     packages: DataFrame,
-    inspections: DataFrame,
+    inspected: DataFrame,
     now: Column,
     overrides: DataFrame | None = None,
     judged: DataFrame | None = None,
@@ -70,15 +87,17 @@ def discover(
 ) -> DataFrame:
     """The manifest after looking through the catalog; fails when it breaks a rule.
 
-    ``inspections``: dataset_id, coord_fill, address_fill, has_address.
+    ``inspected``: dataset_id, coord_fill, address_fill, has_address, and what else of
+    ``inspections.SCHEMA`` is to be kept with the entries.
     """
     found = catalog.with_best_resource(catalog.candidates(packages, settings.definitions))
     rows = cut(catalog.with_semantics(found))
     read = catalog.worth_inspecting(rows).select("feature", F.col("name").alias("dataset_id"))
-    entries = catalog.evaluate(rows, read.join(inspections, "dataset_id"), now)
+    looked_at = read.join(inspected, "dataset_id")
+    entries = catalog.evaluate(rows, looked_at, now)
     if judged is not None:
         entries = judgements.apply_dataset_judgements(entries, judged)
-    entries = manifest.mark_duplicates(cut(entries))
+    entries = inspections.attach(manifest.mark_duplicates(cut(entries)), looked_at)
     if overrides is not None:
         quality.require_clean(
             manifest.invalid_overrides(overrides).select(

@@ -57,7 +57,12 @@ class Scanned:
     errors: DataFrame
 
 
-def pieces(spark: SparkSession, folder: str, glob: str, end: str) -> DataFrame:
+def plain_path(path: str) -> str:
+    """The pattern that stands for exactly this path."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def pieces(spark: SparkSession, folder: str | list[str], glob: str, end: str) -> DataFrame:
     """``(path, size, block, piece)``: what stands between two ``end`` bytes, as bytes, in file order."""
     text = (
         spark.read.option("recursiveFileLookup", "true")
@@ -508,8 +513,10 @@ def _json_heads(parsed: DataFrame, collections: DataFrame) -> DataFrame:
     return collections.join(fields, "path", "left").select("path", F.coalesce("fields", none).alias("fields"))
 
 
-def scan(spark: SparkSession, folder: str) -> Scanned:
-    """All readable files below a folder, large ones by many tasks; see ``files`` for their layout."""
+def scan(spark: SparkSession, folder: str | list[str]) -> Scanned:
+    """All readable files below a folder, or of a list of files, large ones by many tasks; see
+    ``files`` for their layout."""
+    folder = folder if isinstance(folder, str) else [plain_path(path) for path in folder]
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
         .select(F.col("_metadata.file_path").alias("file"), "path")
