@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
@@ -102,20 +102,21 @@ def apply_overrides(entries: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
+def _counts() -> list[Column]:
+    by_status = [F.count_if(F.col("status") == s).alias(s) for s in fv.STATUSES]
+    return [F.count(F.lit(1)).alias("candidates"), *by_status]
+
+
 def status_counts(entries: DataFrame) -> DataFrame:
     """(feature, candidates, accepted, review, rejected)"""
-    return entries.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("candidates"),
-        *[F.count_if(F.col("status") == s).alias(s) for s in fv.STATUSES],
-    )
+    return entries.groupBy("feature").agg(*_counts())
 
 
 def feature_totals(entries: DataFrame, searched: Iterable[str]) -> DataFrame:
     """``status_counts`` and the entries with an inspection, for every searched feature; 0 without a hit."""
     spark = entries.sparkSession
     features = spark.createDataFrame([(f,) for f in searched], "feature string")
-    looked_at = entries.groupBy("feature").agg(F.count("inspection").alias("inspected"))
-    counted = status_counts(entries).join(looked_at, "feature")
+    counted = entries.groupBy("feature").agg(*_counts(), F.count("inspection").alias("inspected"))
     return features.join(counted, "feature", "left").fillna(0)
 
 

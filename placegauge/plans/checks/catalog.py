@@ -584,7 +584,7 @@ def feature_totals(t: Tables) -> DataFrame:
     """Entries with their inspections, counted for each feature, also one that nothing was found for."""
     rows = cut(wanted(t))
     found = inspections(rows)
-    decided = catalog.evaluate(rows, found, F.lit(NOW).cast("timestamp"))
+    decided = cut(catalog.evaluate(rows, found, F.lit(NOW).cast("timestamp")))
     return manifest.feature_totals(kept.attach(decided, found), SEARCHED)
 
 

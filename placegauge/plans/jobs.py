@@ -93,7 +93,7 @@ def discover(
     found = catalog.with_best_resource(catalog.candidates(packages, settings.definitions))
     rows = cut(catalog.with_semantics(found))
     read = catalog.worth_inspecting(rows).select("feature", F.col("name").alias("dataset_id"))
-    looked_at = read.join(inspected, "dataset_id")
+    looked_at = cut(read.join(inspected, "dataset_id"))
     entries = catalog.evaluate(rows, looked_at, now)
     if judged is not None:
         entries = judgements.apply_dataset_judgements(entries, judged)
