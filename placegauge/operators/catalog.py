@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from placegauge import fixed_values as fv
 from placegauge.functions import signals
+from placegauge.functions.staging import with_computed
 from placegauge.functions.text import contains_any, hits, words_array
 
 
@@ -41,13 +42,15 @@ def candidates(packages: DataFrame, definitions=fv.FEATURE_DEFINITIONS) -> DataF
     All keywords of all features are tried in one pass over the packages.  Of several packages with
     one id the first by content stays, the same one whatever the order of the rows.
     """
-    text = searched_text(packages)
+    # Put together once a package, not once a keyword.
+    searched = with_computed(packages, {"__text": searched_text(packages)})
+    text = F.col("__text")
     found = F.array_compact(
         F.array(
             *[F.when(contains_any(text, d["keywords"]), F.lit(f)) for f, d in definitions.items()]
         )
     )
-    rows = packages.withColumn("__features", found).where(F.size("__features") > 0)
+    rows = with_computed(searched, {"__features": found}).where(F.size("__features") > 0)
     whole = F.struct(*packages.columns)
     # Packages move once, before they are copied to their features.
     one = rows.groupBy("id").agg(
@@ -108,21 +111,27 @@ def best_resource_rows(resources: DataFrame, keys: list[str], keywords) -> DataF
 def with_semantics(rows: DataFrame) -> DataFrame:
     """Adds hit lists, ``semantic``, ``semantic_text``, ``excluded_hits`` and ``row_filter``."""
     feature = F.col("feature")
-    title = F.coalesce("title", F.lit(""))
-    names = F.transform("resources", lambda r: F.coalesce(r["name"], F.lit("")))
-    other = F.concat_ws(" ", F.coalesce("notes", F.lit("")), "tags")
+    # Texts and lists are made once a row, not once a keyword or a use.
+    texts = {
+        "__title": F.coalesce("title", F.lit("")),
+        "__names": F.transform("resources", lambda r: F.coalesce(r["name"], F.lit(""))),
+        "__other": F.concat_ws(" ", F.coalesce("notes", F.lit("")), "tags"),
+    }
+    rows = with_computed(rows, texts)
+    title, names, other = (F.col(c) for c in texts)
     keywords = definition_words(feature, "keywords")
     lists = signals.semantic_hits(
         title, names, other, keywords, definition_words(feature, "list_hints")
     )
     cols = [F.col(n) for n in lists]
-    return rows.withColumns(
+    return with_computed(
+        rows,
         {
             **lists,
             "excluded_hits": hits(title, definition_words(feature, "exclude_keywords")),
             "row_filter": signals.names_no_keyword(title, keywords),
-        }
-    ).withColumns(
+        },
+    ).drop(*texts).withColumns(
         {
             "semantic": signals.semantic_signal(*cols),
             "semantic_text": signals.semantic_reason(*cols),

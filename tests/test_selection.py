@@ -306,3 +306,20 @@ def test_yearbook_table_with_other_columns_is_named(spark):
         [("good", ["Fiscal year", "駅", "乗車人員 総数"]), ("bad", ["Fiscal year", "Stop", "乗車人員 総数"])],
         "dataset_id string, fields array<string>")
     assert rows(usage.table_problems(data)) == [("no station", "bad")]
+
+
+def test_searched_texts_are_made_once_a_row(spark):
+    package = spark.createDataFrame(
+        [("1", "pkg-1", "公園の一覧", "港区の公園", "港区", None, None, None, ["公園"], None, "https://example.org/1",
+          [("1-0", "公園0", "csv", "https://example.org/1/0", False, None, None)])],
+        "id string, name string, title string, notes string, organization string, license_id string, "
+        "license_title string, metadata_modified string, tags array<string>, update_frequency string, "
+        "source_url string, resources array<struct<id string, name string, format string, url string, "
+        "datastore_active boolean, last_modified string, metadata_modified string>>",
+    )
+    # However many keywords are looked for, the plan puts a text together in one place.
+    found = catalog.with_semantics(catalog.candidates(package.repartition(2)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws(") == 2
+    assert [(r.feature, r.title_hits, r.other_hits) for r in found.where("feature = 'park'").collect()] == [
+        ("park", ["公園"], ["公園"])]
