@@ -52,6 +52,19 @@ def test_radius_against_all_pairs(spark):
     assert counts == {a: sum(k[0] == a for k in want) for a in sx}
 
 
+def test_pairs_of_small_tables_are_found_by_many_tasks(spark):
+    s = spark.createDataFrame([(f"s{i}", 35.6 + i / 500, 139.7) for i in range(40)],
+                              "site_id string, lat double, lng double")
+    f = spark.createDataFrame([(f"f{i}", "park", 35.6 + i / 2000, 139.7) for i in range(160)],
+                              "facility_id string, feature string, lat double, lng double")
+    found = radius.radius_pairs(s, f, 1000.0)
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    # What is too far away is dropped by the join itself.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joined = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "SQRT" in joined.upper()
+
+
 def test_disc_points_lie_on_their_circles(spark):
     site = spark.createDataFrame([("a", 35.6984, 139.7731)], "site_id string, lat double, lng double")
     points = areas.disc_points(site, 500.0)
