@@ -91,7 +91,9 @@ def site_aggregates(counts: DataFrame, covered_areas: DataFrame) -> DataFrame:
 
 def evidence_datasets(pairs: DataFrame, site_areas: DataFrame, report: DataFrame) -> DataFrame:
     """(site_id, feature, dataset_id): datasets that found something near, and the fetched ones of
-    the touched municipalities, which are evidence even when they found nothing."""
+    the touched municipalities, which are evidence even when they found nothing.
+
+    ``pairs`` may hold a site and dataset once or once a facility."""
     found = pairs.select("site_id", "feature", "dataset_id")
     fetched = report.where(F.col("status").isin("ok", "degraded")).select(
         "feature", F.col("organization").alias("name"), "dataset_id"

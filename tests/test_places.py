@@ -52,6 +52,36 @@ def test_radius_against_all_pairs(spark):
     assert counts == {a: sum(k[0] == a for k in want) for a in sx}
 
 
+def test_groups_near_a_site_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    spots = [(35.65 + rng.uniform(-0.05, 0.05), 139.7 + rng.uniform(-0.06, 0.06)) for _ in range(40)]
+    where = [(f"s{i}", *spots[i % 7]) if i % 3 == 0 else
+             (f"s{i}", rng.uniform(35.6, 35.7), rng.uniform(139.64, 139.76)) for i in range(60)]
+    facs = [(f"f{i}", "park" if i % 5 else None, f"d{i % 9}" if i % 11 else f"rare{i % 70}",
+             *(spots[i % 40] if i % 4 == 0 else (rng.uniform(35.6, 35.7), rng.uniform(139.64, 139.76))))
+            for i in range(500)]
+    facs += [("gone", "park", "unlocated", None, None), ("odd", "park", "odd", float("nan"), 139.7)]
+    s = spark.createDataFrame([*where, ("nowhere", None, None)], "site_id string, lat double, lng double")
+    f = spark.createDataFrame(
+        facs, "facility_id string, feature string, dataset_id string, lat double, lng double")
+    keys = ["feature", "dataset_id"]
+    listed = radius.radius_pairs(s, f, 1500.0).select("site_id", *keys).distinct()
+    want = sorted(map(str, listed.collect()))
+    for hot in (None, 3):
+        found = radius.radius_pairs(s, f, 1500.0, hot, groups=keys)
+        assert sorted(map(str, found.collect())) == want
+
+
+def test_groups_are_found_without_listing_pairs(spark):
+    """A crowd around a crowd: nine million pairs, two rows a site."""
+    s = spark.range(3000).selectExpr("concat('s', id) site_id", "35.65 + id / 1e7 lat", "139.7D lng")
+    f = spark.range(3000).selectExpr(
+        "concat('f', id) facility_id", "'park' feature", "concat('d', id % 2) dataset_id", "35.65 + id / 1e7 lat",
+        "139.7001D lng")
+    found = radius.radius_pairs(s, f, 1000.0, groups=["feature", "dataset_id"])
+    assert found.count() == 6000
+
+
 def test_pairs_of_small_tables_are_found_by_many_tasks(spark):
     s = spark.createDataFrame([(f"s{i}", 35.6 + i / 500, 139.7) for i in range(40)],
                               "site_id string, lat double, lng double")
