@@ -16,6 +16,8 @@ from placegauge.session import cut
 POLYGON_CELL_DEG = 1 / 64
 # How far beyond its computed place an edge is still listed, against rounding; listing more is harmless.
 EDGE_MARGIN_DEG = 1e-9
+# Points of a cell that one task compares with the cell's rings, which may be very many.
+CELL_POINTS = 2_000
 
 
 def disc_points(sites: DataFrame, radius_m: float) -> DataFrame:
@@ -156,7 +158,9 @@ def areas_by_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     celled = points.withColumn("cx", cell_index(F.col("lng"), size)).withColumn(
         "cy", cell_index(F.col("lat"), size)
     )
-    boxed = split_join(celled, boxes, ["cx", "cy"], F.struct("site_id", "pos"))
+    boxed = split_join(
+        celled, boxes, ["cx", "cy"], F.struct("site_id", "pos"), part_rows=CELL_POINTS, spread_out=True
+    )
     corner, border, lat = F.col("cy") * size, (F.col("cx") + 1) * size, F.col("lat")
 
     def turns(edge: Column) -> Column:

@@ -80,3 +80,18 @@ def test_a_ring_as_large_as_a_country(spark):
     pick = random.Random(1)
     points = [(pick.uniform(135, 143), pick.uniform(32, 40)) for _ in range(200)]
     assert found(spark, points, [("1", "large", ring)]) == brute(points, [("1", "large", ring)])
+
+
+def test_crowded_cells_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Few points in many rings: the pairs are many, so neither side's size decides on the tasks."""
+    monkeypatch.setattr(areas, "CELL_POINTS", 3, raising=False)
+    pick = random.Random(9)
+    points = [(pick.uniform(0, 0.014), pick.uniform(0, 0.014)) for _ in range(40)]
+    polygons = [(f"{k:05}", f"n{k}", square(-0.1, -0.1, 0.1 + k / 2000)) for k in range(30)]
+    assert found(spark, points, polygons) == brute(points, polygons)
+    at = spark.createDataFrame(
+        [(f"s{k}", 0, lat, lng) for k, (lng, lat) in enumerate(points)], "site_id string, pos int, lat double, lng double"
+    )
+    plan = areas.areas_by_polygons(at, spark.createDataFrame(polygons, POLYGONS))
+    plan = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [cx" in plan
