@@ -3,23 +3,32 @@
 A grid line lies every half ``radius``, so everything within the radius of a site is in its own
 cell or one of the 24 around it.  Sites are copied to those cells; facilities stay single.  The
 distance is a condition of the join, so that what is too far away never becomes a row.
+
+Counts list no pairs: where a run of sorted points is within the radius for certain, running sums
+count it, and only points near the rim are measured.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placegauge.functions.geo import cell_index, neighbour_cells, planar_m, project
 from placegauge.functions.rounding import round_half_even
 from placegauge.functions.staging import with_computed
-from placegauge.operators.skew import split_join
+from placegauge.operators.skew import split_join, split_sides
 from placegauge.session import cut
 
 # Cells a radius reaches.
 REACH = 2
 # Cells are a little wider than that, against rounding at their borders.
 MARGIN = 1 + 1e-9
+# What is nearer to the rim than this share of the radius and as many metres is measured.
+SLACK = 1e-6
+# Distances that a task holds at once.
+MEASURED = 1 << 20
 
 
 def _near(
@@ -138,6 +147,62 @@ def radius_pairs(
     )
 
 
+def disc_sums(
+    px: np.ndarray, py: np.ndarray, kind: np.ndarray, n: np.ndarray, kinds: int,
+    sx: np.ndarray, sy: np.ndarray, radius_m: float,
+) -> np.ndarray:
+    """Sums of ``n`` over the points at most ``radius_m`` from each site: sites x kinds.
+
+    Points are cut by northing into strips of about equal numbers and sorted by easting inside them.
+    What a site surely reaches of a strip is one run, which running sums count; the points beside it
+    that may be in reach are measured.  With the square root of the points as strips, a site costs
+    about that many steps instead of one for each point.
+    """
+    sums = np.zeros((len(sx), kinds), dtype=np.int64)
+    outer = radius_m * (1 + SLACK) + SLACK
+    inner = max(0.0, radius_m * (1 - SLACK) - SLACK)
+    for strip in np.array_split(np.argsort(py), max(1, int(len(py) ** 0.5 / 2))):
+        if not len(strip):
+            continue
+        strip = strip[np.argsort(px[strip])]
+        x, y, own, many = px[strip], py[strip], kind[strip], n[strip]
+        south, north = y.min(), y.max()
+        least = np.maximum(0.0, np.maximum(south - sy, sy - north))
+        at = np.flatnonzero(least <= outer)
+        half = np.sqrt(outer * outer - least[at] ** 2)
+        low = np.searchsorted(x, sx[at] - half, "left")
+        high = np.searchsorted(x, sx[at] + half, "right")
+        some = high > low
+        at, low, high = at[some], low[some], high[some]
+        most = np.maximum(np.abs(sy[at] - south), np.abs(sy[at] - north))
+        half = np.sqrt(np.maximum(0.0, inner * inner - most**2))
+        first = np.where(most < inner, np.searchsorted(x, sx[at] - half, "left"), low)
+        last = np.where(most < inner, np.searchsorted(x, sx[at] + half, "right"), low)
+        running = np.zeros((len(strip) + 1, kinds), dtype=np.int64)
+        running[np.arange(1, len(strip) + 1), own] = many
+        running = running.cumsum(axis=0)
+        sums[at] += running[last] - running[first]
+        begin, length = np.concatenate([low, last]), np.concatenate([first - low, high - last])
+        site = np.concatenate([at, at])
+        for share in _shares(length.cumsum()):
+            steps = length[share]
+            points = np.repeat(begin[share] - (steps.cumsum() - steps), steps) + np.arange(steps.sum())
+            of = np.repeat(site[share], steps)
+            dx, dy = sx[of] - x[points], sy[of] - y[points]
+            within = np.sqrt(dx * dx + dy * dy) <= radius_m
+            np.add.at(sums, (of[within], own[points[within]]), many[points[within]])
+    return sums
+
+
+def _shares(ends: np.ndarray) -> list[slice]:
+    """Cuts runs that end at the given sums into shares of about ``MEASURED`` points."""
+    if not len(ends) or not ends[-1]:
+        return []
+    cuts = np.searchsorted(ends, np.arange(MEASURED, int(ends[-1]), MEASURED), "right").tolist()
+    bounds = [0, *cuts, len(ends)]
+    return [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if b > a]
+
+
 def radius_counts(
     sites: DataFrame,
     facilities: DataFrame,
@@ -147,22 +212,52 @@ def radius_counts(
 ) -> DataFrame:
     """(site_id, feature, n) for every site and feature, 0 where nothing is near.
 
-    Facilities at one spot are counted before the join, so a crowded spot is joined once.
+    Facilities at one spot are counted before the join, so a crowded spot is joined once.  Sites are
+    copied to the nine tiles as wide as the radius that they reach into; a tile is counted by
+    ``disc_sums``, in parts where it holds very many sites or spots.
     """
     spots = (
-        facilities.where("lat IS NOT NULL AND lng IS NOT NULL")
+        facilities.where(F.col("lat").isNotNull() & F.col("lng").isNotNull() & F.col("feature").isin(*features))
         .groupBy("feature", "lat", "lng")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     zeros = sites.select(
         "site_id", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature")
     ).withColumn("n", F.lit(0).cast("long"))
-    counted = _near(sites, spots, radius_m, ["feature"], hot_rows).select("site_id", "feature", "n")
-    return (
-        zeros.unionByName(counted.where(F.col("feature").isin(*features)))
-        .groupBy("site_id", "feature")
-        .agg(F.sum("n").alias("n"))
+    size, tile = radius_m * MARGIN, ["cx", "cy"]
+
+    def placed(rows: DataFrame, x: str, y: str) -> DataFrame:
+        return project(rows, "lat", "lng", x, y).where(~F.isnan(x) & ~F.isnan(y))
+
+    kind = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")) - 1
+    points = placed(spots, "fx", "fy").select(
+        cell_index(F.col("fx"), size).alias("cx"), cell_index(F.col("fy"), size).alias("cy"),
+        "fx", "fy", kind.cast("int").alias("kind"), "n",
+    )
+    around = neighbour_cells(cell_index(F.col("sx"), size), cell_index(F.col("sy"), size))
+    reached = placed(sites.select("site_id", "lat", "lng"), "sx", "sy").select(
+        "site_id", "sx", "sy", F.explode(around).alias("cell")
+    ).select("site_id", "sx", "sy", "cell.cx", "cell.cy")
+    left, right, on = split_sides(
+        points, reached, tile, F.struct("fx", "fy", "kind"), hot_rows, other_spread=F.col("site_id"),
+        spread_out=True,
+    )
+    site_type = sites.schema["site_id"].dataType.simpleString()
+
+    def counted(near: pa.Table, some: pa.Table) -> pa.Table:
+        columns = [near[c].to_numpy() for c in ("fx", "fy", "kind", "n")]
+        sums = disc_sums(*columns, len(features), some["sx"].to_numpy(), some["sy"].to_numpy(), radius_m)
+        row, place = np.nonzero(sums)
+        return pa.table({
+            "site_id": some["site_id"].take(pa.array(row)),
+            "feature": pa.array([features[k] for k in place], pa.string()),
+            "n": pa.array(sums[row, place], pa.int64()),
+        })
+
+    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(
+        counted, f"site_id {site_type}, feature string, n bigint"
     )
+    return zeros.unionByName(found).groupBy("site_id", "feature").agg(F.sum("n").alias("n"))
 
 
 def counted_pairs(sites: DataFrame, pairs: DataFrame, features: list[str]) -> DataFrame:

@@ -44,18 +44,34 @@ def split_join(
     other_spread: Column | None = None,
     spread_out: bool = False,
 ) -> DataFrame:
-    """``rows`` joined with ``other`` on ``keys``; inner or left.
+    """``rows`` joined with ``other`` on ``keys``; inner or left.  See ``split_sides``."""
+    if other_spread is not None and how != "inner":
+        raise ValueError("only inner joins cut both sides")
+    left, right, on = split_sides(rows, other, keys, spread, part_rows, counts, other_spread, spread_out)
+    return left.join(right, on, how).drop("__a", "__d")
 
-    ``spread`` is anything that differs between rows of one key.  With ``how="left"``, rows with a
-    null key keep their place by their own hash instead of meeting in one task.  ``counts`` (keys
+
+def split_sides(
+    rows: DataFrame,
+    other: DataFrame,
+    keys: list[str],
+    spread: Column,
+    part_rows: int | None = None,
+    counts: DataFrame | None = None,
+    other_spread: Column | None = None,
+    spread_out: bool = False,
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the numbers of their parts, and the columns on which they meet: every row of
+    ``rows`` meets every row of ``other`` with its key exactly once.
+
+    ``spread`` is anything that differs between rows of one key.  Rows with a null key keep their place
+    by their own hash instead of meeting in one task.  ``counts`` (keys
     and ``__n``) saves the counting where the rows per key are known.  ``other_spread`` has the
     other side counted and cut as well (inner joins).  ``spread_out`` is for small tables with many
     matches: the keys are dealt to at least four tasks a core, where their size alone would ask for few.
     """
     hot = hot_keys(rows, keys, part_rows, counts).withColumnRenamed("__parts", "__across")
     if other_spread is not None:
-        if how != "inner":
-            raise ValueError("only inner joins cut both sides")
         down = hot_keys(other, keys, part_rows).withColumnRenamed("__parts", "__down")
         hot = hot.join(down, keys, "full")
     else:
@@ -88,5 +104,4 @@ def split_join(
             4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
         )
         left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
-    joined = left.join(right, on, how)
-    return joined.drop("__a", "__d")
+    return left, right, on

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 from plain_rows import rows
 from pyspark.sql import functions as F
 
@@ -241,3 +242,45 @@ def test_site_master(spark):
     assert [r[1] for r in lines] == ["JR山手線", "JR東北線", "東京メトロ日比谷線", "京成電鉄京成本線"]
     assert rows(sites.unresolved(names, own, english)) == [
         ("幻", "no english name"), ("幻", "no station")]
+
+
+def test_counts_measure_a_small_share_of_the_pairs(monkeypatch):
+    rng = np.random.default_rng(4)
+    px, py, sx, sy = (rng.uniform(0, 3000, n) for n in (20_000, 20_000, 500, 500))
+    px[:300], py[:300] = sx[:300] + 600, sy[:300] + 800  # on the rim, up to rounding
+    kind, n = rng.integers(0, 3, len(px)), rng.integers(1, 9, len(px))
+    within = np.sqrt((sx[:, None] - px) ** 2 + (sy[:, None] - py) ** 2) <= 1000.0
+    wanted = np.stack([np.where(within & (kind == k), n, 0).sum(axis=1) for k in range(3)], axis=1)
+    measured, shares = [], radius._shares
+
+    def counting(ends):
+        measured.append(int(ends[-1]) if len(ends) else 0)
+        return shares(ends)
+
+    monkeypatch.setattr(radius, "_shares", counting)
+    monkeypatch.setattr(radius, "MEASURED", 1000)
+    found = radius.disc_sums(px, py, kind, n, 3, sx, sy, 1000.0)
+    assert (found == wanted).all()
+    assert sum(measured) < within.sum() / 10
+    # Odd cases: nothing on one side, a radius of nothing, all points in one spot.
+    assert radius.disc_sums(px[:0], py[:0], kind[:0], n[:0], 3, sx, sy, 1.0).sum() == 0
+    assert radius.disc_sums(px, py, kind, n, 3, sx[:0], sy[:0], 1.0).shape == (0, 3)
+    spot = np.zeros(3)
+    assert radius.disc_sums(spot, spot, kind[:3] * 0, n[:3], 1, spot[:1], spot[:1], 0.0)[0, 0] == n[:3].sum()
+
+
+def test_counts_of_odd_rows(spark):
+    places = "site_id string, lat double, lng double"
+    site = spark.createDataFrame(
+        [("a", 35.6, 139.7), ("a", 35.6, 139.7), (None, 35.6, 139.7), ("none", None, 139.7), ("nan", float("nan"), 139.7)],
+        places,
+    )
+    facs = spark.createDataFrame(
+        [("park", 35.6, 139.7), ("park", 35.6, 139.7), (None, 35.6, 139.7), ("other", 35.6, 139.7), ("park", None, 1.0),
+         ("park", float("nan"), 139.7)],
+        "feature string, lat double, lng double",
+    )
+    for hot in (None, 1):
+        assert rows(radius.radius_counts(site, facs, 500.0, ["park"], hot)) == sorted(
+            [("a", "park", 4), (None, "park", 2), ("none", "park", 0), ("nan", "park", 0)], key=repr
+        )
