@@ -126,10 +126,13 @@ def text_key(text: str | None) -> bytes:
 
 
 _made: dict[str, tuple[str, object]] = {}
+_asked = 0
 
 
 def made_once(kind: str, source: str, make: Callable[[str], object]):
-    """``make(source)``, kept in the Python worker for the tasks that follow."""
+    """``make(source)``, kept in the Python worker for the tasks that follow; see ``worked``."""
+    global _asked
+    _asked += 1
     key = xxhash.xxh3_128_hexdigest(source)
     if _made.get(kind, ("", None))[0] != key:
         _made[kind] = (key, make(source))
@@ -157,13 +160,28 @@ def arrow_rows(
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, SLICE_ROWS):
-                yield from fn(batch.slice(low, SLICE_ROWS))
+        return worked(batches, fn)
 
     return df.mapInArrow(run, schema)
 
 
+def worked(
+    batches: Iterator[pa.RecordBatch], fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]
+) -> Iterator[pa.RecordBatch]:
+    """``fn`` on slices of the batches of a task.
+
+    Python workers live on through the steps of a job.  What ``made_once`` keeps (with its caches) goes
+    after a task that had rows and did not ask for it, as then another step has begun.
+    """
+    before, rows = _asked, 0
+    for batch in batches:
+        rows += batch.num_rows
+        for low in range(0, batch.num_rows, SLICE_ROWS):
+            yield from fn(batch.slice(low, SLICE_ROWS))
+    if rows and _asked == before:
+        _made.clear()
+
+
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """A list column out of one numpy array per row."""
     offsets = np.zeros(len(values) + 1, dtype=np.int32)

@@ -3,10 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_tables import awkward, documents, plain, prose
 
-from placegauge.llm import id_coder, id_files, packing, token_counts
+from placegauge.llm import common, id_coder, id_files, packing, token_counts
 from placegauge.llm.tokens import Encoder, read_vocabulary
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -166,3 +167,22 @@ def test_files_give_back_every_document(spark, encoder, tmp_path, monkeypatch):
     empty = str(tmp_path / "none")
     id_files.write_ids(documents(spark, []), PATH, empty)
     assert id_files.document_digests(spark, empty).count() == 0
+
+
+def test_what_a_worker_keeps_goes_when_another_step_begins():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3])], ["x"])
+    made = []
+
+    def asking(rows):
+        common.made_once("kept", "source", made.append)
+        yield rows
+
+    def other(rows):
+        yield rows
+
+    for _ in range(2):  # kept from task to task, also over one without rows
+        assert list(common.worked(iter([batch]), asking)) == [batch]
+        assert list(common.worked(iter([batch.slice(0, 0)]), other)) == []
+    assert made == ["source"] and "kept" in common._made
+    assert list(common.worked(iter([batch]), other)) == [batch]
+    assert common._made == {}
