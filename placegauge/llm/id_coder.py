@@ -1,11 +1,13 @@
-"""Adaptive context-mixing range coder for token ids, many independent blocks side by side.
+"""Adaptive context-mixing range coder for token ids, many blocks of a group side by side.
 
 Before each id, two predictions are looked up: what followed the last two ids, and what followed the
-last one.  One symbol says which of them holds, or else how many bits the id has (order 0); the
-remaining bits follow as they are.  Symbol frequencies are the sum of an order-0 table and a table
-of the context (how sure both predictions are), both adapting.  Every block starts from nothing and
-carries the checksum of its ids.  A step codes one id of every block of a group with array
-operations, so the time for a step hardly depends on the number of blocks.
+last one.  One symbol says which of them holds, or else in which class of ranks the id is (order 0:
+ids ranked by how often the group had them so far, classes as wide as a sixteenth of their ranks); the
+place inside the class follows as plain bits.  Symbol frequencies are the sum of an order-0 table and a
+table of the context (how sure both predictions are), both adapting.  Every group starts from nothing;
+its blocks have digits and a checksum of their own and learn from one another.  A step codes one id of
+every block of a group with array operations; all of it is integer arithmetic, so every machine decodes
+the same.
 """
 
 from __future__ import annotations
@@ -15,222 +17,298 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"IDS1"
-BLOCKS = 1024  # in a full group
-BLOCK_IDS = (512, 1024)  # least and most ids of a block
-SLOTS1, SLOTS2 = 2048, 4096
-HALVE = 64  # steps between halvings of the tables
+MAGIC = b"IDS2"
+# Ids, documents, blocks, ids a block, largest id, bytes of the documents, checksum of the digits.
+HEAD = "<QIIIIII"
+BLOCKS = 4096  # in a full group
+BLOCK_IDS = (512, 1024)  # least and most ids of a block of a group with several
+SLOTS1, SLOTS2 = 1 << 16, 1 << 18
+SCALE = 14  # bits of all symbol frequencies of a context together
+CONTEXTS = 16
+LEARN = 32  # steps between renewals of the frequencies, once that many have been coded
+RANKED = 1 << 17  # a group with larger ids takes them for their ranks
 U = np.uint64
-TOP, BOTTOM = U(1 << 48), U(1 << 32)
-# Base-2 lengths of small numbers; longer ones are looked up by their upper half.
-_LENGTHS = np.array([n.bit_length() for n in range(1 << 16)], dtype=np.int64)
+WORD, LEAST = U(32), U(1 << 32)
+LOW = U(0xFFFFFFFF)
 
 
 class IdError(ValueError):
     """The data are not what was written."""
 
 
-def bit_lengths(x: np.ndarray) -> np.ndarray:
-    high = x >> 16
-    return np.where(high > 0, _LENGTHS[high & 0xFFFF] + 16, _LENGTHS[x & 0xFFFF])
+def rank_classes(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First rank and plain bits of every class of ranks up to ``most``."""
+    bases, bits = [np.arange(32)], [np.zeros(32, dtype=np.int64)]
+    for n in range(1, max(most.bit_length() - 4, 1)):
+        bases.append(np.arange(16, 32) << n)
+        bits.append(np.full(16, n))
+    return np.concatenate(bases), np.concatenate(bits)
 
 
 class Model:
-    """Predictions and frequencies of all blocks."""
-
-    def __init__(self, blocks: int, id_bits: int) -> None:
-        self.symbols = 2 + id_bits + 1
-        self.rows = np.arange(blocks)
-        self.next1 = np.full(blocks * SLOTS1, -1, dtype=np.int32)
-        self.next2 = np.full(blocks * SLOTS2, -1, dtype=np.int32)
-        self.sure1 = np.zeros(blocks * SLOTS1, dtype=np.int8)
-        self.sure2 = np.zeros(blocks * SLOTS2, dtype=np.int8)
-        self.base = np.full((blocks, self.symbols), 4, dtype=np.int32)
-        self.mixed = np.zeros((blocks * 16, self.symbols), dtype=np.int32)
-        self.last = np.zeros(blocks, dtype=np.int64)
-        self.before = np.zeros(blocks, dtype=np.int64)
-        self.steps = 0
+    """Predictions and frequencies of a group."""
+
+    def __init__(self, blocks: int, most: int) -> None:
+        self.bases, bits = rank_classes(most)
+        self.symbols = 2 + len(bits)
+        # Plain bits and first rank of every symbol.
+        self.bits = np.concatenate([[0, 0], bits]).astype(U)
+        self.first = np.concatenate([[0, 0], self.bases])
+        self.wide = int(bits[-1]) > 12
+        ranked = most < RANKED
+        self.kind = np.int32 if ranked else np.int64
+        # Guess and, in the two lowest bits, how sure it is; the slots of order 1, then those of order 2.
+        self.after = np.full(SLOTS1 + SLOTS2, -4, dtype=self.kind)
+        self.last = np.zeros(blocks, dtype=self.kind)
+        self.before = np.zeros(blocks, dtype=self.kind)
+        self.at = np.empty((2, blocks), dtype=np.int64)
+        self.counts = np.zeros((CONTEXTS, self.symbols), dtype=np.int64)
+        self.order = self.rank = None
+        if ranked:
+            self.order = self.rank = np.arange(most + 1, dtype=self.kind)
+            self.seen = np.zeros(most + 1, dtype=np.int64)
+            # Symbol of every rank.
+            self.symbol = np.repeat(np.arange(self.symbols), 1 << self.bits.astype(np.int64))[2 : most + 3]
+        self.renew()
+
+    def renew(self) -> None:
+        base = self.counts.sum(axis=0)
+        weights = (self.counts << 12) + (base << 16) // (base.sum() + 1) + 1
+        total = 1 << SCALE
+        self.widths = 1 + weights * (total - self.symbols) // weights.sum(axis=1, keepdims=True)
+        self.widths[np.arange(CONTEXTS), weights.argmax(axis=1)] += total - self.widths.sum(axis=1)
+        ends = np.cumsum(self.widths, axis=1)
+        self.flat_widths = self.widths.ravel().astype(U)
+        self.flat_starts = (ends - self.widths).ravel().astype(U)
+
+    def slots(self) -> np.ndarray:
+        """Place in the flat tables of all numbers that may be met in every context."""
+        return np.repeat(np.arange(self.widths.size, dtype=np.int32), self.widths.ravel())
+
+    def segment(self, step: int, steps: int) -> int:
+        """Step before which the frequencies are renewed next."""
+        return min(steps, 2 * step if 0 < step < LEARN else step + (LEARN if step else 1))
+
+    def learn_counts(self, places: np.ndarray, ids: np.ndarray, step: int) -> None:
+        """Symbols (with their contexts) and ids of the steps up to ``step``."""
+        self.counts -= self.counts >> 1
+        self.counts += np.bincount(places.ravel(), minlength=self.counts.size).reshape(self.counts.shape)
+        self.renew()
+        if self.order is None:
+            return
+        self.seen += np.bincount(ids.ravel(), minlength=len(self.seen))
+        if step & (step - 1) == 0:
+            known = np.flatnonzero(self.seen)
+            known = known[np.argsort(-self.seen[known], kind="stable")]
+            self.order = np.concatenate([known, np.flatnonzero(self.seen == 0)]).astype(self.kind)
+            self.rank = np.empty_like(self.order)
+            self.rank[self.order] = np.arange(len(self.order))
 
     def look(self) -> np.ndarray:
-        """Cumulative frequencies of the symbols of the next step."""
-        one = (self.last * 40503 >> 3) % SLOTS1
-        two = ((self.before * 2654435761 + self.last * 40503) >> 7) % SLOTS2
-        self.at1 = self.rows * SLOTS1 + one
-        self.at2 = self.rows * SLOTS2 + two
-        self.guess1, self.guess2 = self.next1.take(self.at1), self.next2.take(self.at2)
-        self.context = self.rows * 16 + self.sure2.take(self.at2) * np.int8(4) + self.sure1.take(self.at1)
-        sums = self.mixed.take(self.context, axis=0)
-        sums += self.base
-        return np.cumsum(sums, axis=1, out=sums)
-
-    def symbol(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(
-            ids == self.guess2, 0, np.where(ids == self.guess1, 1, bit_lengths(ids + 1) + 1)
-        )
-
-    def learn(self, ids: np.ndarray, symbols: np.ndarray) -> None:
-        self.base[self.rows, symbols] += 4
-        self.mixed[self.context, symbols] += 24
-        for at, guess, after, sure in (
-            (self.at1, self.guess1, self.next1, self.sure1),
-            (self.at2, self.guess2, self.next2, self.sure2),
-        ):
-            sure[at] = np.where(guess == ids, np.minimum(sure[at] + 1, 3), 0)
-            after[at] = ids
+        """Contexts of the next step."""
+        np.bitwise_and(self.last, SLOTS1 - 1, out=self.at[0])
+        mixed = self.before * self.kind(0x2C1B3C6D) + self.last * self.kind(0x297A2D39)
+        np.bitwise_and(mixed >> 9, SLOTS2 - 1, out=self.at[1])
+        self.at[1] += SLOTS1
+        self.entry = self.after.take(self.at)
+        self.guess, self.sure = self.entry >> 2, self.entry & 3
+        return (self.sure[1] << 2) | self.sure[0]
+
+    def learn(self, ids: np.ndarray) -> np.ndarray:
+        """Takes up the ids of a step; says which predictions held."""
+        held = self.guess == ids
+        fresh = np.where(self.sure > 0, self.entry - 1, ids << 2)
+        # The last block wins where several have the same context.
+        self.after[self.at.reshape(-1)] = np.where(held, self.entry + (self.sure < 3), fresh).reshape(-1)
         self.before, self.last = self.last, ids
-        self.steps += 1
-        if self.steps % HALVE == 0:
-            self.base -= self.base >> 1
-            self.mixed >>= 1
-
-
-def ready(low: np.ndarray, span: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Which of ``rows`` have a settled first digit; spans too small for it are cut to be so."""
-    some_low, some_span = low[rows], span[rows]
-    settled = (some_low ^ (some_low + some_span)) < TOP
-    small = (some_span < BOTTOM) & ~settled
-    if small.any():
-        cut = rows[small]
-        span[cut] = (U(0) - low[cut]) & (BOTTOM - U(1))
-        settled |= small
-    return settled
-
-
-def encode(ids: np.ndarray, block_ids: int, id_bits: int) -> list[bytes]:
-    """Digits of every block of ``block_ids`` ids; the last block may be shorter."""
+        return held
+
+    def classes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol of every id that no prediction gives, and its place in the class."""
+        if self.rank is None:
+            ranks, symbols = ids, np.searchsorted(self.bases, ids, side="right") + 1
+        else:
+            ranks = self.rank.take(ids)
+            symbols = self.symbol.take(ranks)
+        return symbols, ranks - self.first.take(symbols)
+
+
+def encode(ids: np.ndarray, block_ids: int, most: int) -> list[np.ndarray]:
+    """Digits of every block of ``block_ids`` ids; zeros fill the last block up."""
     count = -(-len(ids) // block_ids)
-    padded = np.zeros(count * block_ids, dtype=np.int64)
+    model = Model(count, most)
+    padded = np.zeros(count * block_ids, dtype=model.kind)
     padded[: len(ids)] = ids
     columns = np.ascontiguousarray(padded.reshape(count, block_ids).T)
-    sizes = np.full(count, block_ids)
-    sizes[-1] = len(ids) - (count - 1) * block_ids
-    model, rows = Model(count, id_bits), np.arange(count)
     low, span = np.zeros(count, dtype=U), np.full(count, U(2**64 - 1))
-    out = np.zeros((count, 3 * block_ids + 8), dtype=np.uint16)
-    used = np.zeros(count, dtype=np.int64)
-    ends = np.zeros(count, dtype=np.int64)
-    for step in range(block_ids):
-        now = columns[step]
-        sums = model.look()
-        symbols = model.symbol(now)
-        high = sums[rows, symbols]
-        first = np.where(symbols > 0, sums[rows, symbols - 1], 0)
-        span //= sums[:, -1].astype(U)
-        low += first.astype(U) * span
-        span *= (high - first).astype(U)
-        bits = np.maximum(symbols - 2, 0)
-        rest = np.where(symbols > 1, now + 1 - (1 << bits), 0)
-        span >>= bits.astype(U)
-        low += rest.astype(U) * span
-        model.learn(now, symbols)
-        moved = rows
-        while True:
-            moved = moved[ready(low, span, moved)]
-            if not len(moved):
-                break
-            out[moved, used[moved]] = (low[moved] >> U(48)).astype(np.uint16)
-            used[moved] += 1
-            low[moved] <<= U(16)
-            span[moved] <<= U(16)
-        if step + 1 == sizes[-1] != block_ids:
-            ends[-1] = used[-1]
-            tail = int(low[-1])
-    digits = []
-    for row in range(count):
-        short = sizes[row] != block_ids
-        kept, value = (ends[row], tail) if short else (used[row], int(low[row]))
-        digits.append(out[row, :kept].astype("<u2").tobytes() + struct.pack(">Q", value)[::-1][6:8]
-                      + struct.pack("<3H", value >> 32 & 0xFFFF, value >> 16 & 0xFFFF, value & 0xFFFF))
-    return digits
-
-
-def decode(digits: list[bytes], total: int, block_ids: int, id_bits: int) -> np.ndarray:
-    count = len(digits)
-    longest = max(len(d) for d in digits) // 2
-    taken = np.zeros((count, longest + 8), dtype=U)
-    for row, raw in enumerate(digits):
-        taken[row, : len(raw) // 2] = np.frombuffer(raw, dtype="<u2")
-    model, rows = Model(count, id_bits), np.arange(count)
-    low, span, code = np.zeros(count, dtype=U), np.full(count, U(2**64 - 1)), np.zeros(count, dtype=U)
-    for k in range(4):
-        code = (code << U(16)) | taken[:, k]
-    used = np.full(count, 4)
-    limit = taken.shape[1] - 1
-    out = np.zeros((block_ids, count), dtype=np.int64)
-    for step in range(block_ids):
-        sums = model.look()
-        span //= sums[:, -1].astype(U)
-        aim = ((code - low) // span).astype(np.int64)
-        symbols = np.minimum((sums <= aim[:, None]).sum(axis=1), model.symbols - 1)
-        high = sums[rows, symbols]
-        first = np.where(symbols > 0, sums[rows, symbols - 1], 0)
-        low += first.astype(U) * span
-        span *= (high - first).astype(U)
-        bits = np.maximum(symbols - 2, 0)
-        span >>= bits.astype(U)
-        span = np.maximum(span, U(1))  # only beyond the end of a short block
-        rest = np.where(symbols > 1, (code - low) // span, U(0))
-        low += rest * span
-        now = np.where(symbols > 1, rest.astype(np.int64) + (1 << bits) - 1,
-                       np.where(symbols == 1, model.guess1, model.guess2))
-        out[step] = now
-        model.learn(now, symbols)
-        moved = rows
-        while True:
-            moved = moved[ready(low, span, moved)]
-            if not len(moved):
-                break
-            code[moved] = (code[moved] << U(16)) | taken[moved, np.minimum(used[moved], limit)]
-            used[moved] += 1
-            low[moved] <<= U(16)
-            span[moved] <<= U(16)
+    room = (SCALE + int(model.bits[-1]) + 2) * block_ids // 32 + 4
+    out = np.zeros(count * room, dtype=U)
+    at = np.arange(count) * room
+
+    def settle() -> None:
+        rows = (span < LEAST).nonzero()[0]
+        if len(rows):
+            some, to = low[rows], at[rows]
+            out[to] = some >> WORD
+            at[rows] = to + 1
+            low[rows] = some << WORD
+            span[rows] <<= WORD
+
+    def add(more: np.ndarray) -> None:
+        nonlocal low
+        low = low + more
+        rows = (low < more).nonzero()[0]
+        if len(rows):  # the carry goes to the digit before
+            out[at[rows] - 1] += U(1)
+
+    step = 0
+    while step < block_ids:
+        stop = model.segment(step, block_ids)
+        now = columns[step:stop]
+        contexts, held = np.empty(now.shape, np.int64), np.empty((len(now), 2, count), bool)
+        for k, some in enumerate(now):
+            contexts[k] = model.look()
+            held[k] = model.learn(some)
+        symbols, rest = model.classes(now)
+        one, two = held[:, 0], held[:, 1]
+        missed = ~(one | two)
+        # 0: order 2 holds, 1: only order 1 holds.
+        symbols = np.where(missed, symbols, ~two)
+        rest *= missed
+        places = contexts * model.symbols + symbols
+        starts, widths = model.flat_starts.take(places), model.flat_widths.take(places)
+        bits, rest = model.bits.take(symbols), rest.astype(U)
+        for k in range(stop - step):
+            unit = span >> U(SCALE)
+            more = starts[k] * unit
+            span = unit * widths[k]
+            if model.wide:
+                add(more)
+                settle()
+                more = U(0)
+            span >>= bits[k]
+            add(more + rest[k] * span)
+            settle()
+        model.learn_counts(places, now, stop)
+        step = stop
+    # One more digit says a number inside the span, with zeros after it.
+    out[at] = (low >> WORD) + ((low & LOW) > 0)
+    used = at + 1 - np.arange(count) * room
+    out = out.reshape(count, room)
+    while (carry := out >> WORD).any():
+        out &= LOW
+        out[:, :-1] += carry[:, 1:]
+    return [row[:n].astype("<u4") for row, n in zip(out, used, strict=True)]
+
+
+def decode(digits: np.ndarray, sizes: np.ndarray, total: int, block_ids: int, most: int) -> np.ndarray:
+    """Ids out of the digits of all blocks, ``sizes`` digits each."""
+    count = len(sizes)
+    # A zero behind each block; damaged data may ask for more and get those of the next block.
+    ends = np.cumsum(sizes)
+    words = np.insert(digits.astype(U), ends, U(0))
+    words = np.append(words, U(0))
+    at = ends - sizes + np.arange(count)
+    model = Model(count, most)
+    code = (words.take(at, mode="clip") << WORD) | words.take(at + 1, mode="clip")
+    at += 2
+    span = np.full(count, U(2**64 - 1))
+    out = np.zeros((block_ids, count), dtype=model.kind)
+    places = np.zeros((LEARN, count), dtype=np.int64)
+
+    def settle() -> None:
+        rows = (span < LEAST).nonzero()[0]
+        if len(rows):
+            of = at[rows]
+            code[rows] = (code[rows] << WORD) | words.take(of, mode="clip")
+            at[rows] = of + 1
+            span[rows] <<= WORD
+
+    top, step = U((1 << SCALE) - 1), 0
+    while step < block_ids:
+        stop = model.segment(step, block_ids)
+        slots = model.slots()
+        for k in range(step, stop):
+            contexts = model.look()
+            span >>= U(SCALE)
+            aim = np.minimum(code // span, top).view(np.int64)
+            aim += contexts << SCALE
+            place = slots.take(aim)
+            places[k - step] = place
+            code -= model.flat_starts.take(place) * span
+            span *= model.flat_widths.take(place)
+            if model.wide:
+                settle()
+            symbols = place - contexts * model.symbols
+            now = np.where(symbols == 0, model.guess[1], model.guess[0])
+            rows = (symbols > 1).nonzero()[0]
+            if len(rows):
+                some = symbols.take(rows)
+                bits, inside = model.bits.take(some), span.take(rows)
+                inside >>= bits
+                rest = code.take(rows) // inside
+                code[rows] -= rest * inside
+                span[rows] = inside
+                ranks = model.first.take(some) + rest.view(np.int64)
+                now[rows] = ranks if model.order is None else model.order.take(ranks, mode="clip")
+            out[k] = now
+            model.learn(now)
+            settle()
+        if model.order is not None:
+            np.clip(out[step:stop], 0, most, out=out[step:stop])  # only damaged data leave it
+        model.learn_counts(places[: stop - step], out[step:stop], stop)
+        step = stop
     return out.T.reshape(-1)[:total]
 
 
 def write_group(keys: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """One self-contained group: header, documents, and blocks with their checksums."""
-    block_ids = int(min(max(-(-len(ids) // BLOCKS), BLOCK_IDS[0]), BLOCK_IDS[1]))
-    id_bits = (int(ids.max()) + 1).bit_length() if len(ids) else 1
-    digits = encode(ids.astype(np.int64), block_ids, id_bits) if len(ids) else []
+    least, longest = BLOCK_IDS
+    block_ids = min(max(-(-len(ids) // BLOCKS), least), longest, max(len(ids), 1))
+    most = int(ids.max()) if len(ids) else 0
+    digits = encode(ids.astype(np.int64), block_ids, most) if len(ids) else []
     documents = zlib.compress(
         np.array([k or 0 for k in keys], dtype="<i8").tobytes()
         + np.array([k is None for k in keys], dtype=np.uint8).tobytes()
         + np.array(lengths, dtype="<u4").tobytes()
     )
-    raw = ids.astype("<u4")
-    table = b"".join(
-        struct.pack("<II", len(d), zlib.crc32(raw[k * block_ids : (k + 1) * block_ids].tobytes()))
-        for k, d in enumerate(digits)
-    )
+    raw = ids.astype("<u4").tobytes()
+    table = np.array(
+        [[len(d), zlib.crc32(raw[4 * k * block_ids : 4 * (k + 1) * block_ids])]
+         for k, d in enumerate(digits)], dtype="<u4",
+    ).tobytes()
+    body = b"".join(d.tobytes() for d in digits)
     head = MAGIC + struct.pack(
-        "<QIIIII", len(ids), len(keys), len(digits), block_ids, id_bits, len(documents)
+        HEAD, len(ids), len(keys), len(digits), block_ids, most, len(documents), zlib.crc32(body)
     )
     head += documents + table
-    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(digits)
+    return head + struct.pack("<I", zlib.crc32(head)) + body
 
 
 def read_group(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Keys, lengths and ids; raises if anything differs from what was written."""
     if data[:4] != MAGIC:
         raise IdError("not a group of ids")
-    total, count, blocks, block_ids, id_bits, size = struct.unpack_from("<QIIIII", data, 4)
-    at = 32 + size
-    table = [struct.unpack_from("<II", data, at + 8 * k) for k in range(blocks)]
-    at += 8 * blocks
-    if zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
+    start = 4 + struct.calcsize(HEAD)
+    if len(data) < start:
+        raise IdError("damaged header")
+    total, count, blocks, block_ids, most, size, checksum = struct.unpack_from(HEAD, data, 4)
+    at = start + size + 8 * blocks
+    if at + 4 > len(data) or zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
         raise IdError("damaged header")
-    documents = zlib.decompress(data[32 : 32 + size])
+    table = np.frombuffer(data, dtype="<u4", count=2 * blocks, offset=start + size).reshape(blocks, 2)
+    documents = zlib.decompress(data[start : start + size])
     keys = np.frombuffer(documents, dtype="<i8", count=count).tolist()
     missing = np.frombuffer(documents, dtype=np.uint8, count=count, offset=8 * count)
     lengths = np.frombuffer(documents, dtype="<u4", count=count, offset=9 * count)
-    at += 4
-    digits = []
-    for length, _ in table:
-        digits.append(data[at : at + length])
-        at += length
-    ids = decode(digits, total, block_ids, id_bits) if digits else np.zeros(0, dtype=np.int64)
-    raw = ids.astype("<u4")
-    for k, (_, checksum) in enumerate(table):
-        if zlib.crc32(raw[k * block_ids : (k + 1) * block_ids].tobytes()) != checksum:
+    sizes = table[:, 0].astype(np.int64)
+    if len(data) != at + 4 + 4 * sizes.sum() or zlib.crc32(data[at + 4 :]) != checksum:
+        raise IdError("damaged digits")
+    digits = np.frombuffer(data, dtype="<u4", offset=at + 4)
+    ids = decode(digits, sizes, total, block_ids, most) if blocks else np.zeros(0, dtype=np.int64)
+    ids = ids.astype("<u4")
+    raw = ids.tobytes()
+    for k, checksum in enumerate(table[:, 1].tolist()):
+        if zlib.crc32(raw[4 * k * block_ids : 4 * (k + 1) * block_ids]) != checksum:
             raise IdError(f"damaged block {k}")
-    return [None if m else k for k, m in zip(keys, missing, strict=True)], lengths, raw
+    return [None if m else k for k, m in zip(keys, missing, strict=True)], lengths, ids

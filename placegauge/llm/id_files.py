@@ -1,7 +1,7 @@
 """Token ids of all documents, in ascending order of their ids, in compressed binary files.
 
 Documents are dealt by ranges of doc_id, so the order of partitions and of rows inside them is the
-order of documents.  A group holds whole documents, about one million ids, as one binary value (see
+order of documents.  A group holds whole documents, about two million ids, as one binary value (see
 ``id_coder``), and can be read and checked on its own; Parquet is the container, so any store that
 Spark reaches will do.  A task holds one group at a time.
 
@@ -24,9 +24,7 @@ from placegauge.llm import id_coder
 from placegauge.llm.common import arrow_rows, ship
 from placegauge.llm.tokens import END_ID, encoder, read_vocabulary
 
-GROUP_IDS = id_coder.BLOCKS * id_coder.BLOCK_IDS[1]
-# Parts and pieces that a task remembers; the coder needs memory beside them.
-CACHES = (400_000, 600_000)
+GROUP_IDS = id_coder.BLOCKS * id_coder.BLOCK_IDS[0]
 
 FILE = "part int, number int, n_ids bigint, data binary"
 
@@ -37,7 +35,7 @@ def write_ids(docs: DataFrame, vocabulary_path: str, path: str) -> None:
     end = END_ID.to_bytes(4, "little")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part = encoder(shared.value, *CACHES).ids, TaskContext.get().partitionId()
+        ids_of, part = encoder(shared.value).ids, TaskContext.get().partitionId()
         keys, held, size, number = [], [], 0, 0
 
         def group() -> pa.RecordBatch:
@@ -66,25 +64,28 @@ def write_ids(docs: DataFrame, vocabulary_path: str, path: str) -> None:
     ordered.mapInArrow(groups, FILE).write.option("compression", "none").parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """``part, number, doc_id, at (ids of the group before it), ids (bytes)`` of every document."""
+def group_documents(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The documents of every group of a batch."""
+    for part, number, data in zip(batch["part"], batch["number"], batch["data"], strict=True):
+        keys, lengths, ids = id_coder.read_group(data.as_py())
+        ends = np.cumsum(lengths, dtype=np.int64)
+        # Arrow's 2 GB limit of a binary column is far above a group.
+        offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+        documents = pa.Array.from_buffers(
+            pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())]
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part.as_py()] * len(keys), pa.int32()),
+             pa.array([number.as_py()] * len(keys), pa.int32()), pa.array(keys, pa.int64()),
+             pa.array(ends - lengths), documents],
+            ["part", "number", "doc_id", "at", "ids"],
+        )
 
-    def read(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part, number, data in zip(batch["part"], batch["number"], batch["data"], strict=True):
-            keys, lengths, ids = id_coder.read_group(data.as_py())
-            raw, ends = ids.tobytes(), np.cumsum(lengths, dtype=np.int64)
-            starts = ends - lengths
-            # Arrow's 2 GB limit of a binary column is far above a group.
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part.as_py()] * len(keys), pa.int32()),
-                 pa.array([number.as_py()] * len(keys), pa.int32()), pa.array(keys, pa.int64()),
-                 pa.array(starts),
-                 pa.array([raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], pa.binary())],
-                ["part", "number", "doc_id", "at", "ids"],
-            )
 
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """``part, number, doc_id, at (ids of the group before it), ids (bytes)`` of every document."""
     return arrow_rows(
-        spark.read.schema(FILE).parquet(path).select("part", "number", "data"), read,
+        spark.read.schema(FILE).parquet(path).select("part", "number", "data"), group_documents,
         "part int, number int, doc_id bigint, at bigint, ids binary",
     )
 
@@ -106,16 +107,18 @@ def group_starts(spark: SparkSession, path: str) -> DataFrame:
 def document_digests(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, read from the files."""
 
-    def digest(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        raw = [value.as_buffer() for value in batch["ids"]]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:4], pa.array([len(r) // 4 for r in raw], pa.int64()),
-             pa.array([zlib.crc32(r) for r in raw], pa.int64())],
-            [*batch.schema.names[:4], "n_tokens", "ids_crc32"],
-        )
+    def digests(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for documents in group_documents(batch):
+            raw = [value.as_buffer() for value in documents["ids"]]
+            yield pa.RecordBatch.from_arrays(
+                [*documents.columns[:4], pa.array([len(r) // 4 for r in raw], pa.int64()),
+                 pa.array([zlib.crc32(r) for r in raw], pa.int64())],
+                [*documents.schema.names[:4], "n_tokens", "ids_crc32"],
+            )
 
+    # Ids go no further than the task that read them.
     documents = arrow_rows(
-        read_ids(spark, path), digest,
+        spark.read.schema(FILE).parquet(path).select("part", "number", "data"), digests,
         "part int, number int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint",
     )
     return documents.join(group_starts(spark, path), ["part", "number"]).select(
