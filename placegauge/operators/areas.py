@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +12,19 @@ from placegauge import fixed_values as fv
 from placegauge.functions.geo import cell_index, disc_offsets, geodesic_direct
 from placegauge.functions.rounding import round_half_even
 from placegauge.functions.staging import with_computed
-from placegauge.operators.skew import split_join
+from placegauge.operators.skew import split_sides
 from placegauge.session import cut
 
 # A power of two: cell borders and cell numbers are exact.
 POLYGON_CELL_DEG = 1 / 64
 # How far beyond its computed place an edge is still listed, against rounding; listing more is harmless.
 EDGE_MARGIN_DEG = 1e-9
-# Points of a cell that one task compares with the cell's rings, which may be very many.
+# Points, and rings, of a cell that are compared at once; both may be very many.
 CELL_POINTS = 2_000
+# Neighbours among them that share what is known of the edges beside them.
+SLAB_POINTS = 256
+# Points that are measured against edges at once.
+MEASURED = 1 << 18
 
 
 def disc_points(sites: DataFrame, radius_m: float) -> DataFrame:
@@ -149,35 +156,143 @@ def areas_by_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """(site_id, code, name) from closed rings.
 
     ``polygons``: code, name, ring array<struct<lng, lat>>.  A point lies inside where an odd number
-    of edges passes to its east.  Points are joined on their cell of ``edge_index``: listed edges
-    are counted up to the cell's eastern border, and beyond it by the corner's ``odd``, turned once
-    for each edge that crosses the border between the corner's latitude and the point's.
+    of edges passes to its east.  Points are met with the rings of their cell of ``edge_index``.
+
+    Sites with one place need no more than that: a group has all rings of a code that meet the cell, so
+    what it finds is distinct, and many sites in many rings are listed without being dealt again.  Only what
+    sites with several places find is put together.
     """
+    boxes = cut(edge_index(cut(ring_edges(polygons))))
+    located = points.where(~F.isnan("lat") & ~F.isnan("lng")).select("site_id", "lat", "lng")
+    place = F.struct("lat", "lng")
+    ends = cut(
+        located.where("site_id IS NOT NULL").groupBy("site_id").agg(F.min(place).alias("at"), F.max(place).alias("to"))
+    )
+    one = ends.where("at = to").select("site_id", "at.lat", "at.lng")
+    several = located.join(ends.where("at <> to"), "site_id", "left_semi").unionByName(
+        located.where("site_id IS NULL")
+    )
+    return _met_areas(one, boxes).unionByName(_distinct_areas(_met_areas(several, boxes)))
+
+
+def _met_areas(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(site_id, code, name) of every point, once for each code: the rings of a cell are kept together by code."""
     size = POLYGON_CELL_DEG
-    boxes = edge_index(cut(ring_edges(polygons)))
     celled = points.withColumn("cx", cell_index(F.col("lng"), size)).withColumn(
         "cy", cell_index(F.col("lat"), size)
     )
-    boxed = split_join(
-        celled, boxes, ["cx", "cy"], F.struct("site_id", "pos"), part_rows=CELL_POINTS, spread_out=True
+    met = boxes.join(celled.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
+    left, right, on = split_sides(
+        celled, met, ["cx", "cy"], F.struct("site_id", "lat", "lng"), part_rows=CELL_POINTS,
+        other_spread=F.col("code"), spread_out=True,
+    )
+    code, name, site = (
+        f.dataType.simpleString() for f in (boxes.schema["code"], boxes.schema["name"], points.schema["site_id"])
+    )
+    # A list has the sites of a slab, so a code and its name are handed over once for all of them.
+    lists = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(
+        sites_by_area, f"code {code}, name {name}, sites array<{site}>"
     )
-    corner, border, lat = F.col("cy") * size, (F.col("cx") + 1) * size, F.col("lat")
+    return lists.select(F.explode("sites").alias("site_id"), "code", "name")
 
-    def turns(edge: Column) -> Column:
-        crossing = edge["border_lat"]
-        return F.coalesce((crossing > corner) != (crossing > lat), F.lit(False))
 
-    def near(edge: Column) -> Column:
-        a, b, crossing = edge["a"], edge["b"], edge["border_lat"]
-        spans = (a["lat"] > lat) != (b["lat"] > lat)
-        at = (b["lng"] - a["lng"]) * F.try_divide(lat - a["lat"], b["lat"] - a["lat"]) + a["lng"]
-        # The part of an edge beyond the border is the corner's matter.
-        beyond = F.when(a["lng"] >= border, a["lat"]).otherwise(b["lat"])
-        far = F.when(crossing.isNull(), a["lng"] >= border).otherwise((beyond > lat) != (crossing > lat))
-        return F.when(spans & ~far, F.col("lng") < at).otherwise(F.lit(False))
+def sites_by_area(points: pa.Table, rings: pa.Table) -> pa.Table:
+    """(code, name, sites) of one cell: which of its points lie in the rings of an area."""
+    none = {"code": rings["code"][:0], "name": rings["name"][:0], "sites": pa.array([], pa.list_(points["site_id"].type))}
+    if not len(points) or not len(rings):
+        return pa.table(none)
+    # Rings of a code and a name are neighbours; of the names of a code the least comes first.
+    rings = rings.sort_by([("code", "ascending"), ("name", "ascending")]).combine_chunks()
+    code_no, name_no = (
+        pc.dictionary_encode(rings[c].combine_chunks(), null_encoding="encode").indices.to_numpy() for c in ("code", "name")
+    )
+    other_code = np.concatenate([[True], code_no[1:] != code_no[:-1]])
+    starts = np.flatnonzero(other_code | np.concatenate([[True], name_no[1:] != name_no[:-1]]))
+    again = np.flatnonzero(~other_code[starts])
+    edges = rings["edges"].combine_chunks()
+    of = np.repeat(np.arange(len(rings)), pc.list_value_length(edges).to_numpy())
+    flat = edges.flatten()
+    a, b = flat.field("a"), flat.field("b")
+    values = [c.to_numpy(zero_copy_only=False) for c in (
+        a.field("lng"), a.field("lat"), b.field("lng"), b.field("lat"), flat.field("border_lat")
+    )]
+    odd = rings["odd"].to_numpy().astype(np.uint8)
+    corner = points["cy"][0].as_py() * POLYGON_CELL_DEG
+    border = (points["cx"][0].as_py() + 1) * POLYGON_CELL_DEG
+    lng, lat = points["lng"].to_numpy(), points["lat"].to_numpy()
+    kinds = rings.select(["code", "name"]).take(pa.array(starts))
+    sites = points["site_id"].combine_chunks()
+    tables = []
+    for slab in np.array_split(np.argsort(lng), -(-len(lng) // SLAB_POINTS)):
+        slab = slab[np.argsort(lat[slab])]
+        inside = points_in_rings(lng[slab], lat[slab], corner, border, odd, of, *values)
+        if len(starts) < len(rings):
+            inside = np.bitwise_or.reduceat(inside, starts, axis=1)
+        for k in again:
+            # The columns before hold what the other names of the code found first.
+            same = int(np.searchsorted(code_no[starts], code_no[starts[k]]))
+            inside[:, k] &= ~inside[:, same:k].any(axis=1)
+        inside = np.ascontiguousarray(inside.T)
+        many = np.count_nonzero(inside, axis=1)
+        found = np.flatnonzero(many)
+        offsets = np.concatenate([[0], many[found].cumsum()]).astype(np.int32)
+        at = sites.take(pa.array(slab[np.nonzero(inside)[1]]))
+        some = kinds.take(pa.array(found))
+        tables.append(pa.table({
+            "code": some["code"], "name": some["name"], "sites": pa.ListArray.from_arrays(pa.array(offsets), at)
+        }))
+    return pa.concat_tables(tables)
+
+
+def points_in_rings(
+    x: np.ndarray, y: np.ndarray, corner: float, border: float, odd: np.ndarray, of: np.ndarray,
+    ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, crossing: np.ndarray,
+) -> np.ndarray:
+    """Which points of a cell, sorted by latitude, lie in which rings: points x rings, true or false.
+
+    Listed edges (of ring ``of``) are counted up to the cell's eastern border, and beyond it by the
+    corner's ``odd``, turned once for each edge that crosses the border between the corner's latitude
+    and the point's.  An edge passes a run of the points; where it lies to the east of all of them the run
+    is turned at its two ends, and only for edges among them the points of the run are measured.
+    """
+    rings = len(odd)
+    turned = np.zeros((len(y) + 1, rings), dtype=np.uint8)
+    turned[0] = odd
+    cells = turned.reshape(-1)
+    crosses = ~np.isnan(crossing)
+    ring, met = of[crosses], crossing[crosses]
+    np.add.at(cells, ring, (met <= corner).astype(np.uint8))
+    np.add.at(cells, np.searchsorted(y, met) * rings + ring, np.uint8(1))
+    # The part of an edge beyond the border is the corner's matter.
+    near = crosses | (ax < border)
+    # So is an edge to the west of all points nobody's.
+    near &= np.maximum(ax, bx) > x.min() - EDGE_MARGIN_DEG
+    of, ax, ay, bx, by, crossing, crosses = (v[near] for v in (of, ax, ay, bx, by, crossing, crosses))
+    begin = np.where(crosses & (ax >= border), crossing, ay)
+    end = np.where(crosses & (ax < border), crossing, by)
+    low = np.searchsorted(y, np.minimum(begin, end))
+    high = np.searchsorted(y, np.maximum(begin, end))
+    east = np.minimum(ax, bx) > x.max() + EDGE_MARGIN_DEG
+    for at in (low, high):
+        np.add.at(cells, at[east] * rings + of[east], np.uint8(1))
+    for k in range(1, len(y)):
+        turned[k] += turned[k - 1]
+    among = np.flatnonzero(~east & (high > low))
+    for share in np.split(among, _shares((high - low)[among])):
+        steps = high[share] - low[share]
+        edge = np.repeat(share, steps)
+        point = np.arange(len(edge)) + np.repeat(low[share] - (steps.cumsum() - steps), steps)
+        at = (bx - ax)[edge] * ((y[point] - ay[edge]) / (by - ay)[edge]) + ax[edge]
+        hit = x[point] < at
+        np.add.at(cells, point[hit] * rings + of[edge[hit]], np.uint8(1))
+    return (turned[:-1] & 1).astype(bool)
+
 
-    passed = F.size(F.filter("edges", turns)) + F.size(F.filter("edges", near)) + F.col("odd").cast("int")
-    return _distinct_areas(boxed.where(passed % 2 == 1))
+def _shares(steps: np.ndarray) -> np.ndarray:
+    """Where to split runs of so many points into shares of about ``MEASURED``."""
+    ends = steps.cumsum()
+    total = int(ends[-1]) if len(ends) else 0
+    return np.unique(np.searchsorted(ends, np.arange(MEASURED, total, MEASURED), "right"))
 
 
 def scope_of(site_areas: DataFrame, extra: list[str]) -> DataFrame:
