@@ -2,13 +2,16 @@
 
 import math
 import random
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import numpy as np
+import pyarrow as pa
 from plain_rows import rows
 from pyspark.sql import functions as F
 
 from placegauge.functions import geo
 from placegauge.operators import areas, coverage, radius, sites, usage
+from placegauge.plans.registry import QUERIES
 
 
 def test_radius_is_metric_and_inclusive(spark):
@@ -96,6 +99,85 @@ def test_pairs_of_small_tables_are_found_by_many_tasks(spark):
     assert "SQRT" in joined.upper()
 
 
+def crowd(spark, seed):
+    rng = random.Random(seed)
+    spots = [(35.65 + rng.uniform(-0.02, 0.02), 139.7 + rng.uniform(-0.02, 0.02)) for _ in range(30)]
+    where = [(f"s{i % 50}" if i % 9 else None, *rng.choice(spots)) for i in range(70)]
+    where += [("nowhere", None, None), ("odd", float("nan"), 139.7), ("far", 40.0, 141.0)]
+    facs = [(f"f{i % 300}" if i % 13 else None, ["park", "library", None, "学校"][i % 4], *(
+        rng.choice(spots) if i % 3 else (rng.uniform(35.6, 35.7), rng.uniform(139.66, 139.74)))) for i in range(400)]
+    facs += [("unlocated", "park", None, 139.7), ("odd", "park", 35.65, float("nan")), ("pole", "park", 90.0, 139.7)]
+    return (spark.createDataFrame(where, "site_id string, lat double, lng double"),
+            spark.createDataFrame(facs, "facility_id string, feature string, lat double, lng double"))
+
+
+COLUMNS = ["site_id", "feature", "facility_id", "distance_m"]
+
+
+def test_runs_are_the_list_in_order(spark):
+    s, f = crowd(spark, 5)
+    for radius_m in (300.0, 1500.0):
+        want = radius.nearest_first(radius.radius_pairs(s, f, radius_m)).select(*COLUMNS).collect()
+        got = radius.nearest_first(radius.radius_pairs(s, f, radius_m, runs=True)).select(*COLUMNS).collect()
+        assert len(want) > 500 and got == want
+    assert not radius.radius_pairs(s, f.limit(0), 300.0, runs=True).count()
+    assert not radius.radius_pairs(s.limit(0), f, 300.0, runs=True).count()
+
+
+def test_lists_are_not_sorted_after_they_were_made(spark, tmp_path):
+    """Pairs are far more than sites and facilities: sorting them fills the disks."""
+    spark.range(40).selectExpr("id s_suppkey", "concat('S', id) s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(900).selectExpr(
+        "id c_custkey", "cast(id % 25 as int) c_nationkey", "double(id % 9000 - 800) c_acctbal",
+        "array('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')[cast(id % 5 as int)] c_mktsegment",
+    ).write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["radius_pairs"](spark, str(tmp_path))
+    assert found.columns == COLUMNS
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("MapInArrow")[0]
+    assert "Sort" not in above and "Repartition" not in above and "Join" not in plan
+    listed = [tuple(r) for r in found.collect()]
+    assert len(listed) > 100 and listed == sorted(listed, key=lambda r: (r[0], r[1], r[3], r[2]))
+
+
+def test_lists_of_crowds_are_made_in_slices(monkeypatch):
+    monkeypatch.setattr(radius, "LISTED", 200)
+    monkeypatch.setattr(radius, "RUN", 7)
+    rng = np.random.default_rng(2)
+    n, strip = 300, 100.0 / radius.STRIPS
+    ids = [f"f{i:03}" if i else None for i in range(n)]
+    x, y = rng.uniform(0, 250, n), rng.uniform(-40, 120, n)
+    feature = [["park", None, "library"][i % 3] for i in range(n)]
+    order = np.lexsort((x, np.floor(y / strip)))
+    # Numbers go up in jumps, as those of several partitions do.
+    number = np.arange(n) + (np.arange(n) // 100 << 33)
+    tables = [pa.table({"facility_id": pa.array(ids[a:a + 100]), "number": number[a:a + 100]}) for a in (0, 100, 200)]
+    spots = pa.table({"strip": np.floor(y / strip).astype(int), "fx": x, "fy": y, "feature": feature, "number": number})
+    spots = spots.take(pa.array(order))
+    near = radius.Facilities(iter(tables), lambda: iter([spots[:50], spots[50:]]), None, 100.0)
+    # Forty rows of one id, and ids with one or two rows.
+    site = [None] * 40 + ["a", "b", "b", "c"]
+    sx, sy = rng.uniform(0, 250, len(site)), rng.uniform(-40, 120, len(site))
+    want = []
+    for i, own in enumerate(site):
+        away = np.sqrt((sx[i] - x) ** 2 + (sy[i] - y) ** 2)
+        want += [(own, feature[k], ids[k], round(float(away[k]), 1)) for k in range(n) if away[k] <= 100.0]
+    want.sort(key=lambda r: (r[0] or "", r[1] or "", r[3], r[2] or ""))
+    got = []
+    for batch in near.lists(pa.array(site), sx, sy):
+        for row in batch.to_pylist():
+            assert 0 < len(row["run"]) <= 7
+            got += [(row["site_id"], row["feature"], p["facility_id"], p["distance_m"]) for p in row["run"]]
+    assert got == want and len(got) > 3000
+
+
+def test_tenths_are_rounded_on_the_stored_value():
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.uniform(0, 1000, 5000), np.arange(0, 4000) / 20, np.arange(0, 4000) * 0.05, [0.25, 0.75, 0.35]])
+    exact = [int(Decimal(float(v)).quantize(Decimal("0.1"), ROUND_HALF_EVEN) * 10) for v in values]
+    assert radius.tenths(values).tolist() == exact
+
+
 def test_disc_points_lie_on_their_circles(spark):
     site = spark.createDataFrame([("a", 35.6984, 139.7731)], "site_id string, lat double, lng double")
     points = areas.disc_points(site, 500.0)
