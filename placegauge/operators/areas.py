@@ -163,16 +163,20 @@ def areas_by_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     sites with several places find is put together.
     """
     boxes = cut(edge_index(cut(ring_edges(polygons))))
-    located = points.where(~F.isnan("lat") & ~F.isnan("lng")).select("site_id", "lat", "lng")
+    located = points.where(
+        "lat IS NOT NULL AND lng IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lng)"
+    ).select("site_id", "lat", "lng")
     place = F.struct("lat", "lng")
-    ends = cut(
-        located.where("site_id IS NOT NULL").groupBy("site_id").agg(F.min(place).alias("at"), F.max(place).alias("to"))
-    )
-    one = ends.where("at = to").select("site_id", "at.lat", "at.lng")
-    several = located.join(ends.where("at <> to"), "site_id", "left_semi").unionByName(
-        located.where("site_id IS NULL")
-    )
-    return _met_areas(one, boxes).unionByName(_distinct_areas(_met_areas(several, boxes)))
+    ends = cut(located.groupBy("site_id").agg(F.min(place).alias("at"), F.max(place).alias("to")))
+    alone = F.col("site_id").isNotNull() & (F.col("at") == F.col("to"))
+    n_one, n_several = ends.agg(F.count_if(alone), F.count_if(~alone)).first()
+    found = []
+    if n_one:
+        found.append(_met_areas(ends.where(alone).select("site_id", "at.lat", "at.lng"), boxes))
+    if n_several or not n_one:
+        several = located.join(ends.where(~alone), "site_id", "left_semi").unionByName(located.where("site_id IS NULL"))
+        found.append(_distinct_areas(_met_areas(several, boxes)))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def _met_areas(points: DataFrame, boxes: DataFrame) -> DataFrame:
